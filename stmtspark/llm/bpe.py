@@ -15,7 +15,6 @@ every step of a piece.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from stmtspark.llm.common import list_array, text_chunks
+from stmtspark.llm.merging import contract
 
 LONG_PIECE = 512
 #: Position rows times steps that one recursive query may hold.
@@ -108,24 +108,8 @@ class PieceCoder:
 
     def _contract_long(self, piece: bytes) -> list[int]:
         """The same contraction order with a heap of (rank, position)."""
-        ids = [int(x) for x in self.byte_rank[np.frombuffer(piece, dtype=np.uint8)]]
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = lambda i: self.pairs.get((ids[i], ids[after[i]])) if after[i] < n else None
-        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or rank(i) != r:
-                continue
-            j = after[i]
-            ids[i], alive[j], after[i] = r, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return [x for x, a in zip(ids, alive, strict=True) if a]
+        pair = lambda a, b: None if (r := self.pairs.get((a, b))) is None else (r, r)
+        return contract(self.byte_rank[np.frombuffer(piece, dtype=np.uint8)].tolist(), pair)
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else self._contract_long(p) if len(p) > LONG_PIECE else None for p in pieces]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtspark.llm import url_filters
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +24,61 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.bpe_round_trip(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of each whole text, learnt from the labels that are not held out."""
+    from stmtspark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, scorer)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each whole text for the word-end vocabulary."""
+    import public_tokenizers as tokenizers
+
+    from stmtspark.llm import token_counts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and survivors of all embeddings at cosine 0.95."""
+    from stmtspark.llm import embeddings
+
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the list entries active when it was fetched."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filters.filter_urls(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each benchmark item in each document."""
+    from stmtspark.llm import decontaminate
+
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at shingle similarity 0.75."""
+    from stmtspark.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
+    "op5_embedding_neardup": op5_embedding_neardup,
+    "op7_url_filters": op7_url_filters,
+    "op8_decontamination": op8_decontamination,
+    "op10_minhash": op10_minhash,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filters": url_filters.ORACLE}
