@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stmtspark.llm.common import text_chunks
 from stmtspark.llm.merging import contract
@@ -141,6 +142,6 @@ def _count(batches: Iterator[pa.RecordBatch], text: str, path: str) -> Iterator[
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048) -> DataFrame:
     """``df`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); existing ones are replaced."""
     df = df.drop("n_tokens", "n_bytes", "over_limit")
-    schema = df.schema.add("n_tokens", "long")
+    schema = StructType([*df.schema.fields, StructField("n_tokens", LongType())])
     out = df.mapInArrow(lambda it: _count(it, text, path), schema)
     return out.select(*df.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stmtspark.llm.common import text_chunks
 
@@ -201,4 +202,4 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
                 kept = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([model.value.score(t) for t in texts[a:b]], pa.float64())], names=[*kept.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
