@@ -51,6 +51,13 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 50 words or more that documents share, with their sources."""
+    from stmtspark.llm import substrings
+
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against the list entries active when it was fetched."""
     pages = _table(spark, sf_dir, "pages")
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_embedding_neardup": op5_embedding_neardup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
     "op10_minhash": op10_minhash,
