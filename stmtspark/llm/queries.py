@@ -71,6 +71,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: conversations as target, all documents as background."""
+    from stmtspark.llm import lm_scores
+
+    return lm_scores.cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at shingle similarity 0.75."""
     from stmtspark.llm import minhash
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
+    "op9_lm_scores": op9_lm_scores,
     "op10_minhash": op10_minhash,
 }
 
