@@ -44,6 +44,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from stmtspark.llm import html_text
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and survivors of all embeddings at cosine 0.95."""
     from stmtspark.llm import embeddings
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_html_text": op4_html_text,
     "op5_embedding_neardup": op5_embedding_neardup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
