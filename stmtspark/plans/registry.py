@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtspark.plans import accounts_queries, statements
+from stmtspark.plans import accounts_queries, layout_queries, records_queries, statements
 
 
 
@@ -22,5 +22,5 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _plain(q) for name, q in {**statements.QUERIES, **accounts_queries.QUERIES}.items()}
-ORACLES: dict[str, str] = {**statements.ORACLES, **accounts_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _plain(q) for name, q in {**statements.QUERIES, **accounts_queries.QUERIES, **layout_queries.QUERIES, **records_queries.QUERIES}.items()}
+ORACLES: dict[str, str] = {**statements.ORACLES, **accounts_queries.ORACLES, **layout_queries.ORACLES, **records_queries.ORACLES}
