@@ -46,10 +46,10 @@ def prep_cells(raw: Column, engine: Column, explode: Column, around: Column | No
     return C.split_money_cells(own)
 
 
-def _rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
+def _rows(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
     """Rows with profile, sequence and flags; partitioned by statement_id."""
-    spark = cells.sparkSession
-    rows = cells.join(banks.select("statement_id", "bank"), "statement_id").join(F.broadcast(profiles(spark)), "bank")
+    own = F.broadcast(profiles(cells.sparkSession).filter(F.col("narration_around") == around))
+    rows = cells.join(banks.select("statement_id", "bank").join(own, "bank"), "statement_id")
     rows = rows.withColumn("own", prep_cells(F.col("cells"), F.col("engine"), F.col("explode_newlines"), F.col("narration_around"), F.col("serial_col")))
     rows = rows.withColumn("facts", C.facts(F.col("own"))).withColumn("joined", C.strip(F.array_join("own", " "))).withColumn("low", F.lower("joined"))
     rows = rows.withColumn("d", C.first_date(F.col("facts"))).withColumn("b", C.last_balance(F.col("facts")))
@@ -83,8 +83,13 @@ def _mark(facts: Column, bal_i: Column) -> Column:
     return F.get(F.filter(facts, lambda f: f["value"].isNotNull() & f["sign"].isNotNull() & F.coalesce(f["i"] != bal_i, F.lit(True))), F.lit(0))
 
 
-def _opening(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("statement_id").agg(F.min_by("bal", F.when(F.col("opens") & F.col("bal").isNotNull(), F.col("seq"))).alias("opening"))
+def _opening() -> Column:
+    """The first balance of an opening row, on every row of the statement."""
+    return F.min_by("bal", F.when(F.col("opens") & F.col("bal").isNotNull(), F.col("seq"))).over(_BY)
+
+
+def _openings(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("statement_id").agg(F.first("opening").alias("opening"))
 
 
 def _extend_reference(ref: Column, conts: Column, drop: Column) -> Column:
@@ -114,7 +119,7 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
 
     ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank.
     """
-    rows = _rows(cells, banks).filter(~F.col("narration_around"))
+    rows = _rows(cells, banks, around=False)
     start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("alnum") & F.col("is_head"), F.col("seq"))).over(_BY))
     rows = rows.withColumn("start", start).withColumn("live", F.col("alnum") & F.coalesce(F.col("seq") > F.col("start"), F.lit(False)))
     rows = rows.withColumn("foots", F.col("live") & F.col("is_footer")).withColumn("opens", F.col("live") & ~F.col("is_footer") & F.col("is_opening"))
@@ -124,20 +129,22 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
             "colmap": F.first(F.when(F.col("seq") == F.col("start"), C.build_colmap(F.col("own"))), ignorenulls=True).over(_BY),
             "in_footer": F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_SO_FAR), F.lit(False)),
             "txn_id": F.sum(F.col("txn").cast("int")).over(_SO_FAR),
+            "opening": _opening(),
             "table_txn": F.max("table_test").over(Window.partitionBy("statement_id", "page", "table_no")),
             "ref0": F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.col("find_ref_tokens"))),
         }
     )
     rows = rows.withColumn("ref", F.last(F.when(F.col("txn"), F.col("ref0")), ignorenulls=True).over(_SO_FAR))
-    openings = _opening(rows)
+    openings = _openings(rows)
     cont = F.col("fit") & ~F.col("txn") & ~F.col("in_footer") & (F.col("txn_id") > 0) & ~F.col("leading") & F.col("table_txn")
     used = rows.filter(F.col("txn") | cont).withColumn("mark", _mark(F.col("facts"), F.col("bal_i")))
     amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.coalesce("debit_col", "colmap.debit"), F.coalesce("credit_col", "colmap.credit"))
     text = C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.col("ref"), F.col("drop_code_cells"))
     first = lambda c, when: F.min_by(c, F.when(when, F.col("seq")))
-    used = used.select("statement_id", "txn_id", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
+    used = used.select("statement_id", "txn_id", "opening", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
     group = used.groupBy("statement_id", "txn_id").agg(
         F.min("seq").alias("seq"),
+        F.first("opening").alias("opening"),
         first("date", F.col("txn")).alias("date"),
         first("ref", F.col("txn")).alias("ref"),
         first("amount", F.col("txn")).alias("amount"),
@@ -152,6 +159,7 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
     group = group.withColumn("w", F.when(F.col("explode"), wrapped))
     txns = group.select(
         "statement_id",
+        "opening",
         "seq",
         "date",
         F.when(F.col("explode"), C.strip(F.concat_ws(" ", F.get("parts", F.lit(0))["text"], F.col("w.text")))).otherwise(C.strip(whole)).alias("description"),
@@ -184,7 +192,7 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
 
     ``glue`` (statement_id, text) has the narration lines that were broken inside a word.
     """
-    rows = _rows(cells, banks).filter("narration_around")
+    rows = _rows(cells, banks, around=True)
     rows = rows.withColumn("foots", F.col("alnum") & F.col("is_footer")).withColumn("opens", F.col("alnum") & ~F.col("is_footer") & F.col("is_opening"))
     rows = rows.withColumn("fit", F.col("alnum") & ~F.col("is_footer") & ~F.col("is_opening") & ~F.col("is_noise"))
     start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("fit") & F.col("is_head"), F.col("seq"))).over(_BY))
@@ -199,10 +207,11 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
     rows = rows.withColumn("in_footer", F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_SO_FAR), F.lit(False))).withColumn("seen", F.sum(F.col("txn").cast("int")).over(_SO_FAR))
     rows = rows.withColumn("ref", F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.lit(False))))
     rows = rows.withColumn("text", C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.when(F.col("txn"), F.col("ref")).otherwise(""), F.lit(False)))
-    openings = _opening(rows)
+    rows = rows.withColumn("opening", _opening())
+    openings = _openings(rows)
     narration = F.col("live") & ~F.col("txn") & ~F.col("in_footer") & ((F.col("seen") > 0) | F.col("header_keywords").isNotNull()) & (F.col("text") != "")
     amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.col("debit_col"), F.col("credit_col"))
-    items = rows.filter(F.col("txn") | narration).select("statement_id", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
+    items = rows.filter(F.col("txn") | narration).select("statement_id", "opening", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
     own = Window.partitionBy("statement_id").orderBy("seq")
     items = items.withColumn("n", F.row_number().over(own))
     later = Window.partitionBy("statement_id").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -221,12 +230,12 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
         items = items.join(glue.select("statement_id", "text", F.lit(True).alias("glue")).distinct(), ["statement_id", "text"], "left")
     first = lambda c: F.first(F.when(F.col("txn"), F.col(c)), ignorenulls=True)
     group = items.groupBy("statement_id", "target").agg(
-        first("seq").alias("seq"), first("date").alias("date"), first("bal").alias("balance"), first("ref").alias("ref"), first("amount").alias("amount"),
+        F.first("opening").alias("opening"), first("seq").alias("seq"), first("date").alias("date"), first("bal").alias("balance"), first("ref").alias("ref"), first("amount").alias("amount"),
         F.first("no_reference").alias("no_reference"), F.first("glue_hard_wraps").alias("glued"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text", "glue")))).alias("parts"),
     )
     text = join_fragments(F.col("parts"), F.col("glued"))
     txns = group.withColumn("description", text).select(
-        "statement_id", "seq", "date", "description",
+        "statement_id", "opening", "seq", "date", "description",
         F.when(F.col("no_reference"), "").otherwise(F.coalesce(F.nullif("ref", F.lit("")), C.guess_reference(F.col("description")))).alias("reference"),
         "balance", F.lit(None).cast(C.MONEY).alias("amt_value"), F.lit(None).cast("string").alias("amt_sign"), F.col("amount.debit").alias("col_dr"), F.col("amount.credit").alias("col_cr"),
     )
@@ -240,10 +249,10 @@ def balance_direction(txns: DataFrame) -> DataFrame:
     return steps.withColumn("ascending", F.sum("step").over(_BY) >= 0).drop("step")
 
 
-def finalize(txns: DataFrame, openings: DataFrame) -> DataFrame:
+def finalize(txns: DataFrame) -> DataFrame:
     """Debit, credit and type: marked amount, else balance difference in time direction, else columns."""
     own = _BY.orderBy("seq")
-    t = balance_direction(txns.join(openings, "statement_id", "left"))
+    t = balance_direction(txns)
     first = F.row_number().over(own) == 1
     final = F.lead(F.lit(1)).over(own).isNull()
     before = F.when(F.col("ascending"), F.when(first, F.col("opening")).otherwise(F.lag("balance").over(own))).otherwise(F.when(final, F.col("opening")).otherwise(F.lead("balance").over(own)))
@@ -283,4 +292,4 @@ def transactions(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
     rows, opening = parse_rows(cells, banks)
     around, around_opening = parse_around(cells, banks, glue)
     openings = opening.unionByName(around_opening)
-    return finalize(rows.unionByName(around), openings), openings
+    return finalize(rows.unionByName(around)), openings

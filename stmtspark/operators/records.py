@@ -138,42 +138,63 @@ def column_statistics(records: DataFrame) -> DataFrame:
     )
 
 
+def column_profile(records: DataFrame) -> DataFrame:
+    """One row per statement from one pass over the exploded records: date_col, hits, blank headers and the amount column."""
+    norm = F.replace(F.lower("header"), F.lit(" "), F.lit(""))
+    fits = ~norm.rlike("balance|date") & (F.col("filled") > 0) & (F.col("flagged") * 10 >= F.col("filled") * 6)
+    return column_statistics(records).groupBy("statement_id").agg(
+        F.max_by("header", F.struct("dates", -F.col("i"))).alias("date_col"),
+        F.max("dates").alias("hits"),
+        F.collect_set(F.when(F.col("blank"), F.col("header"))).alias("blanks"),
+        F.min_by("header", F.when(fits, F.col("i"))).alias("amount"),
+        (F.max(norm.rlike("debit|withdrawal")) & F.max(norm.rlike("credit|deposit"))).alias("paired"),
+    )
+
+
+_PROFILE = ("date_col", "hits", "blanks", "amount", "paired")
+
+
+def _profiled(records: DataFrame) -> DataFrame:
+    return records if "date_col" in records.columns else records.join(column_profile(records), "statement_id", "left")
+
+
 def to_chronological(records: DataFrame) -> DataFrame:
     """Statements whose dated rows step down more than up are reversed; nothing is sorted."""
-    best = column_statistics(records).groupBy("statement_id").agg(F.max_by("header", F.struct("dates", -F.col("i"))).alias("date_col"), F.max("dates").alias("hits"))
-    t = records.join(best, "statement_id", "left").withColumn("day", F.when(F.col("hits") >= 2, C.row_date(F.element_at("rec", F.col("date_col")))))
+    return _chronological(_profiled(records)).drop(*_PROFILE)
+
+
+def _chronological(t: DataFrame) -> DataFrame:
+    t = t.withColumn("day", F.when(F.col("hits") >= 2, C.row_date(F.element_at("rec", F.col("date_col")))))
     before = F.last("day", ignorenulls=True).over(_BY.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("step", F.when(F.col("day") > before, 1).when(F.col("day") < before, -1).otherwise(0))
-    t = t.withColumn("down", F.sum("step").over(_BY) < 0).withColumn("n", F.max("seq").over(_BY)).withColumn("least", F.min("seq").over(_BY))
-    return t.withColumn("seq", F.when(F.col("down"), F.col("n") + F.col("least") - F.col("seq")).otherwise(F.col("seq"))).drop("date_col", "hits", "day", "step", "down", "n", "least")
+    t = t.withColumns({"down": F.sum("step").over(_BY) < 0, "n": F.max("seq").over(_BY), "least": F.min("seq").over(_BY)})
+    return t.withColumn("seq", F.when(F.col("down"), F.col("n") + F.col("least") - F.col("seq")).otherwise(F.col("seq"))).drop("day", "step", "down", "n", "least")
 
 
-def _drop_blank(records: DataFrame, pattern: str) -> DataFrame:
-    blank = column_statistics(records).filter(F.col("blank") & F.lower("header").rlike(pattern)).groupBy("statement_id").agg(F.collect_set("header").alias("gone"))
-    t = records.join(blank, "statement_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
-    return t.withColumn("rec", F.map_filter("rec", lambda k, _: ~F.array_contains("gone", k))).withColumn("headers", F.array_except("headers", "gone")).drop("gone")
+def _without_blank(t: DataFrame, pattern: str) -> DataFrame:
+    gone = F.filter(F.coalesce("blanks", F.array().cast("array<string>")), lambda h: F.lower(h).rlike(pattern))
+    t = t.withColumn("gone", gone)
+    return t.withColumns({"rec": F.map_filter("rec", lambda k, _: ~F.array_contains("gone", k)), "headers": F.array_except("headers", "gone")}).drop("gone")
 
 
 def drop_empty_date_columns(records: DataFrame) -> DataFrame:
-    return _drop_blank(records, "date")
+    return _without_blank(_profiled(records), "date").drop(*_PROFILE)
 
 
 def drop_empty_optional_columns(records: DataFrame) -> DataFrame:
-    return _drop_blank(records, C.any_of(fixed.OPTIONAL_HEADERS))
+    return _without_blank(_profiled(records), C.any_of(fixed.OPTIONAL_HEADERS)).drop(*_PROFILE)
 
 
 def split_amount_dr_cr(records: DataFrame) -> DataFrame:
     """One amount column with marks becomes Debit and Credit, where no such pair is there yet."""
-    stats = column_statistics(records)
-    norm = F.replace(F.lower("header"), F.lit(" "), F.lit(""))
-    paired = stats.groupBy("statement_id").agg((F.max(norm.rlike("debit|withdrawal")) & F.max(norm.rlike("credit|deposit"))).alias("paired"))
-    fits = ~norm.rlike("balance|date") & (F.col("filled") > 0) & (F.col("flagged") * 10 >= F.col("filled") * 6)
-    pick = stats.filter(fits).groupBy("statement_id").agg(F.min_by("header", "i").alias("amount")).join(paired.filter("NOT paired"), "statement_id", "left_semi")
-    t = records.join(pick, "statement_id", "left")
-    flag = C.amount_flag(_value(F.col("amount")))
-    new = F.map_concat(F.map_filter("rec", lambda k, _: ~k.isin("Debit", "Credit") & (k != F.col("amount"))), F.create_map(F.lit("Debit"), F.when(flag["flag"] == "dr", flag["number"]).otherwise(""), F.lit("Credit"), F.when(flag["flag"] == "cr", flag["number"]).otherwise("")))
+    return _split_amount(_profiled(records)).drop(*_PROFILE)
+
+
+def _split_amount(t: DataFrame) -> DataFrame:
+    t = t.withColumn("amount", F.when(~F.col("paired"), F.col("amount"))).withColumn("flag", C.amount_flag(_value(F.col("amount"))))
+    new = F.map_concat(F.map_filter("rec", lambda k, _: ~k.isin("Debit", "Credit") & (k != F.col("amount"))), F.create_map(F.lit("Debit"), F.when(F.col("flag.flag") == "dr", F.col("flag.number")).otherwise(""), F.lit("Credit"), F.when(F.col("flag.flag") == "cr", F.col("flag.number")).otherwise("")))
     heads = F.flatten(F.transform("headers", lambda h: F.when(h == F.col("amount"), F.array(F.lit("Debit"), F.lit("Credit"))).otherwise(F.array(h))))
-    return t.withColumn("rec", F.when(F.col("amount").isNotNull(), new).otherwise(F.col("rec"))).withColumn("headers", F.when(F.col("amount").isNotNull(), heads).otherwise(F.col("headers"))).drop("amount")
+    return t.withColumns({"rec": F.when(F.col("amount").isNotNull(), new).otherwise(F.col("rec")), "headers": F.when(F.col("amount").isNotNull(), heads).otherwise(F.col("headers"))}).drop("flag")
 
 
 def stream_records(txns: DataFrame) -> DataFrame:
@@ -184,7 +205,10 @@ def stream_records(txns: DataFrame) -> DataFrame:
 
 
 def shape_records(records: DataFrame) -> DataFrame:
-    """All repairs in their order."""
-    for step in (repair_collapsed_dates, relocate_leading_date, to_chronological, drop_empty_date_columns, drop_empty_optional_columns, split_amount_dr_cr):
-        records = step(records)
-    return records
+    """All repairs in their order; the column statistics are taken once, after the dates are in place.
+
+    Dropping blank date and identifier columns changes no other column's statistics.
+    """
+    t = relocate_leading_date(repair_collapsed_dates(records))
+    t = _chronological(_profiled(t))
+    return _split_amount(_without_blank(t, "date|" + C.any_of(fixed.OPTIONAL_HEADERS))).drop(*_PROFILE)
