@@ -25,32 +25,40 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _month(name: Column, names: list[str]) -> Column:
-    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.lower(name))
-    return F.when(at > 0, at.cast("string"))
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    y = year.try_cast("int")
-    full = F.when(F.length(year) == 2, F.when(y >= 70, 1900 + y).otherwise(2000 + y)).otherwise(F.when(y < 1970, y + 100).otherwise(y))
-    return F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), month, day).try_cast("date")
+def _months(names: list[str]) -> Column:
+    return F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, f"{i + 1:02d}")])
+
+
+_NUMERIC = r"^(\d{1,2})([/.\-])(\d{1,2})\2"
+_NAMED = r"^(\d{1,2})([\-\s])([A-Za-z]{3,9})\2(\d{4}|\d{2})$"
+
+
+def _iso(t: Column) -> Column:
+    """The date text as year-month-day; years of two digits from 70 on are of the last century."""
+    year = F.regexp_extract(t, _NAMED, 4)
+    full = F.when(F.length(year) == 4, year).when(year >= "70", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
+    month = let(F.lower(F.regexp_extract(t, _NAMED, 3)), lambda m: F.coalesce(F.element_at(_months(_ABBREVIATED), m), F.when(F.length(year) == 4, F.element_at(_months(_FULL), m))))
+    return (
+        F.when(t.rlike(_NUMERIC + r"\d{4}$"), F.regexp_replace(t, _NUMERIC + r"(\d{4})$", "$4-$3-$1"))
+        .when(t.rlike(_NUMERIC + r"[7-9]\d$"), F.regexp_replace(t, _NUMERIC + r"(\d{2})$", "19$4-$3-$1"))
+        .when(t.rlike(_NUMERIC + r"\d{2}$"), F.regexp_replace(t, _NUMERIC + r"(\d{2})$", "20$4-$3-$1"))
+        .when(t.rlike(_NAMED), F.concat(full, F.lit("-"), month, F.lit("-"), F.regexp_extract(t, _NAMED, 1)))
+    )
 
 
 def parse_date(c: Column) -> Column:
-    """The date of a whole cell, day first; null where it is none."""
-    t = strip(c)
-    numeric = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4}|\d{2})$"
-    named = r"^(\d{1,2})([\-\s])([A-Za-z]{3,9})\2(\d{4}|\d{2})$"
-    part = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
-    short = _month(part(named, 3), _ABBREVIATED)
-    long = F.when(F.length(part(named, 4)) == 4, _month(part(named, 3), _FULL))
-    return F.when(t.rlike(numeric), _date(part(numeric, 4), part(numeric, 3), part(numeric, 1))).when(t.rlike(named), _date(part(named, 4), F.coalesce(short, long), part(named, 1)))
+    """The date of a whole cell, day first; null where it is none.  Years before 1970 are a century later."""
+    return let(let(strip(c), _iso).try_cast("date"), lambda d: F.when(d < F.lit("1970-01-01").cast("date"), d + F.expr("INTERVAL 100 YEARS")).otherwise(d).cast("date"))
 
 
 def parse_date_leading(c: Column) -> Column:
     """The date of the whole cell, else of the text before its first space."""
-    t = strip(c)
-    return F.coalesce(parse_date(t), F.when(F.instr(t, " ") > 0, parse_date(F.substring_index(t, " ", 1))))
+    return let(strip(c), lambda t: F.coalesce(parse_date(t), F.when(F.instr(t, " ") > 0, parse_date(F.substring_index(t, " ", 1)))))
 
 
 _MONEY = r"(?i)^\s*(-)?\s*(?:(?:INR|RS|₹)\.?\s*)?(\d{1,3}(?:,\d{2,3})*(?:\.\d+)?|\d+(?:\.\d+)?)\s*(\(?\s*(?:DR|CR)\s*\)?\.?)?\s*$"
@@ -58,13 +66,17 @@ _MONEY = r"(?i)^\s*(-)?\s*(?:(?:INR|RS|₹)\.?\s*)?(\d{1,3}(?:,\d{2,3})*(?:\.\d+
 
 def parse_money(c: Column) -> Column:
     """struct<value, sign>: magnitude and DR, CR or null; value is null where the cell is no money."""
-    number, mark = F.regexp_extract(c, _MONEY, 2), F.regexp_extract(c, _MONEY, 3)
-    digits = F.regexp_replace(number, ",", "")
-    bare = ~number.rlike("[.,]") & (mark == "")
-    identifier = bare & ((F.length(digits) >= 10) | ((F.length(digits) > 1) & digits.startswith("0")))
-    value = F.when(c.rlike(_MONEY) & ~identifier, digits.try_cast(MONEY))
-    sign = F.when(mark.rlike("(?i)d"), "DR").when(mark != "", "CR").when(F.regexp_extract(c, _MONEY, 1) == "-", "DR")
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), sign).alias("sign"))
+
+    def read(g: Column) -> Column:
+        digits = F.regexp_replace(g["number"], ",", "")
+        bare = ~g["number"].rlike("[.,]") & (g["mark"] == "")
+        identifier = bare & g["number"].rlike(r"^(?:\d{10,}|0\d+)$")
+        value = F.when((g["number"] != "") & ~identifier, digits.try_cast(MONEY))
+        sign = F.when(g["mark"].rlike("(?i)d"), "DR").when(g["mark"] != "", "CR").when(g["minus"] == "-", "DR")
+        return F.struct(value.alias("value"), F.when(value.isNotNull(), sign).alias("sign"))
+
+    groups = F.struct(*[F.coalesce(F.regexp_extract(c, _MONEY, i), F.lit("")).alias(n) for i, n in ((1, "minus"), (2, "number"), (3, "mark"))])
+    return let(groups, read)
 
 
 def is_money(c: Column) -> Column:
@@ -72,8 +84,7 @@ def is_money(c: Column) -> Column:
 
 
 def signed_balance(c: Column) -> Column:
-    m = parse_money(c)
-    return F.when(m["sign"] == "DR", -m["value"]).otherwise(m["value"]).cast(MONEY)
+    return let(parse_money(c), lambda m: F.when(m["sign"] == "DR", -m["value"]).otherwise(m["value"]).cast(MONEY))
 
 
 def clean(c: Column) -> Column:
@@ -114,14 +125,18 @@ def is_opening(low: Column) -> Column:
     return low.rlike(r"opening balance|brought forward|\bb/?f\b")
 
 
+_MONTH_FIRST = r"^([A-Za-z]{3,9}) ?(\d{1,2}), (\d{4})$"
+
+
 def row_date(c: Column) -> Column:
     """ISO dates, day-first dates, then month-first dates such as "September30, 2025"."""
-    t = strip(c)
-    pattern = r"^([A-Za-z]{3,9}) ?(\d{1,2}), (\d{4})$"
-    name = F.regexp_extract(t, pattern, 1)
-    month_first = F.when(t.rlike(pattern), F.concat_ws("-", F.regexp_extract(t, pattern, 3), F.coalesce(_month(name, _FULL), _month(name, _ABBREVIATED)), F.regexp_extract(t, pattern, 2)).try_cast("date"))
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date"))
-    return F.coalesce(iso, parse_date_leading(t), month_first)
+
+    def read(t: Column) -> Column:
+        month = let(F.lower(F.regexp_extract(t, _MONTH_FIRST, 1)), lambda m: F.coalesce(F.element_at(_months(_FULL), m), F.element_at(_months(_ABBREVIATED), m)))
+        first = F.when(t.rlike(_MONTH_FIRST), F.concat(F.regexp_extract(t, _MONTH_FIRST, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(t, _MONTH_FIRST, 2)).try_cast("date"))
+        return F.coalesce(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date")), parse_date_leading(t), first)
+
+    return let(strip(c), read)
 
 
 def leading_date(c: Column) -> Column:
@@ -205,8 +220,7 @@ def facts(cells: Column) -> Column:
     """array<struct<i, text, date, value, sign>>: what each cell says, to be worked out once."""
 
     def fact(c: Column, i: Column) -> Column:
-        m = parse_money(c)
-        return F.struct(i.alias("i"), c.alias("text"), parse_date_leading(c).alias("lead"), parse_date(c).alias("date"), m["value"].alias("value"), m["sign"].alias("sign"))
+        return let(parse_money(c), lambda m: F.struct(i.alias("i"), c.alias("text"), parse_date_leading(c).alias("lead"), parse_date(c).alias("date"), m["value"].alias("value"), m["sign"].alias("sign")))
 
     return F.transform(cells, fact)
 
@@ -346,8 +360,9 @@ def row_tokens(cells: Column) -> Column:
     flat = split_money_cells(F.flatten(F.transform(cells, lambda c: F.split(F.coalesce(c, F.lit("")), "\n"))))
 
     def token(c: Column) -> Column:
-        t = strip(c)
-        d, v = parse_date_leading(t), parse_money(t)["value"]
+        return let(F.struct(strip(c).alias("t"), parse_date_leading(c).alias("d"), parse_money(c)["value"].alias("v")), lambda x: named(x["t"], x["d"], x["v"]))
+
+    def named(t: Column, d: Column, v: Column) -> Column:
         return F.when(d.isNotNull(), F.concat(F.lit("D:"), d.cast("string"))).when(v.isNotNull(), F.concat(F.lit("M:"), v.cast("string"))).when(t.rlike(r"^[A-Za-z0-9/\-]{8,}$") & t.rlike(r"\d"), F.concat(F.lit("R:"), t))
 
     return F.array_distinct(F.filter(F.transform(flat, token), lambda t: t.isNotNull()))
