@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from stmtspark.llm.common import cut, mix, text_chunks, word_hashes
 
-MU, HOT, PARTITION_TOKENS = 2.0, 2000, 2_000_000
+MU, HOT, PARTITION_TOKENS = 2.0, 2000, 600_000
 START = np.uint64(0x5374617274)
-_CHARS = 5_000_000
+_CHARS = 4_000_000
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -123,7 +123,7 @@ def _deal_part(ids, target, lengths, before, after, hot: Hot, size: int, parts:
     known = (at >= 0) & (ctx >= 0)
     sums_t = np.bincount(owner[known], weights=_loss(hot.pt[at[known]], hot.ct[ctx[known]], size), minlength=len(ids))
     sums_b = np.bincount(owner[known], weights=_loss(hot.pb[at[known]], hot.cb[ctx[known]], size), minlength=len(ids))
-    rows = [(int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(parts)), 1, ids.astype(np.int64).tobytes(), target.tobytes(), lengths.astype(np.int64).tobytes(), sums_t.tobytes(), sums_b.tobytes(), b"", b"")]
+    rows = [(int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(parts)), 1, np.diff(ids.astype(np.int64), prepend=0).tobytes(), target.tobytes(), lengths.astype(np.int64).tobytes(), sums_t.tobytes(), sums_b.tobytes(), b"", b"")]
     rest = ~known
     owner, before, after, key, ctx = owner[rest], before[rest], after[rest], key[rest], ctx[rest]
     p = (np.where(ctx >= 0, key, mix(before)) % np.uint64(parts)).astype(np.int64)
@@ -137,7 +137,7 @@ def _deal_part(ids, target, lengths, before, after, hot: Hot, size: int, parts:
     p, before, word, owner = p[first], before[first], word[first], owner[first].astype(np.uint16)
     ends = np.append(np.flatnonzero(np.diff(p)) + 1, len(p)) if len(p) else []
     a = 0
-    packed_ids, packed_target = ids.astype(np.int64).tobytes(), target.tobytes()
+    packed_ids, packed_target = np.diff(ids.astype(np.int64), prepend=0).tobytes(), target.tobytes()
     for b in ends:
         runs = np.append(np.flatnonzero(before[a + 1 : b] != before[a : b - 1]) + 1, b - a)
         starts = np.append(0, runs[:-1])
@@ -152,20 +152,19 @@ def _score(batches: Iterator[pa.RecordBatch], hot: Hot, size: int) -> Iterator[p
     """Losses of every document from all occurrences of one partition's contexts."""
     ids_of, target_of, base = [], [], 0
     ctx, word, owner, count = [], [], [], []
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, target = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["target"], bool)
-            if r["kind"] == 1:
-                n, t, b = np.frombuffer(r["runs"], np.int64), np.frombuffer(r["contexts"], np.float64), np.frombuffer(r["words"], np.float64)
-                yield _sums(ids[~target], t[~target], b[~target], n[~target])
-                continue
-            ctx.append(np.repeat(np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["runs"], np.uint32)))
-            word.append(np.frombuffer(r["words"], np.uint32))
-            owner.append(np.frombuffer(r["owners"], np.uint16).astype(np.int64) + base)
-            count.append(np.frombuffer(r["counts"], np.uint32).astype(np.float64))
-            ids_of.append(ids)
-            target_of.append(target)
-            base += len(ids)
+    for r in (r for batch in batches for at in range(0, batch.num_rows, 32) for r in batch.slice(at, 32).to_pylist()):
+        ids, target = np.cumsum(np.frombuffer(r["ids"], np.int64)), np.frombuffer(r["target"], bool)
+        if r["kind"] == 1:
+            n, t, b = np.frombuffer(r["runs"], np.int64), np.frombuffer(r["contexts"], np.float64), np.frombuffer(r["words"], np.float64)
+            yield _sums(ids[~target], t[~target], b[~target], n[~target])
+            continue
+        ctx.append(np.repeat(np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["runs"], np.uint32)))
+        word.append(np.frombuffer(r["words"], np.uint32))
+        owner.append(np.frombuffer(r["owners"], np.uint16).astype(np.int32) + np.int32(base))
+        count.append(np.frombuffer(r["counts"], np.uint32))
+        ids_of.append(ids)
+        target_of.append(target)
+        base += len(ids)
     if not ctx:
         return
     ctx, word, owner, count, ids, target = (np.concatenate(x) for x in (ctx, word, owner, count, ids_of, target_of))
