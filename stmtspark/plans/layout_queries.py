@@ -206,7 +206,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS val
     "a10_headers": "SELECT n_nationkey, 'Date|' || n_name || '|Running Balance' AS head, 'Withdrawals|Deposits|' || n_name || '|ChqNo|Withdrawal' AS merged, n_nationkey % 2 = 0 AS looks FROM nation",
     "a14_row_tokens": f"WITH {ORDERS} SELECT o_orderkey, 'D:' || day || '|M:' || amount || '|R:REF' || lpad(o_orderkey::VARCHAR, 8, '0') AS tokens FROM o",
     "f1_transaction_tables": """WITH r AS (SELECT 'S' || o_custkey AS statement_id, o_orderkey % 2 AS page, o_orderkey % 3 AS table_no FROM orders), t AS (SELECT *, count(*) AS rows FROM r GROUP BY ALL),
- m AS (SELECT *, table_no <> 0 AND rows >= 2 AS good, bool_or(table_no <> 0 AND rows >= 2) OVER (PARTITION BY statement_id) AS some FROM t) SELECT statement_id, page, table_no, rows FROM m WHERE good OR NOT some""",
+ m AS (SELECT *, table_no <> 0 AND rows >= 2 AS good, bool_or(table_no <> 0 AND rows >= 2) OVER (PARTITION BY statement_id) AS found FROM t) SELECT statement_id, page, table_no, rows FROM m WHERE good OR NOT found""",
     "f4_detect_bank": f"SELECT doc_id, {_SIGN_NAMES}[doc_id % 12 + 1] AS by_text, CASE WHEN doc_id % 2 = 0 THEN 'hdfc' END AS by_code FROM documents",
     "f6_assign_bank": f"SELECT DISTINCT 'S' || o_custkey AS statement_id, CASE WHEN o_custkey % 13 = 12 THEN 'canara' ELSE [{', '.join(repr(b) for b in X.BANKS)}][o_custkey % 13 + 1] END AS bank FROM orders",
     "f7_choose_extraction": """WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT k, CASE WHEN k % 3 = 0 THEN 0 ELSE n END AS p, CASE WHEN k % 5 = 0 THEN 0 ELSE n + k % 2 END AS w, n + k % 4 AS e FROM o)
