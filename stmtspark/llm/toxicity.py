@@ -11,7 +11,8 @@ are fitted in the driver; that bound is the same for every input.  Every text is
 
 Nulls and empty texts have no features and get the score of the intercept.  Labels that are null or
 belong to no document are left out; of several labels of one document the highest counts.  With no
-labelled row at all every score is 0.5's lower neighbour, 0.0 when there is nothing to learn from.
+labelled row, or with labels of one kind only, nothing is learnt: scores are next to 0, or next to 1
+where all labels are 1.
 """
 
 from __future__ import annotations
@@ -74,7 +75,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarr
     if not len(labels) or labels.min() == labels.max():
         return {}, -1e9 if not len(labels) or labels.max() == 0 else 1e9
     n = len(rows)
-    count = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=DIMS)
+    count = np.zeros(DIMS, dtype=np.int32)
+    for r in rows:
+        count[np.unique(r)] += 1
     for gained, lost in changes:
         count[gained] += LEAST_DF
         count[lost] += LEAST_DF
