@@ -7,8 +7,8 @@ that under the background model; lower means more like the target.
 
 Counts cover both corpora whole and are never gathered in the driver.  Counting and scoring share one
 exchange: a task sends each of its bigram occurrences, packed by context, to the context's partition;
-there all counts of the context meet, and every occurrence gets its losses, which are summed by
-document.  Frequent contexts, of one in HOT tokens or more, would overload their partition: their
+there all counts of the context meet, and every occurrence gets its loss difference.  The sums go
+back packed by chunk of documents, and are put together there.  Frequent contexts, of one in HOT tokens or more, would overload their partition: their
 counts come from a grouped sum first (HOT of them at most, so they can be broadcast), and their
 bigrams are dealt out by both words; bigrams that frequent themselves (again HOT at most) are scored
 where they are read.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,27 +104,43 @@ def _loss(pair: np.ndarray, context: np.ndarray, size: int) -> np.ndarray:
     return -np.log((pair + MU / size) / (context + MU))
 
 
-_PACKED = "p int, kind int, ids binary, target binary, runs binary, contexts binary, words binary, owners binary, counts binary"
-_NAMES = ["p", "kind", "ids", "target", "runs", "contexts", "words", "owners", "counts"]
+_PACKED = "p int, kind int, chunk long, first binary, second binary, words binary, owners binary, counts binary"
+_NAMES = ["p", "kind", "chunk", "first", "second", "words", "owners", "counts"]
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+#: Kinds of rows: bigrams of documents, bigrams of the target, and a chunk's own ids.
+BACKGROUND, TARGET, HEADER = 0, 1, 2
 
 
 def _deal(batches: Iterator[pa.RecordBatch], hot: Hot, size: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Bigram occurrences packed by partition and context; one more row has what is scored here."""
-    for ids, target, lengths, before, after in _chunks(batches):
-        for a in range(0, len(ids), 60_000):  # owners are 16-bit
-            b = min(a + 60_000, len(ids))
-            lo, hi = lengths[:a].sum(), lengths[:b].sum()
-            yield from _deal_part(ids[a:b], target[a:b], lengths[a:b], before[lo:hi], after[lo:hi], hot, size, parts)
-
+    """Bigram occurrences packed by partition and context; a header row has what is scored here.
 
-def _deal_part(ids, target, lengths, before, after, hot: Hot, size: int, parts: int) -> Iterator[pa.RecordBatch]:
-    owner = np.repeat(np.arange(len(ids)), lengths)
+    A chunk's number is made of the task's partition and a count, so a repeated task gives the same.
+    """
+    task, number = TaskContext.get().partitionId(), 0
+    for ids, target, lengths, before, after in _chunks(batches):
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        for flag in (False, True):
+            for a in range(0, len(ids), 60_000):  # owners are 16-bit
+                own = np.flatnonzero(target[a : a + 60_000] == flag) + a
+                if len(own):
+                    place = np.full(len(ids), -1)
+                    place[own] = np.arange(len(own))
+                    keep = place[owner] >= 0
+                    rows = _deal_part(ids[own], flag, lengths[own], place[owner][keep], before[keep], after[keep], hot, size, parts, (task << 32) + number)
+                    number += 1
+                    for at in range(0, len(rows), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
+def _deal_part(ids, flag: bool, lengths, owner, before, after, hot: Hot, size: int, parts: int, chunk: int) -> list[tuple]:
     key = pair_key(before, after)
     at, ctx = hot.find(hot.pairs, key), hot.find(hot.words, before)
     known = (at >= 0) & (ctx >= 0)
-    sums_t = np.bincount(owner[known], weights=_loss(hot.pt[at[known]], hot.ct[ctx[known]], size), minlength=len(ids))
-    sums_b = np.bincount(owner[known], weights=_loss(hot.pb[at[known]], hot.cb[ctx[known]], size), minlength=len(ids))
-    rows = [(int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(parts)), 1, np.diff(ids.astype(np.int64), prepend=0).tobytes(), target.tobytes(), lengths.astype(np.int64).tobytes(), sums_t.tobytes(), sums_b.tobytes(), b"", b"")]
+    rows = []
+    if not flag:
+        more = _loss(hot.pt[at[known]], hot.ct[ctx[known]], size) - _loss(hot.pb[at[known]], hot.cb[ctx[known]], size)
+        sums = np.bincount(owner[known], weights=more, minlength=len(ids))
+        rows.append((chunk % parts, HEADER, chunk, ids.astype(np.int64).tobytes(), lengths.astype(np.int64).tobytes(), sums.tobytes(), b"", b""))
     rest = ~known
     owner, before, after, key, ctx = owner[rest], before[rest], after[rest], key[rest], ctx[rest]
     p = (np.where(ctx >= 0, key, mix(before)) % np.uint64(parts)).astype(np.int64)
@@ -135,69 +152,82 @@ def _deal_part(ids, target, lengths, before, after, hot: Hot, size: int, parts:
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(p))).astype(np.uint32)
     p, before, word, owner = p[first], before[first], word[first], owner[first].astype(np.uint16)
-    ends = np.append(np.flatnonzero(np.diff(p)) + 1, len(p)) if len(p) else []
     a = 0
-    packed_ids, packed_target = np.diff(ids.astype(np.int64), prepend=0).tobytes(), target.tobytes()
-    for b in ends:
+    for b in np.append(np.flatnonzero(np.diff(p)) + 1, len(p)).tolist() if len(p) else []:
         runs = np.append(np.flatnonzero(before[a + 1 : b] != before[a : b - 1]) + 1, b - a)
         starts = np.append(0, runs[:-1])
-        rows.append((int(p[a]), 0, packed_ids, packed_target, np.diff(runs, prepend=0).astype(np.uint32).tobytes(), before[a:b][starts].tobytes(), word[a:b].tobytes(), owner[a:b].tobytes(), counts[a:b].tobytes()))
+        rows.append((int(p[a]), TARGET if flag else BACKGROUND, chunk, np.diff(runs, prepend=0).astype(np.uint32).tobytes(), before[a:b][starts].tobytes(), word[a:b].tobytes(), owner[a:b].tobytes(), counts[a:b].tobytes()))
         a = b
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
-    for at in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], names=_NAMES)
+    return rows
+
+
+_SCORED = "chunk long, kind int, ids binary, n binary, sums binary"
+
+
+def _scored(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["chunk", "kind", "ids", "n", "sums"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], hot: Hot, size: int) -> Iterator[pa.RecordBatch]:
-    """Losses of every document from all occurrences of one partition's contexts."""
-    ids_of, target_of, base = [], [], 0
-    ctx, word, owner, count = [], [], [], []
+    """Loss differences of documents from all occurrences of one partition's contexts, packed by chunk."""
+    chunks, ends, ctx, word, owner, count, is_t = [], [], [], [], [], [], []
     for r in (r for batch in batches for at in range(0, batch.num_rows, 32) for r in batch.slice(at, 32).to_pylist()):
-        ids, target = np.cumsum(np.frombuffer(r["ids"], np.int64)), np.frombuffer(r["target"], bool)
-        if r["kind"] == 1:
-            n, t, b = np.frombuffer(r["runs"], np.int64), np.frombuffer(r["contexts"], np.float64), np.frombuffer(r["words"], np.float64)
-            yield _sums(ids[~target], t[~target], b[~target], n[~target])
+        if r["kind"] == HEADER:
+            yield _scored([(r["chunk"], HEADER, r["first"], r["second"], r["words"])])
             continue
-        ctx.append(np.repeat(np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["runs"], np.uint32)))
+        ctx.append(np.repeat(np.frombuffer(r["second"], np.uint64), np.frombuffer(r["first"], np.uint32)))
         word.append(np.frombuffer(r["words"], np.uint32))
-        owner.append(np.frombuffer(r["owners"], np.uint16).astype(np.int32) + np.int32(base))
+        owner.append(np.frombuffer(r["owners"], np.uint16))
         count.append(np.frombuffer(r["counts"], np.uint32))
-        ids_of.append(ids)
-        target_of.append(target)
-        base += len(ids)
+        is_t.append(np.full(len(word[-1]), r["kind"] == TARGET))
+        chunks.append(None if r["kind"] == TARGET else r["chunk"])
+        ends.append(len(word[-1]))
     if not ctx:
         return
-    ctx, word, owner, count, ids, target = (np.concatenate(x) for x in (ctx, word, owner, count, ids_of, target_of))
+    ctx, word, owner, count, is_t = (np.concatenate(x) for x in (ctx, word, owner, count, is_t))
     order = np.lexsort((word, ctx))
-    ctx, word, owner, count = ctx[order], word[order], owner[order], count[order]
-    is_t = target[owner]
-    new_ctx = np.append(True, ctx[1:] != ctx[:-1])
-    new = new_ctx | np.append(True, word[1:] != word[:-1])
-    of_pair, of_ctx = np.cumsum(new) - 1, np.cumsum(new_ctx) - 1
-    first = ctx[new_ctx]
-    at = hot.find(hot.words, first)
-    losses = []
-    for mine, known in ((is_t, hot.ct), (~is_t, hot.cb)):
-        pair = np.bincount(of_pair, weights=count * mine)
-        context = np.bincount(of_ctx, weights=count * mine)
+    sorted_ctx, sorted_word = ctx[order], word[order]
+    new_ctx = np.append(True, sorted_ctx[1:] != sorted_ctx[:-1])
+    new = new_ctx | np.append(True, sorted_word[1:] != sorted_word[:-1])
+    of_pair, of_ctx, first = np.cumsum(new) - 1, np.cumsum(new_ctx) - 1, sorted_ctx[new_ctx]
+    del ctx, word, sorted_ctx, sorted_word
+    at, n, t = hot.find(hot.words, first), count[order], is_t[order]
+    more = np.zeros(len(order))
+    for mine, known, sign in ((t, hot.ct, 1), (~t, hot.cb, -1)):
+        pair = np.bincount(of_pair, weights=n * mine)
+        context = np.bincount(of_ctx, weights=n * mine)
         if len(known):
             context = np.where(at >= 0, known[at], context)
-        losses.append(_loss(pair[of_pair], context[of_ctx], size) * count)
-    scored = ~is_t
-    sums_t, sums_b = (np.bincount(owner[scored], weights=x[scored], minlength=len(ids)) for x in losses)
-    touched = np.unique(owner[scored])
-    # the same document may come in several chunks' lists; sums by id are made downstream
-    for a in range(0, len(touched), 50_000):
-        k = touched[a : a + 50_000]
-        yield _sums(ids[k], sums_t[k], sums_b[k], np.zeros(len(k), np.int64))
+        more += sign * _loss(pair[of_pair], context[of_ctx], size)
+    back = np.empty(len(order))
+    back[order] = more * n
+    a = 0
+    for chunk, length in zip(chunks, ends, strict=True):
+        b = a + length
+        if chunk is not None:
+            who, place = np.unique(owner[a:b], return_inverse=True)
+            yield _scored([(chunk, BACKGROUND, who.tobytes(), b"", np.bincount(place, weights=back[a:b]).astype(np.float32).tobytes())])
+        a = b
 
 
-def _sums(ids, t, b, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x)) for x in (ids, t, b, n)], names=["id", "t", "b", "n"])
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each document from the rows of its chunk, which come one after the other, the header last."""
+    chunk, got = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["chunk"] != chunk:
+                chunk, got = r["chunk"], []
+            if r["kind"] == BACKGROUND:
+                got.append((np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["sums"], np.float32)))
+                continue
+            ids, n, sums = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["n"], np.int64), np.frombuffer(r["sums"], np.float64).copy()
+            for who, more in got:
+                sums[who] += more
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(sums)], names=["id", "n", "more"])
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of each document."""
+    """(doc_id, n_tokens, score) of each document, the score to five places."""
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.lit(False).alias("target"), F.col(text).alias("text")).filter("id IS NOT NULL")
     src = src.union(target.select(F.lit(-1).cast("long"), F.lit(True), F.col(target_text)))
@@ -209,6 +239,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     pairs = src.mapInArrow(lambda it: _frequent_pairs(it, some.value), "k long, b long, t long").groupBy("k").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).filter((F.col("b") + F.col("t")) >= least)
     hot = spark.sparkContext.broadcast(Hot(words, [tuple(r) for r in pairs.collect()] if words else []))
     dealt = src.mapInArrow(lambda it: _deal(it, hot.value, size, parts), _PACKED)
-    sums = dealt.repartition(parts, "p").mapInArrow(lambda it: _score(it, hot.value, size), "id long, t double, b double, n long").groupBy("id").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.sum("n").alias("n"))
-    loss = lambda c: F.when(F.col("n") > 0, F.round(F.col(c) / F.col("n"), 9)).otherwise(0.0)
-    return sums.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss")).withColumn("score", F.round(F.col("target_loss") - F.col("background_loss"), 8))
+    scored = dealt.repartition(parts, "p").mapInArrow(lambda it: _score(it, hot.value, size), _SCORED)
+    sums = scored.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_gather, "id long, n long, more double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
+    return sums.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), F.when(F.col("n") > 0, F.round(F.col("more") / F.col("n"), 5)).otherwise(0.0).alias("score"))
