@@ -6,7 +6,7 @@ the rows of one transaction.  Row flags are worked out once, before the exchange
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +74,12 @@ def _rows(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
     )
 
 
-_BY = Window.partitionBy("statement_id")
-_SO_FAR = _BY.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _by() -> WindowSpec:
+    return Window.partitionBy("statement_id")
+
+
+def _so_far() -> WindowSpec:
+    return _by().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _mark(facts: Column, bal_i: Column) -> Column:
@@ -85,7 +89,7 @@ def _mark(facts: Column, bal_i: Column) -> Column:
 
 def _opening() -> Column:
     """The first balance of an opening row, on every row of the statement."""
-    return F.min_by("bal", F.when(F.col("opens") & F.col("bal").isNotNull(), F.col("seq"))).over(_BY)
+    return F.min_by("bal", F.when(F.col("opens") & F.col("bal").isNotNull(), F.col("seq"))).over(_by())
 
 
 def _openings(rows: DataFrame) -> DataFrame:
@@ -120,21 +124,21 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
     ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank.
     """
     rows = _rows(cells, banks, around=False)
-    start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("alnum") & F.col("is_head"), F.col("seq"))).over(_BY))
+    start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("alnum") & F.col("is_head"), F.col("seq"))).over(_by()))
     rows = rows.withColumn("start", start).withColumn("live", F.col("alnum") & F.coalesce(F.col("seq") > F.col("start"), F.lit(False)))
     rows = rows.withColumn("foots", F.col("live") & F.col("is_footer")).withColumn("opens", F.col("live") & ~F.col("is_footer") & F.col("is_opening"))
     rows = rows.withColumn("fit", F.col("live") & ~F.col("is_footer") & ~F.col("is_opening") & ~F.col("is_noise") & ~F.col("is_head")).withColumn("txn", F.col("fit") & F.col("looks_txn"))
     rows = rows.withColumns(
         {
-            "colmap": F.first(F.when(F.col("seq") == F.col("start"), C.build_colmap(F.col("own"))), ignorenulls=True).over(_BY),
-            "in_footer": F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_SO_FAR), F.lit(False)),
-            "txn_id": F.sum(F.col("txn").cast("int")).over(_SO_FAR),
+            "colmap": F.first(F.when(F.col("seq") == F.col("start"), C.build_colmap(F.col("own"))), ignorenulls=True).over(_by()),
+            "in_footer": F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_so_far()), F.lit(False)),
+            "txn_id": F.sum(F.col("txn").cast("int")).over(_so_far()),
             "opening": _opening(),
             "table_txn": F.max("table_test").over(Window.partitionBy("statement_id", "page", "table_no")),
             "ref0": F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.col("find_ref_tokens"))),
         }
     )
-    rows = rows.withColumn("ref", F.last(F.when(F.col("txn"), F.col("ref0")), ignorenulls=True).over(_SO_FAR))
+    rows = rows.withColumn("ref", F.last(F.when(F.col("txn"), F.col("ref0")), ignorenulls=True).over(_so_far()))
     openings = _openings(rows)
     cont = F.col("fit") & ~F.col("txn") & ~F.col("in_footer") & (F.col("txn_id") > 0) & ~F.col("leading") & F.col("table_txn")
     used = rows.filter(F.col("txn") | cont).withColumn("mark", _mark(F.col("facts"), F.col("bal_i")))
@@ -195,16 +199,16 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
     rows = _rows(cells, banks, around=True)
     rows = rows.withColumn("foots", F.col("alnum") & F.col("is_footer")).withColumn("opens", F.col("alnum") & ~F.col("is_footer") & F.col("is_opening"))
     rows = rows.withColumn("fit", F.col("alnum") & ~F.col("is_footer") & ~F.col("is_opening") & ~F.col("is_noise"))
-    start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("fit") & F.col("is_head"), F.col("seq"))).over(_BY))
+    start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("fit") & F.col("is_head"), F.col("seq"))).over(_by()))
     rows = rows.withColumn("start", start)
     # the header row and the fitting rows that follow it, as many as the profile has header lines
     after = F.col("fit") & F.coalesce(F.col("seq") >= F.col("start"), F.lit(False)) & F.col("header_keywords").isNotNull()
-    rows = rows.withColumn("head_no", F.when(after, F.sum(after.cast("int")).over(_SO_FAR)))
+    rows = rows.withColumn("head_no", F.when(after, F.sum(after.cast("int")).over(_so_far())))
     heads = F.col("head_no") <= F.col("header_lines")
-    rows = rows.withColumn("header_words", F.flatten(F.collect_list(F.when(heads, C.words_of(F.col("low")))).over(_BY)))
+    rows = rows.withColumn("header_words", F.flatten(F.collect_list(F.when(heads, C.words_of(F.col("low")))).over(_by())))
     live = F.col("fit") & F.coalesce(F.col("seq") > F.col("start"), F.lit(False)) & ~F.coalesce(heads, F.lit(False)) & ~F.coalesce(C.is_header_echo(F.col("low"), F.col("header_words")), F.lit(False))
     rows = rows.withColumn("live", live).withColumn("txn", F.col("live") & F.col("looks_txn"))
-    rows = rows.withColumn("in_footer", F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_SO_FAR), F.lit(False))).withColumn("seen", F.sum(F.col("txn").cast("int")).over(_SO_FAR))
+    rows = rows.withColumn("in_footer", F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_so_far()), F.lit(False))).withColumn("seen", F.sum(F.col("txn").cast("int")).over(_so_far()))
     rows = rows.withColumn("ref", F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.lit(False))))
     rows = rows.withColumn("text", C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.when(F.col("txn"), F.col("ref")).otherwise(""), F.lit(False)))
     rows = rows.withColumn("opening", _opening())
@@ -244,14 +248,14 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
 
 def balance_direction(txns: DataFrame) -> DataFrame:
     """``txns`` with ascending: steps to a later date are at least as many as steps to an earlier one."""
-    before = F.lag("date").over(_BY.orderBy("seq"))
+    before = F.lag("date").over(_by().orderBy("seq"))
     steps = txns.withColumn("step", F.when(F.col("date") > before, 1).when(F.col("date") < before, -1).otherwise(0))
-    return steps.withColumn("ascending", F.sum("step").over(_BY) >= 0).drop("step")
+    return steps.withColumn("ascending", F.sum("step").over(_by()) >= 0).drop("step")
 
 
 def finalize(txns: DataFrame) -> DataFrame:
     """Debit, credit and type: marked amount, else balance difference in time direction, else columns."""
-    own = _BY.orderBy("seq")
+    own = _by().orderBy("seq")
     t = balance_direction(txns)
     first = F.row_number().over(own) == 1
     final = F.lead(F.lit(1)).over(own).isNull()
@@ -272,7 +276,7 @@ def drop_empty_financials(txns: DataFrame) -> DataFrame:
 
 def validate(txns: DataFrame, openings: DataFrame, statements: DataFrame) -> DataFrame:
     """One row per statement: counts, sums, continuity breaks and closing balance."""
-    own = _BY.orderBy("seq")
+    own = _by().orderBy("seq")
     t = balance_direction(txns.join(openings, "statement_id", "left"))
     first, final = F.row_number().over(own) == 1, F.lead(F.lit(1)).over(own).isNull()
     before = F.when(F.col("ascending"), F.when(first, F.col("opening")).otherwise(F.lag("balance").over(own))).otherwise(F.when(final, F.col("opening")).otherwise(F.lead("balance").over(own)))

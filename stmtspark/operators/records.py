@@ -6,13 +6,17 @@ statement_id, seq, rec (map of header to text), headers.  All steps group by sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stmtspark.functions import cells as C
 from stmtspark.functions import fixed
 
-_BY = Window.partitionBy("statement_id")
+
+def _by() -> WindowSpec:
+    return Window.partitionBy("statement_id")
+
+
 DEFAULT_HEADERS = ["Date", "Particulars", "Cheque No", "Debit", "Credit", "Balance", "Remarks"]
 
 
@@ -25,8 +29,8 @@ def classify_rows(rows: DataFrame, model) -> DataFrame:
 
 def rescue_header(rows: DataFrame) -> DataFrame:
     """In a statement without a header row, the first row that looks like one becomes header-kw."""
-    none = ~F.max(F.col("label") == "header").over(_BY)
-    first = F.min(F.when(C.looks_like_header(F.col("cells")), F.col("seq"))).over(_BY)
+    none = ~F.max(F.col("label") == "header").over(_by())
+    first = F.min(F.when(C.looks_like_header(F.col("cells")), F.col("seq"))).over(_by())
     return rows.withColumn("label", F.when(none & F.coalesce(F.col("seq") == first, F.lit(False)), "header-kw").otherwise(F.col("label")))
 
 
@@ -55,7 +59,7 @@ def resolve_headers(rows: DataFrame, alternative: DataFrame | None = None) -> Da
 
 def build_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """One record per entry row; its c-entry rows append their cells to the same columns."""
-    so_far = _BY.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = _by().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = rows.filter(F.col("label").isin("entry", "c-entry")).withColumn("record", F.sum((F.col("label") == "entry").cast("int")).over(so_far)).filter("record > 0")
     # null, blank and absent cells of a row are "" in an entry and nothing in a continuation
     wide = kept.join(headers, "statement_id").withColumn("cells", C.clean_entry_row(F.col("cells")))
@@ -165,9 +169,9 @@ def to_chronological(records: DataFrame) -> DataFrame:
 
 def _chronological(t: DataFrame) -> DataFrame:
     t = t.withColumn("day", F.when(F.col("hits") >= 2, C.row_date(F.element_at("rec", F.col("date_col")))))
-    before = F.last("day", ignorenulls=True).over(_BY.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("day", ignorenulls=True).over(_by().orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("step", F.when(F.col("day") > before, 1).when(F.col("day") < before, -1).otherwise(0))
-    t = t.withColumns({"down": F.sum("step").over(_BY) < 0, "n": F.max("seq").over(_BY), "least": F.min("seq").over(_BY)})
+    t = t.withColumns({"down": F.sum("step").over(_by()) < 0, "n": F.max("seq").over(_by()), "least": F.min("seq").over(_by())})
     return t.withColumn("seq", F.when(F.col("down"), F.col("n") + F.col("least") - F.col("seq")).otherwise(F.col("seq"))).drop("day", "step", "down", "n", "least")
 
 
