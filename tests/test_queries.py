@@ -16,7 +16,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     def text(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
 
     return sorted(tuple(map(text, row)) for row in df.itertuples(index=False, name=None))
 
