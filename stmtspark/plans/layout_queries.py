@@ -226,4 +226,8 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS val
     "f15_scanned": "SELECT 'S' || o_custkey AS statement_id, o_custkey % 200 < 100 AND coalesce(max(o_orderkey % 600) FILTER (o_orderkey % 2 = 1), 0) / 600 >= 0.5 AS scanned FROM orders GROUP BY o_custkey",
     "f17_routes": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'PASSWORD_REQUIRED' WHEN o_orderkey % 2 = 0 AND o_orderkey % 8 <> 0 THEN 'WRONG_PASSWORD' WHEN o_orderkey % 7 = 0 THEN 'SCANNED' WHEN o_orderkey % 11 = 0 THEN 'UNREADABLE'
  WHEN o_orderkey % 13 - 1 <= 0 THEN 'PAGE_LIMIT_REACHED' WHEN o_orderkey % 5 > o_orderkey % 13 - 1 THEN 'INSUFFICIENT_PAGES' WHEN o_orderkey % 3 = 0 THEN 'lattice' WHEN o_orderkey % 3 = 1 THEN 'stream' ELSE 'NO_TABLE' END AS status FROM orders""",
+    "t1_dedup_tables": f"""WITH {X.LEDGER}, p AS (SELECT *, o_custkey % 13 AS b, CASE WHEN newest_first THEN of_n - n ELSE n - 1 END AS place FROM ledger)
+ SELECT 'S' || o_custkey AS statement_id, 1 AS table_no, sum(1 + (b IN (6, 11))::INT + (o_orderkey % 3 = 0)::INT
+  + CASE WHEN place % 5 = 0 THEN CASE b WHEN 11 THEN 2 WHEN 7 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 0 WHEN 12 THEN 0 ELSE 1 END ELSE 0 END + (place = 0)::INT
+  + CASE WHEN (place % 5 = 4 AND b NOT IN (6, 7, 11)) OR place = of_n - 1 THEN 2 ELSE 0 END)::BIGINT AS rows FROM p GROUP BY o_custkey""",
 }
