@@ -6,8 +6,9 @@ and a counterfactual term: each labelled text that names an identity group is co
 identity term swapped for the next one of its family, and the squared change of the score between
 the two is penalised.  So a neutral mention of a group moves no score, whatever the labels suggest.
 
-Labels are learnt from at most ``max_rows`` labelled rows (the least hashes of doc_id), whose features
-are fitted in the driver; that bound is the same for every input.  Every text is scored, whole.
+Labels are learnt from at most ``max_rows`` labelled rows (the least hashes of doc_id); that bound is
+the same for every input.  Features that tell nothing are sifted out by a grouped sum, and the rest of
+those rows is fitted in the driver.  Every text is scored, whole.
 
 Nulls and empty texts have no features and get the score of the intercept.  Labels that are null or
 belong to no document are left out; of several labels of one document the highest counts.  With no
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stmtspark.llm.common import text_chunks
+from stmtspark.llm.common import cut, text_chunks
 
-DIMS = 1 << 22
+DIMS = 1 << 21
 PREFIXES = (3, 4, 5, 6)
 MAX_ROWS = 12_000
 LEAST_DF = 4
@@ -82,8 +83,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarr
         count[gained] += LEAST_DF
         count[lost] += LEAST_DF
     share = labels.mean()
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5  # half way to balanced classes
-    weight /= weight.mean()
+    low, high = class_weight(share)
+    weight = np.where(labels == 1, high, low)
     # features whose gradient without any weight is far below the L1 term stay at zero
     slope = np.zeros(DIMS)
     for r, e in zip(rows, weight * ((weight * labels).sum() / weight.sum() - labels) / n, strict=True):
@@ -183,10 +184,51 @@ def labelled_features(docs: DataFrame, labels: DataFrame, families: tuple[tuple[
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *[pa.array(x, pa.list_(pa.int32())) for x in out]], names=["doc_id", "toxic", "f", "gained", "lost"])
 
     # at most max_rows ids, so the broadcast has a fixed bound
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>").toArrow().sort_by("doc_id")
-    as_arrays = lambda name: [np.asarray(x.values, dtype=np.int32) for x in found[name]]
+    found = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>"))
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+    used = telling_features(found, total["n"], total["pos"])
+    kept = found.sparkSession.sparkContext.broadcast(used)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.array(x, dtype=np.int32) for x in batch.column("f").to_pylist()]
+            own = [x[np.isin(x, kept.value)] for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.int32())), batch.column("gained"), batch.column("lost")], names=batch.schema.names)
+
+    rows = found.mapInArrow(only, found.schema).toArrow().sort_by("doc_id")
+    as_arrays = lambda name: [np.asarray(x.values, dtype=np.int32) for x in rows[name]]
     gained, lost = as_arrays("gained"), as_arrays("lost")
-    return as_arrays("f"), found["toxic"].to_numpy().astype(np.float64), [(g, s) for g, s in zip(gained, lost, strict=True) if len(g) or len(s)]
+    return as_arrays("f"), rows["toxic"].to_numpy().astype(np.float64), [(g, s) for g, s in zip(gained, lost, strict=True) if len(g) or len(s)]
+
+
+def class_weight(share: float) -> tuple[float, float]:
+    """Weights of labels 0 and 1, half way to balanced classes, with a mean of 1."""
+    low, high = (0.5 / (1 - share)) ** 0.5, (0.5 / share) ** 0.5
+    mean = share * high + (1 - share) * low
+    return low / mean, high / mean
+
+
+def telling_features(found: DataFrame, n: int, positives: int, l1: float = L1) -> np.ndarray:
+    """Features in LEAST_DF texts or more whose gradient without any weight is not far below the L1 term.
+
+    Sums by feature are made in the tasks and by a grouped sum; only the features that pass come back.
+    """
+    if not n or positives in (0, n):
+        return np.zeros(0, dtype=np.int32)
+    low, high = class_weight(positives / n)
+    base = high * positives / n
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, toxic = batch.column("f"), batch.column("toxic").to_numpy()
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            error = np.repeat(np.where(toxic == 1, high * (base - 1), low * base) / n, sizes)
+            keys, at = np.unique(flat, return_inverse=True)
+            texts = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * DIMS + flat) % DIMS
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=error)), pa.array(np.bincount(np.searchsorted(keys, texts), minlength=len(keys)))], names=["k", "slope", "df"])
+
+    out = found.mapInArrow(sums, "k int, slope double, df long").groupBy("k").agg(F.sum("slope").alias("slope"), F.sum("df").alias("df"))
+    return np.sort(out.filter((F.abs("slope") >= l1 / 2) & (F.col("df") >= LEAST_DF)).select("k").toArrow()["k"].to_numpy())
 
 
 def train(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str, ...], ...] = IDENTITY, max_rows: int = MAX_ROWS) -> Scorer:
