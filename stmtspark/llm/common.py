@@ -6,7 +6,6 @@ the hash of five words in a row (of the whole sequence when a text has one to fo
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -85,21 +84,20 @@ def binary_array(parts: list[bytes | None]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found) if _settable(spark) else None
-        os.environ.setdefault("STMTSPARK_SHARED", found)
-        found = os.environ["STMTSPARK_SHARED"]
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        found = _local[app]
     return found.rstrip("/")
 
 
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
