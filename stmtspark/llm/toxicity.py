@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stmtspark.llm.common import cut, text_chunks
+from stmtspark.llm.common import cut, list_array, text_chunks
 
 DIMS = 1 << 21
 PREFIXES = (3, 4, 5, 6)
@@ -201,13 +201,16 @@ def labelled_features(docs: DataFrame, labels: DataFrame, families: tuple[tuple[
     found = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>"))
     total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     used = telling_features(found, total["n"], total["pos"])
-    kept = found.sparkSession.sparkContext.broadcast(used)
+    wanted = np.zeros(DIMS, dtype=bool)
+    wanted[used] = True
+    kept = found.sparkSession.sparkContext.broadcast(wanted)
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.array(x, dtype=np.int32) for x in batch.column("f").to_pylist()]
-            own = [x[np.isin(x, kept.value)] for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.int32())), batch.column("gained"), batch.column("lost")], names=batch.schema.names)
+            flat, sizes = batch.column("f").flatten().to_numpy(), batch.column("f").value_lengths().to_numpy()
+            keep = kept.value[flat]
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), list_array(flat[keep], left), batch.column("gained"), batch.column("lost")], names=batch.schema.names)
 
     rows = found.mapInArrow(only, found.schema).toArrow().sort_by("doc_id")
     as_arrays = lambda name: [np.asarray(x.values, dtype=np.int32) for x in rows[name]]
