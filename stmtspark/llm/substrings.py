@@ -6,13 +6,20 @@ minimum: a node is one compact window (left, centre, right), standing for every
 centre and stays inside.  Trees are cut level by level, for many documents at once, down to nodes of
 WIDTH tokens.
 
-Windows of all documents that share a hash function and minimum are brought together.  Each is
-joined with the first of its group, in document order, on the interval both windows cover around
-their centres; intervals of WIDTH tokens or more are candidates.  Within a task's batch the first of
-a group stands for the others before anything is shuffled, so a passage that a third of all documents
-hold sends one row from each batch.  Candidates of a pair of documents at one offset that at least
-AGREE hash functions found are verified on the tokens themselves: runs of tokens that the source has
-too, with gaps of at most GAP tokens, of 50 words or more and set similarity of 0.75 or more.
+Windows of all documents that share a hash function and minimum are brought together.
+
+1. Windows with the same tokens up to REACH places on both sides of the centre are copies there: the
+   first in document order stands for the others, already within a task's batch, so a passage that a
+   third of all documents hold sends one row from each batch.
+2. The windows that are left are joined with the first of their group, on the interval both cover
+   around their centres; at least AGREE hash functions must find such a pair of documents at one offset.
+3. Where a group still holds several documents, the tokens around the centres are fetched, and each
+   window is compared with all earlier ones of its group until one holds the same passage by them.
+   So what else shares the minimum (a common line, a fragment, a copy with more edits) hides nothing.
+
+Work in step 3 grows with the square of the unlike windows around one shingle.  Pairs are verified on
+the tokens themselves: runs of tokens that the source has too, with gaps of at most GAP tokens, of 50
+words or more and set similarity of 0.75 or more.
 
 The copy that comes first (least doc_id) is the source; ``remove_repeats`` cuts the later copies out.
 Only passages in different documents count.  A token that recurs within WIDTH places is used once.
@@ -40,6 +47,9 @@ HASHES, AGREE, GAP, LEAST = 6, 2, 10, 0.75
 _SIDE = (1 << 20) - 1
 _PLACE = (1 << 23) - 1
 _NONE = np.uint64(0xFFFFFFFF)
+#: Tokens on each side of a centre that tell copies; found in step 1 or 3, a pair needs no second hash function.
+REACH, SURE = WIDTH - 1, 3 << 6
+_FOLD = 0x9E3779B97F4A7C15
 
 
 def recent_repeats(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -76,28 +86,37 @@ def compact_windows(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
             a, b = cuts[:, [0, 2]].ravel(), cuts[:, [1, 3]].ravel()
 
 
-_ROW = "v long, doc long, packed long, src long, off long"
+_ROW = "v long, doc long, packed long, ctx long, src long, off long"
+_FOUND = "doc long, src long, off long, h long, a long, b long, v long"
+
+
+def range_hashes(tokens: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the tokens of each range [first, stop), the same wherever it stands."""
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(tokens), _FOLD, dtype=np.uint64))])
+    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(tokens), pow(_FOLD, -1, 1 << 64), dtype=np.uint64))])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens * power[:-1])])
+    return mix((sums[stop] - sums[first]) * back[first])
 
 
-def _link(v: np.ndarray, doc: np.ndarray, packed: np.ndarray, carry: tuple[int, int, int] | None) -> tuple[np.ndarray, ...]:
-    """For rows in (v, doc, packed) order: the first of each group, and candidates against it."""
-    n = len(v)
-    new = np.ones(n, dtype=bool)
-    new[1:] = v[1:] != v[:-1]
-    if carry is not None and n and v[0] == carry[0]:
-        v, doc, packed = np.append(carry[0], v), np.append(carry[1], doc), np.append(carry[2], packed)
-        new = np.append(True, new)
-        new[1] = False
-    first = np.flatnonzero(new)
-    lead = first[np.cumsum(new) - 1]
+def _copies(v: np.ndarray, doc: np.ndarray, packed: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, whether another document's row stands for it, and which row that is."""
+    order = np.lexsort((packed, doc, ctx, v))
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (v[order][1:] != v[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
+    lead = np.empty(len(v), dtype=np.int64)
+    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(v) else order
+    return doc != doc[lead], lead
+
+
+def _pairs(doc: np.ndarray, packed: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, src, off, a, b) of rows ``at`` and rows ``lead``, on the interval both cover."""
     place, left, right = packed >> 40, (packed >> 20) & _SIDE, packed & _SIDE
-    low, high = np.minimum(left, left[lead]), np.minimum(right, right[lead])
-    hit = (low + high + 1 >= WIDTH) & (doc != doc[lead])
-    return new, hit, doc[hit], (place[hit] << 40) | (low[hit] << 20) | high[hit], doc[lead][hit], (place[lead] - place)[hit]
+    low, high = np.minimum(left[at], left[lead]), np.minimum(right[at], right[lead])
+    return doc[at], doc[lead], place[lead] - place[at], place[at] - low, place[at] + high
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows, of each group in a batch the first only, and the candidates the others make with it."""
+    """Windows, of copies in a batch the first only, and the pairs that the others make with it."""
     for batch in batches:
         ids, texts = batch.column("id").to_numpy(), batch.column("text").to_pylist()
         for a, b in text_chunks(texts, 6_000_000):
@@ -117,42 +136,162 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.searchsorted(starts, centre, side="right") - 1
                 v = mix(tokens[centre] + np.uint64(h * 2 + 1)) & ~np.uint64(7) | np.uint64(h)
                 packed = (np.minimum(centre - starts[own], _PLACE) << 40) | (np.minimum(centre - left, _SIDE) << 20) | np.minimum(right - centre, _SIDE)
-                found.append((v.view(np.int64), doc_of[own], packed))
+                found.append((v.view(np.int64), doc_of[own], packed, centre))
             if not found:
                 continue
-            v, doc, packed = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((packed, doc, v))
-            v, doc, packed = v[order], doc[order], packed[order]
-            new, hit, cdoc, cpacked, csrc, coff = _link(v, doc, packed, None)
-            stay = new | ~hit
-            zero = np.zeros(stay.sum(), dtype=np.int64)
-            yield _rows(v[stay], doc[stay], packed[stay], zero - 1, zero)
-            if len(cdoc):
+            v, doc, packed, centre = (np.concatenate(x) for x in zip(*found, strict=True))
+            low, high = np.minimum((packed >> 20) & _SIDE, REACH), np.minimum(packed & _SIDE, REACH)
+            ctx = mix(range_hashes(tokens, centre - low, centre + high + 1) + (low * 64 + high).astype(np.uint64)).view(np.int64)
+            copy, lead = _copies(v, doc, packed, ctx)
+            stay, zero = ~copy, np.zeros(len(v) - int(copy.sum()), dtype=np.int64)
+            yield _rows(v[stay], doc[stay], packed[stay], ctx[stay], zero - 1, zero)
+            if copy.any():
+                cdoc, csrc, coff, first, last = _pairs(doc, packed, np.flatnonzero(copy), lead[copy])
                 spread = mix(cdoc.view(np.uint64) * np.uint64(3) + csrc.view(np.uint64)).view(np.int64)
-                yield _rows((spread & ~np.int64(7)) | (v[hit] & 7), cdoc, cpacked, csrc, coff)
+                yield _rows(spread, cdoc, first, last, csrc, coff)
 
 
-def _rows(v, doc, packed, src, off) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (v, doc, packed, src, off)], names=["v", "doc", "packed", "src", "off"])
+def _rows(v, doc, packed, ctx, src, off) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (v, doc, packed, ctx, src, off)], names=["v", "doc", "packed", "ctx", "src", "off"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows of a partition to candidates; a group may span batches."""
-    carry = None
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by v, so that no group of one v is split."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        v, doc, packed, src, off = (batch.column(x).to_numpy() for x in ("v", "doc", "packed", "src", "off"))
+        if not batch.num_rows:
+            continue
+        v = batch.column("v").to_numpy()
+        start = int(np.searchsorted(v, v[-1]))
+        if held and (start or held[-1].column("v")[-1].as_py() != v[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        elif start:
+            yield pa.Table.from_batches([batch.slice(0, start)])
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows of a partition to pairs, and (src -1) the windows of groups that hold several documents yet."""
+    for table in _whole_groups(batches):
+        v, doc, packed, ctx, src, off = (table.column(x).to_numpy() for x in ("v", "doc", "packed", "ctx", "src", "off"))
         done = src >= 0
-        parts = [(v[done] & 7, doc[done], packed[done], src[done], off[done])]
-        v, doc, packed = v[~done], doc[~done], packed[~done]
-        if len(v):
-            _, hit, cdoc, cpacked, csrc, coff = _link(v, doc, packed, carry)
-            own = np.append(carry[0], v) if len(hit) > len(v) else v
-            parts.append((own[hit] & 7, cdoc, cpacked, csrc, coff))
-            start = int(np.searchsorted(v, v[-1])) if carry is None or carry[0] != v[-1] else -1
-            carry = carry if start < 0 else (int(v[start]), int(doc[start]), int(packed[start]))
-        h, doc, packed, src, off = (np.concatenate(x) for x in zip(*parts, strict=True))
-        place = packed >> 40
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, src, off, np.int64(1) << h, place - ((packed >> 20) & _SIDE), place + (packed & _SIDE))], names=["doc", "src", "off", "h", "a", "b"])
+        if done.any():
+            yield _found(doc[done], src[done], off[done], np.full(done.sum(), SURE), packed[done], ctx[done], v[done])
+        v, doc, packed, ctx = v[~done], doc[~done], packed[~done], ctx[~done]
+        copy, lead = _copies(v, doc, packed, ctx)
+        if copy.any():
+            cdoc, csrc, coff, first, last = _pairs(doc, packed, np.flatnonzero(copy), lead[copy])
+            yield _found(cdoc, csrc, coff, np.full(len(cdoc), SURE), first, last, v[copy])
+        v, doc, packed = v[~copy], doc[~copy], packed[~copy]
+        if not len(v):
+            continue
+        new = np.append(True, v[1:] != v[:-1])
+        group = np.cumsum(new) - 1
+        lead = np.flatnonzero(new)[group]
+        cdoc, csrc, coff, first, last = _pairs(doc, packed, np.arange(len(v)), lead)
+        hit = (last - first + 1 >= WIDTH) & (cdoc != csrc)
+        yield _found(cdoc[hit], csrc[hit], coff[hit], np.int64(1) << (v[hit] & 7), first[hit], last[hit], v[hit])
+        mixed = np.bincount(group, doc != doc[lead])[group] > 0
+        place = packed[mixed] >> 40
+        zero = np.zeros(len(place), dtype=np.int64)
+        yield _found(doc[mixed], zero - 1, place, zero, place - ((packed[mixed] >> 20) & _SIDE), place + (packed[mixed] & _SIDE), v[mixed])
+
+
+def _found(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["doc", "src", "off", "h", "a", "b", "v"])
+
+
+_AROUND = "v long, doc long, place long, a long, b long, near binary"
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of documents with the 16-bit tokens up to REACH places around their centres."""
+    for batch in batches:
+        rows: list[list] = []
+        for doc, asked, tokens in zip(batch.column("doc").to_pylist(), batch.column("asked"), batch.column("tokens").to_pylist(), strict=True):
+            asked = asked.values
+            v, place, a, b = (asked.field(x).to_numpy() for x in ("v", "place", "a", "b"))
+            for k, p, i, j in zip(v.tolist(), place.tolist(), a.tolist(), b.tolist(), strict=True):
+                rows.append([k, doc, p, i, j, tokens[2 * max(i, p - REACH) : 2 * (min(j, p + REACH) + 1)]])
+                if len(rows) == 20_000:
+                    yield _near_rows(rows)
+                    rows = []
+        if rows:
+            yield _near_rows(rows)
+
+
+def _near_rows(rows: list[list]) -> pa.RecordBatch:
+    *numbers, near = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in numbers], pa.array(near, pa.binary())], names=["v", "doc", "place", "a", "b", "near"])
+
+
+def longest_span(hits: np.ndarray) -> np.ndarray:
+    """Of each row, the places from first to last of the longest run of hits with gaps of at most GAP."""
+    best, start, last = (np.full(len(hits), x) for x in (0, 0, -2 * GAP - 2))
+    for k in range(hits.shape[1]):
+        here = hits[:, k]
+        start = np.where(here & (k - last > GAP + 1), k, start)
+        last = np.where(here, k, last)
+        best = np.where(here, np.maximum(best, k - start + 1), best)
+    return best
+
+
+def first_alike(doc: np.ndarray, low: np.ndarray, high: np.ndarray, near: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(row, earlier row): the first row of another, earlier document that holds the same passage around the centre.
+
+    Rows are in document order.  Cheap bounds on shared tokens go before the comparison by ``matching_runs``.
+    """
+    n, size = len(doc), 2 * REACH + 1
+    full, there = np.zeros((n, size), dtype=np.uint16), np.zeros((n, size), dtype=bool)
+    for k, (x, i) in enumerate(zip(near, low.tolist(), strict=True)):
+        full[k, REACH - i : REACH - i + len(x)], there[k, REACH - i : REACH - i + len(x)] = x, True
+    bits = np.zeros((n, 1024), dtype=np.uint8)
+    bits[np.nonzero(there)[0], full[there] & 1023] = 1
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    spare = there.sum(axis=1) - np.bitwise_count(bits).sum(axis=1)  # tokens that share a bit with others
+    mark, before = np.zeros(1 << 16, dtype=bool), np.searchsorted(doc, doc)
+    for k in range(1, n):
+        m = before[k]
+        wide = np.minimum(low[:m], low[k]) + np.minimum(high[:m], high[k]) + 1 >= WIDTH
+        able = np.flatnonzero(wide & (np.bitwise_count(bits[:m] & bits[k]).sum(axis=1) + np.maximum(spare[:m], spare[k]) >= 30))
+        for part in (able[i : i + 4096] for i in range(0, len(able), 4096)):
+            if len(part) > 4:
+                mark[near[k]] = True
+                part = part[longest_span(mark[full[part]] & there[part]) >= WIDTH - GAP]
+                mark[near[k]] = False
+            hit = next((i for i in part.tolist() if _alike(full, low, high, k, i)), -1)
+            if hit >= 0:
+                yield k, hit
+                break
+
+
+def _alike(full: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, i: int) -> bool:
+    a, b = REACH - min(low[k], low[i]), REACH + min(high[k], high[i]) + 1
+    return bool(matching_runs(full[k, a:b], full[i, a:b]))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows with their surroundings to pairs."""
+    for table in _whole_groups(batches):
+        v, doc, place, a, b = (table.column(x).to_numpy() for x in ("v", "doc", "place", "a", "b"))
+        near = [np.frombuffer(x, dtype=np.uint16) for x in table.column("near").to_pylist()]
+        low, high = np.minimum(place - a, REACH), np.minimum(b - place, REACH)
+        ends = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
+        found = [(i + k, i + e) for i, j in zip(ends, ends[1:]) for k, e in first_alike(doc[i:j], low[i:j], high[i:j], near[i:j])]
+        if found:
+            at, lead = np.array(found).T
+            first, last = place - a, b - place
+            yield _found(doc[at], doc[lead], place[lead] - place[at], np.full(len(at), SURE), place[at] - np.minimum(first[at], first[lead]), place[at] + np.minimum(last[at], last[lead]), v[at])
+
+
+def _short_tokens(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """16-bit tokens of the documents that an id filter passes."""
+    for batch in _slices(batches, bits):
+        tokens = [(np.frombuffer(x, dtype=np.uint32) >> 16).astype(np.uint16).tobytes() for x in batch.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -208,10 +347,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, first_word, src_doc_id, src_first_word, n_words, similarity) of later copies of passages."""
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    # a hash spread over partitions; rows that are candidates already are spread by pair
+    # a hash spread over partitions; rows that are pairs already are spread by pair
     rows = src.filter("text IS NOT NULL").mapInArrow(_windows, _ROW)
     sorted_rows = rows.repartition("v").sortWithinPartitions("v", "doc", "packed")
-    found = sorted_rows.mapInArrow(_candidates, "doc long, src long, off long, h long, a long, b long")
+    made = cut(sorted_rows.mapInArrow(_candidates, _FOUND))
+    mixed = made.filter("src < 0").select("v", "doc", F.col("off").alias("place"), "a", "b")
+    asking = spark.sparkContext.broadcast(id_filter(mixed, "doc"))
+    short = src.withColumn("slot", filter_slot("id")).mapInArrow(lambda it: _short_tokens(it, asking.value), "id long, tokens binary")
+    by_doc = mixed.groupBy("doc").agg(F.collect_list(F.struct("v", "place", "a", "b")).alias("asked"))
+    around = by_doc.join(short, F.col("doc") == F.col("id")).select("doc", "asked", "tokens").mapInArrow(_around, _AROUND)
+    compared = around.repartition("v").sortWithinPartitions("v", "doc", "place").mapInArrow(_compared, _FOUND)
+    found = made.filter("src >= 0").union(compared)
     # the source is the lesser doc_id; repeated rows of one document are no repeat
     found = found.select(
         F.greatest("doc", "src").alias("doc"),

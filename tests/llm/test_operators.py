@@ -244,6 +244,29 @@ def test_repeated_passages(spark):
     assert substrings.without_words("a  b c\nd", [(1, 2)]) == "a  d"
 
 
+def test_repeated_passages_behind_earlier_partial_copies(spark):
+    """Earlier documents that hold a part, a common line or an edited form hide no later copy: all pairs by brute force."""
+    rng = random.Random(77)
+    texts, line = [], prose(rng, 30)
+    for _ in range(6):
+        whole = prose(rng, 80)
+        edited = [w if i % 9 else "other" for i, w in enumerate(whole)]
+        parts = [whole[20:60], whole[:45], whole[35:], edited, whole[10:55]]
+        texts += [prose(rng, 40) + p + prose(rng, 40) for p in [*parts, whole, whole]]
+    for _ in range(3):
+        tail = prose(rng, 60)
+        texts += [prose(rng, 30) + line + prose(rng, 50), prose(rng, 25) + line + tail, prose(rng, 35) + line + tail]
+    texts = [" ".join(t) for t in texts]
+    runs = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in map(str.split, texts)]
+    want = {i for i in range(len(texts)) if any(runs[i] & runs[k] for k in range(i))}
+    rows = substrings.repeated_passages(docs(spark, texts)).collect()
+    assert want and want <= {r["doc_id"] for r in rows}
+    for r in rows:
+        x = texts[r["doc_id"]].split()[r["first_word"] :][: r["n_words"]]
+        y = set(texts[r["src_doc_id"]].split())
+        assert sum(w in y for w in x) >= 0.75 * len(x) and r["src_doc_id"] < r["doc_id"] and len(x) >= 50
+
+
 # --- 7: lists ---------------------------------------------------------------------------------
 
 
