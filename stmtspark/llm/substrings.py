@@ -17,7 +17,8 @@ Windows of all documents that share a hash function and minimum are brought toge
    window is compared with all earlier ones of its group until one holds the same passage by them.
    So what else shares the minimum (a common line, a fragment, a copy with more edits) hides nothing.
 
-Work in step 3 grows with the square of the unlike windows around one shingle.  Pairs are verified on
+In a group of over 64 windows only those are compared that share neighbouring tokens beside the
+group's common ones; work in step 3 still grows with the square of like windows.  Pairs are verified on
 the tokens themselves: runs of tokens that the source has too, with gaps of at most GAP tokens, of 50
 words or more and set similarity of 0.75 or more.
 
@@ -31,7 +32,7 @@ one document.  Other columns pass through ``remove_repeats``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -253,24 +254,63 @@ def first_alike(doc: np.ndarray, low: np.ndarray, high: np.ndarray, near: list[n
     bits = np.packbits(bits, axis=1).view(np.uint64)
     spare = there.sum(axis=1) - np.bitwise_count(bits).sum(axis=1)  # tokens that share a bit with others
     mark, before = np.zeros(1 << 16, dtype=bool), np.searchsorted(doc, doc)
+    sharing = _sharing(full, there) if n > 64 else None
     for k in range(1, n):
-        m = before[k]
-        wide = np.minimum(low[:m], low[k]) + np.minimum(high[:m], high[k]) + 1 >= WIDTH
-        able = np.flatnonzero(wide & (np.bitwise_count(bits[:m] & bits[k]).sum(axis=1) + np.maximum(spare[:m], spare[k]) >= 30))
-        for part in (able[i : i + 4096] for i in range(0, len(able), 4096)):
-            if len(part) > 4:
-                mark[near[k]] = True
-                part = part[longest_span(mark[full[part]] & there[part]) >= WIDTH - GAP]
-                mark[near[k]] = False
+        able = np.arange(before[k]) if sharing is None else sharing(k, before[k])
+        able = able[np.minimum(low[able], low[k]) + np.minimum(high[able], high[k]) + 1 >= WIDTH]
+        able = able[np.bitwise_count(bits[able] & bits[k]).sum(axis=1) + np.maximum(spare[able], spare[k]) >= 30]
+        mark[near[k]] = True
+        for part in (able[i : i + 256] for i in range(0, len(able), 256)):
+            shared = mark[full[part]] & there[part]
+            few = shared.sum(axis=1) + np.maximum(spare[part], spare[k]) >= 30
+            part, shared = part[few], shared[few]
+            if len(part) > 16:
+                part = part[longest_span(shared) >= WIDTH - GAP]
             hit = next((i for i in part.tolist() if _alike(full, low, high, k, i)), -1)
             if hit >= 0:
                 yield k, hit
                 break
+        mark[near[k]] = False
+
+
+def _sharing(full: np.ndarray, there: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    """Of a large group, the rows before another that share more with row k than the group's common tokens.
+
+    Common tokens alone make a passage only between rows in which they span one; others share two
+    neighbouring tokens that are not both common.
+    """
+    n = len(full)
+    row, col = np.nonzero(there)
+    held = np.bincount(np.unique(row * (1 << 16) + full[row, col]) & 0xFFFF, minlength=1 << 16)
+    common = held > n / 8
+    rich = longest_span(common[full] & there) >= WIDTH - GAP
+    many = np.flatnonzero(rich)
+    row, col = np.nonzero(there[:, :-1] & there[:, 1:] & ~(common[full[:, :-1]] & common[full[:, 1:]]))
+    keys = full[row, col].astype(np.int64) << 16 | full[row, col + 1]
+    order = np.lexsort((row, keys))
+    keys, rows = keys[order], row[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(keys) else keys
+    places = np.argsort(rows, kind="stable")
+    ends = np.searchsorted(rows[places], np.arange(n + 1))
+
+    def before(k: int, stop: int) -> np.ndarray:
+        own = places[ends[k] : ends[k + 1]]
+        own = own[begin[own] < own]
+        parts = [rows[i:j] for i, j in zip(begin[own].tolist(), own.tolist(), strict=True)]
+        found = np.unique(np.concatenate([*parts, many[: np.searchsorted(many, stop)]] if rich[k] else [*parts, many[:0]]))
+        return found[: np.searchsorted(found, stop)]
+
+    return before
 
 
 def _alike(full: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, i: int) -> bool:
     a, b = REACH - min(low[k], low[i]), REACH + min(high[k], high[i]) + 1
-    return bool(matching_runs(full[k, a:b], full[i, a:b]))
+    x, y = full[k, a:b], full[i, a:b]
+    unlike = np.flatnonzero(x != y)
+    if not len(unlike) or max(unlike[0], len(x) - 1 - unlike[-1], np.diff(unlike).max(initial=1) - 1) >= WIDTH:
+        return True
+    return bool(matching_runs(x, y))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
