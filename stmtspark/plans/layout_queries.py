@@ -62,7 +62,7 @@ def c18_undecodable(spark: SparkSession, d: str) -> DataFrame:
 
 def f4_banks(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda k: F.get(F.array(*[F.lit(n[k % len(n)].upper()) for _, n in fixed.SIGNATURES]), (F.col("doc_id") % 12).cast("int"))
-    body = F.concat(F.regexp_replace(F.substring("text", 1, 500), "(?i)[kvcu]", ""), F.lit(" "), pick(0), F.lit(" then "), F.lit("kotak"))
+    body = F.concat(pick(0), F.lit(" then kotak "), "text")  # the planted name stands before the whole text
     code = F.concat(F.lit("NEFT CR-KKBK0000958 RTGS/NEFT IFSC :\n"), F.when(F.col("doc_id") % 2 == 0, "HDFC0009357").otherwise("ZZZZ0009357"))
     return table(spark, d, "documents").select("doc_id", routing.detect_bank(body).alias("by_text"), routing.detect_bank_by_labeled_ifsc(code).alias("by_code"))
 

@@ -47,3 +47,13 @@ def test_empty_inputs(spark):
     assert routing.keep_transaction_tables(cells).count() == 0 and routing.dedup_tables(cells).count() == 0
     assert routing.page_has_grid(spark.createDataFrame([], SEGMENT)).count() == 0
     assert routing.interval_union_length(spark.createDataFrame([(1, 0.0, 2.0), (1, 1.0, 5.0), (1, 7.0, 8.0)], "k int, lo double, hi double"), ["k"]).select(F.col("covered")).first()[0] == 6.0
+
+
+def test_detect_bank_query_passes_whole_texts(spark, monkeypatch):
+    from stmtspark.plans import layout_queries
+
+    monkeypatch.setattr(layout_queries.routing, "detect_bank", lambda body: body)
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = layout_queries.f4_banks(spark, d).collect()
+    assert len(rows) == len(texts) and all(r["by_text"].endswith(" then kotak " + texts[r["doc_id"]]) for r in rows)
