@@ -2,14 +2,20 @@
 
 A task splits its texts into pre-tokens and gives each distinct piece it has not met yet to DuckDB
 as token-position rows.  A recursive query joins neighbouring rows with the merge table, contracts
-the leftmost pair of minimum rank of every piece, and repeats until no piece has a pair left.  An
-ordered aggregation over the rows joined with the vocabulary turns ids back into bytes.
+the leftmost pair of minimum rank of every piece, and repeats until no piece has a pair left.
+Decoding is another query over the ids that were put together for each document: the rows of its ids
+join the vocabulary, and an ordered aggregation makes their bytes.
+
+A recursive query keeps the rows of all its steps, so pieces go to it in groups of QUERY_ROWS rows
+times steps.  A piece that is longer than LONG_PIECE bytes is contracted by a second recursive query
+of a bounded number of steps, run again until the piece is done.  A step of it contracts the
+occurrences of the minimum-rank pair from the left up to the first one whose merged token makes a pair
+of lesser rank with its neighbours; that is the same as one after the other.
 
 Nulls and empty texts give no ids and empty bytes.  Rows are independent of each other, so ties and
-repeated rows need no rule; an empty table gives an empty table.  Other columns pass through, except
-that existing columns named ``ids`` and ``decoded`` are replaced.  A piece of more than
-``LONG_PIECE`` bytes is contracted with a heap, in the same order, because the recursive query keeps
-every step of a piece.
+repeated rows need no rule; an empty table gives an empty table.  Very long texts are split and
+decoded in parts of a bounded size.  Other columns pass through, except that existing columns named
+``ids`` and ``decoded`` are replaced.  An id that is not in the vocabulary is an error.
 """
 
 from __future__ import annotations
@@ -25,33 +31,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from stmtspark.llm.common import list_array, text_chunks
-from stmtspark.llm.merging import contract
 
-LONG_PIECE = 512
+#: Bytes up to which pieces are contracted together, one pair of each in a step.
+LONG_PIECE = 64
 #: Position rows times steps that one recursive query may hold.
-QUERY_ROWS = 6_000_000
-#: Entries in each of a worker's three caches: two generations of pieces, and parts of texts.
-CACHE = 200_000
+QUERY_ROWS = 4_000_000
+#: Pieces in each of a worker's two generations of remembered pieces.
+CACHE = 120_000
+#: Characters that are split into pieces at once, and ids that one row of the decoding query holds.
+SPLIT_CHARS, DECODE_IDS = 1_000_000, 65_536
+#: A position row's place is w << SHIFT | pos.
+SHIFT = 40
+_MASK = (1 << SHIFT) - 1
+
+CONTRACT = f"""
+WITH RECURSIVE state AS (
+  SELECT g, tok, false AS done FROM start
+  UNION ALL
+  (WITH ranked AS MATERIALIZED (
+     SELECT g, tok, ng, rank FROM
+       (SELECT g, tok, lead(g) OVER win AS ng, (tok::BIGINT << 20) | lead(tok) OVER win AS k
+        FROM state WHERE NOT done WINDOW win AS (ORDER BY g))
+       LEFT JOIN merges USING (k)),
+   best AS (SELECT g >> {SHIFT} AS w, min((rank::BIGINT << {SHIFT}) | (g & {_MASK})) AS b, arg_min(ng, (rank::BIGINT << {SHIFT}) | (g & {_MASK})) AS gone
+            FROM ranked WHERE rank IS NOT NULL AND ng >> {SHIFT} = g >> {SHIFT} GROUP BY 1)
+   SELECT g, CASE WHEN g & {_MASK} = b & {_MASK} THEN (b >> {SHIFT})::INT ELSE tok END, b IS NULL
+   FROM ranked LEFT JOIN best ON g >> {SHIFT} = w WHERE b IS NULL OR g <> gone)
+)
+SELECT g, tok, done FROM state WHERE done ORDER BY g
+"""
 
-CONTRACT = """
+CONTRACT_LONG = """
 WITH RECURSIVE state AS (
-  SELECT w, pos, tok, false AS done FROM start
+  SELECT g, tok, false AS done, 0 AS step FROM start
   UNION ALL
   (WITH ranked AS MATERIALIZED (
-     SELECT w, pos, tok, npos, rank FROM
-       (SELECT w, pos, tok, lead(pos) OVER win AS npos, (tok::BIGINT << 20) | lead(tok) OVER win AS k
-        FROM state WHERE NOT done WINDOW win AS (PARTITION BY w ORDER BY pos))
+     SELECT g, tok, step, ng, rank, before, after FROM
+       (SELECT g, tok, step, lead(g) OVER win AS ng, lag(tok) OVER win AS before, lead(tok, 2) OVER win AS after, (tok::BIGINT << 20) | lead(tok) OVER win AS k
+        FROM state WHERE NOT done AND step < $steps WINDOW win AS (ORDER BY g))
        LEFT JOIN merges USING (k)),
-   best AS (SELECT w, min((rank::BIGINT << 40) | (pos::BIGINT << 20) | npos) AS b
-            FROM ranked WHERE rank IS NOT NULL GROUP BY w)
-   SELECT w, pos, CASE WHEN pos = (b >> 20) & 1048575 THEN (b >> 40)::INT ELSE tok END, b IS NULL
-   FROM ranked LEFT JOIN best USING (w) WHERE b IS NULL OR pos <> b & 1048575)
+   best AS MATERIALIZED (SELECT min(rank)::BIGINT AS b FROM ranked),
+   hits AS (SELECT g, ng, before, after, b, lag(ng) OVER (ORDER BY g) AS last FROM ranked JOIN best ON rank = b),
+   chains AS (SELECT *, sum(CASE WHEN last = g THEN 0 ELSE 1 END) OVER (ORDER BY g) AS chain FROM hits),
+   apart AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY g) AS nth FROM chains) WHERE nth % 2 = 1),
+   loud AS (SELECT min(g) AS g FROM apart LEFT JOIN merges x ON x.k = (before::BIGINT << 20) | b LEFT JOIN merges y ON y.k = (b << 20) | after
+            LEFT JOIN merges z ON z.k = (b << 20) | b WHERE x.rank < b OR y.rank < b OR z.rank < b),
+   chosen AS MATERIALIZED (SELECT apart.g AS at, ng AS gone FROM apart, loud WHERE apart.g <= coalesce(loud.g, apart.g))
+   SELECT g, CASE WHEN c.at IS NULL THEN tok ELSE rank END, (SELECT b IS NULL FROM best), step + 1
+   FROM ranked LEFT JOIN chosen c ON g = c.at ANTI JOIN chosen d ON g = d.gone)
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY w ORDER BY w
+SELECT g, tok, done FROM state WHERE done OR step = $steps ORDER BY g
 """
 
-DECODE = """
-SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY w ORDER BY w
+DECODE = f"""
+SELECT g >> {SHIFT} AS w, string_agg(hex, '' ORDER BY g) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY 1 ORDER BY 1
 """
 
 
@@ -60,6 +93,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """w << SHIFT | pos of runs of the given lengths."""
+    starts = np.cumsum(lengths) - lengths
+    return (np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) << SHIFT) | (np.arange(lengths.sum()) - np.repeat(starts, lengths))
+
+
+#: A single space between two other characters always starts a match of the pattern.
+_SAFE = re.compile(r"\S \S").search
+
+
+def segments(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
+    """The text in parts of about ``size`` characters that no match of the pattern spans."""
+    at = 0
+    while len(text) - at > size and (m := _SAFE(text, at + size)) is not None:
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:]
+
+
 class PieceCoder:
     """Encodes and decodes pre-tokens, one per Python worker and rank file."""
 
@@ -70,21 +122,22 @@ class PieceCoder:
         import regex
 
         self.ranks = load_ranks(path)
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.byte_rank = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.pairs = {(self.ranks[t[:i]], self.ranks[t[i:]]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": False})
-        merges = pa.table({"k": pa.array([(a << 20) | b for a, b in self.pairs], pa.int64()), "rank": pa.array(self.pairs.values(), pa.int32())})
-        vocabulary = pa.table({"tok": pa.array(self.bytes_of.keys(), pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]})
+        parts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        left, right, rank = np.array(parts, dtype=np.int64).T if parts else np.zeros((3, 0), dtype=np.int64)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "preserve_insertion_order": False})
+        merges = pa.table({"k": (left << 20) | right, "rank": rank.astype(np.int32)})
+        vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-        self.ids_of: dict[str, bytes] = {}
-        self.back_of: dict[str, bytes] = {}
+        self.known = np.zeros(1 + max(self.ranks.values(), default=0), dtype=bool)
+        self.known[list(self.ranks.values())] = True
+        self.whole = {p: np.int32(r).tobytes() for p, r in self.ranks.items()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> PieceCoder:
@@ -92,30 +145,36 @@ class PieceCoder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def _contract(self, pieces: list[bytes]) -> list[list[int]]:
-        lengths = np.array([len(p) for p in pieces])
-        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        table = pa.table({
-            "w": pa.array(np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)),
-            "pos": pa.array((np.arange(len(flat)) - np.repeat(starts, lengths)).astype(np.int32)),
-            "tok": pa.array(self.byte_rank[flat]),
-        })
-        self.db.register("start", table)
-        out = self.db.sql(CONTRACT).to_arrow_table()
-        self.db.unregister("start")
-        return out["ids"].to_pylist()
-
-    def _contract_long(self, piece: bytes) -> list[int]:
-        """The same contraction order with a heap of (rank, position)."""
-        pair = lambda a, b: None if (r := self.pairs.get((a, b))) is None else (r, r)
-        return contract(self.byte_rank[np.frombuffer(piece, dtype=np.uint8)].tolist(), pair)
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else self._contract_long(p) if len(p) > LONG_PIECE else None for p in pieces]
+    def _query(self, name: str, g: np.ndarray, tok: np.ndarray, sql: str, **given: int) -> pa.Table:
+        self.db.register(name, pa.table({"g": g, "tok": tok}))
+        try:
+            return self.db.sql(sql, params=given or None).to_arrow_table()
+        finally:
+            self.db.unregister(name)
+
+    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of short pieces."""
+        out = self._query("start", _places(np.array([len(p) for p in pieces])), self.byte_rank[np.frombuffer(b"".join(pieces), dtype=np.uint8)], CONTRACT)
+        return _unpacked(out["g"].to_numpy(), out["tok"].to_numpy(), len(pieces))
+
+    def _contract_long(self, piece: bytes) -> bytes:
+        """Packed ids of a piece of any length, in rounds of bounded rows."""
+        tok = self.byte_rank[np.frombuffer(piece, dtype=np.uint8)]
+        while True:
+            out = self._query("start", np.arange(len(tok)), tok, CONTRACT_LONG, steps=max(1, QUERY_ROWS // len(tok)))
+            tok = out["tok"].to_numpy()
+            if out["done"][0].as_py():
+                return tok.astype(np.int32).tobytes()
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece; a piece that is in the vocabulary is that token."""
+        out = list(map(self.whole.get, pieces))
         rest = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(pieces[i]))
         group, rows = [], 0
         for i in rest:
+            if len(pieces[i]) > LONG_PIECE:
+                out[i] = self._contract_long(pieces[i])
+                continue
             group.append(i)
             rows += len(pieces[i]) ** 2
             if rows > QUERY_ROWS:
@@ -127,81 +186,68 @@ class PieceCoder:
                 out[k] = ids
         return out
 
-    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each id sequence; an id outside the vocabulary is an error."""
-        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
-        out = [b""] * len(sequences)
-        if not lengths.sum():
-            return out
-        flat = np.concatenate([np.asarray(s, dtype=np.int32) for s in sequences])
-        if len(flat) and (flat.min() < 0 or not np.isin(np.unique(flat), np.fromiter(self.bytes_of, dtype=np.int32)).all()):
+    def decode(self, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Bytes of each run of ids; an id outside the vocabulary is an error."""
+        if not len(flat):
+            return [b""] * len(lengths)
+        if flat.min() < 0 or flat.max() >= len(self.known) or not self.known[flat].all():
             raise ValueError("an id is not in the vocabulary")
-        starts = np.cumsum(lengths) - lengths
-        self.db.register("ids", pa.table({"w": np.repeat(np.arange(len(sequences)), lengths), "pos": np.arange(len(flat)) - np.repeat(starts, lengths), "tok": flat}))
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        for w, h in zip(found["w"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[w] = bytes.fromhex(h)
-        return out
+        # runs are cut into parts, so that no row of the result is unbounded
+        parts = np.maximum(1, -(-lengths // DECODE_IDS))
+        last = np.cumsum(parts)
+        sizes = np.full(last[-1], DECODE_IDS)
+        sizes[last - 1] = lengths - (parts - 1) * DECODE_IDS
+        back = [b""] * len(sizes)
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < len(sizes):  # about eight parts' rows in one query
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 8 * DECODE_IDS, side="right")))
+            begin = int(ends[a] - sizes[a])
+            found = self._query("ids", _places(sizes[a:b]), flat[begin : ends[b - 1]], DECODE)
+            for w, h in zip(found["w"].to_pylist(), found["hex"].to_pylist(), strict=True):
+                back[a + w] = bytes.fromhex(h)
+            a = b
+        return [back[i] if k == 1 else b"".join(back[i : i + k]) for i, k in zip((last - parts).tolist(), parts.tolist(), strict=True)]
 
     def learn(self, pieces: set[str]) -> None:
-        """Put (packed ids, decoded bytes) of the pieces into the cache."""
+        """Put the packed ids of the pieces into the young generation."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        new = []
-        for p in pieces:
-            if p not in self.young:
-                if (known := self.old.get(p)) is None:
-                    new.append(p)
-                else:
-                    self.young[p] = known
-        if not new:
-            return
-        ids = [np.array(x, dtype=np.int32) for x in self.encode([p.encode("utf-8", "replace") for p in new])]
-        for p, x, back in zip(new, ids, self.decode(ids), strict=True):
-            self.young[p] = (x.tobytes(), back)
-
-    def split(self, text: str) -> list[str]:
-        """The text in parts that no match of the pattern spans.
-
-        A single space between two other characters always starts a match, so each part has its own
-        matches.  A text where white space touches a space is one list of matches instead.
-        """
-        if _TOUCHING(text):
-            return self.find(text)
-        first, *parts = text.split(" ")
-        return [first, *[" " + x for x in parts]]
-
-    def know(self, parts: set[str]) -> None:
-        """Put the packed ids and decoded bytes of the parts into ``ids_of`` and ``back_of``."""
-        if len(self.ids_of) > CACHE:
-            self.ids_of.clear()
-            self.back_of.clear()
-        own = {p: self.find(p) for p in parts if p not in self.ids_of}
-        self.learn(set().union(*own.values()))
-        young = self.young
-        for p, pieces in own.items():
-            found = [young[q] for q in pieces]
-            self.ids_of[p], self.back_of[p] = found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
-
-
-#: White space beside a space, or a space at an end.
-_TOUCHING = re.compile(r"\s | \s|\A | \Z").search
-
-
-def _round_trip(batches: Iterator[pa.RecordBatch], text: str, path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+        new = pieces.difference(self.young)
+        for p in new.intersection(self.old):
+            self.young[p] = self.old[p]
+        new = list(new.difference(self.old))
+        if new:
+            self.young.update(zip(new, self.encode([p.encode("utf-8", "replace") for p in new]), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        split = [[self.find(part) for part in segments(t)] for t in texts]
+        self.learn({p for own in split for part in own for p in part} if len(split) < 8 else set().union(*(part for own in split for part in own)))
+        of = self.young.__getitem__
+        return [b"".join([b"".join(map(of, part)) for part in own]) for own in split]
+
+
+def _unpacked(g: np.ndarray, tok: np.ndarray, n: int) -> list[bytes]:
+    """The packed ids of each of n pieces from sorted position rows."""
+    data = tok.astype(np.int32).tobytes()
+    ends = (4 * np.searchsorted(g, np.arange(1, n + 1, dtype=np.int64) << SHIFT)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, path: str, pattern: str, back: bool) -> Iterator[pa.RecordBatch]:
     coder = PieceCoder.of(path, pattern)
     for batch in batches:
         texts = batch.column(text).to_pylist()
         for a, b in text_chunks(texts):
-            split = [coder.split(t) if t else [] for t in texts[a:b]]
-            coder.know(set().union(*split))
-            ids = [b"".join(map(coder.ids_of.__getitem__, own)) for own in split]
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            lists = list_array(np.frombuffer(b"".join(ids), dtype=np.int32), lengths)
-            decoded = pa.array([b"".join(map(coder.back_of.__getitem__, own)) for own in split], pa.binary())
+            packed = coder.ids([t or "" for t in texts[a:b]])
+            lengths = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+            flat = np.frombuffer(b"".join(packed), dtype=np.int32)
             kept = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*kept.columns, lists, decoded], names=[*kept.schema.names, "ids", "decoded"])
+            columns, names = [*kept.columns, list_array(flat, lengths)], [*kept.schema.names, "ids"]
+            if back:
+                columns, names = [*columns, pa.array(coder.decode(flat, lengths), pa.binary())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _with(df: DataFrame, *fields: tuple[str, object]) -> StructType:
@@ -209,15 +255,16 @@ def _with(df: DataFrame, *fields: tuple[str, object]) -> StructType:
 
 
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (array of int) of each text and ``decoded`` (binary), the ids turned back."""
+    """``df`` with ``ids`` (array of int) of each text and ``decoded`` (binary), those ids turned back."""
     df = df.drop("ids", "decoded")
     schema = _with(df, ("ids", ArrayType(IntegerType())), ("decoded", BinaryType()))
-    return df.mapInArrow(lambda it: _round_trip(it, text, path, pattern), schema)
+    return df.mapInArrow(lambda it: _encoded(it, text, path, pattern, True), schema)
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids``, the token ids of each text."""
-    return bpe_round_trip(df, path, pattern, text).drop("decoded")
+    df = df.drop("ids", "decoded")
+    return df.mapInArrow(lambda it: _encoded(it, text, path, pattern, False), _with(df, ("ids", ArrayType(IntegerType()))))
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -229,7 +276,9 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                back = coder.decode([np.array(x or [], dtype=np.int32) for x in part.column(ids).to_pylist()])
+                own = part.column(ids)
+                lengths = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                back = coder.decode(own.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lengths)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return df.mapInArrow(run, _with(df, ("decoded", BinaryType())))

@@ -40,6 +40,7 @@ def test_bpe_matches_tiktoken(spark):
     rng = random.Random(3)
     alphabet = ["a", "the", " ", "  ", "\n", "\r\n", "1", "23", "é", "ß", "!", "'s", " ", "\x1c", "日本", " hello", "𝔘"]
     texts = TEXTS + ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(300)] + ["the cat"] * 2
+    texts += ["".join(rng.choices(a, k=n)) for a in ("ab", "aeinrst", "日本語éß", "abcdefghijklmnopqrstuvwxyz") for n in (60, 65, 130, 900)] + ["-" * 70_000, "ab" * 4000, " ".join(prose(rng, 250_000))]
     out = bpe.bpe_round_trip(docs(spark, texts), RANKS, P.PATTERN)
     assert out.columns == ["doc_id", "text", "lang", "score", "n_tokens", "ids", "decoded"]
     got = {r["doc_id"]: r for r in out.collect()}
