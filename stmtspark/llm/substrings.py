@@ -1,38 +1,48 @@
 """Near-duplicate passages by compact windows.
 
-The tokens of a text are its five-word shingles by position.  For each of HASHES hash functions the
-Cartesian tree over the token hashes groups all runs of at least WIDTH tokens by the place of their
-minimum: a node is one compact window (left, centre, right), standing for every run that holds the
-centre and stays inside.  Trees are cut level by level, for many documents at once, down to nodes of
-WIDTH tokens.
-
-Windows of all documents that share a hash function and minimum are brought together.
-
-1. Windows with the same tokens up to REACH places on both sides of the centre are copies there: the
-   first in document order stands for the others, already within a task's batch, so a passage that a
-   third of all documents hold sends one row from each batch.
-2. The windows that are left are joined with the first of their group, on the interval both cover
-   around their centres; at least AGREE hash functions must find such a pair of documents at one offset.
-3. Where a group still holds several documents, the tokens around the centres are fetched, and each
-   window is compared with all earlier ones of its group until one holds the same passage by them.
-   So what else shares the minimum (a common line, a fragment, a copy with more edits) hides nothing.
-
-In a group of over 64 windows only those are compared that share neighbouring tokens beside the
-group's common ones; work in step 3 still grows with the square of like windows.  Pairs are verified on
-the tokens themselves: runs of tokens that the source has too, with gaps of at most GAP tokens, of 50
-words or more and set similarity of 0.75 or more.
+The tokens of a text are its five-word shingles by position (64-bit hashes).  For each of HASHES hash
+functions the Cartesian tree over the token hashes groups all runs of at least WIDTH tokens by the place
+of their minimum: a node is one compact window (left, centre, right), standing for every run that holds
+the centre and stays inside.  Trees are cut level by level, for many documents at once, down to nodes
+of WIDTH tokens.
+
+Windows of all documents that share a hash function and minimum are brought together with a sketch of
+what stands around the centre: SIDE blocks of BLOCK tokens on each side.
+
+1. Windows with all blocks alike are copies there: one of them, the first in document order, stands for
+   the others, already within a task's batch, so a passage that a third of all documents hold sends one
+   row from each batch.
+2. Each window left is joined with the first window of its group that agrees in a set of blocks, for
+   every set of one block, of two blocks, and of as many blocks in a row as make a passage (``SETS``).  So
+   an earlier window that shares the minimum by a common line, a fragment or a part of the passage hides
+   no later copy: the copies agree in blocks that the fragment does not hold together.
+3. A pair that agrees in STRONG blocks or more is a candidate; one that agrees in fewer is one if AGREE
+   hash functions find it at about one offset.  Of several strong candidates of a window the one that
+   agrees in most blocks is kept.
+4. Candidates are verified on the tokens between the windows' ends, as 32-bit hashes: runs of tokens
+   that the source has too, with gaps of at most GAP tokens, of 50 words or more and set similarity of
+   0.75 or more.
+
+An exact passage of WIDTH + BLOCK tokens or more always agrees in a set of blocks in a row, whatever
+stands before or behind it and in whatever order documents come; shorter or edited ones agree in two
+blocks around a centre of some hash function nearly always.  What can be missed is a copy with words put
+in or left out in its middle, if earlier documents quote each side of that place.  Groups of more than LARGE windows are
+joined by Spark on the same keys, with grouped minima, instead of in a task's memory; nothing is left out.
 
 The copy that comes first (least doc_id) is the source; ``remove_repeats`` cuts the later copies out.
-Only passages in different documents count.  A token that recurs within WIDTH places is used once.
+Which of several earlier copies is named as the source can depend on how rows are dealt to tasks; which
+documents are named does not.  Only passages in different documents count.  A token that recurs within
+WIDTH places is used once.
 
-Null and empty texts and those under 50 words have no windows.  Repeated rows of one doc_id count as
-one document.  Other columns pass through ``remove_repeats``.
+Null and empty texts and those under 50 words have no windows.  Null doc_ids are left out.  Repeated
+rows of one doc_id count as one document.  Other columns pass through ``remove_repeats``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -44,12 +54,19 @@ from stmtspark.llm.common import SHINGLE, cut, filter_slot, id_filter, in_filter
 
 WORDS = 50
 WIDTH = WORDS - SHINGLE + 1
-HASHES, AGREE, GAP, LEAST = 6, 2, 10, 0.75
-_SIDE = (1 << 20) - 1
-_PLACE = (1 << 23) - 1
+HASHES, AGREE, GAP, LEAST = 4, 2, 10, 0.75
 _NONE = np.uint64(0xFFFFFFFF)
-#: Tokens on each side of a centre that tell copies; found in step 1 or 3, a pair needs no second hash function.
-REACH, SURE = WIDTH - 1, 3 << 6
+#: Blocks on each side of a centre, and tokens in a block.
+SIDE, BLOCK = 4, 11
+REACH, STRONG = SIDE * BLOCK, 3
+#: Sets of blocks by which windows of a group are joined; blocks count from the far left to the far right.
+SETS = [*combinations(range(2 * SIDE), 1), *combinations(range(2 * SIDE), 2), *(tuple(range(k, k + SIDE)) for k in range(SIDE + 1))]
+#: Tokens to each side of a centre that a window's range is told for; runs further off have a nearer centre.
+_FAR = (1 << 10) - 1
+#: Windows of a group that a task joins in memory.
+LARGE = 200_000
+#: The hash function's place in v for rows that are pairs already, and hash functions of a strong pair.
+_PAIR, SURE = 7, 3 << 6
 _FOLD = 0x9E3779B97F4A7C15
 
 
@@ -87,40 +104,68 @@ def compact_windows(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
             a, b = cuts[:, [0, 2]].ravel(), cuts[:, [1, 3]].ravel()
 
 
-_ROW = "v long, doc long, packed long, ctx long, src long, off long"
-_FOUND = "doc long, src long, off long, h long, a long, b long, v long"
+_ROW = "v long, doc long, packed long, s1 long, s2 long"
+_NAMES = ["v", "doc", "packed", "s1", "s2"]
+_FOUND = "doc long, src long, off long, h long, a long, b long"
 
 
-def range_hashes(tokens: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of the tokens of each range [first, stop), the same wherever it stands."""
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(tokens), _FOLD, dtype=np.uint64))])
-    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(tokens), pow(_FOLD, -1, 1 << 64), dtype=np.uint64))])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens * power[:-1])])
-    return mix((sums[stop] - sums[first]) * back[first])
+def block_hashes(tokens: np.ndarray) -> np.ndarray:
+    """A 16-bit hash, never 0, of the BLOCK tokens from each place on (fewer at the end)."""
+    out = np.zeros(len(tokens), dtype=np.uint64)
+    for i in range(BLOCK):
+        out[: len(tokens) - i] = out[: len(tokens) - i] * np.uint64(_FOLD) + tokens[i:]
+    return np.maximum(mix(out) >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
 
-def _copies(v: np.ndarray, doc: np.ndarray, packed: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, whether another document's row stands for it, and which row that is."""
-    order = np.lexsort((packed, doc, ctx, v))
-    new = np.ones(len(v), dtype=bool)
-    new[1:] = (v[order][1:] != v[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
-    lead = np.empty(len(v), dtype=np.int64)
-    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(v) else order
-    return doc != doc[lead], lead
+def sketches(hashes: np.ndarray, centre: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The block hashes around each centre; 0 for blocks that the document [start, stop) has not whole."""
+    out = np.zeros((len(centre), 2 * SIDE), dtype=np.uint16)
+    for k in range(2 * SIDE):
+        first = centre + (k - SIDE) * BLOCK + (k >= SIDE)
+        there = (first >= start) & (first + BLOCK <= stop)
+        out[there, k] = hashes[first[there]]
+    return out
 
 
-def _pairs(doc: np.ndarray, packed: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(doc, src, off, a, b) of rows ``at`` and rows ``lead``, on the interval both cover."""
-    place, left, right = packed >> 40, (packed >> 20) & _SIDE, packed & _SIDE
-    low, high = np.minimum(left[at], left[lead]), np.minimum(right[at], right[lead])
-    return doc[at], doc[lead], place[lead] - place[at], place[at] - low, place[at] + high
+def _copies(v: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, whether another document's row with the same blocks stands for it, and which row that is."""
+    two = sketch.view(np.uint64)
+    lead = _first(mix(v.view(np.uint64) + mix(two[:, 0] + mix(two[:, 1]))), doc)
+    return (doc != doc[lead]) & sketch.all(axis=1), lead
+
+
+def _first(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each row, the row of least doc with the same key."""
+    order = np.lexsort((doc, key))
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    lead = np.empty(len(key), dtype=np.int64)
+    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else order
+    return lead
+
+
+def set_keys(v: np.ndarray, sketch: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that have all blocks of the k-th set, their keys)."""
+    own = sketch[:, list(SETS[k])]
+    rows = np.flatnonzero(own.all(axis=1))
+    packed = np.zeros(len(rows), dtype=np.uint64)
+    for column in own[rows].T:
+        packed = packed << np.uint64(16) | column
+    return rows, mix(v[rows].view(np.uint64) + mix(packed + np.uint64(_FOLD * (k + 1) % (1 << 64))))
+
+
+def _ranges(packed: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(off, a, b) of windows and their partners, on the interval both cover and REACH + GAP tokens at least."""
+    place = packed >> 20
+    low = np.maximum(np.minimum(packed >> 10 & _FAR, other >> 10 & _FAR), REACH + GAP)
+    high = np.maximum(np.minimum(packed & _FAR, other & _FAR), REACH + GAP)
+    return (other >> 20) - place, np.maximum(place - low, 0), place + high
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows, of copies in a batch the first only, and the pairs that the others make with it."""
+    """Windows, of copies in a chunk of texts the first only, and the pairs that the others make with it."""
     for batch in batches:
         ids, texts = batch.column("id").to_numpy(), batch.column("text").to_pylist()
-        for a, b in text_chunks(texts, 6_000_000):
+        for a, b in text_chunks(texts, 4_000_000):
             seqs, docs = [], []
             for i, t in zip(ids[a:b], texts[a:b], strict=True):
                 words = word_hashes(t)
@@ -132,206 +177,141 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(s) for s in seqs])
             starts = np.cumsum(lengths) - lengths
             tokens, doc_of = np.concatenate(seqs), np.array(docs, dtype=np.int64)
-            found = []
+            hashes, found = block_hashes(tokens), []
             for h, left, centre, right in compact_windows(tokens, starts, lengths):
                 own = np.searchsorted(starts, centre, side="right") - 1
                 v = mix(tokens[centre] + np.uint64(h * 2 + 1)) & ~np.uint64(7) | np.uint64(h)
-                packed = (np.minimum(centre - starts[own], _PLACE) << 40) | (np.minimum(centre - left, _SIDE) << 20) | np.minimum(right - centre, _SIDE)
-                found.append((v.view(np.int64), doc_of[own], packed, centre))
+                packed = (centre - starts[own]) << 20 | np.minimum(centre - left, _FAR) << 10 | np.minimum(right - centre, _FAR)
+                found.append((v.view(np.int64), doc_of[own], packed, sketches(hashes, centre, starts[own], starts[own] + lengths[own])))
             if not found:
                 continue
-            v, doc, packed, centre = (np.concatenate(x) for x in zip(*found, strict=True))
-            low, high = np.minimum((packed >> 20) & _SIDE, REACH), np.minimum(packed & _SIDE, REACH)
-            ctx = mix(range_hashes(tokens, centre - low, centre + high + 1) + (low * 64 + high).astype(np.uint64)).view(np.int64)
-            copy, lead = _copies(v, doc, packed, ctx)
-            stay, zero = ~copy, np.zeros(len(v) - int(copy.sum()), dtype=np.int64)
-            yield _rows(v[stay], doc[stay], packed[stay], ctx[stay], zero - 1, zero)
+            v, doc, packed, sketch = (np.concatenate(x) for x in zip(*found, strict=True))
+            copy, lead = _copies(v, doc, sketch)
+            two = sketch.view(np.int64)
+            yield _rows(v[~copy], doc[~copy], packed[~copy], two[~copy, 0], two[~copy, 1])
             if copy.any():
-                cdoc, csrc, coff, first, last = _pairs(doc, packed, np.flatnonzero(copy), lead[copy])
-                spread = mix(cdoc.view(np.uint64) * np.uint64(3) + csrc.view(np.uint64)).view(np.int64)
-                yield _rows(spread, cdoc, first, last, csrc, coff)
+                off, first, last = _ranges(packed[copy], packed[lead[copy]])
+                doc, src = doc[copy], doc[lead[copy]]
+                spread = mix(doc.view(np.uint64) * np.uint64(3) + src.view(np.uint64)) & ~np.uint64(7) | np.uint64(_PAIR)
+                yield _rows(spread.view(np.int64), doc, src, off, first << 12 | (last - first))
+
 
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_NAMES)
 
-def _rows(v, doc, packed, ctx, src, off) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (v, doc, packed, ctx, src, off)], names=["v", "doc", "packed", "ctx", "src", "off"])
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[tuple[bool, pa.Table]]:
+    """Rows sorted by v in tables of ``least`` rows or more that split no group of one v.
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by v, so that no group of one v is split."""
+    Groups of more than LARGE rows come in several tables, marked True.
+    """
     held: list[pa.RecordBatch] = []
+    size, large = 0, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        v = batch.column("v").to_numpy()
-        start = int(np.searchsorted(v, v[-1]))
-        if held and (start or held[-1].column("v")[-1].as_py() != v[0]):
-            yield pa.Table.from_batches([*held, batch.slice(0, start)])
-            held = []
-        elif start:
-            yield pa.Table.from_batches([batch.slice(0, start)])
-        held.append(batch.slice(start))
+        while batch.num_rows:
+            v = batch.column("v").to_numpy()
+            if large is not None:
+                stop = int(np.searchsorted(v, large, side="right"))
+                if stop:
+                    yield True, pa.Table.from_batches([batch.slice(0, stop)])
+                    batch = batch.slice(stop)
+                large = large if not batch.num_rows else None
+                continue
+            held.append(batch)
+            size += len(v)
+            last = v[-1]
+            if size < least:
+                break
+            table = pa.Table.from_batches(held)
+            start = int(np.searchsorted(table.column("v").to_numpy(), last))
+            if start:
+                yield False, table.slice(0, start)
+            rest = table.slice(start)
+            held, size = rest.to_batches(), rest.num_rows
+            if size > LARGE:
+                yield True, rest
+                held, size, large = [], 0, last
+            break
     if held:
-        yield pa.Table.from_batches(held)
+        yield False, pa.Table.from_batches(held)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows of a partition to pairs, and (src -1) the windows of groups that hold several documents yet."""
-    for table in _whole_groups(batches):
-        v, doc, packed, ctx, src, off = (table.column(x).to_numpy() for x in ("v", "doc", "packed", "ctx", "src", "off"))
-        done = src >= 0
+    """Sorted windows of a partition to pairs; windows of large groups stay windows (b -1)."""
+    for large, table in _whole_groups(batches):
+        v, doc, packed, s1, s2 = (table.column(x).to_numpy() for x in _NAMES)
+        done = (v & 7) == _PAIR
         if done.any():
-            yield _found(doc[done], src[done], off[done], np.full(done.sum(), SURE), packed[done], ctx[done], v[done])
-        v, doc, packed, ctx = v[~done], doc[~done], packed[~done], ctx[~done]
-        copy, lead = _copies(v, doc, packed, ctx)
-        if copy.any():
-            cdoc, csrc, coff, first, last = _pairs(doc, packed, np.flatnonzero(copy), lead[copy])
-            yield _found(cdoc, csrc, coff, np.full(len(cdoc), SURE), first, last, v[copy])
-        v, doc, packed = v[~copy], doc[~copy], packed[~copy]
-        if not len(v):
+            yield _found(doc[done], packed[done], s1[done], np.full(done.sum(), SURE), s2[done] >> 12, (s2[done] >> 12) + (s2[done] & 4095), *[np.zeros(done.sum())] * 2)
+        v, doc, packed, sketch = v[~done], doc[~done], packed[~done], np.ascontiguousarray(np.stack([s1[~done], s2[~done]], axis=1)).view(np.uint16)
+        if large:
+            yield _found(doc, doc, packed, v, np.zeros(len(v)), np.full(len(v), -1), s1[~done], s2[~done])
             continue
-        new = np.append(True, v[1:] != v[:-1])
+        copy, lead = _copies(v, doc, sketch)
+        if copy.any():
+            off, first, last = _ranges(packed[copy], packed[lead[copy]])
+            yield _found(doc[copy], doc[lead[copy]], off, np.full(len(off), SURE), first, last, *[np.zeros(len(off))] * 2)
+        v, doc, packed, sketch = v[~copy], doc[~copy], packed[~copy], sketch[~copy]
+        # groups of one document have no partner
+        new = np.append(True, v[1:] != v[:-1])[: len(v)]
         group = np.cumsum(new) - 1
-        lead = np.flatnonzero(new)[group]
-        cdoc, csrc, coff, first, last = _pairs(doc, packed, np.arange(len(v)), lead)
-        hit = (last - first + 1 >= WIDTH) & (cdoc != csrc)
-        yield _found(cdoc[hit], csrc[hit], coff[hit], np.int64(1) << (v[hit] & 7), first[hit], last[hit], v[hit])
-        mixed = np.bincount(group, doc != doc[lead])[group] > 0
-        place = packed[mixed] >> 40
-        zero = np.zeros(len(place), dtype=np.int64)
-        yield _found(doc[mixed], zero - 1, place, zero, place - ((packed[mixed] >> 20) & _SIDE), place + (packed[mixed] & _SIDE), v[mixed])
+        mixed = np.bincount(group, doc != doc[np.flatnonzero(new)[group]])[group] > 0 if len(v) else new
+        v, doc, packed, sketch = v[mixed], doc[mixed], packed[mixed], sketch[mixed]
+        best, partner, weak = np.zeros(len(v), dtype=np.int64), np.zeros(len(v), dtype=np.int64), [np.zeros(0, dtype=np.int64)]
+        for k in range(len(SETS)):
+            rows, keys = set_keys(v, sketch, k)
+            lead = rows[_first(keys, doc[rows])]
+            other = doc[rows] != doc[lead]
+            rows, lead = rows[other], lead[other]
+            both = ((sketch[rows] == sketch[lead]) & (sketch[rows] != 0)).sum(axis=1)
+            few = both < STRONG
+            weak.append(rows[few] * len(v) + lead[few])
+            better = ~few & (both > best[rows])
+            best[rows[better]], partner[rows[better]] = both[better], lead[better]
+        strong = np.flatnonzero(best)
+        if len(strong):
+            off, first, last = _ranges(packed[strong], packed[partner[strong]])
+            yield _found(doc[strong], doc[partner[strong]], off, np.full(len(off), SURE), first, last, *[np.zeros(len(off))] * 2)
+        weak = np.unique(np.concatenate(weak))
+        rows, lead = weak // max(len(v), 1), weak % max(len(v), 1)
+        rows, lead = rows[best[rows] == 0], lead[best[rows] == 0]
+        if len(rows):
+            off, first, last = _ranges(packed[rows], packed[lead])
+            yield _found(doc[rows], doc[lead], off, np.int64(1) << (v[rows] & 7), first, last, *[np.zeros(len(off))] * 2)
+
+
+_OPEN = _FOUND + ", s1 long, s2 long"
 
 
 def _found(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["doc", "src", "off", "h", "a", "b", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["doc", "src", "off", "h", "a", "b", "s1", "s2"][: len(columns)])
 
 
-_AROUND = "v long, doc long, place long, a long, b long, near binary"
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of a large group and each set of blocks that it has."""
+    for batch in batches:
+        doc, packed, v, s1, s2 = (batch.column(x).to_numpy() for x in ("doc", "off", "h", "s1", "s2"))
+        sketch = np.ascontiguousarray(np.stack([s1, s2], axis=1)).view(np.uint16)
+        for k in range(len(SETS)):
+            rows, keys = set_keys(v, sketch, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), doc[rows], packed[rows], v[rows], s1[rows], s2[rows])], names=["key", "doc", "packed", "v", "s1", "s2"])
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of documents with the 16-bit tokens up to REACH places around their centres."""
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of windows of large groups and the first of their key."""
     for batch in batches:
-        rows: list[list] = []
-        for doc, asked, tokens in zip(batch.column("doc").to_pylist(), batch.column("asked"), batch.column("tokens").to_pylist(), strict=True):
-            asked = asked.values
-            v, place, a, b = (asked.field(x).to_numpy() for x in ("v", "place", "a", "b"))
-            for k, p, i, j in zip(v.tolist(), place.tolist(), a.tolist(), b.tolist(), strict=True):
-                rows.append([k, doc, p, i, j, tokens[2 * max(i, p - REACH) : 2 * (min(j, p + REACH) + 1)]])
-                if len(rows) == 20_000:
-                    yield _near_rows(rows)
-                    rows = []
-        if rows:
-            yield _near_rows(rows)
-
-
-def _near_rows(rows: list[list]) -> pa.RecordBatch:
-    *numbers, near = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in numbers], pa.array(near, pa.binary())], names=["v", "doc", "place", "a", "b", "near"])
-
-
-def longest_span(hits: np.ndarray) -> np.ndarray:
-    """Of each row, the places from first to last of the longest run of hits with gaps of at most GAP."""
-    best, start, last = (np.full(len(hits), x) for x in (0, 0, -2 * GAP - 2))
-    for k in range(hits.shape[1]):
-        here = hits[:, k]
-        start = np.where(here & (k - last > GAP + 1), k, start)
-        last = np.where(here, k, last)
-        best = np.where(here, np.maximum(best, k - start + 1), best)
-    return best
-
-
-def first_alike(doc: np.ndarray, low: np.ndarray, high: np.ndarray, near: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """(row, earlier row): the first row of another, earlier document that holds the same passage around the centre.
-
-    Rows are in document order.  Cheap bounds on shared tokens go before the comparison by ``matching_runs``.
-    """
-    n, size = len(doc), 2 * REACH + 1
-    full, there = np.zeros((n, size), dtype=np.uint16), np.zeros((n, size), dtype=bool)
-    for k, (x, i) in enumerate(zip(near, low.tolist(), strict=True)):
-        full[k, REACH - i : REACH - i + len(x)], there[k, REACH - i : REACH - i + len(x)] = x, True
-    bits = np.zeros((n, 1024), dtype=np.uint8)
-    bits[np.nonzero(there)[0], full[there] & 1023] = 1
-    bits = np.packbits(bits, axis=1).view(np.uint64)
-    spare = there.sum(axis=1) - np.bitwise_count(bits).sum(axis=1)  # tokens that share a bit with others
-    mark, before = np.zeros(1 << 16, dtype=bool), np.searchsorted(doc, doc)
-    sharing = _sharing(full, there) if n > 64 else None
-    for k in range(1, n):
-        able = np.arange(before[k]) if sharing is None else sharing(k, before[k])
-        able = able[np.minimum(low[able], low[k]) + np.minimum(high[able], high[k]) + 1 >= WIDTH]
-        able = able[np.bitwise_count(bits[able] & bits[k]).sum(axis=1) + np.maximum(spare[able], spare[k]) >= 30]
-        mark[near[k]] = True
-        for part in (able[i : i + 256] for i in range(0, len(able), 256)):
-            shared = mark[full[part]] & there[part]
-            few = shared.sum(axis=1) + np.maximum(spare[part], spare[k]) >= 30
-            part, shared = part[few], shared[few]
-            if len(part) > 16:
-                part = part[longest_span(shared) >= WIDTH - GAP]
-            hit = next((i for i in part.tolist() if _alike(full, low, high, k, i)), -1)
-            if hit >= 0:
-                yield k, hit
-                break
-        mark[near[k]] = False
-
+        doc, packed, v, src, other = (batch.column(x).to_numpy() for x in ("doc", "packed", "v", "src", "other"))
+        x, y = (np.ascontiguousarray(np.stack([batch.column(n + i).to_numpy() for i in "12"], axis=1)).view(np.uint16) for n in "st")
+        both = ((x == y) & (x != 0)).sum(axis=1)
+        off, first, last = _ranges(packed, other)
+        yield _found(doc, src, off, np.where(both >= STRONG, SURE, np.int64(1) << (v & 7)), first, last)
 
-def _sharing(full: np.ndarray, there: np.ndarray) -> Callable[[int, int], np.ndarray]:
-    """Of a large group, the rows before another that share more with row k than the group's common tokens.
 
-    Common tokens alone make a passage only between rows in which they span one; others share two
-    neighbouring tokens that are not both common.
-    """
-    n = len(full)
-    row, col = np.nonzero(there)
-    held = np.bincount(np.unique(row * (1 << 16) + full[row, col]) & 0xFFFF, minlength=1 << 16)
-    common = held > n / 8
-    rich = longest_span(common[full] & there) >= WIDTH - GAP
-    many = np.flatnonzero(rich)
-    row, col = np.nonzero(there[:, :-1] & there[:, 1:] & ~(common[full[:, :-1]] & common[full[:, 1:]]))
-    keys = full[row, col].astype(np.int64) << 16 | full[row, col + 1]
-    order = np.lexsort((row, keys))
-    keys, rows = keys[order], row[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(keys) else keys
-    places = np.argsort(rows, kind="stable")
-    ends = np.searchsorted(rows[places], np.arange(n + 1))
-
-    def before(k: int, stop: int) -> np.ndarray:
-        own = places[ends[k] : ends[k + 1]]
-        own = own[begin[own] < own]
-        parts = [rows[i:j] for i, j in zip(begin[own].tolist(), own.tolist(), strict=True)]
-        found = np.unique(np.concatenate([*parts, many[: np.searchsorted(many, stop)]] if rich[k] else [*parts, many[:0]]))
-        return found[: np.searchsorted(found, stop)]
-
-    return before
-
-
-def _alike(full: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, i: int) -> bool:
-    a, b = REACH - min(low[k], low[i]), REACH + min(high[k], high[i]) + 1
-    x, y = full[k, a:b], full[i, a:b]
-    unlike = np.flatnonzero(x != y)
-    if not len(unlike) or max(unlike[0], len(x) - 1 - unlike[-1], np.diff(unlike).max(initial=1) - 1) >= WIDTH:
-        return True
-    return bool(matching_runs(x, y))
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows with their surroundings to pairs."""
-    for table in _whole_groups(batches):
-        v, doc, place, a, b = (table.column(x).to_numpy() for x in ("v", "doc", "place", "a", "b"))
-        near = [np.frombuffer(x, dtype=np.uint16) for x in table.column("near").to_pylist()]
-        low, high = np.minimum(place - a, REACH), np.minimum(b - place, REACH)
-        ends = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
-        found = [(i + k, i + e) for i, j in zip(ends, ends[1:]) for k, e in first_alike(doc[i:j], low[i:j], high[i:j], near[i:j])]
-        if found:
-            at, lead = np.array(found).T
-            first, last = place - a, b - place
-            yield _found(doc[at], doc[lead], place[lead] - place[at], np.full(len(at), SURE), place[at] - np.minimum(first[at], first[lead]), place[at] + np.minimum(last[at], last[lead]), v[at])
-
-
-def _short_tokens(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """16-bit tokens of the documents that an id filter passes."""
-    for batch in _slices(batches, bits):
-        tokens = [(np.frombuffer(x, dtype=np.uint32) >> 16).astype(np.uint16).tobytes() for x in batch.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+def _large_groups(windows: DataFrame) -> DataFrame:
+    """Pairs of the windows of large groups, as a task makes them, by grouped minima and a join."""
+    keyed = windows.mapInArrow(_exploded, "key long, doc long, packed long, v long, s1 long, s2 long")
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "packed", "s1", "s2")).alias("f")).select("key", F.col("f.doc").alias("src"), F.col("f.packed").alias("other"), F.col("f.s1").alias("t1"), F.col("f.s2").alias("t2"))
+    return keyed.join(first, "key").filter("doc <> src").drop("key").distinct().mapInArrow(_judged, _FOUND)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -389,17 +369,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     # a hash spread over partitions; rows that are pairs already are spread by pair
     rows = src.filter("text IS NOT NULL").mapInArrow(_windows, _ROW)
-    sorted_rows = rows.repartition("v").sortWithinPartitions("v", "doc", "packed")
-    made = cut(sorted_rows.mapInArrow(_candidates, _FOUND))
-    mixed = made.filter("src < 0").select("v", "doc", F.col("off").alias("place"), "a", "b")
-    asking = spark.sparkContext.broadcast(id_filter(mixed, "doc"))
-    short = src.withColumn("slot", filter_slot("id")).mapInArrow(lambda it: _short_tokens(it, asking.value), "id long, tokens binary")
-    by_doc = mixed.groupBy("doc").agg(F.collect_list(F.struct("v", "place", "a", "b")).alias("asked"))
-    around = by_doc.join(short, F.col("doc") == F.col("id")).select("doc", "asked", "tokens").mapInArrow(_around, _AROUND)
-    compared = around.repartition("v").sortWithinPartitions("v", "doc", "place").mapInArrow(_compared, _FOUND)
-    found = made.filter("src >= 0").union(compared)
+    made = cut(rows.repartition("v").sortWithinPartitions("v", "doc", "packed").mapInArrow(_candidates, _OPEN))
+    found = made.filter("b >= 0").drop("s1", "s2").union(_large_groups(made.filter("b < 0")))
     # the source is the lesser doc_id; repeated rows of one document are no repeat
-    found = found.select(
+    found = found.filter("doc <> src").select(
         F.greatest("doc", "src").alias("doc"),
         F.least("doc", "src").alias("src"),
         F.when(F.col("doc") > F.col("src"), F.col("off")).otherwise(-F.col("off")).alias("off"),
@@ -407,12 +380,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.when(F.col("doc") > F.col("src"), F.col("a")).otherwise(F.col("a") + F.col("off")).alias("a"),
         F.when(F.col("doc") > F.col("src"), F.col("b")).otherwise(F.col("b") + F.col("off")).alias("b"),
     )
-    pairs = cut(found.groupBy("doc", "src", "off").agg(F.bit_or("h").alias("h"), F.min("a").alias("a"), F.max("b").alias("b")).filter(F.bit_count("h") >= AGREE).drop("h").withColumn("a", F.greatest("a", -F.col("off"), F.lit(0))))
-    asked = pairs.select("doc", "src", "off", "a", F.lit(0).alias("side"), F.col("doc").alias("id"), F.col("a").alias("p"), F.col("b").alias("q")).union(pairs.select("doc", "src", "off", "a", F.lit(1), F.col("src"), F.expr("greatest(a + off - 8, 0)"), F.expr("b + off + 8")))
+    near = F.floor(F.col("off") / 64).alias("near")
+    pairs = cut(
+        found.groupBy("doc", "src", near).agg(F.bit_or("h").alias("h"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("off").alias("low"), F.max("off").alias("high"))
+        .filter(F.bit_count("h") >= AGREE).drop("h").withColumn("a", F.greatest("a", -F.col("high"), F.lit(0)))
+    )
+    asked = pairs.select("doc", "src", "near", F.lit(0).alias("side"), F.col("doc").alias("id"), F.col("a").alias("p"), F.col("b").alias("q")).union(pairs.select("doc", "src", "near", F.lit(1), F.col("src"), F.expr("greatest(a + low - 8, 0)"), F.expr("b + high + 8")))
     bits = spark.sparkContext.broadcast(id_filter(asked, "id"))
     tokens = src.withColumn("slot", filter_slot("id")).mapInArrow(lambda it: _slices(it, bits.value), "id long, tokens binary")
-    sliced = asked.join(tokens, "id").select("doc", "src", "off", "a", "side", "p", F.expr("substring(tokens, cast(4 * p + 1 as int), cast(4 * (q - p + 1) as int))").alias("part"))
-    both = sliced.groupBy("doc", "src", "off", "a").agg(F.max(F.when(F.col("side") == 0, F.col("part"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("y"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("p"))
+    sliced = asked.join(tokens, "id").select("doc", "src", "near", "side", "p", F.expr("substring(tokens, cast(4 * p + 1 as int), cast(4 * (q - p + 1) as int))").alias("part"))
+    both = sliced.groupBy("doc", "src", "near").agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("a"), F.max(F.when(F.col("side") == 0, F.col("part"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("y"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("p"))
     return both.filter("x IS NOT NULL AND y IS NOT NULL").mapInPandas(_verified, "doc_id long, first_word long, src_doc_id long, src_first_word long, n_words long, similarity double").distinct()
 
 

@@ -268,6 +268,23 @@ def test_repeated_passages_behind_earlier_partial_copies(spark):
         assert sum(w in y for w in x) >= 0.75 * len(x) and r["src_doc_id"] < r["doc_id"] and len(x) >= 50
 
 
+def test_whole_passages_behind_quotes_and_in_large_groups(spark, monkeypatch):
+    """Quotes of parts come first; the result is the same for any partitions, and with groups joined by Spark."""
+    rng = random.Random(78)
+    passage = prose(rng, 70)
+    quotes = [passage[a : a + 34] for a in (0, 12, 24, 36)]
+    edited = [*passage[:30], "other", *passage[31:]]
+    parts = [*quotes, passage, passage, edited, passage[5:] + ["end"], passage]
+    texts = [" ".join(prose(rng, 60) + p + prose(rng, 60)) for p in parts] * 2
+    for parts in (1, 2, 7):
+        got = {r["doc_id"] for r in substrings.repeated_passages(docs(spark, texts).repartition(parts)).collect()}
+        assert got == {5, 6, 7, 8, *range(9, 18)}
+    code = "import stmtspark.llm.substrings as s; s.LARGE = 3"
+    monkeypatch.setattr(substrings, "_candidates", lambda it, own=substrings._candidates: (exec(code), own(it))[1])
+    found = substrings.repeated_passages(docs(spark, texts[:9]).repartition(3)).collect()
+    assert {r["doc_id"] for r in found} == {5, 6, 7, 8} and all(r["src_doc_id"] >= 4 for r in found)
+
+
 # --- 7: lists ---------------------------------------------------------------------------------
 
 
