@@ -7,7 +7,9 @@ domains and its host with first path segment.  The longest active pattern decide
 A hot host is spread: captures carry a salt of their URL and the intervals, the small side, are
 repeated for each salt.  Captures of one URL and time are judged once.
 
-Null, empty or host-less URLs and null fetch times match nothing and are kept.  Entries with a null
+Hosts are compared in lower case and without a final dot, path segments as they are written.
+
+Null, empty or host-less URLs and null fetch times match nothing and are kept; they take no part in a join.  Entries with a null
 pattern or date are left out; of several entries of one pattern and date a block wins.  Repeated
 captures give repeated rows; other columns pass through, except that ``blocked``, ``pattern`` and
 ``listed_since`` are replaced.
@@ -24,8 +26,14 @@ SEGMENT = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host, or an empty string."""
-    return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The lower-case host without a final dot, or an empty string."""
+    return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", ""), F.lit(""))
+
+
+def pattern_of(written: Column) -> Column:
+    """A listed pattern with its host as ``host_of`` has it, and its path as written."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(written, "^[^/]*", 0)), r"\.$", "")
+    return F.concat(host, F.regexp_extract(written, "(?s)/.*", 0))
 
 
 def patterns_of(url: Column) -> Column:
@@ -39,7 +47,7 @@ def patterns_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, since, until) from dated entries (pattern, action, since); until is open at the end."""
-    one = entries.filter("pattern IS NOT NULL AND since IS NOT NULL").groupBy(F.lower("pattern").alias("pattern"), "since").agg(F.max(F.expr("action = 'block'")).alias("block"))
+    one = entries.filter("pattern IS NOT NULL AND since IS NOT NULL").groupBy(pattern_of(F.col("pattern")).alias("pattern"), "since").agg(F.max(F.expr("action = 'block'")).alias("block"))
     own = Window.partitionBy("pattern").orderBy("since")
     return one.select("pattern", "block", "since", F.lead("since").over(own).alias("until"))
 
@@ -47,13 +55,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with blocked, pattern (the deciding one) and listed_since."""
     captures = captures.drop("blocked", "pattern", "listed_since")
-    one = captures.filter(F.col(url).isNotNull() & F.col(fetched).isNotNull()).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct()
+    timed = F.col(url).isNotNull() & F.col(fetched).isNotNull()
+    one = captures.filter(timed).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct()
     asked = one.withColumn("_salt", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALTS))).select("_url", "_at", "_salt", F.explode(patterns_of(F.col("_url"))).alias("pattern"))
     listed = intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     active = asked.join(listed, ["pattern", "_salt"]).filter("since <= _at AND (until IS NULL OR _at < until)")
     verdict = active.groupBy("_url", "_at").agg(F.max_by(F.struct("block", "pattern", "since"), F.struct(F.length("pattern"), "pattern")).alias("_v"))
-    joined = captures.join(verdict, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at")), "left")
-    return joined.select(*captures.columns, F.coalesce("_v.block", F.lit(False)).alias("blocked"), F.col("_v.pattern").alias("pattern"), F.col("_v.since").alias("listed_since"))
+    judged = captures.filter(timed).join(verdict, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at")), "left").select(*captures.columns, "_v")
+    rest = captures.filter(~timed).withColumn("_v", F.lit(None).cast(verdict.schema["_v"].dataType))
+    return judged.union(rest).select(*captures.columns, F.coalesce("_v.block", F.lit(False)).alias("blocked"), F.col("_v.pattern").alias("pattern"), F.col("_v.since").alias("listed_since"))
 
 
 def derived_captures(pages: DataFrame) -> DataFrame:
@@ -76,13 +86,13 @@ def derived_entries(pages: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH parts AS (
-  SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+  SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1) AS segment
   FROM pages WHERE url IS NOT NULL),
 hosts AS (SELECT *, ('0x' || substr(md5(host), 1, 6))::BIGINT AS h FROM parts WHERE host <> ''),
 named AS (
-  SELECT h, lower(CASE WHEN h % 3 = 0 AND instr(host, '.') > 0 THEN substr(host, instr(host, '.') + 1)
-              WHEN h % 3 = 1 AND segment <> '' THEN host || '/' || segment ELSE host END) AS pattern FROM hosts),
+  SELECT h, CASE WHEN h % 3 = 0 AND instr(host, '.') > 0 THEN substr(host, instr(host, '.') + 1)
+              WHEN h % 3 = 1 AND segment <> '' THEN host || '/' || segment ELSE host END AS pattern FROM hosts),
 entries AS (
   SELECT pattern, true AS block, TIMESTAMP '2024-01-01' + to_days((h % 300)::INT) AS since FROM named
   UNION ALL SELECT pattern, false, TIMESTAMP '2024-01-01' + to_days((h % 300 + 20 + h % 97)::INT) FROM named),
@@ -90,7 +100,7 @@ one AS (SELECT pattern, since, bool_or(block) AS block FROM entries GROUP BY 1,
 spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM one),
 captures AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id * 37 % 366)::INT) AS fetched,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1) AS segment FROM pages),
 asked AS (
   SELECT *, list_distinct(list_concat(

@@ -297,6 +297,9 @@ def test_url_filters(spark):
     rows = {r["i"]: r for r in url_filters.filter_urls(c, e).collect()}
     assert [rows[i]["blocked"] for i in range(10)] == [False, True, True, False, False, True, False, False, False, True]
     assert rows[4]["pattern"] == "x.bad.org" and rows[7]["pattern"] is None
+    e2 = spark.createDataFrame([("OK.net./Private", "block", at(1)), ("bad.org.", "block", at(1))], "pattern string, action string, since string").withColumn("since", F.col("since").cast("timestamp_ntz"))
+    c2 = spark.createDataFrame([(u, at(2)) for u in ("http://ok.net/Private/x", "http://ok.net/private/x", "http://a.BAD.org./", "http://ok.net/Privates")], "url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
+    assert {r["url"] for r in url_filters.filter_urls(c2, e2).filter("blocked").collect()} == {"http://ok.net/Private/x", "http://a.BAD.org./"}
     assert url_filters.filter_urls(c.limit(0), e).count() == 0 and url_filters.filter_urls(c, e.limit(0)).filter("blocked").count() == 0
 
 
