@@ -191,6 +191,21 @@ def test_minhash_matches_brute_force(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_minhash_null_ids_repeats_and_small_blocks(spark, monkeypatch):
+    rng = random.Random(18)
+    base = prose(rng, 60)
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (1, "a b c d e f"), (2, "A b c d e f"), (3, None), (3, "x y z x y z")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    nameless = [r for r in got if r["doc_id"] is None]
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in nameless) == [(0, None, True), (2, None, True), (2, None, True)]
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+    monkeypatch.setattr(minhash, "SHINGLES", 100)
+    texts = [" ".join(base[:40] + prose(rng, 20)) for _ in range(30)] + [" ".join([*base[:-1], f"z{i}"]) for i in range(30)]
+    want = reach(60, [(30, i) for i in range(30, 60)])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(60)] == want
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((300, 32))
