@@ -348,6 +348,21 @@ def test_decontamination_matches_brute_force(spark):
     assert len(want) > 10 and decontaminate.contaminated(docs(spark, []), df).count() == 0 and decontaminate.contaminated(docs(spark, texts), df.limit(0)).count() == 0
 
 
+def test_decontamination_groups_repeats_and_long_texts(spark, monkeypatch):
+    rng = random.Random(31)
+    items = [prose(rng, 40) for _ in range(4)] + [prose(rng, 500)]
+    long = " ".join([*prose(rng, 150_000), *items[4] * 20, *prose(rng, 100_000), *items[1], *prose(rng, 40_000)])
+    rows = [(1, " ".join(items[0] + prose(rng, 20))), (1, " ".join(prose(rng, 9) + items[0])), (2, " ".join(items[2])), (None, " ".join(items[3])), (3, long)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(0, " ".join(items[0])), (None, " ".join(items[0]))], "item_id long, text string")
+    want = {(1, 0, 0, 40, 1.0), (2, 2, 0, 40, 1.0), (3, 4, 150_000, 500, 1.0), (3, 1, 260_000, 40, 1.0)}
+    for group in (20_000, 1):
+        monkeypatch.setattr(decontaminate, "GROUP", group)
+        got = [tuple(r[c] for c in ("doc_id", "item_id", "first_word", "n_words", "similarity")) for r in decontaminate.contaminated(d, df).collect()]
+        assert len(got) == 4 and set(got) == want
+    assert decontaminate.window_starts(np.array([0, 3, 9]), 3, 10).tolist() == [0, 1, 2, 3, 7]
+
+
 # --- 9: language models -----------------------------------------------------------------------
 
 
