@@ -3,21 +3,28 @@
 1. Vectors that are null, zero or hold null or non-finite components link with nothing.  Equal
    vectors become one representative with a weight by a grouped minimum.
 2. Each pass hashes a vector to the signs of BITS random projections, one integer whose order is the
-   lexicographic order of the concatenated hashes.  All passes are sorted in one range exchange; a
-   row's place in its pass comes from the counts of the sorted partitions.
-3. Rows are dealt to blocks of consecutive places, each with the WINDOW rows before it, and a task
-   compares every row with its WINDOW predecessors in double precision.
-4. Verified pairs of all passes are joined to components by large-star and small-star.
+   lexicographic order of the concatenated hashes.  All passes are sorted in one range exchange, of keys
+   without vectors; a row's place in its pass comes from the counts of the sorted partitions.
+3. Rows are dealt to blocks of consecutive places, each with the WINDOW rows before it; there they meet
+   their vectors, and a task compares every row with its WINDOW predecessors in double precision.  A
+   block gives only links that join what it found to components.
+4. Verified links of all passes are joined to components by large-star and small-star.
 5. n_links is exact inside a component: its members are compared in blocks of members, which write
    one count per member and no pairs.
 
-Which vectors land in one component depends on the passes: a pair at cosine 0.95 falls within one
-window of 16 passes over 50,000 rows in about 99 of 100 cases, and a larger group is found through
-any chain of its pairs.  ``near_vectors`` gives repeated rows of one vec_id one result.
+A pair at cosine 0.95 agrees in one sign with probability 0.899, and meets in a pass over n rows if it
+agrees in about log2(n / WINDOW) signs.  ``passes_for`` takes as many passes as leave 1 of 1,000 such
+pairs unmet: 16 at 50,000 rows, 27 at a million, 85 at a billion.  Recall against brute force is tested;
+README has figures.  Groups are found through any chain of their pairs.
+
+A null vec_id links with nothing: each such row has a row of its own, with 0 links, a null component_id
+and kept true.  Repeated rows of one vec_id count as one vector, the least of theirs; null ones are passed
+over.  Vectors of different length link with nothing of another length.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,78 +36,115 @@ from pyspark.sql import functions as F
 from stmtspark.llm.common import cut
 from stmtspark.llm.components import connected_components
 
-PASSES, BITS, WINDOW, PLACES, MEMBERS = 16, 48, 24, 2048, 1024
+LEAST_PASSES, BITS, WINDOW, PLACES, MEMBERS, UNMET = 16, 48, 64, 4096, 1024, 0.001
+
+
+def passes_for(rows: int, least: float = 0.95) -> int:
+    """Passes that leave a share UNMET of the pairs at cosine ``least`` in no common window."""
+    agree = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi
+    meet = min(agree ** math.log2(max(2.0, rows / WINDOW)), 1 - 1e-9)
+    return max(LEAST_PASSES, math.ceil(math.log(UNMET) / math.log(1 - meet)))
 
 
-def planes(dim: int, passes: int = PASSES) -> np.ndarray:
-    return np.random.default_rng(977 + dim).standard_normal((dim, passes * BITS))
+def planes(dim: int, number: int) -> np.ndarray:
+    """The projections of one pass."""
+    return np.random.default_rng([977, dim, number]).standard_normal((dim, BITS))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], passes: int, kind: type) -> Iterator[pa.RecordBatch]:
     weights = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)[::-1]).astype(np.uint64)
-    made: dict[int, np.ndarray] = {}
+    made: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        vectors = [np.frombuffer(v, dtype=np.float64) for v in batch.column("vec").to_pylist()]
+        vectors = [np.frombuffer(v, dtype=kind) for v in batch.column("vec").to_pylist()]
         for dim in sorted({len(v) for v in vectors}):
             at = np.array([i for i, v in enumerate(vectors) if len(v) == dim])
-            signs = (np.stack([vectors[i] for i in at]) @ made.setdefault(dim, planes(dim)) > 0).reshape(len(at), PASSES, BITS)
-            keys = (signs * weights).sum(axis=2, dtype=np.uint64).astype(np.int64)
-            part = batch.take(pa.array(at))
-            for p in range(PASSES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(keys[:, p]), part.column("rep"), part.column("vec")], names=["pass", "dim", "key", "rep", "vec"])
+            x, reps = np.stack([vectors[i] for i in at]).astype(np.float64), batch.column("rep").take(pa.array(at))
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            for p in range(passes):
+                if (dim, p) not in made:
+                    made[dim, p] = planes(dim, p)
+                keys = ((x @ made[dim, p] > 0) * weights).sum(axis=1, dtype=np.uint64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(keys), reps], names=["pass", "dim", "key", "rep"])
 
 
-def _unit(parts: pd.Series) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, dtype=np.float64) for v in parts])
+def _unit(parts: pd.Series, kind: type) -> np.ndarray:
+    """Unit vectors padded with zeros to one width; vectors of other widths are told apart by ``dim``."""
+    width = max(map(len, parts))
+    x = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in parts), dtype=kind).reshape(len(parts), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(block: pd.DataFrame, least: float) -> pd.DataFrame:
-    block = block.sort_values("place")
-    x, rep, place, dim = _unit_ragged(block["vec"]), block["rep"].to_numpy(), block["place"].to_numpy(), block["dim"].to_numpy()
-    u, v = [], []
-    for step in range(1, min(WINDOW, len(block) - 1) + 1):
-        near = np.einsum("ij,ij->i", x[step:], x[:-step]) >= least
-        near &= (place[step:] - place[:-step] <= WINDOW) & (dim[step:] == dim[:-step])
-        u.append(rep[step:][near])
-        v.append(rep[:-step][near])
-    u, v = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (u, v))
-    return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows of unit vectors; what decides at the threshold, for links and counts alike."""
+    return np.einsum("ij,ij->i", np.ascontiguousarray(x), np.ascontiguousarray(y))
 
 
-def _unit_ragged(parts: pd.Series) -> np.ndarray:
-    """Unit vectors padded with zeros to one width; vectors of other widths are told apart by ``dim``."""
-    width = max(map(len, parts)) // 8
-    return _unit(parts.map(lambda v: v.ljust(width * 8, b"\0")))
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of nodes 0 to n - 1, the least node that each can reach by links u, v."""
+    lab = np.arange(n)
+    while len(u):
+        least = np.minimum(lab[u], lab[v])
+        before = lab.copy()
+        np.minimum.at(lab, lab[u], least)
+        np.minimum.at(lab, lab[v], least)
+        np.minimum.at(lab, u, least)
+        np.minimum.at(lab, v, least)
+        lab = lab[lab]
+        if (lab == before).all():
+            break
+    return lab
+
+
+def _compare(block: pd.DataFrame, least: float, kind: type) -> pd.DataFrame:
+    block = block.sort_values("place")
+    x, place, dim = _unit(block["vec"], kind), block["place"].to_numpy(), block["dim"].to_numpy()
+    reps, node = np.unique(block["rep"].to_numpy(), return_inverse=True)
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(WINDOW, len(block) - 1) + 1):
+        near = (place[step:] - place[:-step] <= WINDOW) & (dim[step:] == dim[:-step])
+        near &= _cosines(x[step:], x[:-step]) >= least
+        u.append(node[step:][near])
+        v.append(node[:-step][near])
+    root = forest(np.concatenate(u), np.concatenate(v), len(reps))
+    linked = np.flatnonzero(root != np.arange(len(reps)))
+    return pd.DataFrame({"u": reps[linked], "v": reps[root[linked]]})
 
 
-def _count(block: pd.DataFrame, least: float) -> pd.DataFrame:
+def _count(block: pd.DataFrame, least: float, kind: type) -> pd.DataFrame:
     """Links of each row of the left side to the right side of one block pair."""
-    left, right = block[block["side"] == 0], block[block["side"] == 1]
+    is_left = (block["side"] == 0).to_numpy()
+    left, right = block[is_left], block[~is_left]
     if left.empty or right.empty:
         return pd.DataFrame({"rep": [], "n": []}).astype("int64")
-    x = _unit_ragged(block["vec"])
-    a, b = x[(block["side"] == 0).to_numpy()], x[(block["side"] == 1).to_numpy()]
-    same = left["dim"].to_numpy()[:, None] == right["dim"].to_numpy()[None, :]
-    near = (a @ b.T >= least) & same & (left["rep"].to_numpy()[:, None] != right["rep"].to_numpy()[None, :])
+    x = _unit(block["vec"], kind)
+    a, b = x[is_left], x[~is_left]
+    cosine = a @ b.T
+    near = cosine >= least
+    i, j = np.nonzero(np.abs(cosine - least) < 1e-9)
+    near[i, j] = _cosines(a[i], b[j]) >= least
+    near &= (left["dim"].to_numpy()[:, None] == right["dim"].to_numpy()[None, :]) & (left["rep"].to_numpy()[:, None] != right["rep"].to_numpy()[None, :])
     return pd.DataFrame({"rep": left["rep"].to_numpy(), "n": near @ right["weight"].to_numpy()})
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector at cosine ``least`` or more."""
     spark = df.sparkSession
-    src = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id"])
+    element = df.schema[vector].dataType.elementType.simpleString()
+    kind, name = (np.float32, "float") if element in ("float", "tinyint", "smallint") else (np.float64, "double")
+    every = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(f"array<{name}>").alias("v"))
+    src = every.filter("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     src = cut(src.withColumn("fine", F.coalesce(fine, F.lit(False))))
     good = src.filter("fine").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("weight"), pa.array([np.array(v, dtype=np.float64).tobytes() for v in b.column("v").to_pylist()], pa.binary())], names=["rep", "weight", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("weight"), pa.array([np.array(v, dtype=kind).tobytes() for v in b.column("v").to_pylist()], pa.binary())], names=["rep", "weight", "vec"])
 
     reps = cut(good.mapInArrow(packed, "rep long, weight long, vec binary"))
-    keyed = reps.select("rep", "vec").mapInArrow(_keys, "pass int, dim int, key long, rep long, vec binary")
+    passes = passes_for(reps.count(), least)
+    keyed = reps.select("rep", "vec").mapInArrow(lambda it: _keys(it, passes, kind), "pass int, dim int, key long, rep long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["pass", "dim", "key", "rep"]
     ordered = cut(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
@@ -114,18 +158,18 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     placed = ordered.join(F.broadcast(offsets), "part").withColumn("place", F.col("before") + F.col("nth"))
     block = F.floor(F.col("place") / PLACES)
     again = F.when((F.col("place") % PLACES) >= PLACES - WINDOW, F.array(block, block + 1)).otherwise(F.array(block))
-    blocks = placed.select("place", "rep", "vec", F.struct("pass", "dim").alias("kind"), F.explode(again).alias("block"))
-    blocks = blocks.select("place", "rep", "vec", F.col("kind.dim").alias("dim"), F.col("kind.pass").alias("pass"), "block")
-    links = cut(blocks.groupBy("block").applyInPandas(lambda b: _compare(b, least), "u long, v long").filter("u <> v").distinct())
+    blocks = placed.select("place", "rep", "dim", F.explode(again).alias("block")).join(reps.select("rep", "vec"), "rep")
+    links = cut(blocks.groupBy("block").applyInPandas(lambda b: _compare(b, least, kind), "u long, v long").distinct())
     comps = cut(connected_components(links))
 
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
-    member = comps.withColumnRenamed("id", "rep").join(sizes, "component").join(reps, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("dim", F.expr("cast(length(vec) / 8 as int)"))
+    member = comps.withColumnRenamed("id", "rep").join(sizes, "component").join(reps, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("dim", F.length("vec"))
     all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pairs = member.select("component", F.col("own").alias("a"), all_blocks.alias("b"), F.lit(0).alias("side"), "rep", "weight", "dim", "vec").union(member.select("component", all_blocks.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), "rep", "weight", "dim", "vec"))
-    linked = pairs.groupBy("component", "a", "b").applyInPandas(lambda b: _count(b, least), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    linked = pairs.groupBy("component", "a", "b").applyInPandas(lambda b: _count(b, least, kind), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
     per_rep = reps.select("rep", "weight").join(linked, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     whole = good.select("v", "rep").join(per_rep, "rep").select("v", "n_links", "component_id")
     out = src.filter("fine").join(whole, "v").select("id", "n_links", "component_id").union(src.filter("NOT fine").select("id", F.lit(0).cast("long"), F.col("id")))
-    return out.select(F.col("id").alias(vec_id), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = out.union(every.filter("id IS NULL").select("id", F.lit(0).cast("long"), "id"))
+    return out.select(F.col("id").alias(vec_id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,26 @@ def test_embeddings_match_brute_force(spark):
     assert [rows[i]["component_id"] for i in range(305)] == want
     assert [rows[i]["n_links"] for i in range(305)] == [*near.sum(axis=1).tolist(), 0, 0, 0, 0, 0]
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 0.0]), (None, None), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (1, None), (2, [0.0, 2.0]), (3, [0.0, 1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, embeddings.near_vectors(odd).collect()), key=str) == sorted([(None, 0, None, True), (None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)], key=str)
+
+
+def test_embedding_recall_on_dense_groups(spark):
+    """Of pairs just over the threshold, in a table of dense groups, at least 99 of 100 are found."""
+    rng = np.random.default_rng(19)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    n, pairs = 20_000, 400
+    x = unit(0.8**0.5 * unit(rng.standard_normal((40, 48)))[rng.integers(0, 40, n)] + 0.2**0.5 * unit(rng.standard_normal((n, 48))))
+    e = rng.standard_normal((pairs, 48))
+    e = unit(e - (e * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
+    x = np.concatenate([x, 0.952 * x[:pairs] + (1 - 0.952**2) ** 0.5 * e]).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    found = embeddings.near_vectors(rows).toPandas().set_index("vec_id")["component_id"]
+    near = unit(x.astype(np.float64)) @ unit(x.astype(np.float64)).T >= 0.95
+    want = np.array(reach(len(x), zip(*np.nonzero(np.triu(near, 1)), strict=True)))
+    linked = np.flatnonzero(np.bincount(want)[want] > 1)
+    assert len(linked) >= 2 * pairs and (found.loc[linked].to_numpy() == want[linked]).mean() >= 0.99
+    assert [embeddings.passes_for(k) for k in (100, 50_000, 10**6, 10**9)] == [16, 16, 27, 85]
 
 
 # --- 6: repeated passages ---------------------------------------------------------------------
