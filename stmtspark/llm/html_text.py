@@ -5,15 +5,20 @@ class and id words, hashed words, and a few measures.  A bidirectional LSTM in n
 sequence in both directions and labels every block as article text or not; the blocks it keeps are
 joined in page order.
 
-The labeller is trained on at most ``max_pages`` pages (the least hashes of page_id), a bound that is
-the same for every input, and on TEMPLATES made-up block sequences.  Labels come from the pages' own
+The labeller is trained on at most ``max_pages`` pages (the least hashes of page_id, one page of an id),
+of each on PIECES runs of RUN blocks at most, a bound that is the same for every input, and on TEMPLATES
+made-up block sequences.  Labels come from the pages' own
 marks: blocks in article or main elements and outside navigation, asides, forms, notices, adverts and
 comments are text.  Each training page also appears in varied forms, with these marks renamed and
 with boilerplate of other kinds mixed in, so that the labels can't be read from one mark alone.
 
-Nulls and empty pages give an empty text.  Repeated pages give equal rows.  Characters that are left
-open (comments, tags, quotes) end with the page.  Other columns pass through, except that ``text``
-and ``n_chars`` are replaced.
+Only scripts, styles, titles and the raw text of text areas and frames are passed over while reading;
+what else is no article text is for the labeller to tell.  Reading is linear in the page: of deeply
+nested tags a block's path holds the outermost and innermost DEPTH.
+
+Nulls and empty pages give an empty text.  Repeated pages give equal rows, and null page_ids are pages as
+others, though not trained on.  Comments and tags that are left open end with the page.  Other columns
+pass through, except that ``text`` and ``n_chars`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,10 +40,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from stmtspark.llm.common import text_chunks
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
+RAW_TAGS = frozenset("script style textarea title iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)""", re.S)
+#: A quote opens only after an equals sign.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)""", re.S)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -45,6 +53,8 @@ PATH_DIMS, WORD_DIMS, MEASURES = 64, 32, 8
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 MAX_PAGES, TEMPLATES, VARIANTS, EPOCHS = 400, 100, 1, 12
+#: Blocks of a training sequence, and sequences of one page; open tags at either end of a path, and names of a tag.
+RUN, PIECES, DEPTH, NAMES = 400, 3, 24, 16
 
 
 @dataclass
@@ -60,6 +70,7 @@ class _Reader:
 
     blocks: list[Block] = field(default_factory=list)
     open: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    count: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -67,13 +78,21 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(text, tuple(w for _, own in self.open for w in own), self.linked))
+                near = self.open if len(self.open) <= 2 * DEPTH else self.open[:DEPTH] + self.open[-DEPTH:]
+                self.blocks.append(Block(text, tuple(w for _, own in near for w in own), self.linked))
             self.parts, self.linked = [], 0
 
+    def push(self, tag: str, attributes: str) -> None:
+        names = [w for x in _NAMES.findall(attributes) for w in _SPLIT.split("".join(x).lower()) if w]
+        self.open.append((tag, (tag, *(f".{w}" for w in names[:NAMES]))))
+        self.count[tag] += 1
+
     def close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        """End the innermost open ``tag`` and all inside it; nothing if there is none."""
+        while self.count[tag]:
+            last, _ = self.open.pop()
+            self.count[last] -= 1
+            if last == tag:
                 return
 
 
@@ -87,11 +106,11 @@ def blocks_of(page: str | None) -> list[Block]:
             if any(t == "a" for t, _ in reader.open[-3:]):
                 reader.linked += len(text)
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
         block = tag in BLOCK_TAGS
-        if m[1] or m[4]:
+        if m[1]:
             if block:
                 reader.end_block()
             reader.close(tag)
@@ -100,17 +119,18 @@ def blocks_of(page: str | None) -> list[Block]:
             reader.parts.append(" ")
         if block:
             reader.end_block()
-            if tag in CLOSES_P and any(t == "p" for t, _ in reader.open):
+            if tag in CLOSES_P and reader.count["p"]:
                 reader.close("p")
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and reader.open and reader.open[-1][0] == tag:
-                reader.open.pop()
+                reader.close(tag)
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag not in VOID_TAGS:
-            names = [w for x in _NAMES.findall(m[3] or "") for w in _SPLIT.split("".join(x).lower()) if w]
-            reader.open.append((tag, (tag, *(f".{w}" for w in names))))
+        # drawings and formulas are XML: a tag that ends in a slash has no content
+        empty = m[3].endswith("/") and (tag in ("svg", "math") or reader.count["svg"] or reader.count["math"])
+        if tag not in VOID_TAGS and not empty:
+            reader.push(tag, m[3])
     if at < len(page):
         reader.parts.append(page[at:])
     reader.end_block()
@@ -153,8 +173,8 @@ class BlockLabeller:
         rng = np.random.default_rng(seed)
         self.w = weights or {f"{k}{d}": v for d in "fb" for k, v in (("x", rng.normal(0, 0.15, (DIMS, 4 * HIDDEN))), ("h", rng.normal(0, 0.2, (HIDDEN, 4 * HIDDEN))), ("c", np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)))} | {"o": rng.normal(0, 0.2, 2 * HIDDEN), "b": np.zeros(1)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states over time for x (time, batch, DIMS); mask marks the real blocks."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Hidden states over time for x (time, batch, DIMS), and if asked what gradients need; mask marks the real blocks."""
         h = c = np.zeros((x.shape[1], HIDDEN))
         z, out, kept = x @ self.w["x" + d] + self.w["c" + d], np.empty((*x.shape[:2], HIDDEN)), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
@@ -165,7 +185,8 @@ class BlockLabeller:
             new_c = m * (f * c + i * g) + (1 - m) * c
             tc = np.tanh(new_c)
             new_h = m * (o * tc) + (1 - m) * h
-            kept.append((t, i, f, o, g, c, h, tc, m))
+            if keep:
+                kept.append((t, i, f, o, g, c, h, tc, m))
             h, c = new_h, new_c
             out[t] = h
         return out, kept
@@ -191,7 +212,7 @@ class BlockLabeller:
         return out
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        (hf, kf), (hb, kb) = self._run(x, mask, "f"), self._run(x, mask, "b")
+        (hf, kf), (hb, kb) = self._run(x, mask, "f", True), self._run(x, mask, "b", True)
         both = np.concatenate([hf, hb], axis=2)
         z = both @ self.w["o"] + self.w["b"]
         n = max(mask.sum(), 1)
@@ -289,25 +310,35 @@ def template(rng: random.Random) -> tuple[list[Block], np.ndarray]:
     return [b for b, _ in rows], np.array([t for _, t in rows])
 
 
+def run_starts(blocks: int) -> list[int]:
+    """Where the training runs of a page begin: of a long page its beginning, middle and end."""
+    if blocks <= RUN:
+        return [0]
+    last = blocks - RUN
+    return sorted({round(last * k / (PIECES - 1)) for k in range(PIECES)})
+
+
 def train(pages: DataFrame, page_id: str = "page_id", markup: str = "html", max_pages: int = MAX_PAGES) -> BlockLabeller:
     """A labeller from at most ``max_pages`` pages and the templates."""
-    chosen = pages.filter(F.col(markup).isNotNull()).orderBy(F.xxhash64(page_id, F.lit(3)), page_id).select(F.col(page_id).alias("id")).limit(max_pages)
+    named = pages.select(F.col(page_id).cast("long").alias("id"), F.col(markup).alias("page")).filter("id IS NOT NULL AND page IS NOT NULL")
+    chosen = named.select("id").distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, ids = [], [], []
             for i, page in zip(batch.column("id").to_pylist(), batch.column("page").to_pylist(), strict=True):
-                blocks = blocks_of(page)
-                if len(blocks) and len(blocks) <= 400 and (labels := marked(blocks)) is not None:
-                    rng = random.Random(int(i or 0))
-                    for own, t in ((blocks, labels), *[varied(blocks, labels, rng) for _ in range(VARIANTS)]):
-                        x.append(vectors(own).tobytes())
-                        y.append(t.tobytes())
-                        ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["id", "x", "y"])
-
-    # max_pages ids at most, and max_pages * 400 block vectors come back
-    found = pages.select(F.col(page_id).alias("id"), F.col(markup).alias("page")).join(F.broadcast(chosen.distinct()), "id").mapInArrow(run, "id long, x binary, y binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+                blocks, x, y = blocks_of(page), [], []
+                if len(blocks) and (labels := marked(blocks)) is not None:
+                    rng = random.Random(i)
+                    for a in run_starts(len(blocks)):
+                        own, t = blocks[a : a + RUN], labels[a : a + RUN]
+                        for own, t in ((own, t), *[varied(own, t, rng) for _ in range(VARIANTS)]):
+                            x.append(vectors(own).tobytes())
+                            y.append(t.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(x), pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["id", "x", "y"])
+
+    # max_pages ids at most, one page of each, and PIECES runs of RUN blocks of it come back, twice
+    one = named.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("page").alias("page"))
+    found = one.mapInArrow(run, "id long, x binary, y binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     x = [np.frombuffer(b, np.float32).reshape(-1, DIMS) for b in found["x"].to_pylist()]
     y = [np.frombuffer(b, bool) for b in found["y"].to_pylist()]
     rng = random.Random(5)

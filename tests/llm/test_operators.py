@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -118,6 +119,18 @@ def test_blocks():
     assert html_text.blocks_of(None) == [] and html_text.blocks_of("<!-- open") == [] and [b.text for b in html_text.blocks_of("a < b")] == ["a < b"]
 
 
+def test_blocks_of_odd_markup():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<article><p title=it's>First part.</p><p>We don't stop.</p></article>") == ["First part.", "We don't stop."]
+    assert texts("<p title='a > b' x=\"<p>\">one</p><p x=>two") == ["one", "two"]
+    assert texts("<p>a <math><mi>x</mi></math> <svg/>b<svg><path d=1 /><text>t</text></svg></p><noscript><p>real</p></noscript>") == ["a x bt", "real"]
+    assert texts("<p>a<object><p>b<canvas>c</canvas>") == ["a", "bc"] and texts("<p>x<div a='1") == ["x"]
+    began = time.monotonic()
+    assert len(html_text.blocks_of("<div>a" * 30_000)) == 30_000 and len(html_text.blocks_of("<i x=" * 50_000 + "<p>" * 50_000 + "t")) == 1
+    assert html_text.blocks_of("<p x=" + '="' * 100_000) == [] and time.monotonic() - began < 20
+    assert html_text.run_starts(400) == [0] and html_text.run_starts(1000) == [0, 300, 600]
+
+
 def test_labeller_gradients_and_extraction(spark):
     rng = random.Random(6)
     x = [html_text.vectors(html_text.template(rng)[0]) for _ in range(3)]
@@ -135,8 +148,10 @@ def test_labeller_gradients_and_extraction(spark):
         assert abs((up - down) / 2e-5 - grad[key][at]) < 1e-6
     page = lambda i: f'<body><nav><ul><li><a href="/a">menu {i}</a></li></ul></nav><div class="ad">buy {i} now</div><article><h1>Title {i}</h1><p>{" ".join(prose(rng, 30))}.</p><p>Second {i}.</p></article><footer>&copy; site {i}</footer></body>'
     html = [page(i) for i in range(40)]
-    rows = spark.createDataFrame([(i, h, "mine") for i, h in enumerate([*html, None, "", "<p></p>", html[0]])], "page_id long, html string, text string")
-    out = {r["page_id"]: r for r in html_text.extract(rows, html_text.train(rows)).collect()}
+    rows = spark.createDataFrame([(i, h, "mine") for i, h in enumerate([*html, None, "", "<p></p>", html[0]])] + [(0, html[0], "mine")] * 9 + [(None, html[1], "mine")] * 2, "page_id long, html string, text string")
+    made = html_text.extract(rows, html_text.train(rows)).collect()
+    out = {r["page_id"]: r for r in made}
+    assert len(made) == 55 and out[None]["text"] == out[1]["text"]
     want = lambda h: "\n".join(b.text for b in html_text.blocks_of(h) if "article" in b.path)
     assert sum(out[i]["text"] == want(h) for i, h in enumerate(html)) >= 39
     assert [out[i]["text"] for i in (40, 41, 42)] == ["", "", ""] and out[43]["text"] == out[0]["text"] and out[0]["n_chars"] == len(out[0]["text"])
