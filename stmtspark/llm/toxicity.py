@@ -6,12 +6,14 @@ and a counterfactual term: each labelled text that names an identity group is co
 identity term swapped for the next one of its family, and the squared change of the score between
 the two is penalised.  So a neutral mention of a group moves no score, whatever the labels suggest.
 
-Labels are learnt from at most ``max_rows`` labelled rows (the least hashes of doc_id); that bound is
-the same for every input.  Features that tell nothing are sifted out by a grouped sum, and the rest of
-those rows is fitted in the driver.  Every text is scored, whole.
+Labels are learnt from at most ``max_rows`` labelled documents (the least hashes of doc_id); that bound
+is the same for every input.  Features whose gradient without any weight is under half of the L1 term are
+sifted out by a grouped sum; that is an approximation, since such a feature could gain a weight later.  The
+rest of those rows is fitted in one task, whose memory the bound limits.  Every text is scored, whole.
 
 Nulls and empty texts have no features and get the score of the intercept.  Labels that are null or
-belong to no document are left out; of several labels of one document the highest counts.  With no
+belong to no document are left out; of several labels of one document the highest counts, and of several
+texts of one doc_id the least.  Documents with a null doc_id are scored and not learnt from.  With no
 labelled row, or with labels of one kind only, nothing is learnt: scores are next to 0, or next to 1
 where all labels are 1.
 """
@@ -34,7 +36,7 @@ PREFIXES = (3, 4, 5, 6)
 MAX_ROWS = 12_000
 LEAST_DF = 4
 L1, COUNTERFACTUAL, STEPS = 1e-3, 1.0, 120
-_KEPT = 300_000
+_KEPT = 150_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’¡¿…–—|"
 
 #: Families of identity terms; a counterfactual text has each replaced by the next of its family.
@@ -181,28 +183,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str, ...], ...] = IDENTITY, max_rows: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Features, labels and counterfactual changes of at most ``max_rows`` labelled documents, in doc_id order."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str, ...], ...] = IDENTITY, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, toxic, f, gained, lost): features and counterfactual changes of at most ``max_rows`` labelled documents."""
     swap = swaps(families)
-    chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows)
+    chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for t in batch.column("text").to_pylist():
-                own = words(t)
-                named = own & swap.keys()
-                other = (own - named) | {swap[w] for w in named}
-                for part, x in zip(out, (own, other - own, own - other), strict=True):
-                    part.append(doc_features(x))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *[pa.array(x, pa.list_(pa.int32())) for x in out]], names=["doc_id", "toxic", "f", "gained", "lost"])
-
-    # at most max_rows ids, so the broadcast has a fixed bound
-    found = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>"))
+            texts = batch.column("text").to_pylist()
+            for a, b in text_chunks(texts):
+                out: tuple[list, list, list] = ([], [], [])
+                for t in texts[a:b]:
+                    own = words(t)
+                    named = own & swap.keys()
+                    other = (own - named) | {swap[w] for w in named}
+                    for part, x in zip(out, (own, other - own, own - other), strict=True):
+                        part.append(doc_features(x))
+                kept = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("toxic"), *[pa.array(x, pa.list_(pa.int32())) for x in out]], names=["doc_id", "toxic", "f", "gained", "lost"])
+
+    # at most max_rows ids, so the broadcast has a fixed bound; one text of each
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = cut(one.mapInArrow(run, "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>"))
     total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
-    used = telling_features(found, total["n"], total["pos"])
     wanted = np.zeros(DIMS, dtype=bool)
-    wanted[used] = True
+    wanted[telling_features(found, total["n"], total["pos"])] = True
     kept = found.sparkSession.sparkContext.broadcast(wanted)
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +217,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame, families: tuple[tuple[
             left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), list_array(flat[keep], left), batch.column("gained"), batch.column("lost")], names=batch.schema.names)
 
-    rows = found.mapInArrow(only, found.schema).toArrow().sort_by("doc_id")
-    as_arrays = lambda name: [np.asarray(x.values, dtype=np.int32) for x in rows[name]]
-    gained, lost = as_arrays("gained"), as_arrays("lost")
-    return as_arrays("f"), rows["toxic"].to_numpy().astype(np.float64), [(g, s) for g, s in zip(gained, lost, strict=True) if len(g) or len(s)]
+    return found.mapInArrow(only, found.schema)
+
+
+def as_arrays(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """What ``fit`` takes, of labelled rows in doc_id order."""
+    rows = rows.sort_by("doc_id")
+    lists = lambda name: [np.asarray(x.values, dtype=np.int32) for x in rows[name]]
+    return lists("f"), rows["toxic"].to_numpy().astype(np.float64), [(g, s) for g, s in zip(lists("gained"), lists("lost"), strict=True) if len(g) or len(s)]
 
 
 def class_weight(share: float) -> tuple[float, float]:
@@ -249,12 +258,22 @@ def telling_features(found: DataFrame, n: int, positives: int, l1: float = L1) -
 
 
 def train(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str, ...], ...] = IDENTITY, max_rows: int = MAX_ROWS) -> Scorer:
-    return Scorer(*fit(*labelled_features(docs, labels, families, max_rows)))
+    """A scorer fitted in one task; only its weights that are not 0 come to the driver, the intercept at -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        weights, intercept = fit(*as_arrays(pa.Table.from_batches(rows))) if rows else fit([], np.zeros(0), [])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int32()), pa.array([intercept, *weights.values()], pa.float64())], names=["k", "w"])
+
+    found = labelled_rows(docs, labels, families, max_rows).repartition(1).mapInArrow(run, "k int, w double").toArrow()
+    weights = dict(zip(found["k"].to_pylist(), found["w"].to_pylist(), strict=True))
+    intercept = weights.pop(-1, -1e9)
+    return Scorer(weights, intercept)
 
 
-def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of each whole text; an existing one is replaced."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1) of each whole text in column ``into``; an existing one is replaced."""
+    docs = docs.drop(into)
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +281,6 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
             texts = batch.column(text).to_pylist()
             for a, b in text_chunks(texts):
                 kept = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([model.value.score(t) for t in texts[a:b]], pa.float64())], names=[*kept.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([model.value.score(t) for t in texts[a:b]], pa.float64())], names=[*kept.schema.names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))

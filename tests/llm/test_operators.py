@@ -95,12 +95,14 @@ def test_toxicity(spark):
     held = [r[0] for r in d.filter(toxicity.held_out(F.col("doc_id"))).select("doc_id").collect() if r[0] < 600]
     assert sum((out[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.97 * len(held)
     assert out[600] == out[601] and 0 <= out[600] < 0.5
+    again = spark.createDataFrame([(7, f"text {i}") for i in range(500)] + [(None, "x")], "doc_id long, text string")
+    assert toxicity.labelled_rows(again, spark.createDataFrame([(7, 1), (7, 0), (None, 1), (8, None)], "doc_id long, toxic int"), max_rows=2).count() == 1
     none = toxicity.train(d, lab.limit(0))
     assert none.score("vermin") < 0.5 and toxicity.score(docs(spark, []), scorer).count() == 0
 
 
 def test_counterfactuals_hold_identity_terms_still(spark):
-    rows, y, moves = toxicity.labelled_features(*labelled(spark, 0.5))
+    rows, y, moves = toxicity.as_arrays(toxicity.labelled_rows(*labelled(spark, 0.5)).toArrow())
     text = " ".join(prose(random.Random(9), 20, 300))
     change = []
     for weight in (0.0, 30.0):
