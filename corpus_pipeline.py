@@ -2,23 +2,29 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that
 is written and read again as the next one's docs.  All but the last return the columns of documents.
-Rows with a null doc_id belong to no group and pass the deduplication stages.
+Rows with a null doc_id belong to no group: they can be dropped as toxic, and pass the three stages after
+that unchanged.  Null and empty texts pass all stages.  Rows that repeat a doc_id are kept or dropped
+together, but for toxicity, which judges each text by itself; passages found in any of them are cut from
+all.  Ties go to the least doc_id.  Extra columns pass through all stages but the last, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtspark.llm import bpe, decontaminate, minhash, substrings, toxicity
 from stmtspark.llm.common import cut
 
+import public_tokenizers as tokenizers  # isort: skip  (after the subpackage, which may be missing)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of the labelled ones does not call toxic."""
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, scorer).filter("score < 0.5").select(*docs.columns)
+    into = next(n for n in ("score", "_score", "__score", "___score") if n not in docs.columns)
+    return toxicity.score(docs, scorer, into=into).filter(F.col(into) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ STAGES = [
     ("byte-level bpe", tokenise),
 ]
 
-#: No SQL: the classifier and the tokenizer can't be written in it; tests use a brute-force version.
+#: No SQL: the classifier and the tokenizer can't be written in it; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
