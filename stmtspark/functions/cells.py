@@ -20,9 +20,12 @@ def any_of(words: list[str]) -> str:
     return "|".join(r"\Q" + w + r"\E" for w in words)
 
 
+_SPACE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Trim all white space, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def let(value: Column, body) -> Column:
@@ -51,14 +54,28 @@ def _iso(t: Column) -> Column:
     )
 
 
+#: What a whole cell must look like to be a date; other cells take no further test.
+_DATE_SHAPE = r"^\d{1,2}(?:[/.\-]\d{1,2}[/.\-]|[\-\s][A-Za-z]{3,9}[\-\s])\d{2,4}$"
+
+
+def _date(t: Column) -> Column:
+    """The date of a stripped text of the right shape."""
+    return let(_iso(t).try_cast("date"), lambda d: F.when(d < F.lit("1970-01-01").cast("date"), d + F.expr("INTERVAL 100 YEARS")).otherwise(d).cast("date"))
+
+
 def parse_date(c: Column) -> Column:
     """The date of a whole cell, day first; null where it is none.  Years before 1970 are a century later."""
-    return let(let(strip(c), _iso).try_cast("date"), lambda d: F.when(d < F.lit("1970-01-01").cast("date"), d + F.expr("INTERVAL 100 YEARS")).otherwise(d).cast("date"))
+    return let(strip(c), lambda t: F.when(t.rlike(_DATE_SHAPE), _date(t)))
 
 
 def parse_date_leading(c: Column) -> Column:
     """The date of the whole cell, else of the text before its first space."""
-    return let(strip(c), lambda t: F.coalesce(parse_date(t), F.when(F.instr(t, " ") > 0, parse_date(F.substring_index(t, " ", 1)))))
+
+    def read(t: Column) -> Column:
+        head = let(F.substring_index(t, " ", 1), lambda h: F.when(h.rlike(_DATE_SHAPE), _date(h)))
+        return F.when(t.rlike(r"^\d"), F.coalesce(F.when(t.rlike(_DATE_SHAPE), _date(t)), F.when(F.instr(t, " ") > 0, head)))
+
+    return let(strip(c), read)
 
 
 _MONEY = r"(?i)^\s*(-)?\s*(?:(?:INR|RS|₹)\.?\s*)?(\d{1,3}(?:,\d{2,3})*(?:\.\d+)?|\d+(?:\.\d+)?)\s*(\(?\s*(?:DR|CR)\s*\)?\.?)?\s*$"
@@ -66,21 +83,23 @@ _MONEY = r"(?i)^\s*(-)?\s*(?:(?:INR|RS|₹)\.?\s*)?(\d{1,3}(?:,\d{2,3})*(?:\.\d+
 
 def parse_money(c: Column) -> Column:
     """struct<value, sign>: magnitude and DR, CR or null; value is null where the cell is no money."""
+    none = F.struct(F.lit(None).cast(MONEY).alias("value"), F.lit(None).cast("string").alias("sign"))
 
     def read(g: Column) -> Column:
-        digits = F.regexp_replace(g["number"], ",", "")
-        bare = ~g["number"].rlike("[.,]") & (g["mark"] == "")
-        identifier = bare & g["number"].rlike(r"^(?:\d{10,}|0\d+)$")
-        value = F.when((g["number"] != "") & ~identifier, digits.try_cast(MONEY))
-        sign = F.when(g["mark"].rlike("(?i)d"), "DR").when(g["mark"] != "", "CR").when(g["minus"] == "-", "DR")
-        return F.struct(value.alias("value"), F.when(value.isNotNull(), sign).alias("sign"))
+        minus, number, mark = (F.get(g, F.lit(i)) for i in range(3))
+        bare = ~number.rlike("[.,]") & (mark == "")
+        identifier = bare & number.rlike(r"^(?:\d{10,}|0\d+)$")
+        sign = F.when(F.contains(F.lower(mark), F.lit("d")), "DR").when(mark != "", "CR").when(minus == "-", "DR")
+        value = F.when(~identifier, F.replace(number, F.lit(","), F.lit("")).try_cast(MONEY))
+        return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNotNull(), sign).alias("sign")))
 
-    groups = F.struct(*[F.coalesce(F.regexp_extract(c, _MONEY, i), F.lit("")).alias(n) for i, n in ((1, "minus"), (2, "number"), (3, "mark"))])
-    return let(groups, read)
+    # one look at the whole pattern for most cells; its three groups only where it matches
+    groups = F.split(F.regexp_replace(c, _MONEY, "$1;$2;$3"), ";")
+    return F.when(c.rlike(_MONEY), let(groups, read)).otherwise(none)
 
 
 def is_money(c: Column) -> Column:
-    return F.coalesce(parse_money(c)["value"].isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(_MONEY) & parse_money(c)["value"].isNotNull(), F.lit(False))
 
 
 def signed_balance(c: Column) -> Column:
@@ -89,8 +108,8 @@ def signed_balance(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Null and "nan" to "", white space collapsed, cut at the first boilerplate text."""
-    t = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    return F.when(F.lower(t) == "nan", "").otherwise(strip(F.regexp_replace(t, f"(?is)(?:{any_of(fixed.BOILERPLATE)}).*$", "")))
+    cut = f"(?is)(?:{any_of(fixed.BOILERPLATE)}).*$"
+    return let(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), lambda t: F.when(F.lower(t) == "nan", "").when(F.length(t) < min(map(len, fixed.BOILERPLATE)), t).otherwise(strip(F.regexp_replace(t, cut, ""))))
 
 
 def raw_clean(c: Column) -> Column:
@@ -210,8 +229,8 @@ def split_money_cells(cells: Column) -> Column:
     """A cell of two or more amounts becomes several cells."""
 
     def parts(c: Column) -> Column:
-        own = F.split(strip(c), r"\s+")
-        return F.when((F.size(own) >= 2) & F.forall(own, is_money), own).otherwise(F.array(c))
+        own = let(F.split(strip(c), r"\s+"), lambda w: F.when((F.size(w) >= 2) & F.forall(w, is_money), w))
+        return F.when(c.rlike(r"\d\S*\s+\S*\d"), F.coalesce(own, F.array(c))).otherwise(F.array(c))
 
     return F.flatten(F.transform(cells, parts))
 
@@ -220,7 +239,8 @@ def facts(cells: Column) -> Column:
     """array<struct<i, text, date, value, sign>>: what each cell says, to be worked out once."""
 
     def fact(c: Column, i: Column) -> Column:
-        return let(parse_money(c), lambda m: F.struct(i.alias("i"), c.alias("text"), parse_date_leading(c).alias("lead"), parse_date(c).alias("date"), m["value"].alias("value"), m["sign"].alias("sign")))
+        lead = lambda m: let(parse_date_leading(c), lambda d: F.struct(i.alias("i"), c.alias("text"), d.alias("lead"), F.when(d.isNotNull(), parse_date(c)).alias("date"), m["value"].alias("value"), m["sign"].alias("sign")))
+        return let(parse_money(c), lead)
 
     return F.transform(cells, fact)
 

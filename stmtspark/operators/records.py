@@ -42,36 +42,48 @@ def info_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("label = 'info'")
 
 
-def resolve_headers(rows: DataFrame, alternative: DataFrame | None = None) -> DataFrame:
-    """(statement_id, headers): the first header row, else a fitting alternative, else defaults."""
+def with_headers(rows: DataFrame, alternative: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the headers of their statement: the first header row, else a fitting alternative, else defaults."""
     own = F.when(F.col("label") == "header", C.split_header_row(F.col("cells"))).otherwise(C.clean_entry_row(F.col("cells")))
-    named = F.transform(own, lambda c: F.when(C.strip(c) == "", "UNKNOWN").otherwise(C.strip(c)))
-    heads = rows.filter(F.col("label").isin("header", "header-kw")).groupBy("statement_id").agg(F.min_by(C.split_merged_headers(named), "seq").alias("own"))
-    widths = rows.groupBy("statement_id").agg(F.max(F.size("cells")).alias("width"))
-    out = widths.join(heads, "statement_id", "left")
-    default = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda i: F.coalesce(F.get(F.array(*[F.lit(h) for h in DEFAULT_HEADERS]), i - 1), F.concat(F.lit("UNKNOWN_"), i.cast("string"))))
+    named = F.transform(own, lambda c: C.let(C.strip(c), lambda t: F.when(t == "", "UNKNOWN").otherwise(t)))
+    is_head = F.col("label").isin("header", "header-kw")
+    t = rows.withColumn("_own", F.when(is_head, C.split_merged_headers(named)))
+    t = t.withColumns({"_own": F.min_by("_own", F.when(is_head, F.col("seq"))).over(_by()), "_width": F.max(F.size("cells")).over(_by())})
+    default = F.transform(F.sequence(F.lit(1), F.greatest("_width", F.lit(1))), lambda i: F.coalesce(F.get(F.array(*[F.lit(h) for h in DEFAULT_HEADERS]), i - 1), F.concat(F.lit("UNKNOWN_"), i.cast("string"))))
     if alternative is None:
-        return out.select("statement_id", F.coalesce("own", default).alias("headers"))
-    cleaned = F.transform("alt", lambda c: F.coalesce(F.nullif(C.strip(F.regexp_replace(c, r"\(\s*\)", "")), F.lit("")), F.lit("UNKNOWN")))
-    fits = F.when(F.size("alt") == F.col("width"), cleaned)
-    return out.join(alternative.select("statement_id", F.col("headers").alias("alt")), "statement_id", "left").select("statement_id", F.coalesce("own", fits, default).alias("headers"))
+        return t.withColumn("headers", F.coalesce("_own", default)).drop("_own", "_width")
+    cleaned = F.transform("_alt", lambda c: F.coalesce(F.nullif(C.strip(F.regexp_replace(c, r"\(\s*\)", "")), F.lit("")), F.lit("UNKNOWN")))
+    fits = F.when(F.size("_alt") == F.col("_width"), cleaned)
+    t = t.join(alternative.select("statement_id", F.col("headers").alias("_alt")), "statement_id", "left")
+    return t.withColumn("headers", F.coalesce("_own", fits, default)).drop("_own", "_width", "_alt")
+
+
+def resolve_headers(rows: DataFrame, alternative: DataFrame | None = None) -> DataFrame:
+    """(statement_id, headers) of each statement."""
+    return with_headers(rows, alternative).groupBy("statement_id").agg(F.first("headers").alias("headers"))
 
 
-def build_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """One record per entry row; its c-entry rows append their cells to the same columns."""
+def build_records(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """One record per entry row; its c-entry rows append their cells to the same columns.
+
+    Without ``headers`` (statement_id, headers) each statement's own are used, in the same partitioning.
+    Of columns of one name the last gives the entry's cell.
+    """
+    t = with_headers(rows) if headers is None else rows.join(headers, "statement_id")
     so_far = _by().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = rows.filter(F.col("label").isin("entry", "c-entry")).withColumn("record", F.sum((F.col("label") == "entry").cast("int")).over(so_far)).filter("record > 0")
+    kept = t.filter(F.col("label").isin("entry", "c-entry")).withColumn("record", F.sum((F.col("label") == "entry").cast("int")).over(so_far)).filter("record > 0")
     # null, blank and absent cells of a row are "" in an entry and nothing in a continuation
-    wide = kept.join(headers, "statement_id").withColumn("cells", C.clean_entry_row(F.col("cells")))
-    cols = wide.select("statement_id", "record", "seq", "label", "headers", F.posexplode("headers").alias("i", "header"), "cells").withColumn("cell", F.coalesce(F.get("cells", F.col("i")), F.lit("")))
-    part = cols.groupBy("statement_id", "record", "header").agg(
-        F.min("i").alias("i"),
-        F.max_by("cell", F.when(F.col("label") == "entry", F.col("i"))).alias("first"),
-        F.sort_array(F.collect_list(F.when((F.col("label") == "c-entry") & (F.col("cell") != ""), F.struct("seq", F.col("i").alias("k"), "cell")))).alias("more"),
-    )
-    text = C.strip(F.array_join(F.concat(F.array("first"), F.transform("more", lambda m: m["cell"])), " "))
-    recs = part.withColumn("text", text).groupBy("statement_id", "record").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("header", "text")))).alias("rec"))
-    return recs.join(headers, "statement_id").select("statement_id", F.col("record").cast("int").alias("seq"), "rec", F.array_distinct("headers").alias("headers"))
+    one = kept.groupBy("statement_id", "record").agg(F.first("headers").alias("headers"), F.sort_array(F.collect_list(F.struct("seq", C.clean_entry_row(F.col("cells")).alias("cells")))).alias("parts"))
+
+    def text(h: Column, heads: Column, parts: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(heads) - 1), lambda i: F.get(heads, i) == h)
+        cell = lambda p, i: F.coalesce(F.get(p["cells"], i), F.lit(""))
+        more = F.flatten(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.filter(F.transform(places, lambda i: cell(p, i)), lambda c: c != "")))
+        return C.strip(F.array_join(F.concat(F.array(cell(F.get(parts, F.lit(0)), F.get(places, F.size(places) - 1))), more), " "))
+
+    names = F.array_distinct("headers")
+    rec = F.map_from_arrays(names, F.transform(names, lambda h: text(h, F.col("headers"), F.col("parts"))))
+    return one.select("statement_id", F.col("record").cast("int").alias("seq"), rec.alias("rec"), names.alias("headers"))
 
 
 def _value(key: Column) -> Column:
@@ -95,50 +107,74 @@ def _description_column(headers: Column) -> Column:
     return F.get(F.filter(headers, lambda h: F.lower(h).rlike(pattern)), F.lit(0))
 
 
-def repair_collapsed_dates(records: DataFrame) -> DataFrame:
-    """Several dates in one date cell, with the first date column empty, go to the date columns in order."""
-    t = records.withColumn("desc", _description_column(F.col("headers")))
-    t = t.withColumn("dates", F.filter(F.slice("headers", F.lit(1), F.greatest(F.array_position("headers", F.col("desc")).cast("int") - 1, F.lit(0))), lambda h: F.contains(F.lower(h), F.lit("date"))))
-    t = t.withColumn("source", F.get(F.filter(F.slice("dates", 2, 1000), lambda h: C.strip(F.coalesce(F.element_at("rec", h), F.lit(""))) != ""), F.lit(0)))
-    cell = _value(F.col("source"))
+def _before(headers: Column, name: Column) -> Column:
+    """The headers to the left of one; none if it is null."""
+    return F.slice(headers, F.lit(1), F.greatest(F.coalesce(F.array_position(headers, name), F.lit(0)).cast("int") - 1, F.lit(0)))
+
+
+def _peeled(cell: Column) -> Column:
+    """struct<rest, found>: the date texts that lead a cell, one after the other."""
 
     def peel(s: Column, _: Column) -> Column:
         hit = F.regexp_extract(s["rest"], fixed.COLLAPSED_DATE, 1)
         rest = F.regexp_replace(F.regexp_replace(s["rest"], fixed.COLLAPSED_DATE, ""), r"^\s+", "")
-        return F.when(hit == "", s).otherwise(F.struct(rest.alias("rest"), F.concat(s["found"], F.array(hit)).alias("found")))
+        return C.let(hit, lambda h: F.when(h == "", s).otherwise(F.struct(rest.alias("rest"), F.concat(s["found"], F.array(h)).alias("found"))))
 
     # a date takes six characters at least, so the cell's length bounds the number of peels
     steps = F.sequence(F.lit(1), F.greatest(F.floor(F.length(cell) / 6).cast("int"), F.lit(1)))
-    t = t.withColumn("p", F.when(F.col("source").isNotNull() & (_value(F.get("dates", F.lit(0))) == ""), F.aggregate(steps, F.struct(cell.alias("rest"), F.array().cast("array<string>").alias("found")), peel)))
-    fits = F.coalesce(F.size("p.found") >= 2, F.lit(False))
-    spread = F.transform_values("rec", lambda k, v: F.when(F.array_contains("dates", k), F.coalesce(F.get("p.found", F.array_position("dates", k).cast("int") - 1), F.lit(""))).when(k == F.col("desc"), C.strip(F.concat_ws(" ", F.nullif("p.rest", F.lit("")), C.strip(v)))).otherwise(v))
-    return t.withColumn("rec", F.when(fits, spread).otherwise(F.col("rec"))).drop("desc", "dates", "source", "p")
+    return F.aggregate(steps, F.struct(cell.alias("rest"), F.array().cast("array<string>").alias("found")), peel)
+
+
+def repair_collapsed_dates(records: DataFrame) -> DataFrame:
+    """Several dates in one date cell, with the first date column empty, go to the date columns in order."""
+    rec = F.col("rec")
+
+    def spread(desc: Column, dates: Column, p: Column) -> Column:
+        text = F.concat_ws(" ", F.nullif(p["rest"], F.lit("")), C.strip(F.element_at(rec, desc)))
+        new = lambda k, v: F.when(F.array_contains(dates, k), F.coalesce(F.get(p["found"], F.array_position(dates, k).cast("int") - 1), F.lit(""))).when(k == desc, C.strip(text)).otherwise(v)
+        return F.when(F.size(p["found"]) >= 2, F.transform_values(rec, new)).otherwise(rec)
+
+    def with_dates(desc: Column, dates: Column) -> Column:
+        source = F.get(F.filter(F.slice(dates, 2, 1000), lambda h: _value(h) != ""), F.lit(0))
+        empty = F.coalesce(_value(F.get(dates, F.lit(0))) == "", F.lit(False))
+        fixed_rec = C.let(source, lambda h: F.when(h.isNotNull(), C.let(_value(h), lambda cell: F.when(cell.rlike(fixed.COLLAPSED_DATE), C.let(_peeled(cell), lambda p: spread(desc, dates, p))))))
+        return F.when(empty, fixed_rec)
+
+    is_date = lambda h: F.contains(F.lower(h), F.lit("date"))
+    new = C.let(_description_column(F.col("headers")), lambda desc: C.let(F.filter(_before(F.col("headers"), desc), is_date), lambda dates: with_dates(desc, dates)))
+    return records.withColumn("rec", F.coalesce(new, rec))
 
 
 def relocate_leading_date(records: DataFrame) -> DataFrame:
     """A date that leads the description moves to its empty date column; text after a date moves back."""
-    t = records.withColumn("desc", _description_column(F.col("headers")))
+    rec, headers = F.col("rec"), F.col("headers")
     is_date = lambda h: F.contains(F.lower(h), F.lit("date"))
-    left = F.filter(F.slice("headers", F.lit(1), F.greatest(F.array_position("headers", F.col("desc")).cast("int") - 1, F.lit(0))), is_date)
-    t = t.withColumn("date", F.coalesce(F.get(left, F.size(left) - 1), F.get(F.filter("headers", is_date), F.lit(0))))
-    t = t.withColumn("d", _value(F.col("date"))).withColumn("x", _value(F.col("desc"))).withColumn("dl", C.leading_date(F.col("d"))).withColumn("xl", C.leading_date(F.col("x")))
-    usable = F.col("desc").isNotNull() & F.col("date").isNotNull() & (F.col("date") != F.col("desc"))
-    a = usable & (F.col("d") == "") & (F.col("xl.date") != "")
-    b = usable & (F.col("dl.date") != "") & F.col("dl.rest").rlike("[A-Za-z]")
-    moved = _with(F.col("rec"), [(F.col("date"), F.col("xl.date")), (F.col("desc"), F.col("xl.rest"))])
-    back = _with(F.col("rec"), [(F.col("date"), F.col("dl.date")), (F.col("desc"), C.strip(F.concat_ws(" ", "dl.rest", "x")))])
-    return t.withColumn("rec", F.when(a, moved).when(b, back).otherwise(F.col("rec"))).drop("desc", "date", "d", "x", "dl", "xl")
+
+    def moved(desc: Column, date: Column, d: Column, x: Column) -> Column:
+        to_date = C.let(C.leading_date(x), lambda xl: F.when(xl["date"] != "", _with(rec, [(date, xl["date"]), (desc, xl["rest"])])))
+        to_text = C.let(C.leading_date(d), lambda dl: F.when((dl["date"] != "") & dl["rest"].rlike("[A-Za-z]"), _with(rec, [(date, dl["date"]), (desc, C.strip(F.concat_ws(" ", dl["rest"], x)))])))
+        return F.when(d == "", to_date).otherwise(to_text)
+
+    def with_names(desc: Column, left: Column) -> Column:
+        date = F.coalesce(F.get(left, F.size(left) - 1), F.get(F.filter(headers, is_date), F.lit(0)))
+        pair = lambda h: F.when(h.isNotNull() & (h != desc), C.let(F.struct(_value(h).alias("d"), _value(desc).alias("x")), lambda v: moved(desc, h, v["d"], v["x"])))
+        return F.when(desc.isNotNull(), C.let(date, pair))
+
+    new = C.let(_description_column(headers), lambda desc: C.let(F.filter(_before(headers, desc), is_date), lambda left: with_names(desc, left)))
+    return records.withColumn("rec", F.coalesce(new, rec))
 
 
 def column_statistics(records: DataFrame) -> DataFrame:
     """(statement_id, header, i, dates, blank, filled, flagged) in one pass over the exploded records."""
-    cols = records.select("statement_id", F.posexplode("headers").alias("i", "header"), "rec").withColumn("v", _value(F.col("header")))
+    cols = records.select("statement_id", "seq", F.posexplode("headers").alias("i", "header"), "rec").withColumn("v", _value(F.col("header")))
     return cols.groupBy("statement_id", "header").agg(
         F.min("i").alias("i"),
         F.count_if(C.row_date(F.col("v")).isNotNull()).alias("dates"),
         F.min(F.col("v") == "").alias("blank"),
         F.count_if(F.col("v") != "").alias("filled"),
         F.count_if(F.col("v").rlike(fixed.AMOUNT_FLAG)).alias("flagged"),
+        F.min("seq").alias("least"),
+        F.max("seq").alias("most"),
     )
 
 
@@ -152,14 +188,20 @@ def column_profile(records: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("blank"), F.col("header"))).alias("blanks"),
         F.min_by("header", F.when(fits, F.col("i"))).alias("amount"),
         (F.max(norm.rlike("debit|withdrawal")) & F.max(norm.rlike("credit|deposit"))).alias("paired"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
     )
 
 
-_PROFILE = ("date_col", "hits", "blanks", "amount", "paired")
+_PROFILE = ("date_col", "hits", "blanks", "amount", "paired", "least", "most")
 
 
 def _profiled(records: DataFrame) -> DataFrame:
-    return records if "date_col" in records.columns else records.join(column_profile(records), "statement_id", "left")
+    if "date_col" in records.columns:
+        return records
+    # both sides read the same columns of one exchange, so it is made once
+    records = records.repartition("statement_id")
+    return records.join(column_profile(records), "statement_id", "left")
 
 
 def to_chronological(records: DataFrame) -> DataFrame:
@@ -171,8 +213,8 @@ def _chronological(t: DataFrame) -> DataFrame:
     t = t.withColumn("day", F.when(F.col("hits") >= 2, C.row_date(F.element_at("rec", F.col("date_col")))))
     before = F.last("day", ignorenulls=True).over(_by().orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("step", F.when(F.col("day") > before, 1).when(F.col("day") < before, -1).otherwise(0))
-    t = t.withColumns({"down": F.sum("step").over(_by()) < 0, "n": F.max("seq").over(_by()), "least": F.min("seq").over(_by())})
-    return t.withColumn("seq", F.when(F.col("down"), F.col("n") + F.col("least") - F.col("seq")).otherwise(F.col("seq"))).drop("day", "step", "down", "n", "least")
+    t = t.withColumn("down", F.sum("step").over(_by()) < 0)
+    return t.withColumn("seq", F.when(F.col("down"), F.col("most") + F.col("least") - F.col("seq")).otherwise(F.col("seq"))).drop("day", "step", "down")
 
 
 def _without_blank(t: DataFrame, pattern: str) -> DataFrame:

@@ -39,7 +39,7 @@ def labelled_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     rows = records.drop_removed(records.rescue_header(labelled_rows(spark, d)))
-    return records.build_records(rows, records.resolve_headers(rows))
+    return records.build_records(rows)
 
 
 def _text(recs: DataFrame) -> DataFrame:
