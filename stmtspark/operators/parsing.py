@@ -92,8 +92,9 @@ def _opening() -> Column:
     return F.min_by("bal", F.when(F.col("opens") & F.col("bal").isNotNull(), F.col("seq"))).over(_by())
 
 
-def _openings(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("statement_id").agg(F.first("opening").alias("opening"))
+def openings_of(parsed: DataFrame) -> DataFrame:
+    """(statement_id, opening) of every parsed statement."""
+    return parsed.groupBy("statement_id").agg(F.first("opening", ignorenulls=True).alias("opening"))
 
 
 def _extend_reference(ref: Column, conts: Column, drop: Column) -> Column:
@@ -118,10 +119,12 @@ def _extend_reference(ref: Column, conts: Column, drop: Column) -> Column:
     return F.aggregate(conts, F.struct(ref.alias("ref"), F.lit("").alias("text")), row)
 
 
-def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(transactions, openings) of columnar and linear statements, before ``finalize``.
+def parse_rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
+    """Transactions of columnar and linear statements, before ``finalize``.
 
-    ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank.
+    ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank.  A
+    statement that does not begin with a transaction has a row more, with bare true: it carries the
+    opening balance, so that one pass gives both.
     """
     rows = _rows(cells, banks, around=False)
     start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("alnum") & F.col("is_head"), F.col("seq"))).over(_by()))
@@ -139,14 +142,14 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
         }
     )
     rows = rows.withColumn("ref", F.last(F.when(F.col("txn"), F.col("ref0")), ignorenulls=True).over(_so_far()))
-    openings = _openings(rows)
     cont = F.col("fit") & ~F.col("txn") & ~F.col("in_footer") & (F.col("txn_id") > 0) & ~F.col("leading") & F.col("table_txn")
-    used = rows.filter(F.col("txn") | cont).withColumn("mark", _mark(F.col("facts"), F.col("bal_i")))
+    rows = rows.withColumn("bare", ~F.col("txn") & ~F.coalesce(cont, F.lit(False)) & (F.col("seq") == 1))
+    used = rows.filter(F.col("txn") | cont | F.col("bare")).withColumn("mark", _mark(F.col("facts"), F.col("bal_i")))
     amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.coalesce("debit_col", "colmap.debit"), F.coalesce("credit_col", "colmap.credit"))
     text = C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.col("ref"), F.col("drop_code_cells"))
     first = lambda c, when: F.min_by(c, F.when(when, F.col("seq")))
-    used = used.select("statement_id", "txn_id", "opening", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
-    group = used.groupBy("statement_id", "txn_id").agg(
+    used = used.select("statement_id", "txn_id", "bare", "opening", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
+    group = used.groupBy("statement_id", "bare", "txn_id").agg(
         F.min("seq").alias("seq"),
         F.first("opening").alias("opening"),
         first("date", F.col("txn")).alias("date"),
@@ -161,8 +164,9 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
     whole = F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != ""), " ")
     wrapped = _extend_reference(F.col("ref"), F.slice("parts", F.lit(2), F.size("parts")), F.col("drop"))
     group = group.withColumn("w", F.when(F.col("explode"), wrapped))
-    txns = group.select(
+    return group.select(
         "statement_id",
+        "bare",
         "opening",
         "seq",
         "date",
@@ -174,7 +178,6 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFrame
         F.col("amount.debit").alias("col_dr"),
         F.col("amount.credit").alias("col_cr"),
     )
-    return txns, openings
 
 
 def join_fragments(parts: Column, glued: Column | None = None) -> Column:
@@ -191,8 +194,8 @@ def join_fragments(parts: Column, glued: Column | None = None) -> Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("glue")), step, lambda s: C.strip(s["out"]))
 
 
-def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(transactions, openings) of statements whose narration stands above and below the amount row.
+def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """Transactions, as ``parse_rows`` gives them, of statements whose narration stands above and below the amount row.
 
     ``glue`` (statement_id, text) has the narration lines that were broken inside a word.
     """
@@ -212,13 +215,13 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
     rows = rows.withColumn("ref", F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.lit(False))))
     rows = rows.withColumn("text", C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.when(F.col("txn"), F.col("ref")).otherwise(""), F.lit(False)))
     rows = rows.withColumn("opening", _opening())
-    openings = _openings(rows)
     narration = F.col("live") & ~F.col("txn") & ~F.col("in_footer") & ((F.col("seen") > 0) | F.col("header_keywords").isNotNull()) & (F.col("text") != "")
     amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.col("debit_col"), F.col("credit_col"))
-    items = rows.filter(F.col("txn") | narration).select("statement_id", "opening", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
-    own = Window.partitionBy("statement_id").orderBy("seq")
+    rows = rows.withColumn("bare", ~F.col("txn") & ~F.coalesce(narration, F.lit(False)) & (F.col("seq") == 1))
+    items = rows.filter(F.col("txn") | narration | F.col("bare")).select("statement_id", "bare", "opening", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
+    own = Window.partitionBy("statement_id", "bare").orderBy("seq")
     items = items.withColumn("n", F.row_number().over(own))
-    later = Window.partitionBy("statement_id").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy("statement_id", "bare").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     items = items.withColumns(
         {
             "next": F.first(F.when(F.col("txn"), F.col("n")), ignorenulls=True).over(later),
@@ -227,73 +230,136 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
         }
     )
     target = F.when(F.col("txn"), F.col("n")).when((F.col("next") == F.col("n") + 1) & (F.col("next_text") == ""), F.col("next")).otherwise(F.coalesce("prev", "next"))
-    items = items.withColumn("target", target).filter("target IS NOT NULL")
+    items = items.withColumn("target", F.when(F.col("bare"), F.col("n")).otherwise(target)).filter("target IS NOT NULL")
     if glue is None:
         items = items.withColumn("glue", F.lit(False))
     else:
         items = items.join(glue.select("statement_id", "text", F.lit(True).alias("glue")).distinct(), ["statement_id", "text"], "left")
     first = lambda c: F.first(F.when(F.col("txn"), F.col(c)), ignorenulls=True)
-    group = items.groupBy("statement_id", "target").agg(
+    group = items.groupBy("statement_id", "bare", "target").agg(
         F.first("opening").alias("opening"), first("seq").alias("seq"), first("date").alias("date"), first("bal").alias("balance"), first("ref").alias("ref"), first("amount").alias("amount"),
         F.first("no_reference").alias("no_reference"), F.first("glue_hard_wraps").alias("glued"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text", "glue")))).alias("parts"),
     )
     text = join_fragments(F.col("parts"), F.col("glued"))
-    txns = group.withColumn("description", text).select(
-        "statement_id", "opening", "seq", "date", "description",
+    return group.withColumn("description", text).select(
+        "statement_id", "bare", "opening", "seq", "date", "description",
         F.when(F.col("no_reference"), "").otherwise(F.coalesce(F.nullif("ref", F.lit("")), C.guess_reference(F.col("description")))).alias("reference"),
         "balance", F.lit(None).cast(C.MONEY).alias("amt_value"), F.lit(None).cast("string").alias("amt_sign"), F.col("amount.debit").alias("col_dr"), F.col("amount.credit").alias("col_cr"),
     )
-    return txns, openings
+
+
+def _own(t: DataFrame) -> WindowSpec:
+    """The transactions of a statement, apart from the row that only carries its opening balance."""
+    return Window.partitionBy(*[c for c in ("statement_id", "bare") if c in t.columns])
 
 
 def balance_direction(txns: DataFrame) -> DataFrame:
     """``txns`` with ascending: steps to a later date are at least as many as steps to an earlier one."""
-    before = F.lag("date").over(_by().orderBy("seq"))
+    before = F.lag("date").over(_own(txns).orderBy("seq"))
     steps = txns.withColumn("step", F.when(F.col("date") > before, 1).when(F.col("date") < before, -1).otherwise(0))
-    return steps.withColumn("ascending", F.sum("step").over(_by()) >= 0).drop("step")
+    return steps.withColumn("ascending", F.sum("step").over(_own(txns)) >= 0).drop("step")
 
 
-def finalize(txns: DataFrame) -> DataFrame:
-    """Debit, credit and type: marked amount, else balance difference in time direction, else columns."""
-    own = _by().orderBy("seq")
+def _balance_before(t: DataFrame) -> Column:
+    """The balance that a transaction starts from, in time direction; the opening one for the first."""
+    own = _own(t).orderBy("seq")
+    first, final = F.row_number().over(own) == 1, F.lead(F.lit(1)).over(own).isNull()
+    return F.when(F.col("ascending"), F.when(first, F.col("opening")).otherwise(F.lag("balance").over(own))).otherwise(F.when(final, F.col("opening")).otherwise(F.lead("balance").over(own)))
+
+
+def _finalized(txns: DataFrame) -> DataFrame:
     t = balance_direction(txns)
-    first = F.row_number().over(own) == 1
-    final = F.lead(F.lit(1)).over(own).isNull()
-    before = F.when(F.col("ascending"), F.when(first, F.col("opening")).otherwise(F.lag("balance").over(own))).otherwise(F.when(final, F.col("opening")).otherwise(F.lead("balance").over(own)))
-    t = t.withColumn("delta", F.col("balance") - before)
+    t = t.withColumn("delta", F.col("balance") - _balance_before(t))
     marked = F.col("amt_sign").isNotNull() & F.col("amt_value").isNotNull()
     moved = F.coalesce(F.abs("delta") >= 0.005, F.lit(False))
     kind = F.when(marked, F.col("amt_sign")).when(moved, F.when(F.col("delta") > 0, "CR").otherwise("DR")).when(F.col("col_dr") > 0, "DR").when(F.col("col_cr") > 0, "CR")
     value = F.when(marked, F.col("amt_value")).when(moved, F.abs("delta")).when(F.col("col_dr") > 0, F.col("col_dr")).otherwise(F.col("col_cr")).cast(C.MONEY)
     t = t.withColumn("type", kind).withColumn("value", value)
-    out = t.select("statement_id", "seq", "date", "description", "reference", F.when(F.col("type") == "DR", F.col("value")).alias("debit"), F.when(F.col("type") == "CR", F.col("value")).alias("credit"), "balance", "type")
-    return drop_empty_financials(out)
+    return t.withColumn("debit", F.when(F.col("type") == "DR", F.col("value"))).withColumn("credit", F.when(F.col("type") == "CR", F.col("value")))
+
+
+CANONICAL = ["statement_id", "seq", "date", "description", "reference", "debit", "credit", "balance", "type"]
+
+
+def finalize(txns: DataFrame) -> DataFrame:
+    """Debit, credit and type: marked amount, else balance difference in time direction, else columns."""
+    real = txns.filter(~F.col("bare")) if "bare" in txns.columns else txns
+    return drop_empty_financials(_finalized(real).select(CANONICAL))
 
 
 def drop_empty_financials(txns: DataFrame) -> DataFrame:
     return txns.filter("balance IS NOT NULL OR debit IS NOT NULL OR credit IS NOT NULL")
 
 
-def validate(txns: DataFrame, openings: DataFrame, statements: DataFrame) -> DataFrame:
-    """One row per statement: counts, sums, continuity breaks and closing balance."""
-    own = _by().orderBy("seq")
-    t = balance_direction(txns.join(openings, "statement_id", "left"))
-    first, final = F.row_number().over(own) == 1, F.lead(F.lit(1)).over(own).isNull()
-    before = F.when(F.col("ascending"), F.when(first, F.col("opening")).otherwise(F.lag("balance").over(own))).otherwise(F.when(final, F.col("opening")).otherwise(F.lead("balance").over(own)))
+def _summary(t: DataFrame) -> DataFrame:
+    """One row per statement of finished transactions with bare and opening."""
+    t = balance_direction(t)
     net = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
-    t = t.withColumn("gap", F.abs(F.col("balance") - before - net) > 1)
-    one = t.groupBy("statement_id").agg(
-        F.count("*").alias("n_txns"), F.count_if(F.col("type") == "DR").alias("n_dr"), F.count_if(F.col("type") == "CR").alias("n_cr"), F.count_if(F.col("type").isNull()).alias("n_untyped"),
+    real = ~F.col("bare")
+    t = t.withColumn("gap", real & (F.abs(F.col("balance") - _balance_before(t) - net) > 1))
+    last, first = F.max_by("balance", F.when(real, F.col("seq"))), F.min_by("balance", F.when(real, F.col("seq")))
+    return t.groupBy("statement_id").agg(
+        F.first("opening", ignorenulls=True).alias("opening_balance"),
+        F.count_if(real).alias("n_txns"), F.count_if(F.col("type") == "DR").alias("n_dr"), F.count_if(F.col("type") == "CR").alias("n_cr"), F.count_if(real & F.col("type").isNull()).alias("n_untyped"),
         F.sum("debit").cast(C.MONEY).alias("sum_debit"), F.sum("credit").cast(C.MONEY).alias("sum_credit"), F.count_if("gap").alias("continuity_breaks"),
-        F.when(F.first("ascending"), F.max_by("balance", "seq")).otherwise(F.min_by("balance", "seq")).alias("closing_balance"),
+        F.when(F.first(F.when(real, F.col("ascending")), ignorenulls=True), last).otherwise(first).alias("closing_balance"),
     )
-    out = statements.select("statement_id").distinct().join(openings.withColumnRenamed("opening", "opening_balance"), "statement_id", "left").join(one, "statement_id", "left")
+
+
+def _for_statements(summary: DataFrame, statements: DataFrame) -> DataFrame:
+    out = statements.select("statement_id").distinct().join(summary, "statement_id", "left")
     return out.fillna(0, ["n_txns", "n_dr", "n_cr", "n_untyped", "continuity_breaks"]).withColumns({c: F.coalesce(c, F.lit(0).cast(C.MONEY)) for c in ("sum_debit", "sum_credit")})
 
 
+def validate(txns: DataFrame, openings: DataFrame, statements: DataFrame) -> DataFrame:
+    """One row per statement: counts, sums, continuity breaks and closing balance."""
+    rows = txns.withColumn("bare", F.lit(False)).unionByName(openings.select("statement_id", F.lit(True).alias("bare")), allowMissingColumns=True)
+    rows = rows.join(openings, "statement_id", "left")
+    return _for_statements(_summary(rows), statements)
+
+
+def parsed(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """Statements of all layouts, each row parsed once; see ``parse_rows``."""
+    return parse_rows(cells, banks).unionByName(parse_around(cells, banks, glue))
+
+
 def transactions(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(finished transactions, openings) of statements of all layouts."""
-    rows, opening = parse_rows(cells, banks)
-    around, around_opening = parse_around(cells, banks, glue)
-    openings = opening.unionByName(around_opening)
-    return finalize(rows.unionByName(around)), openings
+    rows = parsed(cells, banks, glue)
+    return finalize(rows), openings_of(rows)
+
+
+def validated(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """One validation row for each statement of ``banks``, in one pass over its rows."""
+    done = _finalized(parsed(cells, banks, glue)).select("bare", "opening", *CANONICAL).filter("bare OR balance IS NOT NULL OR debit IS NOT NULL OR credit IS NOT NULL")
+    return _for_statements(_summary(done), banks)
+
+
+def with_rescue(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """``parsed``, and with the generic profile again the statements in which the bank's own profile finds nothing."""
+    rows = parsed(cells, banks, glue)
+    some = rows.filter(~F.col("bare")).select("statement_id").distinct()
+    empty = banks.filter("bank <> 'generic'").join(some, "statement_id", "left_anti").select("statement_id", F.lit("generic").alias("bank"))
+    again = parse_rows(cells, empty)
+    rescued = again.filter(~F.col("bare")).select("statement_id").distinct()
+    return rows.join(rescued, "statement_id", "left_anti").unionByName(again.join(rescued, "statement_id", "left_semi"))
+
+
+def best_extraction(cells: DataFrame, banks: DataFrame, expected: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """Finished transactions of each statement from the better of its extractions.
+
+    ``cells`` has a column variant, default or wide; ``expected`` (statement_id, expected) counts the
+    dated lines of the text.  Both variants are parsed, with the generic profile where the bank's own
+    finds nothing; wide is taken where default finds nothing, or under 0.9 of the expected and wide more.
+    """
+    from stmtspark.operators.routing import choose_extraction
+
+    keyed = cells.withColumn("statement_id", F.concat_ws("/", "variant", "statement_id")).drop("variant")
+    both = F.explode(F.array(F.lit("default"), F.lit("wide")))
+    named = lambda df: df.withColumn("_v", both).withColumn("statement_id", F.concat_ws("/", "_v", "statement_id")).drop("_v")
+    rows = with_rescue(keyed, named(banks), None if glue is None else named(glue))
+    rows = rows.withColumn("variant", F.substring_index("statement_id", "/", 1)).withColumn("plain_id", F.expr("substring(statement_id, length(variant) + 2)"))
+    counts = rows.filter(~F.col("bare")).groupBy(F.col("plain_id").alias("statement_id"), "variant").agg(F.count("*").alias("n"))
+    chosen = choose_extraction(counts, expected).select(F.concat_ws("/", "variant", "statement_id").alias("statement_id"))
+    kept = rows.join(chosen, "statement_id", "left_semi").withColumn("statement_id", F.col("plain_id")).drop("variant", "plain_id")
+    return finalize(kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtspark.operators import parsing
+from stmtspark.operators import parsing, records, routing
 from stmtspark.plans import fixtures as X
 
 
@@ -46,8 +46,39 @@ def t6_balance_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t8_statement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: cells of all statements to one validation row each."""
-    txns, openings = _transactions(spark, sf_dir)
-    return parsing.validate(txns, openings, X.statement_banks(spark, sf_dir))
+    return parsing.validated(X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir))
+
+
+def t5_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrations of the layout that breaks lines inside words; hard-wrapped lines of the text say where."""
+    cells, banks = X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir).filter("bank = 'bob'")
+    t = X.ledger(spark, sf_dir)
+    # the printed lines: narrations of even parties reach the column's edge, others end before it
+    text = F.concat(F.lit("TRANSFER PARTY X"), (F.col("o_orderkey") % 97).cast("string"), F.lit("Q"))
+    lines = t.select(X.statement_id().alias("statement_id"), F.lit(1).alias("page"), F.col("n").cast("int").alias("line_no"), F.lit(40.0).alias("x0"), F.when(F.col("o_orderkey") % 97 % 2 == 0, 300.0).otherwise(120.0).alias("x1"), text.alias("text"))
+    txns, _ = parsing.transactions(cells, banks, routing.hard_wrapped_lines(lines))
+    return txns.select("statement_id", "description", "balance")
+
+
+def f7_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extractions of each statement: default loses its later pages for some keys and all rows for others;
+    some statements are printed in another layout than their bank's profile expects."""
+    cells, banks = X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir).filter("bank = 'generic'")
+    k = F.substring("statement_id", 2, 12).cast("long")
+    cells = cells.join(banks.select("statement_id"), "statement_id", "left_semi")
+    default = cells.filter(~((k % 3 == 1) & (F.col("page") > 1)) & (k % 3 != 2)).withColumn("variant", F.lit("default"))
+    both = default.unionByName(cells.withColumn("variant", F.lit("wide")))
+    # a profile whose header words never come parses nothing
+    banks = banks.withColumn("bank", F.when(k % 2 == 0, "cbi").otherwise("generic"))
+    expected = X.ledger(spark, sf_dir).groupBy(X.statement_id().alias("statement_id")).agg(F.count("*").alias("expected"))
+    return parsing.best_extraction(both, banks, expected).select("statement_id", "date", "debit", "credit", "balance", "type")
+
+
+def l11_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished transactions as records of text."""
+    txns, _ = _transactions(spark, sf_dir, ["kotak"])
+    recs = records.stream_records(txns)
+    return recs.select("statement_id", F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h, F.element_at("rec", h))), ";").alias("record"))
 
 
 QUERIES = {
@@ -58,8 +89,20 @@ QUERIES = {
     "t7_transactions": _parsed(None),
     "t6_balance_direction": t6_balance_direction,
     "t8_statement_validation": t8_statement_validation,
+    "t5_glued_narrations": t5_glued,
+    "f7_best_extraction": f7_best,
+    "l11_stream_records": l11_records,
 }
 ORACLES = {
+    "t5_glued_narrations": f"""WITH {X.LEDGER}, e AS (SELECT o_custkey, 300 - 2 * sum(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 260 ELSE 80 END) / sum(length('TRANSFER PARTY X' || (o_orderkey % 97) || 'Q')) AS edge, max(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 300 ELSE 120 END) AS most, count(*) AS lines, 2 * sum(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 260 ELSE 80 END) / sum(length('TRANSFER PARTY X' || (o_orderkey % 97) || 'Q')) AS slack FROM ledger GROUP BY 1),
+w AS (SELECT DISTINCT l.o_custkey, l.o_orderkey % 97 AS party FROM ledger l JOIN e USING (o_custkey) WHERE lines >= 3 AND CASE WHEN l.o_orderkey % 97 % 2 = 0 THEN 300 ELSE 120 END >= most - slack),
+g AS (SELECT o_custkey FROM w GROUP BY 1 HAVING count(*) >= 3)
+SELECT 'S' || l.o_custkey AS statement_id, 'TRANSFER PARTY X' || (l.o_orderkey % 97) || 'Q' || CASE WHEN l.o_orderkey % 3 <> 0 THEN '' WHEN (l.o_custkey, l.o_orderkey % 97) IN (SELECT o_custkey, party FROM w WHERE o_custkey IN (SELECT o_custkey FROM g)) THEN 'NOTE LINE TWO' ELSE ' NOTE LINE TWO' END AS description, balance::DOUBLE AS balance
+FROM ledger l WHERE l.o_custkey % 13 = 11""",
+    "f7_best_extraction": f"""WITH {X.LEDGER} SELECT 'S' || o_custkey AS statement_id, day::VARCHAR AS date, CASE WHEN NOT credit THEN amount::DOUBLE END AS debit, CASE WHEN credit THEN amount::DOUBLE END AS credit, balance::DOUBLE AS balance, CASE WHEN credit THEN 'CR' ELSE 'DR' END AS type
+FROM ledger WHERE o_custkey % 13 = 12""",
+    "l11_stream_records": f"""WITH {X.LEDGER} SELECT 'S' || o_custkey AS statement_id, 'Date=' || day || ';Description=TRANSFER PARTY X' || (o_orderkey % 97) || 'Q' || CASE WHEN o_orderkey % 3 = 0 THEN ' NOTE LINE TWO' ELSE '' END || ';Reference=90000' || lpad(o_orderkey::VARCHAR, 9, '0')
+ || ';Debit=' || CASE WHEN credit THEN '' ELSE amount::VARCHAR END || ';Credit=' || CASE WHEN credit THEN amount::VARCHAR ELSE '' END || ';Balance=' || balance::DECIMAL(18,2)::VARCHAR AS record FROM ledger WHERE o_custkey % 13 = 1""",
     "t2_parse_columnar": _truth(COLUMNAR),
     "t2_parse_exploded": _truth(EXPLODED),
     "t3_parse_linear": _truth(LINEAR),
