@@ -214,6 +214,18 @@ def hmac_sha256(key: str, message: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "utf-8")), 256))), 256)
 
 
+def verify_signature(key: str, message: Column, signature: Column) -> Column:
+    """Whether a signature is that of the message, in either case of hex; false for a null one."""
+    return F.coalesce(hmac_sha256(key, message) == F.lower(F.trim(signature)), F.lit(False))
+
+
+def known_password(file_name: Column, known: dict[str, str]) -> Column:
+    """The password known for a base name, else the digits in it; null without either."""
+    base = F.regexp_extract(file_name, r"([^/]*)$", 1)
+    pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.element_at(pairs, base), password_hint(file_name))
+
+
 def valid_mobile(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\d{10}$"), F.lit(False))
 

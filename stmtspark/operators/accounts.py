@@ -88,19 +88,41 @@ def revenue(payments: DataFrame) -> DataFrame:
     return total.join(listed, "k").drop("k")
 
 
+def _issue_places(issues: DataFrame) -> DataFrame:
+    """``issues`` with place: the running count of the owner's issues, owner-less ones as one owner.
+
+    Counted within days and over days, so that no owner's issues, nor those without owner, meet in one task.
+    """
+    day = issues.withColumn("_uid", F.coalesce("user_id", F.lit(""))).withColumn("_day", F.to_date("issue.created_at"))
+    inner = Window.partitionBy("_uid", "_day").orderBy("issue.created_at", "id")
+    counts = day.groupBy("_uid", "_day").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_uid").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_uid", F.col("_day").alias("_on"), F.coalesce(before, F.lit(0)).alias("_before"))
+    t = day.withColumn("_nth", F.row_number().over(inner))
+    t = t.join(counts.withColumnRenamed("_uid", "_u"), (F.col("_uid") == F.col("_u")) & F.col("_day").eqNullSafe(F.col("_on")))
+    return t.withColumn("place", F.col("_before") + F.col("_nth")).drop("_uid", "_day", "_u", "_on", "_before", "_nth")
+
+
+def _with_owner(t: DataFrame, owners: DataFrame) -> DataFrame:
+    """``t`` left-joined with ``owners`` on user_id; rows without owner take no part in the exchange."""
+    rest = t.filter("user_id IS NULL")
+    for f in owners.schema.fields:
+        if f.name != "user_id":
+            rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return t.filter("user_id IS NOT NULL").join(owners, "user_id", "left").unionByName(rest)
+
+
 def issue_queue(statements: DataFrame, users: DataFrame) -> DataFrame:
     """Issues with owner and number, open ones first, newest first; unnumbered ones get their place per owner."""
-    own = Window.partitionBy(F.coalesce("user_id", F.lit(""))).orderBy("issue.created_at", "id")
-    t = statements.filter("issue IS NOT NULL").withColumn("place", F.row_number().over(own))
-    t = t.join(users.select(F.col("id").alias("user_id"), F.col("name").alias("u_name")), "user_id", "left")
+    t = _issue_places(statements.filter("issue IS NOT NULL"))
+    t = _with_owner(t, users.select(F.col("id").alias("user_id"), F.col("name").alias("u_name")))
     out = t.select("id", "user_id", F.coalesce("u_name", "owner_name", F.lit("")).alias("owner"), F.coalesce("issue.number", F.concat(F.lit("#"), F.col("place").cast("string"))).alias("number"), F.col("issue.title").alias("title"), F.col("issue.status").alias("status"), F.col("issue.created_at").alias("opened_at"))
     return out.orderBy((F.col("status") == "open").desc(), F.desc("opened_at"), "id")
 
 
 def stamp_deleted_owner(statements: DataFrame, deleted: DataFrame) -> DataFrame:
     """Statements of deleted users keep their name and mobile."""
-    gone = deleted.select(F.col("id").alias("user_id"), F.col("name").alias("d_name"), F.col("mobile").alias("d_mobile"), F.lit(True).alias("gone"))
-    t = statements.join(gone, "user_id", "left")
+    t = _with_owner(statements, deleted.select(F.col("id").alias("user_id"), F.col("name").alias("d_name"), F.col("mobile").alias("d_mobile"), F.lit(True).alias("gone")))
     new = {"owner_name": F.coalesce("d_name", "owner_name"), "owner_mobile": F.coalesce("d_mobile", "owner_mobile"), "owner_deleted": F.coalesce("gone", "owner_deleted")}
     return t.select(*[new[c].alias(c) if c in new else F.col(c) for c in statements.columns])
 
@@ -115,10 +137,28 @@ def issue_numbers(events: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def apply_issue_updates(issues: DataFrame, updates: DataFrame) -> DataFrame:
-    """Issues after all updates: latest title (160 characters), note (2000) and status of each."""
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id")))
-    one = updates.groupBy("issue_id").agg(latest("title").alias("t"), latest("note").alias("n"), latest("status").alias("s"), F.max("ts").alias("at"))
+    """Issues after all updates (issue_id, event_id, ts, title, note, status), in order of ts and event_id.
+
+    An edit has a title (160 characters) or a note (2000) and moves updated_at.  A status moves the
+    resolution: "resolved" sets resolved_at, "open" clears it; an edit that opens the issue again also sets
+    reopened_at.  What no update names stays as it is.
+    """
+    at = F.struct("ts", "event_id")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
+    edit = F.col("title").isNotNull() | F.col("note").isNotNull()
+    one = updates.groupBy("issue_id").agg(
+        latest("title").alias("_title"), latest("note").alias("_note"), latest("status").alias("_status"),
+        F.max_by("ts", F.when(F.col("status").isNotNull(), at)).alias("_decided"), F.max(F.when(edit, F.col("ts"))).alias("_edited"), F.max(F.when(edit & (F.col("status") == "open"), F.col("ts"))).alias("_reopened"),
+    )
     t = issues.join(one, "issue_id", "left")
-    new = {"title": F.substring(F.coalesce("t", "title"), 1, 160), "note": F.substring(F.coalesce("n", "note"), 1, 2000), "status": F.coalesce("s", "status"), "updated_at": F.coalesce("at", "updated_at")}
-    out = t.select(*[new[c].alias(c) if c in new else F.col(c) for c in issues.columns], F.when(F.coalesce("s", "status") == "resolved", F.col("at")).alias("resolved_at"))
-    return out
+    old = lambda c: F.col(c) if c in issues.columns else F.lit(None).cast(updates.schema["ts"].dataType)
+    new = {
+        "title": F.substring(F.coalesce("_title", "title"), 1, 160),
+        "note": F.substring(F.coalesce("_note", "note"), 1, 2000),
+        "status": F.coalesce("_status", "status"),
+        "updated_at": F.coalesce(F.col("_edited"), old("updated_at")),
+        "resolved_at": F.when(F.col("_status") == "resolved", F.col("_decided")).when(F.col("_status").isNull(), old("resolved_at")),
+        "reopened_at": F.coalesce(F.col("_reopened"), old("reopened_at")),
+    }
+    names = [*issues.columns, *(c for c in ("updated_at", "resolved_at", "reopened_at") if c not in issues.columns)]
+    return t.select(*[new[c].alias(c) if c in new else F.col(c) for c in names])

@@ -55,11 +55,9 @@ def train_row_classifier(df: DataFrame, features: int = 1 << 14) -> PipelineMode
 def evaluate(pred: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """One row: n, accuracy and support-weighted F1, from one grouped confusion table."""
     cells = pred.groupBy(F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    names = cells.select(F.col("l").alias("c")).union(cells.select("p")).distinct()
-    per = names.join(cells, (F.col("c") == F.col("l")) | (F.col("c") == F.col("p"))).groupBy("c").agg(
-        F.sum(F.when((F.col("l") == F.col("c")) & (F.col("p") == F.col("c")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("l") == F.col("c"), F.col("n")).otherwise(0)).alias("support"),
-        F.sum(F.when(F.col("p") == F.col("c"), F.col("n")).otherwise(0)).alias("claimed"),
-    )
+    hit = F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("l").alias("c"), hit.alias("tp"), F.col("n").alias("support"), none.alias("claimed")), F.struct(F.col("p").alias("c"), none.alias("tp"), none.alias("support"), F.col("n").alias("claimed")))
+    per = cells.select(F.explode(sides).alias("s")).select("s.*").groupBy("c").agg(*[F.sum(x).alias(x) for x in ("tp", "support", "claimed")])
     f1 = 2 * F.col("tp") / (F.col("support") + F.col("claimed"))
     return per.agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), (F.sum(F.col("support") * f1) / F.sum("support")).alias("f1"))

@@ -180,12 +180,42 @@ def e6_plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r13_updates(spark: SparkSession, d: str) -> DataFrame:
-    issues = statements(spark, d).filter("issue IS NOT NULL").select(F.col("id").alias("issue_id"), F.col("issue.title").alias("title"), F.lit("").alias("note"), F.col("issue.status").alias("status"), F.lit(0).cast("long").alias("updated_at"))
-    e = _events(spark, d)
-    up = e.select("event_id", F.concat(F.lit("D"), (F.col("event_id") * 5 % 4000).cast("string")).alias("issue_id"), F.col("t").alias("ts"), F.when(F.col("event_type") == "click", F.concat(F.lit("new "), "event_id")).alias("title"), F.when(F.col("event_type") == "view", F.concat(F.lit("note "), "event_id")).alias("note"), F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "purchase", "resolved").alias("status"))
+    """Eight events in a row touch one issue: edits, notes, resolutions, and notes that reopen."""
+    resolved = F.when(F.col("issue.status") == "resolved", F.lit(5).cast("long"))
+    issues = statements(spark, d).filter("issue IS NOT NULL").select(F.col("id").alias("issue_id"), F.col("issue.title").alias("title"), F.lit("").alias("note"), F.col("issue.status").alias("status"), F.lit(0).cast("long").alias("updated_at"), resolved.alias("resolved_at"))
+    kind = F.col("event_type")
+    up = _events(spark, d).select("event_id", F.concat(F.lit("D"), (F.floor(F.col("event_id") / 8) * 5).cast("string")).alias("issue_id"), F.col("t").alias("ts"), F.when(kind == "click", F.concat(F.lit("new "), "event_id")).alias("title"), F.when(kind.isin("view", "error"), F.concat(F.lit("note "), "event_id")).alias("note"), F.when(kind.isin("signup", "error"), "open").when(kind == "purchase", "resolved").alias("status"))
     return accounts.apply_issue_updates(issues, up)
 
 
+def c24_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures as sent: right for three payments in four, in upper case for one, made over other text or missing."""
+    text = F.concat_ws("|", "order_id", "user_id")
+    right, k = C.hmac_sha256("secret-key", text), F.substring("order_id", 2, 12).cast("long") % 8
+    sent = F.when(k == 3, F.upper(right)).when(k == 5, C.hmac_sha256("secret-key", F.concat(text, F.lit(" ")))).when(k == 7, F.lit(None).cast("string")).otherwise(right)
+    return payments(spark, d).select("order_id", right.alias("signature"), C.verify_signature("secret-key", text, sent).alias("valid"))
+
+
+def c23_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with a spare e-mail column and blanks in both."""
+    t = messages(spark, d).withColumn("email", F.when(F.length("id") % 2 == 0, F.concat(F.lit(" m@"), "id", F.lit(".org "))).when(F.col("status").isNull(), " "))
+    return sources.normalise_contact(t).select("id", "email", "phone", "source")
+
+
+def c19_passwords(spark: SparkSession, d: str) -> DataFrame:
+    """Passwords of uploaded files: the known ones win over the digits of the name."""
+    name = F.concat(F.lit("/in 99/"), F.when(F.col("row_count") == 3, "special_123456.pdf").when(F.col("row_count") == 4, "plain.pdf").otherwise(F.concat(F.lit("stmt_"), F.lpad(F.substring("id", 2, 12), 8, "0"), F.lit(".pdf"))))
+    return statements(spark, d).select("id", C.known_password(name, {"special_123456.pdf": "open sesame"}).alias("password"))
+
+
+def s6_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Users written as a table of an older shape and read under the declared schema."""
+    folder = sources.scratch_folder(spark)
+    users(spark, d).select("id", "name", "mobile", "role", "is_admin", F.col("pages_used").cast("long").alias("pages_used")).write.parquet(f"{folder}/users")
+    t = sources.read_accounts(spark, folder, "users")
+    return t.select("id", "mobile", accounts.role().alias("role"), "pages_used", F.coalesce("page_limit", F.lit(100)).cast("long").alias("page_limit"))
+
+
 def r12_numbers(spark: SparkSession, d: str) -> DataFrame:
     log = _events(spark, d).filter("event_type = 'error'").select("event_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), F.col("t").alias("ts"))
     return accounts.issue_numbers(log, users(spark, d))
@@ -227,8 +257,13 @@ QUERIES: dict[str, Query] = {
     "s7_webhook_events": lambda s, d: _webhooks(s, d).select("event_id", "kind", "order_id", "payment_id", "amount", "rejected"),
     "c20_user_roles": lambda s, d: users(s, d).select("id", accounts.role().alias("role")),
     "c21_gst": lambda s, d: payments(s, d).select("order_id", C.gst_breakup(F.col("base_paise") + F.length("order_id")).alias("g")).select("order_id", "g.gst_paise", "g.total_paise"),
-    "c24_signatures": lambda s, d: payments(s, d).select("order_id", C.hmac_sha256("secret-key", F.concat_ws("|", "order_id", "user_id")).alias("signature")),
+    "c24_signatures": c24_signatures,
+    "c23_contacts": c23_contacts,
+    "c19_known_passwords": c19_passwords,
+    "s6_read_accounts": s6_accounts,
 }
+_KEY = [bytes(b ^ x for b in b"secret-key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+_HMAC = f"sha256(unhex('{_KEY[1]}') || unhex(sha256(unhex('{_KEY[0]}') || encode(order_id || '|' || user_id))))"
 _RANKED = "row_number() OVER (ORDER BY created_at DESC, order_id) AS place"
 ORACLES: dict[str, str] = {
     "r1_statement_counts": f"{WITH} SELECT user_id, count(*) AS statement_count FROM statements WHERE user_id IS NOT NULL GROUP BY 1",
@@ -253,10 +288,20 @@ ORACLES: dict[str, str] = {
  FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(user_id, '') ORDER BY created_at, id) AS place FROM statements WHERE issue_status IS NOT NULL) s LEFT JOIN users u ON u.id = s.user_id""",
     "r11_stamp_deleted_owner": f"{WITH} SELECT s.id, s.user_id, coalesce(u.name, owner_name) AS owner_name, coalesce(u.mobile, owner_mobile) AS owner_mobile, CASE WHEN u.id IS NOT NULL THEN true ELSE owner_deleted END AS owner_deleted FROM statements s LEFT JOIN (SELECT * FROM users WHERE pages_used % 6 = 1) u ON u.id = s.user_id",
     "r12_issue_numbers": f"{WITH}, {EVENTS} SELECT event_id, 'U' || user_id AS user_id, coalesce(right(mobile, 3), '000') || row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS number FROM ev e LEFT JOIN users u ON u.id = 'U' || e.user_id WHERE event_type = 'error'",
-    "r13_issue_updates": f"""{WITH}, {EVENTS}, up AS (SELECT event_id, 'D' || (event_id * 5 % 4000) AS issue_id, t, CASE WHEN event_type = 'click' THEN 'new ' || event_id END AS title, CASE WHEN event_type = 'view' THEN 'note ' || event_id END AS note, CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'resolved' END AS status FROM ev),
- one AS (SELECT issue_id, last(title ORDER BY t, event_id) FILTER (title IS NOT NULL) AS title, last(note ORDER BY t, event_id) FILTER (note IS NOT NULL) AS note, last(status ORDER BY t, event_id) FILTER (status IS NOT NULL) AS status, max(t) AS at FROM up GROUP BY 1)
- SELECT s.id AS issue_id, coalesce(o.title, 'title ' || s.id) AS title, coalesce(o.note, '') AS note, coalesce(o.status, issue_status) AS status, coalesce(o.at, 0) AS updated_at, CASE WHEN coalesce(o.status, issue_status) = 'resolved' THEN o.at END AS resolved_at
- FROM statements s LEFT JOIN one o ON o.issue_id = s.id WHERE issue_status IS NOT NULL""",
+    "r13_issue_updates": f"""{WITH}, {EVENTS}, up AS (SELECT 'D' || (event_id // 8 * 5) AS issue_id, event_id, t, event_type AS k FROM ev),
+ q AS (SELECT issue_id, t, event_id, k, row_number() OVER (PARTITION BY issue_id, k IN ('signup', 'error', 'purchase') ORDER BY t DESC, event_id DESC) AS decided,
+  row_number() OVER (PARTITION BY issue_id, k = 'click' ORDER BY t DESC, event_id DESC) AS named, row_number() OVER (PARTITION BY issue_id, k IN ('view', 'error') ORDER BY t DESC, event_id DESC) AS noted FROM up)
+ SELECT s.id AS issue_id, coalesce((SELECT 'new ' || event_id FROM q WHERE q.issue_id = s.id AND k = 'click' AND named = 1), 'title ' || s.id) AS title,
+  coalesce((SELECT 'note ' || event_id FROM q WHERE q.issue_id = s.id AND k IN ('view', 'error') AND noted = 1), '') AS note,
+  CASE d.k WHEN 'purchase' THEN 'resolved' WHEN 'signup' THEN 'open' WHEN 'error' THEN 'open' ELSE issue_status END AS status,
+  coalesce((SELECT max(t) FROM up WHERE up.issue_id = s.id AND k IN ('click', 'view', 'error')), 0) AS updated_at,
+  CASE WHEN d.k = 'purchase' THEN d.t WHEN d.k IS NULL AND issue_status = 'resolved' THEN 5 END AS resolved_at,
+  (SELECT max(t) FROM up WHERE up.issue_id = s.id AND k = 'error') AS reopened_at
+ FROM statements s LEFT JOIN (SELECT * FROM q WHERE decided = 1 AND k IN ('signup', 'error', 'purchase')) d ON d.issue_id = s.id WHERE issue_status IS NOT NULL""",
+    "c24_signatures": f"""{WITH}, s AS (SELECT order_id, {_HMAC} AS signature FROM payments) SELECT order_id, signature, substr(order_id, 2)::BIGINT % 8 NOT IN (5, 7) AS valid FROM s""",
+    "c23_contacts": f"""{WITH}, m AS (SELECT id, CASE WHEN length(id) % 2 = 0 THEN 'm@' || id || '.org' END AS email, nullif(trim(phone), '') AS phone, coalesce(source, 'contact') AS source FROM messages) SELECT * FROM m WHERE email IS NOT NULL OR phone IS NOT NULL""",
+    "c19_known_passwords": f"{WITH} SELECT id, CASE row_count WHEN 3 THEN 'open sesame' WHEN 4 THEN NULL ELSE lpad(substr(id, 2), 8, '0') END AS password FROM statements",
+    "s6_read_accounts": f"{WITH} SELECT id, mobile, CASE WHEN role IS NOT NULL THEN role WHEN is_admin THEN 'admin' ELSE 'user' END AS role, pages_used, 100 AS page_limit FROM users",
     "e1_sessionize": """WITH g AS (SELECT user_id, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 3600000000, true)::INT AS n FROM events),
  s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g) SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS events FROM s GROUP BY user_id, k""",
     "e2_lockouts": _lockout_oracle(),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtspark.functions import cells as C
 from stmtspark.operators import records, training
 from stmtspark.plans import fixtures as X
 from stmtspark.plans.fixtures import table
@@ -82,7 +83,46 @@ def m6_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n", F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"))
 
 
+def s1_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as CSV with quotes, commas, line feeds and blanks, and read again as cells."""
+    folder = sources.scratch_folder(spark)
+    odd = F.when(F.col("o_orderkey") % 3 == 0, 'a "b", c').when(F.col("o_orderkey") % 3 == 1, "two\nlines")
+    sources.write_csv(table(spark, d, "orders").select(F.col("o_orderkey").alias("key one"), F.col("o_orderstatus").alias("status"), odd.alias("odd")), f"{folder}/rows")
+    return sources.read_cell_csv(spark, f"{folder}/rows").select(F.array_join("cells", "|").alias("cells"))
+
+
+def s3_json(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON lines by statement, characters as they are, and read again."""
+    folder = sources.scratch_folder(spark)
+    text = F.concat(F.lit("é ₹ "), F.col("c_name"))
+    sources.write_records_json(table(spark, d, "customer").select("c_custkey", text.alias("text"), (F.col("c_custkey") % 3).alias("part")), f"{folder}/records", "part")
+    return spark.read.schema("c_custkey long, text string, part long").json(f"{folder}/records")
+
+
+def s4_info(spark: SparkSession, d: str) -> DataFrame:
+    """Information rows of the labelled tables, written and read again."""
+    folder = sources.scratch_folder(spark)
+    sources.write_info_rows(labelled_rows(spark, d), f"{folder}/info")
+    return spark.read.schema("statement_id string, cells array<string>, label string").json(f"{folder}/info").select("statement_id", F.array_join("cells", "|").alias("cells"))
+
+
+def s8_union(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of all statements as one, without rows of no cells."""
+    rows = labelled_rows(spark, d).select("statement_id", "cells")
+    none = rows.withColumn("cells", F.array().cast("array<string>"))
+    return sources.union_tables(rows, none, rows).groupBy("statement_id").agg(F.count("*").alias("n"))
+
+
+def c17_cells(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", C.format_cell(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("decimal(18,2)"))).alias("cell"))
+
+
 QUERIES: dict[str, Query] = {
+    "s1_cell_csv": s1_csv,
+    "s3_records_json": s3_json,
+    "s4_info_rows": s4_info,
+    "s8_union_tables": s8_union,
+    "c17_format_cell": c17_cells,
     "l2_rescue_header": lambda s, d: records.rescue_header(labelled_rows(s, d)).groupBy("statement_id", "label").agg(F.count("*").alias("n")),
     "l3_resolve_headers": lambda s, d: records.resolve_headers(records.rescue_header(labelled_rows(s, d))).select("statement_id", F.array_join("headers", ";").alias("headers")),
     "l4_build_records": lambda s, d: _text(_records(s, d)),
@@ -98,7 +138,19 @@ QUERIES: dict[str, Query] = {
 }
 _LED = f"""WITH {X.LEDGER}, p AS (SELECT *, CASE WHEN newest_first THEN of_n - n ELSE n - 1 END AS place, strftime(day, '%d-%m-%Y') AS d, 'PARTY ' || o_orderkey AS x,
  format('{{:,.2f}}', amount::DOUBLE) AS num, format('{{:,.2f}}', abs(balance)::DOUBLE) || CASE WHEN balance < 0 THEN ' Dr' ELSE ' Cr' END AS bal, CASE WHEN o_orderkey % 3 = 0 THEN ' second line' ELSE '' END AS more FROM ledger)"""
+_ROWS = "(SELECT o_custkey FROM p UNION ALL SELECT o_custkey FROM p WHERE place = 0 UNION ALL SELECT o_custkey FROM p WHERE place = of_n - 1 UNION ALL SELECT o_custkey FROM p WHERE o_orderkey % 3 = 0)"
 ORACLES: dict[str, str] = {
+    "s1_cell_csv": "SELECT o_orderkey || '|' || o_orderstatus || '|' || CASE o_orderkey % 3 WHEN 0 THEN 'a \"b\", c' WHEN 1 THEN 'two' || chr(10) || 'lines' ELSE '' END AS cells FROM orders",
+    "s3_records_json": "SELECT c_custkey, 'é ₹ ' || c_name AS text, c_custkey % 3 AS part FROM customer",
+    "s4_info_rows": f"{_LED} SELECT 'S' || o_custkey AS statement_id, 'total|' || of_n AS cells FROM p WHERE place = 0",
+    "s8_union_tables": f"{_LED} SELECT 'S' || o_custkey AS statement_id, 2 * count(*) AS n FROM {_ROWS} GROUP BY o_custkey",
+    "c17_format_cell": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR ELSE '' END AS cell FROM orders",
+    "m1_training_rows": f"""{_LED}, r AS (
+ SELECT o_custkey, place * 10 AS seq, 'Txn Date Value Date Narration Chq No Amount Balance' AS text, CASE WHEN o_custkey % 3 <> 2 THEN 'header' ELSE 'remove' END AS label FROM p WHERE place = 0
+ UNION ALL SELECT o_custkey, place * 10 + (place = 0)::INT, CASE o_orderkey % 4 WHEN 1 THEN d || ' ' || d || ' ' || x WHEN 2 THEN d || ' ' || d || ' ' || x || ' rest' ELSE d || ' ' || d || ' ' || x END || ' ' || num || CASE WHEN credit THEN '(Cr)' ELSE '(Dr)' END || ' ' || bal, 'entry' FROM p
+ UNION ALL SELECT o_custkey, place * 10 + (place = 0)::INT + 1, 'second line', 'c-entry' FROM p WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT o_custkey, place * 10 + (place = 0)::INT + 1 + (o_orderkey % 3 = 0)::INT, 'total ' || of_n, 'info' FROM p WHERE place = of_n - 1)
+ SELECT 'S' || o_custkey AS statement_id, seq::INT AS seq, text, label FROM r""",
     "l2_rescue_header": f"""{_LED} SELECT 'S' || o_custkey AS statement_id, label, count(*) AS n FROM (
  SELECT o_custkey, CASE WHEN o_custkey % 3 <> 2 THEN 'header' ELSE 'header-kw' END AS label FROM p WHERE place = 0 UNION ALL SELECT o_custkey, 'entry' FROM p UNION ALL SELECT o_custkey, 'c-entry' FROM p WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, 'info' FROM p WHERE place = 0) GROUP BY ALL""",
     "l3_resolve_headers": f"SELECT DISTINCT 'S' || o_custkey AS statement_id, '{';'.join(HEADERS)}' AS headers FROM orders",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,16 @@ ACCOUNT_SCHEMAS = {
 WEBHOOK = "event string, payload struct<payment struct<entity struct<id string, order_id string, amount long, error_description string>>, order struct<entity struct<id string, amount_paid long>>>, _corrupt string"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one only for a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_cell_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, cells) of row CSV files: all columns text, missing cells ""."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
