@@ -158,7 +158,7 @@ def e1_sessionize(spark: SparkSession, d: str) -> DataFrame:
 
 def _webhooks(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    order = F.concat(F.lit("P"), (F.col("event_id") % 3000).cast("string"))
+    order = F.concat(F.lit("P"), F.floor(F.col("event_id") / 2).cast("string"))
     kind = F.when(F.col("event_type") == "purchase", "payment.captured").when(F.col("event_type") == "click", "order.paid").when(F.col("event_type") == "error", "payment.failed").otherwise("other")
     amount = F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 2 == 0, 117882).otherwise(294882)
     paid = F.format_string('{"event":"%s","payload":{"payment":{"entity":{"id":"pay%d","order_id":"%s","amount":%d}}}}', kind, F.col("event_id"), order, amount)
@@ -308,7 +308,7 @@ ORACLES: dict[str, str] = {
     "e3_otp_throttle": _throttle_oracle(),
     "e4_otp_verify": _verify_oracle(),
     "e4_valid_code_asof": f"WITH {EVENTS}, c AS ({CODES}) SELECT v.event_id, v.mobile, v.purpose, v.t, s.t AS sent_t, coalesce(s.t + 300000000 > v.t, false) AS in_time FROM c v LEFT JOIN LATERAL (SELECT t FROM c x WHERE x.kind = 'send' AND x.mobile = v.mobile AND (x.t, x.event_id) <= (v.t, v.event_id) ORDER BY x.t DESC, x.event_id DESC LIMIT 1) s ON true WHERE v.kind = 'verify'",
-    "e5_fulfil_payments": f"""{WITH}, {EVENTS}, w AS (SELECT event_id, t, 'P' || (event_id % 3000) AS order_id, CASE event_type WHEN 'purchase' THEN 'payment.captured' WHEN 'click' THEN 'order.paid' ELSE 'x' END AS kind, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 117882 ELSE 294882 END AS amount FROM ev WHERE event_id % 31 <> 0),
+    "e5_fulfil_payments": f"""{WITH}, {EVENTS}, w AS (SELECT event_id, t, 'P' || (event_id // 2) AS order_id, CASE event_type WHEN 'purchase' THEN 'payment.captured' WHEN 'click' THEN 'order.paid' ELSE 'x' END AS kind, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 117882 ELSE 294882 END AS amount FROM ev WHERE event_id % 31 <> 0),
  c AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY t, event_id) AS n FROM w WHERE kind <> 'x')
  SELECT c.event_id, c.order_id, p.user_id, c.t, CASE WHEN p.order_id IS NULL THEN 'unknown_order' WHEN p.status NOT IN ('created', 'fulfilled') OR n > 1 THEN 'already_fulfilled' WHEN c.amount <> p.amount THEN 'amount_mismatch' WHEN p.plan <> 'starter' OR u.id IS NULL THEN 'needs_review' ELSE 'fulfilled' END AS outcome
  FROM c LEFT JOIN payments p ON p.order_id = c.order_id LEFT JOIN users u ON u.id = p.user_id""",
@@ -319,7 +319,7 @@ ORACLES: dict[str, str] = {
  SELECT user_id, purchases, 100 + CASE WHEN e > 930000000000000 THEN pages ELSE 0 END AS page_limit, e AS expires_t, e > 930000000000000 AS active FROM l WHERE z = 1""",
     "e7_credit_gate": _credit_oracle(),
     "s7_webhook_events": f"""WITH {EVENTS} SELECT event_id, CASE WHEN event_id % 31 <> 0 THEN CASE event_type WHEN 'purchase' THEN 'payment.captured' WHEN 'click' THEN 'order.paid' WHEN 'error' THEN 'payment.failed' ELSE 'other' END END AS kind,
- CASE WHEN event_id % 31 <> 0 THEN 'P' || (event_id % 3000) END AS order_id, CASE WHEN event_id % 31 <> 0 AND event_type <> 'click' THEN 'pay' || event_id END AS payment_id,
+ CASE WHEN event_id % 31 <> 0 THEN 'P' || (event_id // 2) END AS order_id, CASE WHEN event_id % 31 <> 0 AND event_type <> 'click' THEN 'pay' || event_id END AS payment_id,
  CASE WHEN event_id % 31 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 117882 ELSE 294882 END END AS amount, event_id % 31 = 0 AS rejected FROM ev""",
     "c20_user_roles": f"{WITH} SELECT id, {ROLE} AS role FROM users",
     "c21_gst": f"{WITH} SELECT order_id, round_even((base_paise + length(order_id)) * 0.18, 0)::BIGINT AS gst_paise, base_paise + length(order_id) + round_even((base_paise + length(order_id)) * 0.18, 0)::BIGINT AS total_paise FROM payments",

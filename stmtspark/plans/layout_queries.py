@@ -98,7 +98,7 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of small tables from lineitem, some blank."""
     t = table(spark, d, "lineitem")
     cell = lambda k, m: F.when(F.col("l_partkey") % m == 0, F.lit("")).otherwise(F.concat(F.lit(k), F.col("l_suppkey").cast("string")))
-    return t.select((F.col("l_orderkey") % 400).cast("string").alias("statement_id"), (1 + F.col("l_linenumber") % 4).cast("int").alias("page"), (1 + F.col("l_suppkey") % 2).cast("int").alias("table_no"), F.array(cell("a", 2), cell("b", 3), cell("c", 5), F.lit(""), cell("e", 1)).alias("cells"))
+    return t.select(F.col("l_orderkey").cast("string").alias("statement_id"), (1 + F.col("l_linenumber") % 4).cast("int").alias("page"), (1 + F.col("l_suppkey") % 2).cast("int").alias("table_no"), F.array(cell("a", 2), cell("b", 3), cell("c", 5), F.lit(""), cell("e", 1)).alias("cells"))
 
 
 def t1_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def f7_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f13_intervals(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").select((F.col("l_orderkey") % 300).alias("k"), (F.col("l_partkey") % 900).cast("double").alias("lo"), (F.col("l_partkey") % 900 + F.col("l_quantity")).alias("hi"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 900).cast("double").alias("lo"), (F.col("l_partkey") % 900 + F.col("l_quantity")).alias("hi"))
     return routing.interval_union_length(t, ["k"])
 
 
@@ -149,10 +149,10 @@ def a_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a10_headers(spark: SparkSession, d: str) -> DataFrame:
-    head = C.split_header_row(F.array(F.concat(F.lit("Date\n"), "n_name"), F.lit(""), F.lit("Running\nBalance")))
-    merged = C.split_merged_headers(F.array(F.lit("Withdrawals Deposits"), F.lit("UNKNOWN"), F.col("n_name"), F.lit("UNKNOWN"), F.lit("ChqNo Withdrawal")))
-    looks = C.looks_like_header(F.array(F.lit("Txn Date"), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, "Debit").otherwise("Closing Balance")))
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(head, "|").alias("head"), F.array_join(merged, "|").alias("merged"), looks.alias("looks"))
+    head = C.split_header_row(F.array(F.concat(F.lit("Date\n"), "c_name"), F.lit(""), F.lit("Running\nBalance")))
+    merged = C.split_merged_headers(F.array(F.lit("Withdrawals Deposits"), F.lit("UNKNOWN"), F.col("c_name"), F.lit("UNKNOWN"), F.lit("ChqNo Withdrawal")))
+    looks = C.looks_like_header(F.array(F.lit("Txn Date"), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, "Debit").otherwise("Closing Balance")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(head, "|").alias("head"), F.array_join(merged, "|").alias("merged"), looks.alias("looks"))
 
 
 def a14_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +203,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS val
     "c18_undecodable": r"WITH c AS (SELECT doc_id, length(text) AS whole, length(regexp_replace(text, '[\s\v]+', '', 'g')) AS n, doc_id % 90 AS k FROM documents) SELECT doc_id, round(CASE WHEN n + k > 0 THEN k / (n + k) ELSE 0 END, 9) AS ratio, whole + k >= 200 AND k / (n + k) >= 0.1 AS undecodable FROM c",
     "c22_plan_and_mobile": f"WITH {ORDERS} SELECT o_orderkey, greatest(0, date_diff('day', DATE '1996-01-01', day) - 1) AS left, o_orderkey % 2 = 1 AS mobile, o_orderkey::VARCHAR AS digits FROM o",
     "a1_split_and_balance": f"WITH {ORDERS} SELECT o_orderkey, 'text 12|' || format('{{:,.2f}}', amount::DOUBLE) || ' 5.00 Dr|' || format('{{:,.2f}}', amount::DOUBLE) || '|7.25Cr|9' AS cells, 3 AS at, 7.25::DOUBLE AS balance, 'ab ' || o_orderkey AS joined, 'a b' AS spaced FROM o",
-    "a10_headers": "SELECT n_nationkey, 'Date|' || n_name || '|Running Balance' AS head, 'Withdrawals|Deposits|' || n_name || '|ChqNo|Withdrawal' AS merged, n_nationkey % 2 = 0 AS looks FROM nation",
+    "a10_headers": "SELECT c_custkey, 'Date|' || c_name || '|Running Balance' AS head, 'Withdrawals|Deposits|' || c_name || '|ChqNo|Withdrawal' AS merged, c_custkey % 2 = 0 AS looks FROM customer",
     "a14_row_tokens": f"WITH {ORDERS} SELECT o_orderkey, 'D:' || day || '|M:' || amount || '|R:REF' || lpad(o_orderkey::VARCHAR, 8, '0') AS tokens FROM o",
     "f1_transaction_tables": """WITH r AS (SELECT 'S' || o_custkey AS statement_id, o_orderkey % 2 AS page, o_orderkey % 3 AS table_no FROM orders), t AS (SELECT *, count(*) AS rows FROM r GROUP BY ALL),
  m AS (SELECT *, table_no <> 0 AND rows >= 2 AS good, bool_or(table_no <> 0 AND rows >= 2) OVER (PARTITION BY statement_id) AS found FROM t) SELECT statement_id, page, table_no, rows FROM m WHERE good OR NOT found""",
@@ -215,12 +215,12 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS val
     "f9_hard_wrapped_lines": f"""WITH {_LINES}, g AS (SELECT statement_id, x0, max(x1) AS m, 2 * sum(x1 - x0) / sum(length(text)) AS s FROM l GROUP BY 1, 2 HAVING count(*) >= 3),
  w AS (SELECT DISTINCT l.statement_id, l.x0, text FROM l JOIN g ON g.statement_id = l.statement_id AND g.x0 = l.x0 WHERE x1 >= m - s), k AS (SELECT statement_id, x0 FROM w GROUP BY 1, 2 HAVING count(*) >= 3)
  SELECT DISTINCT w.statement_id, text FROM w JOIN k ON k.statement_id = w.statement_id AND k.x0 = w.x0""",
-    "f10_best_grid_table": """WITH c AS (SELECT (l_orderkey % 400)::VARCHAR AS statement_id, 1 + l_linenumber % 4 AS page, 1 + l_suppkey % 2 AS table_no, count(*) AS rows,
+    "f10_best_grid_table": """WITH c AS (SELECT l_orderkey::VARCHAR AS statement_id, 1 + l_linenumber % 4 AS page, 1 + l_suppkey % 2 AS table_no, count(*) AS rows,
  count(*) FILTER (l_partkey % 2 <> 0) AS a, count(*) FILTER (l_partkey % 3 <> 0) AS b, count(*) FILTER (l_partkey % 5 <> 0) AS c FROM lineitem GROUP BY 1, 2, 3),
  p AS (SELECT *, (a >= greatest(1, 0.3 * rows))::INT + (b >= greatest(1, 0.3 * rows))::INT + (c >= greatest(1, 0.3 * rows))::INT AS populated FROM c WHERE page <= 3),
  r AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY rows * populated DESC, page, table_no) AS n FROM p)
  SELECT statement_id, rows, 5 AS columns, populated, CASE WHEN rows >= 3 AND populated >= 3 THEN 'lattice' ELSE 'stream' END AS category FROM r WHERE n = 1""",
-    "f13_interval_union": """WITH i AS (SELECT l_orderkey % 300 AS k, (l_partkey % 900)::DOUBLE AS lo, l_partkey % 900 + l_quantity AS hi FROM lineitem),
+    "f13_interval_union": """WITH i AS (SELECT l_orderkey AS k, (l_partkey % 900)::DOUBLE AS lo, l_partkey % 900 + l_quantity AS hi FROM lineitem),
  g AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS n FROM i),
  s AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS z FROM g), u AS (SELECT k, z, max(hi) - min(lo) AS w FROM s GROUP BY 1, 2) SELECT k, sum(w) AS covered FROM u GROUP BY 1""",
     "f15_scanned": "SELECT 'S' || o_custkey AS statement_id, o_custkey % 200 < 100 AND coalesce(max(o_orderkey % 600) FILTER (o_orderkey % 2 = 1), 0) / 600 >= 0.5 AS scanned FROM orders GROUP BY o_custkey",
