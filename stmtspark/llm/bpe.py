@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from stmtspark.llm.common import list_array, text_chunks
+from stmtspark.llm.common import list_array, small_batches, text_chunks, tidied
 
 #: Bytes up to which pieces are contracted together, one pair of each in a step.
 LONG_PIECE = 64
 #: Position rows times steps that one recursive query may hold.
 QUERY_ROWS = 4_000_000
 #: Pieces in each of a worker's two generations of remembered pieces.
-CACHE = 120_000
+CACHE = 80_000
 #: Characters that are split into pieces at once, and ids that one row of the decoding query holds.
 SPLIT_CHARS, DECODE_IDS = 1_000_000, 65_536
 #: A position row's place is w << SHIFT | pos.
@@ -256,15 +256,16 @@ def _with(df: DataFrame, *fields: tuple[str, object]) -> StructType:
 
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array of int) of each text and ``decoded`` (binary), those ids turned back."""
+    small_batches(df.sparkSession)
     df = df.drop("ids", "decoded")
     schema = _with(df, ("ids", ArrayType(IntegerType())), ("decoded", BinaryType()))
-    return df.mapInArrow(lambda it: _encoded(it, text, path, pattern, True), schema)
+    return df.mapInArrow(lambda it: tidied(_encoded(it, text, path, pattern, True)), schema)
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids``, the token ids of each text."""
     df = df.drop("ids", "decoded")
-    return df.mapInArrow(lambda it: _encoded(it, text, path, pattern, False), _with(df, ("ids", ArrayType(IntegerType()))))
+    return df.mapInArrow(lambda it: tidied(_encoded(it, text, path, pattern, False)), _with(df, ("ids", ArrayType(IntegerType()))))
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

@@ -6,8 +6,10 @@ the hash of five words in a row (of the whole sequence when a text has one to fo
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CHUNK_CHARS = 2_000_000
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 
 class _WordHashes(dict):
@@ -88,9 +90,11 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -98,6 +102,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_libc = ctypes.CDLL(None)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python TEXT_ROWS at a time, where the session has Spark's 10,000."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, TEXT_ROWS)
+
+
+def tidied(parts: Iterator) -> Iterator:
+    """What a task yields; at its end the worker gives freed memory back, as it lives on for other stages."""
+    yield from parts
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtspark.llm.common import SHINGLE, mix, shingle_sequence, text_chunks, word_hashes
+from stmtspark.llm.common import SHINGLE, mix, shingle_sequence, small_batches, text_chunks, tidied, word_hashes
 
 LEAST, RADIUS, BLOCKS, GROUP, PIECE = 0.75, 22, 8, 20_000, 16_384
 _BITS = np.arange(64, dtype=np.uint64)
@@ -152,6 +152,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best window of each item found in each document."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     asked = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
     groups = max(1, -(-asked.count() // GROUP))
@@ -159,6 +160,6 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     for g in range(groups):
         own = asked if groups == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)
         index = spark.sparkContext.broadcast(ItemIndex([(r["id"], r["text"]) for r in own.orderBy("id", "text").collect()]))
-        found = src.mapInArrow(lambda it, index=index: _search(it, index.value), "doc_id long, item_id long, first_word long, n_words long, similarity double")
+        found = src.mapInArrow(lambda it, index=index: tidied(_search(it, index.value)), "doc_id long, item_id long, first_word long, n_words long, similarity double")
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("first_word", "n_words", "similarity"), F.struct("similarity", -F.col("first_word"))).alias("b")).select("doc_id", "item_id", "b.*")

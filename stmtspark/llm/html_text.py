@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stmtspark.llm.common import text_chunks
+from stmtspark.llm.common import small_batches, text_chunks
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW_TAGS = frozenset("script style textarea title iframe".split())
@@ -352,6 +352,7 @@ def train(pages: DataFrame, page_id: str = "page_id", markup: str = "html", max_
 
 def extract(pages: DataFrame, labeller: BlockLabeller, markup: str = "html") -> DataFrame:
     """``pages`` with text and n_chars (code points) of each whole page."""
+    small_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     model = pages.sparkSession.sparkContext.broadcast(labeller.w)
 

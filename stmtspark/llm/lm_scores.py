@@ -8,14 +8,19 @@ that under the background model; lower means more like the target.
 Counts cover both corpora whole and are never gathered in the driver.  Counting and scoring share one
 exchange: a task sends each of its bigram occurrences, packed by context, to the context's partition;
 there all counts of the context meet, and every occurrence gets its loss difference.  The sums go
-back packed by chunk of documents, and are put together there.  Frequent contexts, of one in HOT tokens or more, would overload their partition: their
-counts come from a grouped sum first (HOT of them at most, so they can be broadcast), and their
-bigrams are dealt out by both words; bigrams that frequent themselves (again HOT at most) are scored
-where they are read.
-
-Null and empty texts have 0 tokens and score 0.0.  Repeated rows of one doc_id count as one longer
-document.  With an empty target both models of a bigram are compared all the same: the target model
-is then uniform.  Other columns are not read.
+back packed by chunk of documents, and are put together there in a fixed order.
+
+Frequent contexts would overload their partition: those of one in HOT tokens or more, and all of
+PARTITION_TOKENS / 2 or more, so that what one context brings to a task is bounded at any size.  Their
+counts come from a grouped sum first and are broadcast, 24 bytes each; of word frequencies as texts have
+them that is some millions of words at 100 TB, and MOST_HOT is checked: the least count doubles until the
+list fits.  Their bigrams are dealt out by both words; bigrams that frequent themselves are scored where
+they are read.
+
+Words are told apart by 64-bit hashes, and the next words of one context by 32 bits of theirs.  Null and
+empty texts have 0 tokens and score 0.0.  Repeated rows of one doc_id count as one longer document.
+Documents with a null doc_id count for the background model and have no row.  With an empty target both
+models of a bigram are compared all the same: the target model is then uniform.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtspark.llm.common import cut, mix, text_chunks, word_hashes
+from stmtspark.llm.common import cut, mix, small_batches, text_chunks, tidied, word_hashes
 
-MU, HOT, PARTITION_TOKENS = 2.0, 2000, 600_000
+MU, HOT, PARTITION_TOKENS, MOST_HOT = 2.0, 2000, 600_000, 4_000_000
 START = np.uint64(0x5374617274)
 _CHARS = 4_000_000
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, is target, tokens per text, contexts, next words) of runs of whole texts."""
+    """(ids, roles, tokens per text, contexts, next words) of runs of whole texts."""
     for batch in batches:
-        ids, target, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("target").to_numpy(zero_copy_only=False).astype(bool), batch.column("text").to_pylist()
+        ids, role, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("role").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
         for a, b in text_chunks(texts, _CHARS):
             own = [word_hashes(t) for t in texts[a:b]]
             lengths = np.array([len(x) for x in own])
@@ -46,15 +51,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             before = np.empty_like(after)
             before[1:] = after[:-1]
             before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
-            yield ids[a:b], target[a:b], lengths, before, after
+            yield ids[a:b], role[a:b], lengths, before, after
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each word as a context, by corpus, and whether it is a word of the vocabulary."""
-    for _, target, lengths, before, after in _chunks(batches):
+    for _, role, lengths, before, after in _chunks(batches):
         if not len(after):
             continue
-        t = np.repeat(target, lengths)
+        t = np.repeat(role == OF_TARGET, lengths)
         words, at = np.unique(np.concatenate([before, after]), return_inverse=True)
         n = len(before)
         ctx_t = np.bincount(at[:n][t], minlength=len(words))
@@ -64,7 +69,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Hot:
-    """Counts of frequent contexts and bigrams; at most HOT of each."""
+    """Counts of frequent contexts and bigrams."""
 
     def __init__(self, contexts: list, pairs: list):
         contexts, pairs = sorted(contexts), sorted(pairs)
@@ -92,11 +97,11 @@ def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def _frequent_pairs(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatch]:
     """Counts of the bigrams whose words are both frequent; others cannot be frequent."""
-    for _, target, lengths, before, after in _chunks(batches):
+    for _, role, lengths, before, after in _chunks(batches):
         keep = (hot.find(hot.words, before) >= 0) & (hot.find(hot.words, after) >= 0)
         if keep.any():
             keys, at = np.unique(pair_key(before[keep], after[keep]), return_inverse=True)
-            t = np.repeat(target, lengths)[keep]
+            t = np.repeat(role == OF_TARGET, lengths)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at[~t], minlength=len(keys))), pa.array(np.bincount(at[t], minlength=len(keys)))], names=["k", "b", "t"])
 
 
@@ -109,6 +114,8 @@ _NAMES = ["p", "kind", "chunk", "first", "second", "words", "owners", "counts"]
 _KINDS = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
 #: Kinds of rows: bigrams of documents, bigrams of the target, and a chunk's own ids.
 BACKGROUND, TARGET, HEADER = 0, 1, 2
+#: Roles of texts: a document that is scored, a text of the target, and a document that is only counted.
+SCORED, OF_TARGET, NAMELESS = 0, 1, 2
 
 
 def _deal(batches: Iterator[pa.RecordBatch], hot: Hot, size: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -117,11 +124,11 @@ def _deal(batches: Iterator[pa.RecordBatch], hot: Hot, size: int, parts: int) ->
     A chunk's number is made of the task's partition and a count, so a repeated task gives the same.
     """
     task, number = TaskContext.get().partitionId(), 0
-    for ids, target, lengths, before, after in _chunks(batches):
+    for ids, role, lengths, before, after in _chunks(batches):
         owner = np.repeat(np.arange(len(ids)), lengths)
-        for flag in (False, True):
+        for flag in (SCORED, OF_TARGET, NAMELESS):
             for a in range(0, len(ids), 60_000):  # owners are 16-bit
-                own = np.flatnonzero(target[a : a + 60_000] == flag) + a
+                own = np.flatnonzero(role[a : a + 60_000] == flag) + a
                 if len(own):
                     place = np.full(len(ids), -1)
                     place[own] = np.arange(len(own))
@@ -132,12 +139,12 @@ def _deal(batches: Iterator[pa.RecordBatch], hot: Hot, size: int, parts: int) ->
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def _deal_part(ids, flag: bool, lengths, owner, before, after, hot: Hot, size: int, parts: int, chunk: int) -> list[tuple]:
+def _deal_part(ids, flag: int, lengths, owner, before, after, hot: Hot, size: int, parts: int, chunk: int) -> list[tuple]:
     key = pair_key(before, after)
     at, ctx = hot.find(hot.pairs, key), hot.find(hot.words, before)
     known = (at >= 0) & (ctx >= 0)
     rows = []
-    if not flag:
+    if flag == SCORED:
         more = _loss(hot.pt[at[known]], hot.ct[ctx[known]], size) - _loss(hot.pb[at[known]], hot.cb[ctx[known]], size)
         sums = np.bincount(owner[known], weights=more, minlength=len(ids))
         rows.append((chunk % parts, HEADER, chunk, ids.astype(np.int64).tobytes(), lengths.astype(np.int64).tobytes(), sums.tobytes(), b"", b""))
@@ -156,7 +163,7 @@ def _deal_part(ids, flag: bool, lengths, owner, before, after, hot: Hot, size: i
     for b in np.append(np.flatnonzero(np.diff(p)) + 1, len(p)).tolist() if len(p) else []:
         runs = np.append(np.flatnonzero(before[a + 1 : b] != before[a : b - 1]) + 1, b - a)
         starts = np.append(0, runs[:-1])
-        rows.append((int(p[a]), TARGET if flag else BACKGROUND, chunk, np.diff(runs, prepend=0).astype(np.uint32).tobytes(), before[a:b][starts].tobytes(), word[a:b].tobytes(), owner[a:b].tobytes(), counts[a:b].tobytes()))
+        rows.append((int(p[a]), TARGET if flag == OF_TARGET else BACKGROUND, chunk if flag == SCORED else -1, np.diff(runs, prepend=0).astype(np.uint32).tobytes(), before[a:b][starts].tobytes(), word[a:b].tobytes(), owner[a:b].tobytes(), counts[a:b].tobytes()))
         a = b
     return rows
 
@@ -180,7 +187,7 @@ def _score(batches: Iterator[pa.RecordBatch], hot: Hot, size: int) -> Iterator[p
         owner.append(np.frombuffer(r["owners"], np.uint16))
         count.append(np.frombuffer(r["counts"], np.uint32))
         is_t.append(np.full(len(word[-1]), r["kind"] == TARGET))
-        chunks.append(None if r["kind"] == TARGET else r["chunk"])
+        chunks.append(r["chunk"] if r["chunk"] >= 0 else None)
         ends.append(len(word[-1]))
     if not ctx:
         return
@@ -229,16 +236,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, score) of each document, the score to five places."""
     spark = docs.sparkSession
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.lit(False).alias("target"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    src = src.union(target.select(F.lit(-1).cast("long"), F.lit(True), F.col(target_text)))
+    small_batches(spark)
+    role = F.when(F.col("id").isNull(), NAMELESS).otherwise(SCORED)
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).select(F.coalesce("id", F.lit(-1)).alias("id"), role.alias("role"), "text")
+    src = src.union(target.select(F.lit(-1).cast("long"), F.lit(OF_TARGET), F.col(target_text)))
     counts = cut(src.mapInArrow(_contexts, "w long, b long, t long, known boolean").groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.max("known").alias("known")))
     total = counts.agg(F.coalesce(F.sum(F.col("b") + F.col("t")), F.lit(0)).alias("n"), F.count_if("known").alias("v")).first()
-    size, least, parts = max(total["v"], 1), max(1, total["n"] // HOT), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["n"] // PARTITION_TOKENS)
+    size, parts = max(total["v"], 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["n"] // PARTITION_TOKENS)
+    least = min(max(1, total["n"] // HOT), PARTITION_TOKENS // 2)
+    while counts.filter((F.col("b") + F.col("t")) >= least).count() > MOST_HOT:
+        least *= 2
     words = [tuple(r) for r in counts.filter((F.col("b") + F.col("t")) >= least).select("w", "b", "t").collect()] if total["n"] > HOT else []
     some = spark.sparkContext.broadcast(Hot(words, []))
     pairs = src.mapInArrow(lambda it: _frequent_pairs(it, some.value), "k long, b long, t long").groupBy("k").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).filter((F.col("b") + F.col("t")) >= least)
     hot = spark.sparkContext.broadcast(Hot(words, [tuple(r) for r in pairs.collect()] if words else []))
-    dealt = src.mapInArrow(lambda it: _deal(it, hot.value, size, parts), _PACKED)
-    scored = dealt.repartition(parts, "p").mapInArrow(lambda it: _score(it, hot.value, size), _SCORED)
-    sums = scored.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_gather, "id long, n long, more double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
+    dealt = src.mapInArrow(lambda it: tidied(_deal(it, hot.value, size, parts)), _PACKED)
+    scored = dealt.repartition(parts, "p").mapInArrow(lambda it: tidied(_score(it, hot.value, size)), _SCORED)
+    sums = scored.repartition("chunk").sortWithinPartitions("chunk", "kind", "ids", "sums").mapInArrow(_gather, "id long, n long, more double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
     return sums.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), F.when(F.col("n") > 0, F.round(F.col("more") / F.col("n"), 5)).otherwise(0.0).alias("score"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtspark.llm.common import cut, filter_slot, id_filter, in_filter, list_array, mix, shingle_sequence, text_chunks, word_hashes
+from stmtspark.llm.common import cut, filter_slot, id_filter, in_filter, list_array, mix, shingle_sequence, small_batches, text_chunks, tidied, word_hashes
 from stmtspark.llm.components import connected_components
 
 BANDS, ROWS = 40, 6
@@ -88,7 +88,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], doc_id: str, text: str) -> I
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, s1, s2, bands, sig) of each document; s1 and s2 together name its set."""
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return src.mapInArrow(lambda it: _fingerprint(it, "id", "text"), "id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
+    return src.mapInArrow(lambda it: tidied(_fingerprint(it, "id", "text")), "id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -139,13 +139,14 @@ def verified_links(docs: DataFrame, reps: DataFrame, members: DataFrame, doc_id:
     """
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(members, "id"))
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("slot", filter_slot("id"))
-    sets = src.filter("id IS NOT NULL").mapInArrow(lambda it: _sets(it, bits.value), "id long, shingles binary")
-    signs = reps.select(F.col("rep").alias("id"), "sig").withColumn("slot", filter_slot("id")).mapInArrow(lambda it: _signatures(it, bits.value), "id long, sig binary")
+    sets = src.filter("id IS NOT NULL").mapInArrow(lambda it: tidied(_sets(it, bits.value)), "id long, shingles binary")
+    signs = reps.select(F.col("rep").alias("id"), "sig").withColumn("slot", filter_slot("id")).mapInArrow(lambda it: tidied(_signatures(it, bits.value)), "id long, sig binary")
     return members.join(signs, "id").join(sets, "id").groupBy("block").applyInPandas(_verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document."""
+    small_batches(docs.sparkSession)
     every = cut(fingerprints(docs, doc_id, text))
     fp = every.filter("id IS NOT NULL")
     # bands and signature follow from the set, so any row's will do

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtspark.llm.common import SHINGLE, cut, filter_slot, id_filter, in_filter, mix, shingle_sequence, text_chunks, word_hashes
+from stmtspark.llm.common import SHINGLE, cut, filter_slot, id_filter, in_filter, mix, shingle_sequence, small_batches, text_chunks, tidied, word_hashes
 
 WORDS = 50
 WIDTH = WORDS - SHINGLE + 1
@@ -366,10 +366,11 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, first_word, src_doc_id, src_first_word, n_words, similarity) of later copies of passages."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     # a hash spread over partitions; rows that are pairs already are spread by pair
-    rows = src.filter("text IS NOT NULL").mapInArrow(_windows, _ROW)
-    made = cut(rows.repartition("v").sortWithinPartitions("v", "doc", "packed").mapInArrow(_candidates, _OPEN))
+    rows = src.filter("text IS NOT NULL").mapInArrow(lambda it: tidied(_windows(it)), _ROW)
+    made = cut(rows.repartition("v").sortWithinPartitions("v", "doc", "packed").mapInArrow(lambda it: tidied(_candidates(it)), _OPEN))
     found = made.filter("b >= 0").drop("s1", "s2").union(_large_groups(made.filter("b < 0")))
     # the source is the lesser doc_id; repeated rows of one document are no repeat
     found = found.filter("doc <> src").select(
@@ -387,10 +388,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     asked = pairs.select("doc", "src", "near", F.lit(0).alias("side"), F.col("doc").alias("id"), F.col("a").alias("p"), F.col("b").alias("q")).union(pairs.select("doc", "src", "near", F.lit(1), F.col("src"), F.expr("greatest(a + low - 8, 0)"), F.expr("b + high + 8")))
     bits = spark.sparkContext.broadcast(id_filter(asked, "id"))
-    tokens = src.withColumn("slot", filter_slot("id")).mapInArrow(lambda it: _slices(it, bits.value), "id long, tokens binary")
+    tokens = src.withColumn("slot", filter_slot("id")).mapInArrow(lambda it: tidied(_slices(it, bits.value)), "id long, tokens binary")
     sliced = asked.join(tokens, "id").select("doc", "src", "near", "side", "p", F.expr("substring(tokens, cast(4 * p + 1 as int), cast(4 * (q - p + 1) as int))").alias("part"))
     both = sliced.groupBy("doc", "src", "near").agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("a"), F.max(F.when(F.col("side") == 0, F.col("part"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("y"), F.max(F.when(F.col("side") == 1, F.col("p"))).alias("p"))
-    return both.filter("x IS NOT NULL AND y IS NOT NULL").mapInPandas(_verified, "doc_id long, first_word long, src_doc_id long, src_first_word long, n_words long, similarity double").distinct()
+    return both.filter("x IS NOT NULL AND y IS NOT NULL").mapInPandas(lambda it: tidied(_verified(it)), "doc_id long, first_word long, src_doc_id long, src_first_word long, n_words long, similarity double").distinct()
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stmtspark.llm.common import text_chunks
+from stmtspark.llm.common import small_batches, text_chunks
 from stmtspark.llm.merging import contract
 
 END = "</w>"
@@ -141,6 +141,7 @@ def _count(batches: Iterator[pa.RecordBatch], text: str, path: str) -> Iterator[
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048) -> DataFrame:
     """``df`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); existing ones are replaced."""
+    small_batches(df.sparkSession)
     df = df.drop("n_tokens", "n_bytes", "over_limit")
     schema = StructType([*df.schema.fields, StructField("n_tokens", LongType())])
     out = df.mapInArrow(lambda it: _count(it, text, path), schema)

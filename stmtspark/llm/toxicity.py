@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stmtspark.llm.common import cut, list_array, text_chunks
+from stmtspark.llm.common import cut, list_array, small_batches, text_chunks, tidied
 
 DIMS = 1 << 21
 PREFIXES = (3, 4, 5, 6)
 MAX_ROWS = 12_000
 LEAST_DF = 4
 L1, COUNTERFACTUAL, STEPS = 1e-3, 1.0, 120
-_KEPT = 150_000
+_KEPT = 100_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’¡¿…–—|"
 
 #: Families of identity terms; a counterfactual text has each replaced by the next of its family.
@@ -204,7 +204,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str,
 
     # at most max_rows ids, so the broadcast has a fixed bound; one text of each
     one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    found = cut(one.mapInArrow(run, "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>"))
+    found = cut(one.mapInArrow(lambda it: tidied(run(it)), "doc_id long, toxic int, f array<int>, gained array<int>, lost array<int>"))
     total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     wanted = np.zeros(DIMS, dtype=bool)
     wanted[telling_features(found, total["n"], total["pos"])] = True
@@ -217,7 +217,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str,
             left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), list_array(flat[keep], left), batch.column("gained"), batch.column("lost")], names=batch.schema.names)
 
-    return found.mapInArrow(only, found.schema)
+    return found.mapInArrow(lambda it: tidied(only(it)), found.schema)
 
 
 def as_arrays(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -259,13 +259,14 @@ def telling_features(found: DataFrame, n: int, positives: int, l1: float = L1) -
 
 def train(docs: DataFrame, labels: DataFrame, families: tuple[tuple[str, ...], ...] = IDENTITY, max_rows: int = MAX_ROWS) -> Scorer:
     """A scorer fitted in one task; only its weights that are not 0 come to the driver, the intercept at -1."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         weights, intercept = fit(*as_arrays(pa.Table.from_batches(rows))) if rows else fit([], np.zeros(0), [])
         yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int32()), pa.array([intercept, *weights.values()], pa.float64())], names=["k", "w"])
 
-    found = labelled_rows(docs, labels, families, max_rows).repartition(1).mapInArrow(run, "k int, w double").toArrow()
+    found = labelled_rows(docs, labels, families, max_rows).repartition(1).mapInArrow(lambda it: tidied(run(it)), "k int, w double").toArrow()
     weights = dict(zip(found["k"].to_pylist(), found["w"].to_pylist(), strict=True))
     intercept = weights.pop(-1, -1e9)
     return Scorer(weights, intercept)
@@ -283,4 +284,4 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", into: str = "scor
                 kept = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([model.value.score(t) for t in texts[a:b]], pa.float64())], names=[*kept.schema.names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
+    return docs.mapInArrow(lambda it: tidied(run(it)), StructType([*docs.schema.fields, StructField(into, DoubleType())]))

@@ -409,14 +409,16 @@ def test_lm_scores_match_brute_force(spark, n):
     rng = random.Random(12)
     texts = [" ".join(prose(rng, rng.randint(1, 60), 80)) for _ in range(n)] + [None, "", " "]
     target = [" ".join(prose(rng, 20, 40)) for _ in range(n // 2)] + [None]
-    rows = {r["doc_id"]: r for r in lm_scores.cross_entropy_difference(docs(spark, texts), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+    nameless = spark.createDataFrame([(None, t, "en", "mine", "mine", "mine") for t in texts[:2]], DOCS)
+    rows = {r["doc_id"]: r for r in lm_scores.cross_entropy_difference(docs(spark, texts).union(nameless), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
     contexts, pairs, vocabulary = [Counter(), Counter()], [Counter(), Counter()], set()
     bigrams = lambda t: list(zip([None, *(t or "").split()[:-1]], (t or "").split()))
-    for k, own in enumerate((texts, target)):
+    for k, own in enumerate((texts + texts[:2], target)):
         for t in own:
             vocabulary.update((t or "").split())
             contexts[k].update(a for a, _ in bigrams(t))
             pairs[k].update(bigrams(t))
+    assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         b = bigrams(t)
         loss = [sum(-math.log((pairs[k][x] + lm_scores.MU / len(vocabulary)) / (contexts[k][x[0]] + lm_scores.MU)) for x in b) / max(1, len(b)) for k in (0, 1)]
