@@ -1,9 +1,15 @@
 """The corpus pipeline on a small table with planted cases."""
 
+import base64
+import hashlib
+import itertools
 import random
+from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers as P
+import tiktoken
 from conftest import SF
 
 from stmtspark.llm import queries
@@ -13,6 +19,72 @@ def words(rng, n):
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
 
+def brute_force(texts: dict[int, str | None], bad: set[str], items: list[str]) -> list[tuple]:
+    """The pipeline in plain Python: all pairs, all runs of 50 words, all windows, the library's tokens."""
+    split = lambda t: (t or "").lower().split()
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    now = {i: t for i, t in texts.items() if not bad & set(split(t))}
+    sets, root = {i: set(grams(split(t))) for i, t in now.items()}, {i: i for i in now}
+    for a, b in itertools.combinations(sorted(now), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            old, new = sorted((root[a], root[b]), reverse=True)
+            root = {i: new if r == old else r for i, r in root.items()}
+    now = {i: now[i] for i in sorted(now) if root[i] == i}
+    seen: set[tuple] = set()
+    for i, t in now.items():
+        w, keep = split(t), (t or "").split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        gone = {k + j for k, r in enumerate(runs) if r in seen for j in range(50)}
+        if gone:
+            now[i] = " ".join(x for k, x in enumerate(keep) if k not in gone)
+        seen.update(runs)
+    now = {i: t for i, t in now.items() if t is None or t or not texts[i]}
+
+    def leaks(w: list[str], item: list[str]) -> bool:
+        a = Counter(grams(item))
+        windows = (Counter(grams(w[k : k + len(item)])) for k in range(max(1, len(w) - len(item) + 1)))
+        return any((a & b) and sum((a & b).values()) >= 0.75 * sum((a | b).values()) for b in windows)
+
+    now = {i: t for i, t in now.items() if not any(leaks(split(t), split(x)) for x in items)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {i: lib.encode_ordinary(t or "") for i, t in now.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return sorted((i, len(x), sha(",".join(map(str, x)).encode()), sha((now[i] or "").encode())) for i, x in ids.items())
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Copies of many grades, passages behind earlier quotes of them, leaks, nulls, repeats; every row of run()."""
+    rng = random.Random(21)
+    items, passages = [" ".join(words(rng, 30)) for _ in range(3)], [words(rng, 120) for _ in range(4)]
+    texts: list[str | None] = [" ".join(words(rng, 60) + (["scumbag"] if i % 6 == 0 else [])) for i in range(150)]
+    labels = [(i, int(i % 6 == 0)) for i in range(150)]
+    for k, p in enumerate(passages):
+        texts += [" ".join(words(rng, 45) + part + words(rng, 45)) for part in (p[:40], p[60:100], p, p[10:110], p)]
+        near = texts[k + 7].split()
+        near[k * 7 + 20] = "other"
+        texts += [" ".join(near), " ".join([*near[:25], *near[26:], "end"]), " ".join(near[:30] + words(rng, 30))]
+    texts += [" ".join(words(rng, 40) + x.split() + words(rng, 30)) for x in items] + [texts[1], texts[2] + " end", None, "", "few words", " ".join([*words(rng, 30), "scumbag"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine") for i, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = brute_force(dict(enumerate(texts)), {"scumbag"}, items)
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [r[0] for r in got] == [r[0] for r in want] and got == want
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    one = spark.createDataFrame([(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (None, "a b", "en", "s", 3)], schema)
+    one.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     item = " ".join(words(rng, 40))
