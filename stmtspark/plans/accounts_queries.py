@@ -161,7 +161,8 @@ def _webhooks(spark: SparkSession, d: str) -> DataFrame:
     order = F.concat(F.lit("P"), F.floor(F.col("event_id") / 2).cast("string"))
     kind = F.when(F.col("event_type") == "purchase", "payment.captured").when(F.col("event_type") == "click", "order.paid").when(F.col("event_type") == "error", "payment.failed").otherwise("other")
     amount = F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 2 == 0, 117882).otherwise(294882)
-    paid = F.format_string('{"event":"%s","payload":{"payment":{"entity":{"id":"pay%d","order_id":"%s","amount":%d}}}}', kind, F.col("event_id"), order, amount)
+    why = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("declined "), "event_id")).otherwise("")
+    paid = F.format_string('{"event":"%s","payload":{"payment":{"entity":{"id":"pay%d","order_id":"%s","amount":%d,"error_description":"%s"}}}}', kind, F.col("event_id"), order, amount, why)
     plain = F.format_string('{"event":"%s","payload":{"order":{"entity":{"id":"%s","amount_paid":%d}}}}', kind, order, amount)
     body = F.when(F.col("event_id") % 31 == 0, "not json").when(F.col("event_type") == "click", plain).otherwise(paid)
     return sources.parse_webhook_events(e.select("event_id", "t", body.alias("body")))
@@ -174,6 +175,13 @@ def e5_fulfil(spark: SparkSession, d: str) -> DataFrame:
     return E.fulfil_payments(orders, events, users(spark, d), plans)
 
 
+def e5_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Orders after all payment events, with the last failure while they were open."""
+    orders = payments(spark, d).withColumn("status", F.when(F.col("status") == "fulfilled", "created").otherwise(F.col("status"))).select("order_id", "user_id", "plan", "amount", "status")
+    plans = spark.createDataFrame([("starter",)], "plan string")
+    return E.settle_payments(orders, _webhooks(spark, d).filter("NOT rejected"), users(spark, d), plans).select("order_id", "status", "payment_id", "paid_t", "last_failure", "last_failed_t")
+
+
 def e6_plans(spark: SparkSession, d: str) -> DataFrame:
     paid = payments(spark, d).filter("status = 'fulfilled'").select("user_id", "order_id", "pages", E.micros(F.col("created_at")).alias("t"))
     return E.plan_ledger(paid, 930_000_000_000_000)
@@ -252,6 +260,7 @@ QUERIES: dict[str, Query] = {
     "e4_otp_verify": lambda s, d: E.otp_verify(r_codes(s, d)),
     "e4_valid_code_asof": valid_codes,
     "e5_fulfil_payments": e5_fulfil,
+    "e5_settled_payments": e5_settled,
     "e6_plan_ledger": e6_plans,
     "e7_credit_gate": lambda s, d: E.credit_gate(r_uploads(s, d)),
     "s7_webhook_events": lambda s, d: _webhooks(s, d).select("event_id", "kind", "order_id", "payment_id", "amount", "rejected"),
@@ -312,6 +321,12 @@ ORACLES: dict[str, str] = {
  c AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY t, event_id) AS n FROM w WHERE kind <> 'x')
  SELECT c.event_id, c.order_id, p.user_id, c.t, CASE WHEN p.order_id IS NULL THEN 'unknown_order' WHEN p.status NOT IN ('created', 'fulfilled') OR n > 1 THEN 'already_fulfilled' WHEN c.amount <> p.amount THEN 'amount_mismatch' WHEN p.plan <> 'starter' OR u.id IS NULL THEN 'needs_review' ELSE 'fulfilled' END AS outcome
  FROM c LEFT JOIN payments p ON p.order_id = c.order_id LEFT JOIN users u ON u.id = p.user_id""",
+    "e5_settled_payments": f"""{WITH}, {EVENTS}, w AS (SELECT event_id, t, 'P' || (event_id // 2) AS order_id, event_type AS k, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 117882 ELSE 294882 END AS amount FROM ev WHERE event_id % 31 <> 0),
+ o AS (SELECT order_id, user_id, plan, amount AS due, CASE WHEN status = 'fulfilled' THEN 'created' ELSE status END AS was FROM payments),
+ c AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY t, event_id) AS n FROM w WHERE k IN ('purchase', 'click')),
+ a AS (SELECT o.*, c.event_id, c.t, c.k, CASE WHEN c.event_id IS NULL THEN was WHEN c.amount <> due THEN 'amount_mismatch' WHEN plan <> 'starter' OR u.id IS NULL THEN 'needs_review' ELSE 'fulfilled' END AS status FROM o LEFT JOIN c ON c.order_id = o.order_id AND n = 1 AND was = 'created' LEFT JOIN users u ON u.id = o.user_id),
+ f AS (SELECT a.order_id, last(CASE WHEN w.event_id % 4 = 0 THEN 'declined ' || w.event_id ELSE 'Payment failed' END ORDER BY w.t, w.event_id) AS why, max(w.t) AS t FROM a JOIN w ON w.order_id = a.order_id AND w.k = 'error' AND was = 'created' AND (a.event_id IS NULL OR (w.t, w.event_id) < (a.t, a.event_id)) GROUP BY 1)
+ SELECT a.order_id, a.status, CASE WHEN k = 'purchase' THEN 'pay' || event_id END AS payment_id, a.t AS paid_t, f.why AS last_failure, f.t AS last_failed_t FROM a LEFT JOIN f USING (order_id)""",
     "e6_plan_ledger": f"""{WITH}, p AS (SELECT user_id, order_id, pages, epoch_us(created_at::TIMESTAMP) AS t FROM payments WHERE status = 'fulfilled'),
  g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, order_id) >= 31536000000000, true)::INT AS n FROM p),
  i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t, order_id ROWS UNBOUNDED PRECEDING) AS k FROM g),

@@ -63,7 +63,7 @@ def read_accounts(spark: SparkSession, folder: str, name: str, kind: str = "parq
 
 
 def parse_webhook_events(df: DataFrame, body: str = "body") -> DataFrame:
-    """``df`` with kind, order_id, payment_id, amount and rejected (malformed JSON)."""
+    """``df`` with kind, order_id, payment_id, amount, failure and rejected (malformed JSON)."""
     e = F.from_json(F.col(body), WEBHOOK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     t = df.withColumn("_e", e)
     pay, order = "_e.payload.payment.entity", "_e.payload.order.entity"
@@ -73,6 +73,7 @@ def parse_webhook_events(df: DataFrame, body: str = "body") -> DataFrame:
         F.coalesce(f"{pay}.order_id", f"{order}.id").alias("order_id"),
         F.col(f"{pay}.id").alias("payment_id"),
         F.coalesce(f"{pay}.amount", f"{order}.amount_paid").alias("amount"),
+        F.nullif(F.col(f"{pay}.error_description"), F.lit("")).alias("failure"),
         F.coalesce(F.col("_e").isNull() | F.col("_e._corrupt").isNotNull(), F.lit(True)).alias("rejected"),
     )
 

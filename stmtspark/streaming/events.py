@@ -63,24 +63,35 @@ def fold(df: DataFrame, keys: list[str], step: Step, start: tuple, added: str) -
     return df.repartition(*keys).sortWithinPartitions(*keys, "t", "event_id").mapInPandas(run, schema)
 
 
-def fold_stream(df: DataFrame, keys: list[str], step: Step, start: tuple, added: str, state: str) -> DataFrame:
-    """``fold`` on a stream: the state of a key is kept between micro-batches, rows in order within one."""
+def fold_stream(df: DataFrame, keys: list[str], step: Step, start: tuple, added: str, state: str, idle_ms: int | None = None) -> DataFrame:
+    """``fold`` on a stream: the state of a key is kept between micro-batches, rows in order within one.
+
+    With ``idle_ms`` a key that gets no row for so long loses its state and begins anew; choose a time
+    after which the rule's own windows have passed.
+    """
     added_type = StructType.fromDDL(added)
     names = [f.name for f in added_type.fields]
     schema = StructType([*df.schema.fields, *added_type.fields])
 
     def run(_: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         now = tuple(held.get) if held.exists else start
         rows = pd.concat(list(parts), ignore_index=True).sort_values(["t", "event_id"], ignore_index=True)
         out: list[list] = [[] for _ in names]
-        for row in rows.to_dict("records"):
-            now, got = step(now, row)
+        columns = list(rows.columns)
+        for values in rows.itertuples(index=False, name=None):
+            now, got = step(now, dict(zip(columns, values, strict=True)))
             for o, n in zip(out, names, strict=True):
                 o.append(got[n])
         held.update(now)
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
         yield rows.assign(**{n: pd.Series(o, dtype=object) for n, o in zip(names, out, strict=True)})
 
-    return df.groupBy(*keys).applyInPandasWithState(run, schema, StructType.fromDDL(state), "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(*keys).applyInPandasWithState(run, schema, StructType.fromDDL(state), "append", timeout)
 
 
 # --- lockouts: t, ok, expired -> result ------------------------------------------------------
@@ -188,6 +199,31 @@ def fulfil_payments(orders: DataFrame, events: DataFrame, users: DataFrame, plan
     return t.select("event_id", "order_id", "user_id", "t", status.alias("outcome"))
 
 
+CLAIM_START, CLAIM_STATE, CLAIM_ADDED = (False,), "claimed boolean", "wins boolean"
+
+
+def claim_step(state: tuple, e: dict) -> tuple[tuple, dict]:
+    """The first claim of an order wins it; other kinds of events claim nothing."""
+    claim = e["kind"] in CLAIMS
+    return (state[0] or claim,), {"wins": claim and not state[0]}
+
+
+def settle_payments(orders: DataFrame, events: DataFrame, users: DataFrame, plans: DataFrame) -> DataFrame:
+    """Orders after all events: status, payment_id and paid_t of the winning claim, and the last failure before it.
+
+    ``events`` as for ``fulfil_payments``, with payment_id and failure (a text or null).  A failed payment
+    leaves a created order as it is, so that it can be paid later.
+    """
+    won = fulfil_payments(orders, events, users, plans).filter("outcome NOT IN ('unknown_order', 'already_fulfilled')")
+    won = won.join(events.select("event_id", "payment_id"), "event_id").select("order_id", F.col("outcome").alias("_status"), F.col("payment_id").alias("_payment_id"), F.col("t").alias("_paid_t"), F.col("event_id").alias("_paid_by"))
+    t = orders.join(won, "order_id", "left")
+    failed = events.filter("kind = 'payment.failed'").select("order_id", F.struct("t", "event_id").alias("_at"), F.coalesce("failure", F.lit("Payment failed")).alias("_why"))
+    open_then = (F.col("status") == "created") & (F.col("_paid_t").isNull() | (F.col("_at") < F.struct(F.col("_paid_t").alias("t"), F.col("_paid_by").alias("event_id"))))
+    last = t.select("order_id", "status", "_paid_t", "_paid_by").join(failed, "order_id").filter(open_then).groupBy("order_id").agg(F.max_by("_why", "_at").alias("last_failure"), F.max("_at.t").alias("last_failed_t"))
+    kept = [c for c in orders.columns if c not in ("status", "payment_id", "paid_t", "last_failure", "last_failed_t")]
+    return t.join(last, "order_id", "left").select(*kept, F.coalesce("_status", "status").alias("status"), F.col("_payment_id").alias("payment_id"), F.col("_paid_t").alias("paid_t"), "last_failure", "last_failed_t")
+
+
 def plan_ledger(fulfilled: DataFrame, now_t: int) -> DataFrame:
     """(user_id, purchases, page_limit, expires_t, active): purchases that follow before the last expires add up."""
     year = PLAN_DAYS * 86400 * SECOND

@@ -23,6 +23,42 @@ def test_lockouts_stream_equals_batch(spark, tmp_path):
     assert got == want and {r[1] for r in want} >= {"ok", "lock", "locked", "failed", "expired"}
 
 
+def in_batches(spark, df, folder, parts=2):
+    """``df`` as a stream of ``parts`` micro-batches in event_id order."""
+    n = -(-df.count() // parts)
+    for k in range(parts):
+        df.filter((F.col("event_id") >= k * n) & (F.col("event_id") < (k + 1) * n)).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+
+
+def rows_of(out, name, folder):
+    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return out.sparkSession.table(name)
+
+
+def test_credit_and_claim_streams_equal_batch(spark, tmp_path):
+    n = 90
+    uploads = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.col("id").alias("t"), (F.col("id") % 7).alias("pages"), (F.col("id") % 4 != 0).alias("ok"), F.lit(60).cast("long").alias("page_limit"), F.lit(False).alias("staff"))
+    claims = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 11).cast("string").alias("order_id"), F.col("id").alias("t"), F.when(F.col("id") % 2 == 0, "order.paid").otherwise("payment.failed").alias("kind"))
+    cases = [
+        (uploads, ["user_id"], E.credit_step, E.CREDIT_START, E.CREDIT_ADDED, E.CREDIT_STATE, None),
+        (claims, ["order_id"], E.claim_step, E.CLAIM_START, E.CLAIM_ADDED, E.CLAIM_STATE, 3_600_000),
+    ]
+    for k, (df, keys, step, start, added, state, idle) in enumerate(cases):
+        folder = tmp_path / str(k)
+        got = rows_of(E.fold_stream(in_batches(spark, df, folder), keys, step, start, added, state, idle), f"case{k}", folder)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.fold(df, keys, step, start, added).collect()))
+
+
+def test_sessions_stream_equals_batch(spark, tmp_path):
+    df = spark.range(60).select(F.col("id").alias("event_id"), (F.col("id") % 2).alias("user_id"), F.timestamp_seconds(F.col("id") * 600 + F.floor(F.col("id") / 20) * 20_000).alias("ts"))
+    late = spark.range(60, 61).select(F.col("id").alias("event_id"), F.lit(9).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(10_000_000)).alias("ts"))
+    got = rows_of(E.sessionize(in_batches(spark, df.union(late), tmp_path), watermark="1 minute"), "sessions", tmp_path)
+    key = lambda t: sorted(map(tuple, t.filter("user_id < 9").select("user_id", "started", "ended", "events").collect()))
+    assert key(got) == key(E.sessionize(df)) and len(key(got)) == 6
+
+
 def test_statements_stream(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "statement_id string, n int")
     df.write.parquet(str(tmp_path / "in"))
