@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtspark.llm.common import cut
+from stmtspark.llm.common import cut, discard, tables_made
 
 MOST_ROUNDS = 60
 
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and both directions are allowed; null ends are left out.
     """
+    spark, begin = edges.sparkSession, tables_made()
     now = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(MOST_ROUNDS):
@@ -41,6 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = state
         now = cut(_star(_star(now, large=True), large=False))
+        discard(spark, begin)  # the round before
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -1,9 +1,11 @@
 """Token counts for a word-end BPE vocabulary with a whole-token shortcut.
 
-``WordCounter`` proves, before any text is read, which vocabulary strings encode alone as one token:
-each string that ends a word is contracted by the merge list, and kept if one symbol is left and the
-split pattern takes it as one pre-token.  A pre-token in that set counts one without merging; only
-the rest are merged, each distinct one once while a worker remembers it.
+``WordCounter`` proves in the driver, once and before any text is read, which vocabulary strings encode
+alone as one token; the proven set is broadcast, its size that of the vocabulary.  Each string that ends
+a word is contracted by the merge list, and kept if one symbol is left and the split pattern takes it as
+one pre-token.  A pre-token in that set counts one without merging; only the rest are merged, each
+distinct one once while a worker remembers it.  Words of over 48 symbols are merged with a heap, in the
+same order and with the same result.
 
 Counts are those of the tokenizers library without added tokens at the ends; special strings inside
 a text are one token each, as the library's default has it.  Null and empty texts count 0.  Rows are
@@ -41,7 +43,7 @@ def byte_letters() -> list[str]:
 class WordCounter:
     _made: dict[str, WordCounter] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -54,14 +56,14 @@ class WordCounter:
         specials = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.letters = byte_letters()
-        self.whole = self.prove(model["vocab"])
+        self.whole = self.prove(model["vocab"]) if whole is None else whole
         self.of_part: dict[str, int] = {}
         self.of_word: dict[str, int] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordCounter:
+    def of(cls, path: str, whole: frozenset[str] | None = None) -> WordCounter:
         if path not in cls._made:
-            cls._made[path] = cls(path)
+            cls._made[path] = cls(path, whole)
         return cls._made[path]
 
     def prove(self, vocabulary: dict[str, int]) -> frozenset[str]:
@@ -89,7 +91,7 @@ class WordCounter:
     def merged(self, word: str) -> list[str]:
         symbols = [self.letters[b] for b in word.encode("utf-8", "replace")]
         symbols[-1] += END
-        if len(symbols) > 48:
+        if len(symbols) > 48:  # the same order with a heap, as the scan below takes the square of the length
             return contract(symbols, lambda a, b: self.pairs.get((a, b)))
         get, none = self.pairs.get, (1 << 60, "")
         while len(symbols) > 1:
@@ -129,8 +131,8 @@ class WordCounter:
         return [sum(map(known.__getitem__, parts)) for parts in split]
 
 
-def _count(batches: Iterator[pa.RecordBatch], text: str, path: str) -> Iterator[pa.RecordBatch]:
-    counter = WordCounter.of(path)
+def _count(batches: Iterator[pa.RecordBatch], text: str, path: str, whole: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    counter = WordCounter.of(path, whole)
     for batch in batches:
         texts = batch.column(text).to_pylist()
         for a, b in text_chunks(texts):
@@ -144,5 +146,6 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048
     small_batches(df.sparkSession)
     df = df.drop("n_tokens", "n_bytes", "over_limit")
     schema = StructType([*df.schema.fields, StructField("n_tokens", LongType())])
-    out = df.mapInArrow(lambda it: _count(it, text, path), schema)
+    whole = df.sparkSession.sparkContext.broadcast(WordCounter.of(path).whole)
+    out = df.mapInArrow(lambda it: _count(it, text, path, whole.value), schema)
     return out.select(*df.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
