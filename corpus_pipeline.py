@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtspark.llm import bpe, decontaminate, minhash, substrings, toxicity
-from stmtspark.llm.common import cut
+from stmtspark.llm.common import cut, discard, tables_made
 
 import public_tokenizers as tokenizers  # isort: skip  (after the subpackage, which may be missing)
 
@@ -65,6 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begin = tables_made()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        discard(spark, begin)  # the stage's own tables, and the documents before it
     return STAGES[-1][1](spark, docs, sf_dir)
