@@ -49,6 +49,26 @@ def t8_statement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.validated(X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir))
 
 
+def marked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with marked amounts; printed balances are off by 50 for some keys, and some statements have no entry."""
+    t = X.ledger(spark, sf_dir)
+    printed = F.col("balance") + F.when(F.col("o_orderkey") % 10 == 0, 50).otherwise(0)
+    amount = F.concat(F.format_number("amount", 2), F.when(F.col("credit"), " (Cr)").otherwise(" Dr."))
+    balance = F.concat(F.format_number(F.abs(printed), 2), F.when(printed < 0, " Dr").otherwise(" Cr"))
+    e = F.lit("")
+    entry = F.array(F.date_format("day", "dd-MM-yyyy"), F.lit("PAID TO X"), amount, balance)
+    opened = F.array(e, F.lit("Opening Balance"), e, F.lit("100,000.00 Cr"))
+    rows = F.concat(F.when(F.col("n") == 1, F.array(opened)).otherwise(F.array().cast("array<array<string>>")), F.when(F.col("o_custkey") % 7 != 0, F.array(entry)).otherwise(F.array().cast("array<array<string>>")))
+    out = t.select(X.statement_id().alias("statement_id"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), "n", F.posexplode(rows).alias("k", "cells"))
+    return out.select("statement_id", "page", "table_no", (F.col("n") * 2 + F.col("k")).cast("int").alias("row_no"), "cells")
+
+
+def t8_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked amounts decide the type, whatever the balances say; balances that do not follow are breaks."""
+    banks = X.statement_banks(spark, sf_dir).select("statement_id", F.lit("generic").alias("bank"))
+    return parsing.validated(marked_cells(spark, sf_dir), banks)
+
+
 def t5_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narrations of the layout that breaks lines inside words; hard-wrapped lines of the text say where."""
     cells, banks = X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir).filter("bank = 'bob'")
@@ -90,10 +110,16 @@ QUERIES = {
     "t6_balance_direction": t6_balance_direction,
     "t8_statement_validation": t8_statement_validation,
     "t5_glued_narrations": t5_glued,
+    "t8_marked_breaks": t8_breaks,
     "f7_best_extraction": f7_best,
     "l11_stream_records": l11_records,
 }
 ORACLES = {
+    "t8_marked_breaks": f"""WITH {X.LEDGER}, p AS (SELECT *, balance + CASE WHEN o_orderkey % 10 = 0 THEN 50 ELSE 0 END AS printed, CASE WHEN credit THEN amount ELSE -amount END AS net FROM ledger),
+g AS (SELECT *, abs(printed - coalesce(lag(printed) OVER (PARTITION BY o_custkey ORDER BY n), 100000) - net) > 1 AS gap, o_custkey % 7 <> 0 AS listed FROM p)
+SELECT 'S' || o_custkey AS statement_id, 100000.00::DOUBLE AS opening_balance, count(*) FILTER (listed) AS n_txns, count(*) FILTER (listed AND NOT credit) AS n_dr, count(*) FILTER (listed AND credit) AS n_cr, 0::BIGINT AS n_untyped,
+  coalesce(sum(amount) FILTER (listed AND NOT credit), 0)::DOUBLE AS sum_debit, coalesce(sum(amount) FILTER (listed AND credit), 0)::DOUBLE AS sum_credit, count(*) FILTER (listed AND gap) AS continuity_breaks, max_by(printed, n) FILTER (listed)::DOUBLE AS closing_balance
+FROM g GROUP BY o_custkey""",
     "t5_glued_narrations": f"""WITH {X.LEDGER}, e AS (SELECT o_custkey, 300 - 2 * sum(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 260 ELSE 80 END) / sum(length('TRANSFER PARTY X' || (o_orderkey % 97) || 'Q')) AS edge, max(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 300 ELSE 120 END) AS most, count(*) AS lines, 2 * sum(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 260 ELSE 80 END) / sum(length('TRANSFER PARTY X' || (o_orderkey % 97) || 'Q')) AS slack FROM ledger GROUP BY 1),
 w AS (SELECT DISTINCT l.o_custkey, l.o_orderkey % 97 AS party FROM ledger l JOIN e USING (o_custkey) WHERE lines >= 3 AND CASE WHEN l.o_orderkey % 97 % 2 = 0 THEN 300 ELSE 120 END >= most - slack),
 g AS (SELECT o_custkey FROM w GROUP BY 1 HAVING count(*) >= 3)
