@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtspark.functions import cells as C
-from stmtspark.operators import accounts
+from stmtspark.operators import accounts, routing
+from stmtspark.plans import layout_queries
 from stmtspark.plans.fixtures import table
 from stmtspark.sources import tables as sources
 from stmtspark.streaming import events as E
@@ -240,7 +241,25 @@ def valid_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+def f17_files(spark: SparkSession, d: str) -> DataFrame:
+    """Uploaded files routed by what the probes find: passwords, scans, text that can't be read, page credit, layout."""
+    k = F.col("o_orderkey")
+    sid = k.cast("string").alias("statement_id")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    blocks = o.select(sid, F.lit(1).alias("page"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), (k % 2).cast("int").alias("block_type"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (k % 600).cast("double").alias("x1"), F.lit(800.0).alias("y1"))
+    text = F.concat(F.repeat(F.lit("word "), F.when(k % 3 == 0, 5).otherwise(60)), F.repeat(F.lit("\x01"), (k % 31).cast("int")))
+    scans = routing.is_scanned(blocks, o.select(sid, text.alias("text")))
+    layout = routing.classify_layout(routing.best_grid_table(layout_queries.grid_cells(spark, d))).select("statement_id", "category")
+    left = users(spark, d).select(F.col("id").alias("user_id"), (F.coalesce("page_limit", F.lit(100)) - F.col("pages_used")).alias("remaining"))
+    name = F.when(k % 10 == 0, "plain.pdf").otherwise(F.concat(F.lit("stmt_"), F.lpad(k.cast("string"), 8, "0"), F.lit(".pdf")))
+    password = C.known_password(name, {})
+    files = o.select(sid, F.concat(F.lit("U"), "o_custkey").alias("user_id"), (k % 5 == 0).alias("encrypted"), password.alias("password"), (k % 25 != 0).alias("password_ok"), (1 + k % 40).alias("pages"), routing.has_undecodable_text(text).alias("undecodable"))
+    flags = files.join(left, "user_id", "left").join(scans, "statement_id", "left").join(layout, "statement_id", "left")
+    return routing.route_statements(flags.withColumn("remaining", F.coalesce("remaining", F.lit(0)))).select("statement_id", "status")
+
+
 QUERIES: dict[str, Query] = {
+    "f17_routed_files": f17_files,
     "r1_statement_counts": lambda s, d: accounts.statement_counts(statements(s, d)),
     "r2_platform_stats": lambda s, d: accounts.platform_stats(users(s, d), statements(s, d), messages(s, d)),
     "r3_free_usage_topk": lambda s, d: accounts.free_usage_topk(users(s, d)),
@@ -275,6 +294,12 @@ _KEY = [bytes(b ^ x for b in b"secret-key".ljust(64, b"\0")).hex() for x in (0x3
 _HMAC = f"sha256(unhex('{_KEY[1]}') || unhex(sha256(unhex('{_KEY[0]}') || encode(order_id || '|' || user_id))))"
 _RANKED = "row_number() OVER (ORDER BY created_at DESC, order_id) AS place"
 ORACLES: dict[str, str] = {
+    "f17_routed_files": f"""{WITH}, g AS ({layout_queries.ORACLES["f10_best_grid_table"]}),
+ f AS (SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE 60 END AS words, o_orderkey % 31 AS bad FROM orders)
+ SELECT k::VARCHAR AS statement_id, CASE WHEN k % 10 = 0 THEN 'PASSWORD_REQUIRED' WHEN k % 25 = 0 THEN 'WRONG_PASSWORD' WHEN words * 5 - (bad = 0)::INT + bad < 100 AND k % 2 = 1 AND k % 600 >= 300 THEN 'SCANNED'
+  WHEN words * 5 + bad >= 200 AND bad / (words * 4 + bad) >= 0.1 THEN 'UNREADABLE' WHEN coalesce(coalesce(page_limit, 100) - pages_used, 0) <= 0 THEN 'PAGE_LIMIT_REACHED' WHEN 1 + k % 40 > coalesce(page_limit, 100) - pages_used THEN 'INSUFFICIENT_PAGES'
+  ELSE coalesce(category, 'NO_TABLE') END AS status
+ FROM f LEFT JOIN users u ON u.id = 'U' || o_custkey LEFT JOIN g ON g.statement_id = k::VARCHAR""",
     "r1_statement_counts": f"{WITH} SELECT user_id, count(*) AS statement_count FROM statements WHERE user_id IS NOT NULL GROUP BY 1",
     "r2_platform_stats": f"""{WITH} SELECT (SELECT count(*) FROM users WHERE NOT {HIDDEN}) AS users, (SELECT count(*) FROM users WHERE {ROLE} IN ('admin', 'super_admin')) AS admins,
  count(*) AS statements, sum(row_count)::BIGINT AS rows, count(*) FILTER (issue_status = 'open') AS open_issues,

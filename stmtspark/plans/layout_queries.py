@@ -98,7 +98,7 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of small tables from lineitem, some blank."""
     t = table(spark, d, "lineitem")
     cell = lambda k, m: F.when(F.col("l_partkey") % m == 0, F.lit("")).otherwise(F.concat(F.lit(k), F.col("l_suppkey").cast("string")))
-    return t.select(F.col("l_orderkey").cast("string").alias("statement_id"), (1 + F.col("l_linenumber") % 4).cast("int").alias("page"), (1 + F.col("l_suppkey") % 2).cast("int").alias("table_no"), F.array(cell("a", 2), cell("b", 3), cell("c", 5), F.lit(""), cell("e", 1)).alias("cells"))
+    return t.select(F.col("l_orderkey").cast("string").alias("statement_id"), (1 + F.floor(F.col("l_linenumber") / 4)).cast("int").alias("page"), (1 + F.col("l_suppkey") % 2).cast("int").alias("table_no"), F.array(cell("a", 2), cell("b", 3), cell("c", 5), F.lit(""), cell("e", 1)).alias("cells"))
 
 
 def t1_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +215,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS val
     "f9_hard_wrapped_lines": f"""WITH {_LINES}, g AS (SELECT statement_id, x0, max(x1) AS m, 2 * sum(x1 - x0) / sum(length(text)) AS s FROM l GROUP BY 1, 2 HAVING count(*) >= 3),
  w AS (SELECT DISTINCT l.statement_id, l.x0, text FROM l JOIN g ON g.statement_id = l.statement_id AND g.x0 = l.x0 WHERE x1 >= m - s), k AS (SELECT statement_id, x0 FROM w GROUP BY 1, 2 HAVING count(*) >= 3)
  SELECT DISTINCT w.statement_id, text FROM w JOIN k ON k.statement_id = w.statement_id AND k.x0 = w.x0""",
-    "f10_best_grid_table": """WITH c AS (SELECT l_orderkey::VARCHAR AS statement_id, 1 + l_linenumber % 4 AS page, 1 + l_suppkey % 2 AS table_no, count(*) AS rows,
+    "f10_best_grid_table": """WITH c AS (SELECT l_orderkey::VARCHAR AS statement_id, 1 + l_linenumber // 4 AS page, 1 + l_suppkey % 2 AS table_no, count(*) AS rows,
  count(*) FILTER (l_partkey % 2 <> 0) AS a, count(*) FILTER (l_partkey % 3 <> 0) AS b, count(*) FILTER (l_partkey % 5 <> 0) AS c FROM lineitem GROUP BY 1, 2, 3),
  p AS (SELECT *, (a >= greatest(1, 0.3 * rows))::INT + (b >= greatest(1, 0.3 * rows))::INT + (c >= greatest(1, 0.3 * rows))::INT AS populated FROM c WHERE page <= 3),
  r AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY rows * populated DESC, page, table_no) AS n FROM p)
