@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stmtspark.operators import parsing, records, routing
 from stmtspark.plans import fixtures as X
+from stmtspark.sources import tables as sources
+from stmtspark.streaming.events import stream_statements
 
 
 def _transactions(spark: SparkSession, sf_dir: str, banks: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -49,6 +51,17 @@ def t8_statement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.validated(X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir))
 
 
+def e8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that arrive in two batches, each parsed by the batch plan; a statement comes whole."""
+    folder = sources.scratch_folder(spark)
+    cells, banks = X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir)
+    cells.repartition(2, "statement_id").write.parquet(f"{folder}/cells")
+    arriving = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/cells")
+    parse = lambda batch: parsing.finalize(parsing.parsed(batch, banks.join(batch.select("statement_id").distinct(), "statement_id", "left_semi")))
+    stream_statements(arriving, parse, f"{folder}/parsed", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/parsed").select("statement_id", "date", "debit", "credit", "balance", "type")
+
+
 def marked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements with marked amounts; printed balances are off by 50 for some keys, and some statements have no entry."""
     t = X.ledger(spark, sf_dir)
@@ -111,10 +124,12 @@ QUERIES = {
     "t8_statement_validation": t8_statement_validation,
     "t5_glued_narrations": t5_glued,
     "t8_marked_breaks": t8_breaks,
+    "e8_stream_statements": e8_stream,
     "f7_best_extraction": f7_best,
     "l11_stream_records": l11_records,
 }
 ORACLES = {
+    "e8_stream_statements": f"""WITH {X.LEDGER} SELECT 'S' || o_custkey AS statement_id, day::VARCHAR AS date, CASE WHEN NOT credit THEN amount::DOUBLE END AS debit, CASE WHEN credit THEN amount::DOUBLE END AS credit, balance::DOUBLE AS balance, CASE WHEN credit THEN 'CR' ELSE 'DR' END AS type FROM ledger""",
     "t8_marked_breaks": f"""WITH {X.LEDGER}, p AS (SELECT *, balance + CASE WHEN o_orderkey % 10 = 0 THEN 50 ELSE 0 END AS printed, CASE WHEN credit THEN amount ELSE -amount END AS net FROM ledger),
 g AS (SELECT *, abs(printed - coalesce(lag(printed) OVER (PARTITION BY o_custkey ORDER BY n), 100000) - net) > 1 AS gap, o_custkey % 7 <> 0 AS listed FROM p)
 SELECT 'S' || o_custkey AS statement_id, 100000.00::DOUBLE AS opening_balance, count(*) FILTER (listed) AS n_txns, count(*) FILTER (listed AND NOT credit) AS n_dr, count(*) FILTER (listed AND credit) AS n_cr, 0::BIGINT AS n_untyped,
