@@ -157,16 +157,21 @@ class Scorer:
     """Scores of texts; a worker remembers the weight of a bounded number of words."""
 
     def __init__(self, weights: dict[int, float], intercept: float):
-        self.weights, self.intercept, self.known = weights, intercept, {}
+        self.weights, self.intercept = weights, intercept
+        self.known: dict[str, tuple[str, float]] = {}
+        self.old: dict[str, tuple[str, float]] = {}
 
     def word(self, raw: str) -> tuple[str, float]:
         found = self.known.get(raw)
         if found is None:
-            if len(self.known) > _KEPT:
-                self.known.clear()
-            w = raw.strip(_PUNCTUATION)
-            get = self.weights.get
-            found = self.known[raw] = (w, sum(get(i, 0.0) for i in features(w)) if w else 0.0)
+            if len(self.known) > _KEPT:  # two generations, so that common words stay
+                self.old, self.known = self.known, {}
+            found = self.old.get(raw)
+            if found is None:
+                w = raw.strip(_PUNCTUATION)
+                get = self.weights.get
+                found = (w, sum(get(i, 0.0) for i in features(w)) if w else 0.0)
+            self.known[raw] = found
         return found
 
     def score(self, text: str | None) -> float:
