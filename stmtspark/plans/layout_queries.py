@@ -193,7 +193,17 @@ QUERIES: dict[str, Query] = {
 _SIGN_NAMES = "[" + ", ".join(f"'{b}'" for b, _ in fixed.SIGNATURES) + "]"
 _LINES = f"""{ORDERS}, l AS (SELECT 'S' || o_custkey AS statement_id, o_orderkey, 1 + o_orderkey % 4 AS page, o_orderkey % 3 * 50 AS x0, o_orderkey % 3 * 50 + 60 + o_orderkey % 8 AS x1,
  CASE WHEN o_orderkey % 4 = 0 THEN 'plain text ' || o_orderkey ELSE strftime(day, '%d %b %Y') || ' PAY ' || o_orderkey END AS text FROM o)"""
+#: Rules are 20 apart and columns 60, and every column rule crosses the whole page.
+_GRIDS = """s AS (SELECT 'S' || o_custkey AS statement_id, o_custkey, 1 + o_orderkey % 2 AS page, o_orderkey % 30 * 20 AS y, o_orderkey % 7 AS x FROM orders),
+ h AS (SELECT *, lag(y) OVER (PARTITION BY statement_id, page ORDER BY y) AS before FROM (SELECT DISTINCT statement_id, page, y FROM s)),
+ b AS (SELECT *, sum((y - before > 40)::INT) OVER (PARTITION BY statement_id, page ORDER BY y) AS band FROM (SELECT statement_id, page, y, coalesce(before, y) AS before FROM h)),
+ w AS (SELECT statement_id, page, band, count(*) - 1 AS rows FROM b GROUP BY 1, 2, 3),
+ v AS (SELECT statement_id, page, count(DISTINCT x) AS columns FROM s WHERE o_custkey % 3 <> 0 GROUP BY 1, 2),
+ g AS (SELECT statement_id, page, coalesce(bool_or(rows >= 10 OR rows > 0 AND columns - 2 >= 3), false) AND max(columns) IS NOT NULL AS has_grid FROM w LEFT JOIN v USING (statement_id, page) GROUP BY 1, 2)"""
 ORACLES: dict[str, str] = {
+    "f12_page_has_grid": f"WITH {_GRIDS} SELECT * FROM g",
+    "f14_confident_stream": f"""WITH {_GRIDS}, n AS (SELECT 'S' || o_custkey AS statement_id, sum(CASE WHEN o_orderkey % 4 = 0 THEN 3 ELSE 5 END) AS words FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1)
+ SELECT statement_id, words >= 40 AND NOT coalesce((SELECT bool_or(has_grid) FROM g WHERE g.statement_id = n.statement_id), false) AS confident_stream FROM n""",
     "c1_parse_date": f"WITH {ORDERS} SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN day END::VARCHAR AS whole, day::VARCHAR AS leading, day::VARCHAR AS month_first FROM o",
     "c3_parse_money": f"""WITH {ORDERS}, s AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey // 5 % 5 = 4 THEN 'DR' END WHEN 1 THEN 'DR' WHEN 2 THEN 'CR' WHEN 3 THEN 'CR' ELSE 'DR' END AS sign FROM o)
 SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS value, CASE WHEN o_orderkey % 11 <> 0 THEN sign END AS sign, CASE WHEN o_orderkey % 11 <> 0 THEN (CASE WHEN sign = 'DR' THEN -amount ELSE amount END)::DOUBLE END AS signed, o_orderkey % 11 <> 0 AS is_money FROM s""",
