@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -121,33 +122,40 @@ def tidied(parts: Iterator) -> Iterator:
         _libc.malloc_trim(0)
 
 
-_tables: list[str] = []
+class _Tables(threading.local):
+    """The tables that this thread has written; queries in other threads have their own."""
 
+    def __init__(self):
+        self.paths: list[str] = []
 
-def cut(df: DataFrame) -> DataFrame:
+
+_tables = _Tables()
+
+
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append(path)
+    df.write.parquet(path, compression=compression)
+    _tables.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tables_made() -> int:
-    """How many tables ``cut`` has written so far, to be given to ``discard``."""
-    return len(_tables)
+    """How many tables ``cut`` has written in this thread so far, to be given to ``discard``."""
+    return len(_tables.paths)
 
 
 def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Delete the tables that ``cut`` wrote after the first ``since``, but for the last ``keep``.
+    """Delete the tables that ``cut`` wrote in this thread after the first ``since``, but for the last ``keep``.
 
     For tables that no later plan reads: those of a step whose result was cut itself.
     """
-    gone = _tables[since : len(_tables) - keep]
+    gone = _tables.paths[since : len(_tables.paths) - keep]
     for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _tables[since : since + len(gone)]
+    del _tables.paths[since : since + len(gone)]
 
 
 #: Bits of an id filter: its size is the same for every input, 2 MB.
