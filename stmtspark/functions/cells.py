@@ -5,7 +5,7 @@ All are built-in Spark expressions.  ASCII digits and white space count; letters
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtspark.functions import fixed
@@ -112,6 +112,14 @@ def clean(c: Column) -> Column:
     return let(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), lambda t: F.when(F.lower(t) == "nan", "").when(F.length(t) < min(map(len, fixed.BOILERPLATE)), t).otherwise(strip(F.regexp_replace(t, cut, ""))))
 
 
+def cleaned(t: DataFrame, raw: str, into: str) -> DataFrame:
+    """``t`` with ``clean`` of a column, as plain columns."""
+    cut = f"(?is)(?:{any_of(fixed.BOILERPLATE)}).*$"
+    t = t.withColumn("_flat", strip(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " ")))
+    short = F.length("_flat") < min(map(len, fixed.BOILERPLATE))
+    return t.withColumn(into, F.when(F.lower("_flat") == "nan", "").when(short, F.col("_flat")).otherwise(strip(F.regexp_replace("_flat", cut, "")))).drop("_flat")
+
+
 def raw_clean(c: Column) -> Column:
     """Null and "nan" to "", carriage returns to line feeds, ends trimmed."""
     t = strip(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n"))
@@ -257,6 +265,41 @@ def facts(cells: Column) -> Column:
     return F.transform(cells, fact)
 
 
+def parsed_cells(t: DataFrame, text: str = "text") -> DataFrame:
+    """``t``, one row for each cell, with lead, date, value and sign: the same as ``facts`` gives, in plain columns.
+
+    Each step is a projection of its own, so that all of it runs as generated code and nothing is worked out twice.
+    """
+    at = lambda c, i: F.get(c, F.lit(i))
+    t = t.withColumn("_s", strip(F.col(text))).withColumn("_whole", F.col("_s").rlike(_DATE_SHAPE))
+    head = F.when(F.col("_s").rlike(r"^\d[^ ]* "), F.substring_index("_s", " ", 1))
+    t = t.withColumn("_cand", F.when(F.col("_whole"), F.col("_s")).otherwise(F.when(head.rlike(_DATE_SHAPE), head)))
+    t = t.withColumns({"_part": F.split("_cand", r"[/.\-\s]"), "_mark": F.regexp_replace("_cand", "[A-Za-z0-9]+", "")})
+    t = t.withColumns({"_day": at(F.col("_part"), 0), "_month": F.lower(at(F.col("_part"), 1)), "_year": at(F.col("_part"), 2), "_same": F.substring("_mark", 1, 1) == F.substring("_mark", 2, 1)})
+    long = F.length("_year") == 4
+    year = F.when(long, F.col("_year")).when(F.length("_year") == 2, F.concat(F.when(F.col("_year") >= "70", "19").otherwise("20"), F.col("_year")))
+    named = F.coalesce(F.element_at(_months(_ABBREVIATED), F.col("_month")), F.when(long, F.element_at(_months(_FULL), F.col("_month"))))
+    month = F.when(F.col("_month") < "a", F.when(F.col("_mark").rlike(r"^[/.\-]"), F.col("_month"))).when(F.col("_mark").rlike(r"^[\-\s]"), named)
+    t = t.withColumn("_day", F.when(F.col("_same"), F.concat_ws("-", year, month, "_day").try_cast("date")))
+    t = t.withColumn("_day", F.when(year.isNotNull() & month.isNotNull(), F.col("_day")))
+    t = t.withColumn("lead", F.when(F.col("_day") < F.lit("1970-01-01").cast("date"), (F.col("_day") + F.expr("INTERVAL 100 YEARS")).cast("date")).otherwise(F.col("_day")))
+    t = t.withColumn("date", F.when(F.col("_whole"), F.col("lead")))
+    t = t.withColumn("_money", F.when(F.col(text).rlike(_MONEY), F.split(F.regexp_replace(text, _MONEY, "$1;$2;$3"), ";")))
+    t = t.withColumns({"_minus": at(F.col("_money"), 0), "_number": at(F.col("_money"), 1), "_mark": at(F.col("_money"), 2)})
+    identifier = ~F.col("_number").rlike("[.,]") & (F.col("_mark") == "") & F.col("_number").rlike(r"^(?:\d{10,}|0\d+)$")
+    t = t.withColumn("value", F.when(~identifier, F.replace("_number", F.lit(","), F.lit("")).try_cast(MONEY)))
+    sign = F.when(F.contains(F.lower("_mark"), F.lit("d")), "DR").when(F.col("_mark") != "", "CR").when(F.col("_minus") == "-", "DR")
+    t = t.withColumn("sign", F.when(F.col("value").isNotNull(), sign))
+    return t.drop("_s", "_whole", "_cand", "_part", "_mark", "_day", "_month", "_year", "_same", "_money", "_minus", "_number")
+
+
+def cell_token(t: DataFrame, text: str = "text") -> DataFrame:
+    """Parsed cells with token: what a cell says wherever it stands, or null."""
+    own = strip(F.col(text))
+    plain = F.when(own.rlike(r"^[A-Za-z0-9/\-]{8,}$") & own.rlike(r"\d"), F.concat(F.lit("R:"), own))
+    return t.withColumn("token", F.when(F.col("lead").isNotNull(), F.concat(F.lit("D:"), F.col("lead").cast("string"))).when(F.col("value").isNotNull(), F.concat(F.lit("M:"), F.col("value").cast("string"))).otherwise(plain))
+
+
 def first_date(facts: Column) -> Column:
     """The first cell with a leading date, or null."""
     return F.get(F.filter(facts, lambda f: f["lead"].isNotNull()), F.lit(0))

@@ -34,38 +34,58 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PROFILE)
 
 
-def prep_cells(raw: Column, engine: Column, explode: Column, around: Column | None = None, serial: Column | None = None) -> Column:
-    """Cells of a row as the parser sees them: split lines or runs of spaces, cleaned, amounts apart."""
+def raw_pieces(raw: Column, engine: Column, explode: Column, around: Column) -> Column:
+    """Cells of a row before they are cleaned: apart at line feeds or runs of spaces, where the layout needs it."""
     exploded = F.flatten(F.transform(raw, lambda c: F.split(F.coalesce(c, F.lit("")), "\n")))
     spread = F.filter(F.split(C.strip(F.get(raw, F.lit(0))), r"\s{2,}"), lambda c: c != "")
-    around = F.lit(False) if around is None else around
-    own = F.when(explode & ~around, exploded).when((engine == "linear") & (F.size(raw) == 1) & ~around, spread).otherwise(raw)
-    own = F.transform(own, C.clean)
-    if serial is not None:
-        own = F.transform(own, lambda c, i: F.when(serial & (i == 0) & c.rlike(r"^\d{1,4}$"), "").otherwise(c))
-    return C.split_money_cells(own)
+    return F.when(explode & ~around, exploded).when((engine == "linear") & (F.size(raw) == 1) & ~around, spread).otherwise(raw)
+
+
+_KEY = ["statement_id", "reading"]
+_ROW = [*_KEY, "page", "table_no", "row_no"]
+
+
+def row_facts(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
+    """(statement_id, reading, page, table_no, row_no, bank, facts): each row's cells as the parser sees them, and what
+    they say, for the banks whose narration stands around the amounts, or for the others.
+
+    ``reading`` tells apart several readings of one statement: twice the cells' variant (0 if they have none) and
+    the banks' rescue (0 if they have none).  The cells are exchanged once by statement_id, then taken apart, cleaned
+    and parsed as plain columns, and gathered in the same partitions.
+    """
+    variant = F.col("variant").cast("int") if "variant" in cells.columns else F.lit(0)
+    rescue = F.col("rescue").cast("int") if "rescue" in banks.columns else F.lit(0)
+    own = F.broadcast(profiles(cells.sparkSession).filter(F.col("narration_around") == around).select("bank", "engine", "explode_newlines", "serial_col"))
+    raw = cells.select("statement_id", variant.alias("variant"), "page", "table_no", "row_no", "cells").repartition("statement_id")
+    rows = raw.join(banks.select("statement_id", rescue.alias("rescue"), "bank").join(own, "bank"), "statement_id").withColumn("reading", F.col("variant") * 2 + F.col("rescue"))
+    t = rows.select(*_ROW, "bank", "serial_col", F.posexplode_outer(raw_pieces(F.col("cells"), F.col("engine"), F.col("explode_newlines"), F.lit(around))).alias("i0", "raw"))
+    t = C.cleaned(t, "raw", "c")
+    c = F.when(F.col("serial_col") & (F.col("i0") == 0) & F.col("c").rlike(r"^\d{1,4}$"), "").otherwise(F.col("c"))
+    t = t.select(*_ROW, "bank", "i0", F.posexplode(C.split_money_cells(F.array(c))).alias("i1", "text"))
+    one = C.parsed_cells(t).groupBy(*_ROW, "bank").agg(F.sort_array(F.collect_list(F.struct("i0", "i1", "text", "lead", "date", "value", "sign"))).alias("f"))
+    facts = F.transform("f", lambda x, i: F.struct(i.alias("i"), x["text"].alias("text"), x["lead"].alias("lead"), x["date"].alias("date"), x["value"].alias("value"), x["sign"].alias("sign")))
+    return one.select(*_ROW, "bank", facts.alias("facts"))
 
 
 def _rows(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
     """Rows with profile, sequence and flags; partitioned by statement_id."""
     own = F.broadcast(profiles(cells.sparkSession).filter(F.col("narration_around") == around))
-    rows = cells.join(banks.select("statement_id", "bank").join(own, "bank"), "statement_id")
-    rows = rows.withColumn("own", prep_cells(F.col("cells"), F.col("engine"), F.col("explode_newlines"), F.col("narration_around"), F.col("serial_col")))
-    rows = rows.withColumn("facts", C.facts(F.col("own"))).withColumn("joined", C.strip(F.array_join("own", " "))).withColumn("low", F.lower("joined"))
+    rows = row_facts(cells, banks, around).join(own, "bank").withColumn("own", F.transform("facts", lambda f: f["text"]))
+    rows = rows.withColumn("joined", C.strip(F.array_join("own", " "))).withColumn("low", F.lower("joined"))
     rows = rows.withColumn("d", C.first_date(F.col("facts"))).withColumn("b", C.last_balance(F.col("facts")))
     rows = rows.select(
-        "statement_id", "page", "table_no", "row_no", *[f.name for f in PROFILE.fields], "own", "facts", "low",
+        *_ROW, *[f.name for f in PROFILE.fields], "own", "facts", "low",
         F.col("d.i").alias("date_i"), F.col("d.lead").alias("date"), F.col("b.i").alias("bal_i"), C.signed(F.col("b")).alias("bal"),
         F.col("joined").rlike(r"[\p{L}\p{N}]").alias("alnum"),
         C.has_all(F.col("low"), F.col("header_keywords")).alias("is_head"),
         (C.is_footer_start(F.col("low")) | F.coalesce(F.col("d.text").rlike(r"\d{1,2}:\d{2}:\d{2}"), F.lit(False))).alias("is_footer"),
         C.is_opening(F.col("low")).alias("is_opening"), C.is_noise(F.col("low")).alias("is_noise"),
     )
-    seq = F.row_number().over(Window.partitionBy("statement_id").orderBy("page", "table_no", "row_no"))
+    seq = F.row_number().over(_by().orderBy("page", "table_no", "row_no"))
     leading = F.coalesce(F.forall(F.slice("own", F.lit(1), F.coalesce("date_i", F.lit(0))), lambda c: c == "") & F.col("date_i").isNotNull(), F.lit(False))
     dated = F.col("date").isNotNull() & F.col("bal").isNotNull() & F.coalesce(F.col("date_i") < F.col("bal_i"), F.lit(False))
     rest = F.exists("facts", lambda f: (f["i"] != F.col("date_i")) & (f["value"].isNotNull() | f["text"].rlike("[A-Za-z]"))) | F.col("bal").isNotNull()
-    return rows.repartition("statement_id").withColumn("seq", seq).withColumns(
+    return rows.withColumn("seq", seq).withColumns(
         {
             "leading": leading,
             "looks_txn": F.when(F.col("engine") == "linear", F.col("date").isNotNull() & leading & rest).when(F.col("narration_around"), dated & leading).otherwise(dated),
@@ -75,7 +95,7 @@ def _rows(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
 
 
 def _by() -> WindowSpec:
-    return Window.partitionBy("statement_id")
+    return Window.partitionBy(*_KEY)
 
 
 def _so_far() -> WindowSpec:
@@ -137,7 +157,7 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
             "in_footer": F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_so_far()), F.lit(False)),
             "txn_id": F.sum(F.col("txn").cast("int")).over(_so_far()),
             "opening": _opening(),
-            "table_txn": F.max("table_test").over(Window.partitionBy("statement_id", "page", "table_no")),
+            "table_txn": F.max("table_test").over(Window.partitionBy(*_KEY, "page", "table_no")),
             "ref0": F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.col("find_ref_tokens"))),
         }
     )
@@ -148,8 +168,8 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
     amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.coalesce("debit_col", "colmap.debit"), F.coalesce("credit_col", "colmap.credit"))
     text = C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.col("ref"), F.col("drop_code_cells"))
     first = lambda c, when: F.min_by(c, F.when(when, F.col("seq")))
-    used = used.select("statement_id", "txn_id", "bare", "opening", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
-    group = used.groupBy("statement_id", "bare", "txn_id").agg(
+    used = used.select(*_KEY, "txn_id", "bare", "opening", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
+    group = used.groupBy(*_KEY, "bare", "txn_id").agg(
         F.min("seq").alias("seq"),
         F.first("opening").alias("opening"),
         first("date", F.col("txn")).alias("date"),
@@ -165,7 +185,7 @@ def parse_rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
     wrapped = _extend_reference(F.col("ref"), F.slice("parts", F.lit(2), F.size("parts")), F.col("drop"))
     group = group.withColumn("w", F.when(F.col("explode"), wrapped))
     return group.select(
-        "statement_id",
+        *_KEY,
         "bare",
         "opening",
         "seq",
@@ -218,10 +238,10 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
     narration = F.col("live") & ~F.col("txn") & ~F.col("in_footer") & ((F.col("seen") > 0) | F.col("header_keywords").isNotNull()) & (F.col("text") != "")
     amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.col("debit_col"), F.col("credit_col"))
     rows = rows.withColumn("bare", ~F.col("txn") & ~F.coalesce(narration, F.lit(False)) & (F.col("seq") == 1))
-    items = rows.filter(F.col("txn") | narration | F.col("bare")).select("statement_id", "bare", "opening", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
-    own = Window.partitionBy("statement_id", "bare").orderBy("seq")
+    items = rows.filter(F.col("txn") | narration | F.col("bare")).select(*_KEY, "bare", "opening", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
+    own = Window.partitionBy(*_KEY, "bare").orderBy("seq")
     items = items.withColumn("n", F.row_number().over(own))
-    later = Window.partitionBy("statement_id", "bare").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy(*_KEY, "bare").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     items = items.withColumns(
         {
             "next": F.first(F.when(F.col("txn"), F.col("n")), ignorenulls=True).over(later),
@@ -234,15 +254,17 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
     if glue is None:
         items = items.withColumn("glue", F.lit(False))
     else:
-        items = items.join(glue.select("statement_id", "text", F.lit(True).alias("glue")).distinct(), ["statement_id", "text"], "left")
+        # one row of texts for each statement, so that the rows stay in their partitions
+        texts = glue.groupBy("statement_id").agg(F.collect_set("text").alias("glued_texts"))
+        items = items.join(texts, "statement_id", "left").withColumn("glue", F.coalesce(F.array_contains("glued_texts", F.col("text")), F.lit(False))).drop("glued_texts")
     first = lambda c: F.first(F.when(F.col("txn"), F.col(c)), ignorenulls=True)
-    group = items.groupBy("statement_id", "bare", "target").agg(
+    group = items.groupBy(*_KEY, "bare", "target").agg(
         F.first("opening").alias("opening"), first("seq").alias("seq"), first("date").alias("date"), first("bal").alias("balance"), first("ref").alias("ref"), first("amount").alias("amount"),
         F.first("no_reference").alias("no_reference"), F.first("glue_hard_wraps").alias("glued"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text", "glue")))).alias("parts"),
     )
     text = join_fragments(F.col("parts"), F.col("glued"))
     return group.withColumn("description", text).select(
-        "statement_id", "bare", "opening", "seq", "date", "description",
+        *_KEY, "bare", "opening", "seq", "date", "description",
         F.when(F.col("no_reference"), "").otherwise(F.coalesce(F.nullif("ref", F.lit("")), C.guess_reference(F.col("description")))).alias("reference"),
         "balance", F.lit(None).cast(C.MONEY).alias("amt_value"), F.lit(None).cast("string").alias("amt_sign"), F.col("amount.debit").alias("col_dr"), F.col("amount.credit").alias("col_cr"),
     )
@@ -250,7 +272,7 @@ def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = No
 
 def _own(t: DataFrame) -> WindowSpec:
     """The transactions of a statement, apart from the row that only carries its opening balance."""
-    return Window.partitionBy(*[c for c in ("statement_id", "bare") if c in t.columns])
+    return Window.partitionBy(*[c for c in (*_KEY, "bare") if c in t.columns])
 
 
 def balance_direction(txns: DataFrame) -> DataFrame:
@@ -335,31 +357,37 @@ def validated(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None)
     return _for_statements(_summary(done), banks)
 
 
+def readings(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """``parsed`` rows of every reading: of each variant of the cells, with the bank's own profile and the generic one."""
+    profiles_of = F.array(F.struct(F.lit(0).alias("rescue"), F.col("bank")), F.struct(F.lit(1).alias("rescue"), F.lit("generic").alias("bank")))
+    tried = banks.select("statement_id", F.inline(F.when(F.col("bank") == "generic", F.slice(profiles_of, 1, 1)).otherwise(profiles_of)))
+    return parsed(cells, tried, glue)
+
+
+def _found(reading: int) -> Column:
+    """How many transactions a reading of the statement has."""
+    return F.count_if((F.col("reading") == reading) & ~F.col("bare")).over(Window.partitionBy("statement_id"))
+
+
 def with_rescue(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
     """``parsed``, and with the generic profile again the statements in which the bank's own profile finds nothing."""
-    rows = parsed(cells, banks, glue)
-    some = rows.filter(~F.col("bare")).select("statement_id").distinct()
-    empty = banks.filter("bank <> 'generic'").join(some, "statement_id", "left_anti").select("statement_id", F.lit("generic").alias("bank"))
-    again = parse_rows(cells, empty)
-    rescued = again.filter(~F.col("bare")).select("statement_id").distinct()
-    return rows.join(rescued, "statement_id", "left_anti").unionByName(again.join(rescued, "statement_id", "left_semi"))
+    rows = readings(cells, banks, glue).withColumns({"_own": _found(0), "_generic": _found(1)})
+    return rows.filter(F.col("reading") == F.when((F.col("_own") == 0) & (F.col("_generic") > 0), 1).otherwise(0)).drop("_own", "_generic")
 
 
 def best_extraction(cells: DataFrame, banks: DataFrame, expected: DataFrame, glue: DataFrame | None = None) -> DataFrame:
-    """Finished transactions of each statement from the better of its extractions.
+    """Finished transactions of each statement from the best of its readings.
 
     ``cells`` has a column variant, default or wide; ``expected`` (statement_id, expected) counts the
     dated lines of the text.  Both variants are parsed, with the generic profile where the bank's own
     finds nothing; wide is taken where default finds nothing, or under 0.9 of the expected and wide more.
+    All readings stay in one partitioning, and the winner is picked by windows over the statement.
     """
-    from stmtspark.operators.routing import choose_extraction
-
-    keyed = cells.withColumn("statement_id", F.concat_ws("/", "variant", "statement_id")).drop("variant")
-    both = F.explode(F.array(F.lit("default"), F.lit("wide")))
-    named = lambda df: df.withColumn("_v", both).withColumn("statement_id", F.concat_ws("/", "_v", "statement_id")).drop("_v")
-    rows = with_rescue(keyed, named(banks), None if glue is None else named(glue))
-    rows = rows.withColumn("variant", F.substring_index("statement_id", "/", 1)).withColumn("plain_id", F.expr("substring(statement_id, length(variant) + 2)"))
-    counts = rows.filter(~F.col("bare")).groupBy(F.col("plain_id").alias("statement_id"), "variant").agg(F.count("*").alias("n"))
-    chosen = choose_extraction(counts, expected).select(F.concat_ws("/", "variant", "statement_id").alias("statement_id"))
-    kept = rows.join(chosen, "statement_id", "left_semi").withColumn("statement_id", F.col("plain_id")).drop("variant", "plain_id")
-    return finalize(kept)
+    keyed = cells.withColumn("variant", (F.col("variant") == "wide").cast("int"))
+    rows = readings(keyed, banks, glue).withColumns({f"_n{r}": _found(r) for r in range(4)})
+    best = lambda own, generic: F.when(F.col(own) > 0, F.col(own)).otherwise(F.col(generic))
+    rows = rows.withColumns({"_plain": best("_n0", "_n1"), "_wide": best("_n2", "_n3")}).join(expected.select("statement_id", "expected"), "statement_id", "left")
+    few = F.col("_plain") < 0.9 * F.coalesce("expected", F.lit(0))
+    wide = (F.col("_wide") > 0) & ((F.col("_plain") == 0) | (few & (F.col("_wide") > F.col("_plain"))))
+    won = F.when(wide, F.when(F.col("_n2") > 0, 2).otherwise(3)).otherwise(F.when((F.col("_n0") == 0) & (F.col("_n1") > 0), 1).otherwise(0))
+    return finalize(rows.filter(F.col("reading") == won))

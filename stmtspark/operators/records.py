@@ -6,8 +6,13 @@ statement_id, seq, rec (map of header to text), headers.  All steps group by sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from stmtspark.functions import cells as C
 from stmtspark.functions import fixed
@@ -21,12 +26,35 @@ DEFAULT_HEADERS = ["Date", "Particulars", "Cheque No", "Debit", "Credit", "Balan
 
 
 def classify_rows(rows: DataFrame, model) -> DataFrame:
-    """``rows`` with the label of a fitted pipeline; each distinct row text is scored once."""
+    """``rows`` with the label of a model; each distinct row text is scored once.
+
+    ``model`` is a fitted pipeline whose ``transform`` gives label for text, or a function without arguments that a
+    worker calls once to load its model: it returns a function from an array of texts to an array of label numbers
+    (places in ``fixed.LABELS``), or to an array of one score for each label.  A number that is no label gives null.
+    """
     text = rows.withColumn("text", C.row_text(F.col("cells")))
-    scored = model.transform(text.select("text").distinct()).select("text", "label")
+    texts = text.select("text").distinct()
+    scored = model.transform(texts).select("text", "label") if hasattr(model, "transform") else predict_labels(texts, model)
     return text.drop("label").join(scored, "text").drop("text")
 
 
+def predict_labels(texts: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 512) -> DataFrame:
+    """``texts`` (text) with the label that a loaded model gives, ``batch_size`` texts at a time."""
+
+    def loaded() -> Callable[[np.ndarray], np.ndarray]:
+        model = load()
+
+        def predict(batch: np.ndarray) -> np.ndarray:
+            out = np.asarray(model(batch))
+            return (out.argmax(axis=1) if out.ndim == 2 else out).astype(np.int64)
+
+        return predict
+
+    number = predict_batch_udf(loaded, return_type=LongType(), batch_size=batch_size)
+    names = F.array(*[F.lit(n) for n in fixed.LABELS])
+    return texts.withColumn("_number", number("text")).select(*texts.columns, F.when(F.col("_number") >= 0, F.get(names, F.col("_number").cast("int"))).alias("label"))
+
+
 def rescue_header(rows: DataFrame) -> DataFrame:
     """In a statement without a header row, the first row that looks like one becomes header-kw."""
     none = ~F.max(F.col("label") == "header").over(_by())

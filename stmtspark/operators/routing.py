@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +25,40 @@ def keep_transaction_tables(cells: DataFrame) -> DataFrame:
     return t.withColumn("_any", F.max("_own").over(Window.partitionBy("statement_id"))).filter("_own OR NOT _any").drop("_lead", "_own", "_any")
 
 
+def _greedy(tables: pa.Table) -> pa.Table:
+    """The tables of one page that stay: each row is one table's tokens, 64-bit numbers by row."""
+    order = np.lexsort((tables["table_no"].to_numpy(), -tables["size"].to_numpy()))
+    rows_of, seen, kept = tables["tokens"].to_pylist(), set(), []
+    for i in order.tolist():
+        content = [own for own in map(set, rows_of[i]) if own]
+        covered = sum(map(seen.issuperset, content))
+        if content and covered * 10 <= len(content) * 6:
+            kept.append(i)
+            seen.update(*content)
+    return tables.select(["statement_id", "page", "table_no"]).take(pa.array(kept, pa.int64()))
+
+
 def dedup_tables(cells: DataFrame) -> DataFrame:
     """Rows of the tables that stay: per page, largest first, a table goes when over 60 % of its content
     rows hold only tokens of tables kept before; so does a table without content.
 
-    The greedy choice is a fold over the few tables of one page.
+    The greedy choice runs over the few tables of one page, on hashes of their tokens.
     """
-    rows = cells.withColumn("cells", F.transform("cells", C.raw_clean))
-    tables = rows.groupBy("statement_id", "page", "table_no").agg((F.count("*") * F.max(F.size("cells"))).alias("size"), F.collect_list(C.row_tokens(F.col("cells"))).alias("tokens"))
-    pages = tables.groupBy("statement_id", "page").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "table_no", "tokens"))).alias("tables"))
-
-    def step(s: Column, t: Column) -> Column:
-        content = F.filter(t["tokens"], lambda k: F.size(k) > 0)
-        covered = F.size(F.filter(content, lambda k: F.size(F.array_except(k, s["seen"])) == 0))
-        keep = (F.size(content) > 0) & (covered * 10 <= F.size(content) * 6)
-        return F.struct(F.when(keep, F.array_union(s["seen"], F.flatten(content))).otherwise(s["seen"]).alias("seen"), F.when(keep, F.concat(s["kept"], F.array(t["table_no"]))).otherwise(s["kept"]).alias("kept"))
-
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("kept"))
-    kept = pages.select("statement_id", "page", F.explode(F.aggregate("tables", start, step, lambda s: s["kept"])).alias("table_no"))
-    return cells.join(kept, ["statement_id", "page", "table_no"], "left_semi")
+    key = ["statement_id", "page", "table_no"]
+    tables = tokens_by_row(cells).groupBy(*key).agg((F.count("*") * F.max("width")).alias("size"), F.collect_list("tokens").alias("tokens"))
+    kinds = ", ".join(f"{n} {cells.schema[n].dataType.simpleString()}" for n in key)
+    kept = tables.groupBy("statement_id", "page").applyInArrow(_greedy, kinds)
+    return cells.join(kept, key, "left_semi")
+
+
+def tokens_by_row(cells: DataFrame) -> DataFrame:
+    """(statement_id, page, table_no, width, tokens): the date, amount and reference tokens of each row as hashes."""
+    key = ["statement_id", "page", "table_no", "row_no"]
+    parts = F.transform("cells", C.raw_clean)
+    lines = F.flatten(F.transform(parts, lambda c: F.split(c, "\n")))
+    t = cells.select(*key, F.size("cells").alias("width"), F.explode_outer(C.split_money_cells(lines)).alias("text"))
+    token = C.cell_token(C.parsed_cells(t))
+    return token.withColumn("hash", F.when(F.col("token").isNotNull(), F.xxhash64("token"))).groupBy(*key).agg(F.first("width").alias("width"), F.collect_set("hash").alias("tokens")).drop("row_no")
 
 
 def detect_bank(text: Column) -> Column:

@@ -12,6 +12,10 @@ from stmtspark.functions import cells as C
 from stmtspark.functions import fixed
 
 
+#: Bits of the hash by which the split counts rows.
+SPLIT_BITS = 16
+
+
 def training_rows(df: DataFrame) -> DataFrame:
     """(text, label): all but the last cell as one text, the last as the label; rows without either go."""
     text = C.row_text(F.slice("cells", F.lit(1), F.greatest(F.size("cells") - 1, F.lit(0))), " ")
@@ -26,10 +30,22 @@ def encode_labels(df: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, share: float = 0.2, seed: int = 42, key: str = "text") -> DataFrame:
-    """``df`` with is_test: an exact share of each label, by the rank of a hash; ties by the key itself."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(key, F.lit(seed)), key)
-    n = F.count("*").over(Window.partitionBy("label"))
-    return df.withColumn("is_test", F.row_number().over(order) <= F.round(n * share))
+    """``df`` with is_test: an exact share of each label, by the rank of a hash; ties by the key itself.
+
+    Rows are counted by label and the first SPLIT_BITS bits of the hash; from these counts comes the one slot of each
+    label in which its share ends.  Only that slot's rows, one of 2 ** SPLIT_BITS, are ranked by a window.
+    """
+    t = df.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_slot", F.shiftright("_h", 64 - SPLIT_BITS))
+    by = Window.partitionBy("label")
+    sizes = t.groupBy("label", "_slot").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumns({"want": F.round(F.sum("n").over(by) * share), "upto": F.sum("n").over(by.orderBy("_slot"))})
+    # the last slot of which something belongs to the share, and how much of it; one row for each label
+    ends = sizes.filter(F.col("upto") - F.col("n") < F.col("want")).groupBy(F.col("label").alias("_label")).agg(F.max("_slot").alias("_end"), F.max_by(F.col("want") - F.col("upto") + F.col("n"), "_slot").alias("_rest"))
+    t = t.join(F.broadcast(ends), F.col("label").eqNullSafe(F.col("_label")), "left")
+    here = F.coalesce(F.col("_slot") == F.col("_end"), F.lit(False))
+    sure = t.filter(~here).withColumn("is_test", F.coalesce(F.col("_slot") < F.col("_end"), F.lit(False)))
+    ranked = t.filter(here).withColumn("is_test", F.row_number().over(Window.partitionBy("label").orderBy("_h", key)) <= F.col("_rest"))
+    return sure.unionByName(ranked).drop("_h", "_slot", "_label", "_end", "_rest")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

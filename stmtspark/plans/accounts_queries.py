@@ -122,20 +122,126 @@ def _throttle_oracle() -> str:
 
 def r_codes(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    return e.filter(F.col("event_type").isin("signup", "error", "purchase")).select("event_id", F.col("user_id").cast("string").alias("mobile"), F.lit("register").alias("purpose"), F.when(F.col("event_type") == "signup", "send").otherwise("verify").alias("kind"), "t", (F.col("event_type") == "purchase").alias("ok"))
+    purpose = F.when(F.col("user_id") % 2 == 0, "login").otherwise("register")
+    return e.filter(F.col("event_type").isin("signup", "error", "purchase")).select("event_id", F.col("user_id").cast("string").alias("mobile"), purpose.alias("purpose"), F.when(F.col("event_type") == "signup", "send").otherwise("verify").alias("kind"), "t", (F.col("event_type") == "purchase").alias("ok"))
 
 
-CODES = "SELECT event_id, CAST(user_id AS STRING) AS mobile, 'register' AS purpose, CASE WHEN event_type = 'signup' THEN 'send' ELSE 'verify' END AS kind, t, event_type = 'purchase' AS ok FROM ev WHERE event_type IN ('signup', 'error', 'purchase')"
+CODES = "SELECT event_id, CAST(user_id AS STRING) AS mobile, CASE WHEN user_id % 2 = 0 THEN 'login' ELSE 'register' END AS purpose, CASE WHEN event_type = 'signup' THEN 'send' ELSE 'verify' END AS kind, t, event_type = 'purchase' AS ok FROM ev WHERE event_type IN ('signup', 'error', 'purchase')"
 
 
 def _verify_oracle() -> str:
     def sel(expires: str, guesses: str) -> str:
-        case = lambda a, b, c, x, y: f"CASE WHEN e.kind = 'send' THEN {a} WHEN {expires} < 0 OR {expires} <= e.t THEN {b} WHEN e.ok THEN {c} WHEN {guesses} + 1 >= 5 THEN {x} ELSE {y} END"
+        case = lambda a, b, c, x, y: f"CASE WHEN e.kind = 'send' THEN {a} WHEN {expires} < 0 OR {expires} <= e.t THEN {b} WHEN e.ok THEN {c} WHEN e.purpose = 'register' AND {guesses} + 1 >= 5 THEN {x} ELSE {y} END"
         return f"{case(repr('sent'), repr('expired'), repr('verified'), repr('burnt'), repr('wrong'))} AS result, ({case('e.t + 300000000', expires, '-1', '-1', expires)})::BIGINT AS expires, ({case('0', guesses, guesses, guesses + ' + 1', guesses + ' + 1')})::INT AS guesses"
 
     return _folded(CODES, "mobile, purpose", sel("(-1)::BIGINT", "0"), sel("s.expires", "s.guesses"), "", "event_id, mobile, purpose, kind, t, ok, result")
 
 
+def r_sign_ins(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Five kinds of events of valid numbers, four times denser; a third of the numbers have no account yet."""
+    r, k = F.col("event_id") % 10, F.col("event_id")
+    kind = F.when(r < 2, "send").when(r == 7, "password").when(r == 8, "register").otherwise("verify")
+    purpose = F.when(r.isin(0, 2, 3, 7), "login").otherwise("register")
+    ok = F.when(r < 2, k % 9 != 0).when(r < 4, k % 3 == 0).when(r < 7, F.floor(k / 10) % 7 == 0).when(r == 9, F.col("event_type") != "error").otherwise(F.col("event_type") == "purchase")
+    mobile = F.concat(F.lit("9"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
+    e = _events(spark, d).select("event_id", mobile.alias("mobile"), kind.alias("kind"), purpose.alias("purpose"), F.floor(F.col("t") / 4).cast("long").alias("t"), ok.alias("ok"))
+    return e.filter(C.valid_mobile(F.col("mobile"))), users(spark, d).filter("pages_used % 3 <> 0").select("mobile")
+
+
+SIGN_INS = """SELECT event_id, '9' || lpad(user_id::VARCHAR, 9, '0') AS mobile, CASE WHEN event_id % 10 < 2 THEN 'send' WHEN event_id % 10 = 7 THEN 'password' WHEN event_id % 10 = 8 THEN 'register' ELSE 'verify' END AS kind,
+  CASE WHEN event_id % 10 IN (0, 2, 3, 7) THEN 'login' ELSE 'register' END AS purpose, t // 4 AS t,
+  CASE WHEN event_id % 10 < 2 THEN event_id % 9 <> 0 WHEN event_id % 10 < 4 THEN event_id % 3 = 0 WHEN event_id % 10 < 7 THEN (event_id // 10) % 7 = 0 WHEN event_id % 10 = 9 THEN event_type <> 'error' ELSE event_type = 'purchase' END AS ok FROM ev"""
+
+
+def _sign_in_oracle(where: str = "true") -> str:
+    """The rules in SQL: what is true before each event, its outcome, and what that leaves."""
+    held = ["joined", "failed", "until", "le", "ll", "ls", "ln", "re", "rl", "rs", "rn", "guesses", "mark"]
+    login, register = "purpose = 'login'", "purpose = 'register'"
+    stored = "result IN ('sent', 'undelivered')"
+    after = {
+        "joined": "joined OR result = 'created'",
+        "failed": "CASE WHEN result IN ('ok', 'lock') THEN 0 WHEN result = 'failed' THEN failed + 1 ELSE failed END",
+        "until": "CASE WHEN result = 'lock' THEN t + 180000000 WHEN result IN ('ok', 'failed') THEN -1 ELSE until END",
+        "le": f"CASE WHEN {login} AND result = 'sent' THEN t + 300000000 WHEN {login} AND (result = 'undelivered' OR kind = 'verify' AND result = 'ok') THEN -1 ELSE le END",
+        "re": f"CASE WHEN {register} AND result = 'sent' THEN t + 300000000 WHEN {register} AND result IN ('undelivered', 'verified', 'burnt', 'created') THEN -1 ELSE re END",
+        "guesses": f"CASE WHEN {register} AND {stored} OR result = 'created' THEN 0 WHEN result IN ('wrong', 'burnt') THEN guesses + 1 ELSE guesses END",
+        "mark": f"CASE WHEN {register} AND {stored} OR result = 'created' THEN -1 WHEN result = 'verified' THEN t ELSE mark END",
+    }
+    for side, own in (("l", login), ("r", register)):
+        made = " WHEN result = 'created' THEN {}" if side == "r" else ""
+        after |= {
+            f"{side}l": f"CASE WHEN {own} AND result = 'sent' THEN t WHEN {own} AND result = 'undelivered' THEN -1{made.format(-1)} ELSE {side}l END",
+            f"{side}s": f"CASE WHEN {own} AND {stored} AND fresh THEN t{made.format(-1)} ELSE {side}s END",
+            f"{side}n": f"CASE WHEN {own} AND {stored} THEN used + (result = 'sent')::INT{made.format(0)} ELSE {side}n END",
+        }
+    kinds = {"joined": "BOOLEAN", "failed": "INT", "guesses": "INT", "ln": "INT", "rn": "INT"}
+    start = {"joined": "false", "failed": "0", "guesses": "0", "ln": "0", "rn": "0"}
+    event = ["event_id", "mobile", "kind", "purpose", "t", "ok", "known", "nth"]
+    return f"""WITH RECURSIVE {WITH.removeprefix('WITH ')}, {EVENTS}, base AS ({SIGN_INS}),
+ e AS (SELECT b.*, b.mobile IN (SELECT mobile FROM users WHERE pages_used % 3 <> 0 AND mobile IS NOT NULL) AS known, row_number() OVER (PARTITION BY mobile ORDER BY t, event_id) AS nth FROM base b),
+ f AS (SELECT NULL::BIGINT AS event_id, mobile, '' AS kind, '' AS purpose, 0::BIGINT AS t, false AS ok, false AS known, 0::BIGINT AS nth, '' AS result, {', '.join(f"{start.get(h, '-1')}::{kinds.get(h, 'BIGINT')} AS {h}" for h in held)} FROM (SELECT DISTINCT mobile FROM e)
+  UNION ALL SELECT {', '.join(event)}, result, {', '.join(f"({after[h]})::{kinds.get(h, 'BIGINT')}" for h in held)} FROM (
+   SELECT *, CASE WHEN {register} AND account THEN 'registered' WHEN {login} AND NOT account THEN 'unregistered' WHEN {login} AND locked THEN 'locked'
+     WHEN kind = 'send' THEN CASE WHEN waits THEN 'wait' WHEN used >= 5 THEN 'too_many' WHEN NOT ok THEN 'undelivered' ELSE 'sent' END
+     WHEN kind = 'register' THEN CASE WHEN mark < 0 THEN 'unverified' WHEN t - mark > 900000000 THEN 'verification_expired' ELSE 'created' END
+     WHEN kind = 'verify' AND NOT live THEN 'expired' WHEN kind = 'verify' AND {register} THEN CASE WHEN ok THEN 'verified' WHEN guesses + 1 >= 5 THEN 'burnt' ELSE 'wrong' END
+     WHEN ok THEN 'ok' WHEN failed + 1 >= 3 THEN 'lock' ELSE 'failed' END AS result FROM (
+    SELECT *, CASE WHEN fresh THEN 0 ELSE sends END AS used FROM (
+     SELECT {', '.join(f"e.{c}" for c in event)}, {', '.join(f"s.{h}" for h in held)}, e.known OR s.joined AS account, s.until >= 0 AND (s.until - e.t) // 1000000 > 0 AS locked,
+      CASE WHEN e.{login} THEN s.le ELSE s.re END > e.t AS live, CASE WHEN e.{login} THEN s.ln ELSE s.rn END AS sends,
+      CASE WHEN e.{login} THEN s.ls ELSE s.rs END < 0 OR e.t - CASE WHEN e.{login} THEN s.ls ELSE s.rs END >= 3600000000 AS fresh,
+      CASE WHEN e.{login} THEN s.ll ELSE s.rl END >= 0 AND (CASE WHEN e.{login} THEN s.ll ELSE s.rl END + 120000000 - e.t) // 1000000 > 0 AS waits
+     FROM f s JOIN e ON e.mobile = s.mobile AND e.nth = s.nth + 1))))
+ SELECT event_id, mobile, kind, purpose, t, ok, known, result, failed, mark >= 0 AND t - mark <= 900000000 AS marked FROM f WHERE nth > 0 AND {where}"""
+
+
+def e4_sign_in(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-in and sign-up together: codes, passwords, lockouts, marks and new accounts of each number."""
+    return E.sign_in(*r_sign_ins(spark, d))
+
+
+def e3_guarded_sends(spark: SparkSession, d: str) -> DataFrame:
+    """Codes asked for, as accounts, locks, pauses and the hour allow."""
+    return e4_sign_in(spark, d).filter("kind = 'send'")
+
+
+#: The state store that timers in event time need.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _arriving(spark: SparkSession, t: DataFrame, folder: str, parts: int = 3) -> DataFrame:
+    """``t`` as a stream of ``parts`` micro-batches in the order of t, each a file."""
+    low, high = t.agg(F.min("t"), F.max("t")).first()
+    step = ((high or 0) - (low or 0)) // parts + 1
+    for k in range(parts):
+        t.filter((F.col("t") - (low or 0)) >= k * step).filter((F.col("t") - (low or 0)) < (k + 1) * step).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def e4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same events as they arrive, in three batches, with state that expires in event time."""
+    own = spark.newSession()  # settings of its own
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in STATE_STORE.items():
+        own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = sources.scratch_folder(spark)
+    t, accounts_ = r_sign_ins(own, d)
+    out = E.fold_expiring(E.with_accounts(_arriving(own, t, folder), accounts_), ["mobile"], E.sign_in_step, E.SIGN_START, E.SIGN_ADDED, E.SIGN_STATE, E.sign_in_end)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("event_id", "mobile", "kind", "purpose", "t", "ok", "known", "result", "failed", "marked")
+
+
+def e5_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Orders after payment events that arrive in three batches."""
+    orders = payments(spark, d).withColumn("status", F.when(F.col("status") == "fulfilled", "created").otherwise(F.col("status"))).select("order_id", "user_id", "plan", "amount", "status")
+    plans = spark.createDataFrame([("starter",)], "plan string")
+    folder = sources.scratch_folder(spark)
+    arriving = _arriving(spark, _webhooks(spark, d).filter("NOT rejected"), folder)
+    E.settle_stream(orders, arriving, users(spark, d), plans, f"{folder}/changes", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return E.settled_orders(orders, f"{folder}/changes").select("order_id", "status", "payment_id", "paid_t", "last_failure", "last_failed_t")
+
+
 def r_uploads(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).filter("event_type = 'view'").select("event_id", "user_id", "t", F.ceil("value").cast("long").alias("pages"), (F.col("event_id") % 6 != 0).alias("ok"), F.lit(100).cast("long").alias("page_limit"), (F.col("user_id") % 20 == 0).alias("staff"))
 
@@ -278,6 +384,10 @@ QUERIES: dict[str, Query] = {
     "e3_otp_throttle": lambda s, d: E.otp_throttle(r_requests(s, d)),
     "e4_otp_verify": lambda s, d: E.otp_verify(r_codes(s, d)),
     "e4_valid_code_asof": valid_codes,
+    "e4_sign_in": e4_sign_in,
+    "e3_guarded_sends": e3_guarded_sends,
+    "e4_stream_sign_in": e4_stream,
+    "e5_stream_settled": e5_stream,
     "e5_fulfil_payments": e5_fulfil,
     "e5_settled_payments": e5_settled,
     "e6_plan_ledger": e6_plans,
@@ -341,6 +451,9 @@ ORACLES: dict[str, str] = {
     "e2_lockouts": _lockout_oracle(),
     "e3_otp_throttle": _throttle_oracle(),
     "e4_otp_verify": _verify_oracle(),
+    "e4_sign_in": _sign_in_oracle(),
+    "e4_stream_sign_in": _sign_in_oracle(),
+    "e3_guarded_sends": _sign_in_oracle("kind = 'send'"),
     "e4_valid_code_asof": f"WITH {EVENTS}, c AS ({CODES}) SELECT v.event_id, v.mobile, v.purpose, v.t, s.t AS sent_t, coalesce(s.t + 300000000 > v.t, false) AS in_time FROM c v LEFT JOIN LATERAL (SELECT t FROM c x WHERE x.kind = 'send' AND x.mobile = v.mobile AND (x.t, x.event_id) <= (v.t, v.event_id) ORDER BY x.t DESC, x.event_id DESC LIMIT 1) s ON true WHERE v.kind = 'verify'",
     "e5_fulfil_payments": f"""{WITH}, {EVENTS}, w AS (SELECT event_id, t, 'P' || (event_id // 2) AS order_id, CASE event_type WHEN 'purchase' THEN 'payment.captured' WHEN 'click' THEN 'order.paid' ELSE 'x' END AS kind, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 117882 ELSE 294882 END AS amount FROM ev WHERE event_id % 31 <> 0),
  c AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY t, event_id) AS n FROM w WHERE kind <> 'x')
@@ -364,3 +477,4 @@ ORACLES: dict[str, str] = {
     "c20_user_roles": f"{WITH} SELECT id, {ROLE} AS role FROM users",
     "c21_gst": f"{WITH} SELECT order_id, round_even((base_paise + length(order_id)) * 0.18, 0)::BIGINT AS gst_paise, base_paise + length(order_id) + round_even((base_paise + length(order_id)) * 0.18, 0)::BIGINT AS total_paise FROM payments",
 }
+ORACLES["e5_stream_settled"] = ORACLES["e5_settled_payments"]

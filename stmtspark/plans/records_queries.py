@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,54 @@ def l7_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    meta = X.statement_banks(spark, d)
-    return sources.statement_documents(records.shape_records(_records(spark, d)), meta).select("statement_id", "bank", "row_count", "status", F.array_join("headers", ";").alias("headers"))
+    """A document for every other key of twice as many as customers; those without orders have no record, and are failed ones."""
+    meta = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k")).select(X.statement_id("k").alias("statement_id"), X.bank_of("k").alias("bank"))
+    record = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    docs = sources.statement_documents(records.shape_records(_records(spark, d)), meta)
+    return docs.select("statement_id", "bank", "row_count", "status", F.array_join("headers", ";").alias("headers"), F.array_join(F.transform("data", record), " // ").alias("data"))
+
+
+def rule_model():
+    """A linear model in numpy over counts of digits and letters and two words, as a worker loads it."""
+    weights = np.array([[-3, 2, -3, 0, 0], [1, 0, 0, 0, 0], [40, 0, 0, 0, 0], [0, 0, 0, 50, 0]])
+    bias = np.array([0, 0, 30, 0, 5])
+
+    def scores(texts: np.ndarray) -> np.ndarray:
+        count = lambda t, chars: sum(map(t.count, chars))
+        x = np.array([[count(t, "0123456789"), count(t.lower(), "abcdefghijklmnopqrstuvwxyz"), "date" in t.lower(), "total" in t.lower()] for t in texts], dtype=np.int64)
+        return x @ weights + bias
+
+    return scores
+
+
+def l1_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the ruled tables, labelled by a user's model."""
+    return records.classify_rows(labelled_rows(spark, d).drop("label"), rule_model).select("statement_id", "seq", "label")
+
+
+def l3_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Statements without header rows: an alternative that fits, one that does not, wide rows, and neither."""
+    k = F.substring("statement_id", 2, 12).cast("long") % 6
+    rows = labelled_rows(spark, d).filter(~F.col("label").isin("header", "remove"))
+    rows = rows.withColumn("cells", F.when((k == 2) & (F.col("label") == "entry"), F.concat("cells", F.array(F.lit("x"), F.lit("y"), F.lit("z")))).otherwise(F.col("cells")))
+    given = F.array(*[F.lit(h) for h in ("Date ()", "( )", "Narration", "Chq No", "Amount", "Balance")])
+    other = X.statement_banks(spark, d).filter(k.isin(1, 4)).select("statement_id", F.when(k == 1, given).otherwise(F.slice(given, 1, 5)).alias("headers"))
+    return records.resolve_headers(rows, other).select("statement_id", F.array_join("headers", ";").alias("headers"))
+
+
+def l4_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Records of headers that repeat, with rows shorter than the headers."""
+    t = X.ledger(spark, d)
+    k = F.col("o_orderkey").cast("string")
+    e = F.lit("")
+    entry = F.array(F.col("day").cast("string"), F.concat(F.lit("a"), k), F.col("amount").cast("string"), F.concat(F.lit("b"), k), F.lit("u"))
+    entry = F.when(F.col("o_orderkey") % 2 == 1, F.concat(entry, F.array(F.lit("v")))).otherwise(entry)
+    row = lambda c, label: F.struct(c.alias("cells"), F.lit(label).alias("label"))
+    none = F.array().cast("array<struct<cells:array<string>,label:string>>")
+    head = F.when(F.col("n") == 1, F.array(row(F.array(F.lit("Date"), F.lit("Text"), F.lit("Amt"), F.lit("Text"), e, e), "header"))).otherwise(none)
+    more = F.when(F.col("o_orderkey") % 3 == 0, F.array(row(F.array(e, F.lit("m"), e, F.lit("n")), "c-entry"))).otherwise(none)
+    rows = t.select(X.statement_id().alias("statement_id"), "n", F.posexplode(F.concat(head, F.array(row(entry, "entry")), more)).alias("i", "r"))
+    return _text(records.build_records(rows.select("statement_id", (F.col("n") * 10 + F.col("i")).cast("int").alias("seq"), "r.cells", "r.label")))
 
 
 def training_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +170,9 @@ QUERIES: dict[str, Query] = {
     "s4_info_rows": s4_info,
     "s8_union_tables": s8_union,
     "c17_format_cell": c17_cells,
+    "l1_model_labels": l1_labels,
+    "l3_fallback_headers": l3_fallbacks,
+    "l4_repeated_headers": l4_repeated,
     "l2_rescue_header": lambda s, d: records.rescue_header(labelled_rows(s, d)).groupBy("statement_id", "label").agg(F.count("*").alias("n")),
     "l3_resolve_headers": lambda s, d: records.resolve_headers(records.rescue_header(labelled_rows(s, d))).select("statement_id", F.array_join("headers", ";").alias("headers")),
     "l4_build_records": lambda s, d: _text(_records(s, d)),
@@ -160,10 +210,19 @@ ORACLES: dict[str, str] = {
     "l10_shape_records": f"""{_LED} SELECT 'S' || o_custkey AS statement_id, n AS seq, 'Balance=' || bal || ';Credit=' || CASE WHEN credit THEN num ELSE '' END || ';Debit=' || CASE WHEN credit THEN '' ELSE num END || ';Narration=' || x || CASE WHEN o_orderkey % 4 = 2 THEN ' rest' ELSE '' END || more || ';Txn Date=' || d || ';Value Date=' || d AS record,
  'Txn Date;Value Date;Narration;Debit;Credit;Balance' AS headers FROM p""",
     "l12_info_rows": f"{_LED} SELECT 'S' || o_custkey AS statement_id, 'total|' || of_n AS cells FROM p WHERE place = 0",
-    "s5_statement_documents": f"SELECT 'S' || o_custkey AS statement_id, [{', '.join(repr(b) for b in X.BANKS)}][o_custkey % 13 + 1] AS bank, count(*) AS row_count, 'success' AS status, 'Txn Date;Value Date;Narration;Debit;Credit;Balance' AS headers FROM orders GROUP BY o_custkey",
+    "s5_statement_documents": f"""{_LED}, r AS (SELECT 'S' || o_custkey AS statement_id, n, 'Balance=' || bal || ';Credit=' || CASE WHEN credit THEN num ELSE '' END || ';Debit=' || CASE WHEN credit THEN '' ELSE num END || ';Narration=' || x || CASE WHEN o_orderkey % 4 = 2 THEN ' rest' ELSE '' END || more || ';Txn Date=' || d || ';Value Date=' || d AS record FROM p),
+ g AS (SELECT statement_id, count(*) AS n, string_agg(record, ' // ' ORDER BY n) AS data FROM r GROUP BY 1)
+ SELECT 'S' || (2 * c_custkey) AS statement_id, [{', '.join(repr(b) for b in X.BANKS)}][2 * c_custkey % 13 + 1] AS bank, coalesce(n, 0) AS row_count, CASE WHEN n > 0 THEN 'success' ELSE 'failed' END AS status, CASE WHEN n > 0 THEN 'Txn Date;Value Date;Narration;Debit;Credit;Balance' END AS headers, coalesce(data, '') AS data
+ FROM customer LEFT JOIN g ON g.statement_id = 'S' || (2 * c_custkey)""",
+    "l3_fallback_headers": """SELECT DISTINCT 'S' || o_custkey AS statement_id, CASE o_custkey % 6 WHEN 1 THEN 'Date;UNKNOWN;Narration;Chq No;Amount;Balance' WHEN 2 THEN 'Date;Particulars;Cheque No;Debit;Credit;Balance;Remarks;UNKNOWN_8;UNKNOWN_9' ELSE 'Date;Particulars;Cheque No;Debit;Credit;Balance' END AS headers FROM orders""",
+    "l4_repeated_headers": f"""WITH {X.LEDGER} SELECT 'S' || o_custkey AS statement_id, n AS seq, 'Amt=' || amount || ';Date=' || day || ';Text=b' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' m n' ELSE '' END || ';UNKNOWN=' || CASE WHEN o_orderkey % 2 = 1 THEN 'v' ELSE '' END AS record, 'Date;Text;Amt;UNKNOWN' AS headers FROM ledger""",
     "m4_class_weights": "WITH c AS (SELECT toxic::VARCHAR AS label, count(*) AS n FROM labels GROUP BY 1) SELECT label, n, (SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n) AS weight FROM c",
     "m3_stratified_split": f"""{_LED}, r AS (SELECT CASE WHEN o_custkey % 3 <> 2 THEN 'header' ELSE 'remove' END AS label FROM p WHERE place = 0 UNION ALL SELECT 'entry' FROM p UNION ALL SELECT 'c-entry' FROM p WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'info' FROM p WHERE place = 0)
  SELECT label, count(*) AS n, round(count(*) * 0.2)::BIGINT AS n_test FROM r GROUP BY 1""",
     "m6_evaluate": """WITH t AS (SELECT quality AS l, 1 - toxic AS p FROM labels), c AS (SELECT x, count(*) FILTER (l = x AND p = x) AS tp, count(*) FILTER (l = x) AS s, count(*) FILTER (p = x) AS q FROM t, (VALUES (0), (1)) v(x) GROUP BY 1)
  SELECT sum(s)::BIGINT AS n, round(sum(tp) / sum(s), 9) AS accuracy, round(sum(s * 2 * tp / (s + q)) / sum(s), 9) AS f1 FROM c""",
 }
+_TEXTS = ORACLES["m1_training_rows"].rsplit("\n", 1)[0]
+ORACLES["l1_model_labels"] = f"""{_TEXTS}, c AS (SELECT o_custkey, seq, length(regexp_replace(text, '[^0-9]', '', 'g')) AS nd, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS nl, contains(lower(text), 'date')::INT AS d, contains(lower(text), 'total')::INT AS t FROM r),
+ s AS (SELECT *, [40 * d + nl - 3 * nd, 2 * nd, 30 - 3 * nd, 50 * t, 5] AS s FROM c)
+ SELECT 'S' || o_custkey AS statement_id, seq::INT AS seq, ['header', 'entry', 'c-entry', 'info', 'remove'][list_position(s, list_max(s))] AS label FROM s"""

@@ -82,6 +82,25 @@ def t8_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.validated(marked_cells(spark, sf_dir), banks)
 
 
+def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements whose printed balance never moves: only the columns tell debits from credits, and some rows have neither."""
+    t = X.ledger(spark, sf_dir)
+    k, e = F.col("o_orderkey") % 3, F.lit("")
+    amount, balance = F.format_number("amount", 2), F.lit("100,000.00")
+    head = F.array(*[F.lit(w) for w in ("Date", "Narration", "Chq Ref No", "Withdrawals", "Deposits", "Balance")])
+    opened = F.array(e, F.lit("Opening Balance"), e, e, e, balance)
+    entry = F.array(F.date_format("day", "dd-MM-yyyy"), F.lit("PAID TO X"), e, F.when(k == 0, amount).otherwise(e), F.when(k == 1, amount).otherwise(e), balance)
+    rows = F.concat(F.when(F.col("n") == 1, F.array(head, opened)).otherwise(F.array().cast("array<array<string>>")), F.array(entry))
+    out = t.select(X.statement_id().alias("statement_id"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), "n", F.posexplode(rows).alias("k", "cells"))
+    return out.select("statement_id", "page", "table_no", (F.col("n") * 4 + F.col("k")).cast("int").alias("row_no"), "cells")
+
+
+def t7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns decide the type where neither a mark nor the balance does; rows without either stay untyped."""
+    banks = X.statement_banks(spark, sf_dir).select("statement_id", F.lit("kotak").alias("bank"))
+    return parsing.validated(column_cells(spark, sf_dir), banks)
+
+
 def t5_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narrations of the layout that breaks lines inside words; hard-wrapped lines of the text say where."""
     cells, banks = X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir).filter("bank = 'bob'")
@@ -124,6 +143,7 @@ QUERIES = {
     "t8_statement_validation": t8_statement_validation,
     "t5_glued_narrations": t5_glued,
     "t8_marked_breaks": t8_breaks,
+    "t7_column_types": t7_columns,
     "e8_stream_statements": e8_stream,
     "f7_best_extraction": f7_best,
     "l11_stream_records": l11_records,
@@ -135,6 +155,8 @@ g AS (SELECT *, abs(printed - coalesce(lag(printed) OVER (PARTITION BY o_custkey
 SELECT 'S' || o_custkey AS statement_id, 100000.00::DOUBLE AS opening_balance, count(*) FILTER (listed) AS n_txns, count(*) FILTER (listed AND NOT credit) AS n_dr, count(*) FILTER (listed AND credit) AS n_cr, 0::BIGINT AS n_untyped,
   coalesce(sum(amount) FILTER (listed AND NOT credit), 0)::DOUBLE AS sum_debit, coalesce(sum(amount) FILTER (listed AND credit), 0)::DOUBLE AS sum_credit, count(*) FILTER (listed AND gap) AS continuity_breaks, max_by(printed, n) FILTER (listed)::DOUBLE AS closing_balance
 FROM g GROUP BY o_custkey""",
+    "t7_column_types": f"""WITH {X.LEDGER} SELECT 'S' || o_custkey AS statement_id, 100000.00::DOUBLE AS opening_balance, count(*) AS n_txns, count(*) FILTER (o_orderkey % 3 = 0) AS n_dr, count(*) FILTER (o_orderkey % 3 = 1) AS n_cr, count(*) FILTER (o_orderkey % 3 = 2) AS n_untyped,
+  coalesce(sum(amount) FILTER (o_orderkey % 3 = 0), 0)::DOUBLE AS sum_debit, coalesce(sum(amount) FILTER (o_orderkey % 3 = 1), 0)::DOUBLE AS sum_credit, count(*) FILTER (o_orderkey % 3 < 2 AND amount > 1) AS continuity_breaks, 100000.00::DOUBLE AS closing_balance FROM ledger GROUP BY o_custkey""",
     "t5_glued_narrations": f"""WITH {X.LEDGER}, e AS (SELECT o_custkey, 300 - 2 * sum(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 260 ELSE 80 END) / sum(length('TRANSFER PARTY X' || (o_orderkey % 97) || 'Q')) AS edge, max(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 300 ELSE 120 END) AS most, count(*) AS lines, 2 * sum(CASE WHEN o_orderkey % 97 % 2 = 0 THEN 260 ELSE 80 END) / sum(length('TRANSFER PARTY X' || (o_orderkey % 97) || 'Q')) AS slack FROM ledger GROUP BY 1),
 w AS (SELECT DISTINCT l.o_custkey, l.o_orderkey % 97 AS party FROM ledger l JOIN e USING (o_custkey) WHERE lines >= 3 AND CASE WHEN l.o_orderkey % 97 % 2 = 0 THEN 300 ELSE 120 END >= most - slack),
 g AS (SELECT o_custkey FROM w GROUP BY 1 HAVING count(*) >= 3)
