@@ -45,51 +45,56 @@ _KEY = ["statement_id", "reading"]
 _ROW = [*_KEY, "page", "table_no", "row_no"]
 
 
-def row_facts(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
-    """(statement_id, reading, page, table_no, row_no, bank, facts): each row's cells as the parser sees them, and what
-    they say, for the banks whose narration stands around the amounts, or for the others.
+def row_facts(cells: DataFrame, banks: DataFrame) -> DataFrame:
+    """(statement_id, reading, page, table_no, row_no, bank, facts): each row's cells as the parser sees them, and what they say.
 
     ``reading`` tells apart several readings of one statement: twice the cells' variant (0 if they have none) and
     the banks' rescue (0 if they have none).  The cells are exchanged once by statement_id, then taken apart, cleaned
     and parsed as plain columns, and gathered in the same partitions.
     """
-    variant = F.col("variant").cast("int") if "variant" in cells.columns else F.lit(0)
-    rescue = F.col("rescue").cast("int") if "rescue" in banks.columns else F.lit(0)
-    own = F.broadcast(profiles(cells.sparkSession).filter(F.col("narration_around") == around).select("bank", "engine", "explode_newlines", "serial_col"))
-    raw = cells.select("statement_id", variant.alias("variant"), "page", "table_no", "row_no", "cells").repartition("statement_id")
-    rows = raw.join(banks.select("statement_id", rescue.alias("rescue"), "bank").join(own, "bank"), "statement_id").withColumn("reading", F.col("variant") * 2 + F.col("rescue"))
-    t = rows.select(*_ROW, "bank", "serial_col", F.posexplode_outer(raw_pieces(F.col("cells"), F.col("engine"), F.col("explode_newlines"), F.lit(around))).alias("i0", "raw"))
+    variant = "cast(variant AS int)" if "variant" in cells.columns else "0"
+    rescue = "cast(rescue AS int)" if "rescue" in banks.columns else "0"
+    own = F.broadcast(profiles(cells.sparkSession).select("bank", "engine", "narration_around", "explode_newlines", "serial_col"))
+    raw = cells.selectExpr("statement_id", f"{variant} AS variant", "page", "table_no", "row_no", "cells").repartition("statement_id")
+    # the few columns of banks are hashed in each partition, so the cells stay where the exchange has put them
+    own = banks.selectExpr("statement_id", f"{rescue} AS rescue", "bank").join(own, "bank").hint("shuffle_hash")
+    rows = raw.join(own, "statement_id").withColumn("reading", F.expr("variant * 2 + rescue"))
+    t = rows.select(*_ROW, "bank", "serial_col", F.posexplode_outer(raw_pieces(F.col("cells"), F.col("engine"), F.col("explode_newlines"), F.col("narration_around"))).alias("i0", "raw"))
     t = C.cleaned(t, "raw", "c")
-    c = F.when(F.col("serial_col") & (F.col("i0") == 0) & F.col("c").rlike(r"^\d{1,4}$"), "").otherwise(F.col("c"))
+    c = F.expr("CASE WHEN serial_col AND i0 = 0 AND c RLIKE r'^[0-9]{1,4}$' THEN '' ELSE c END")
     t = t.select(*_ROW, "bank", "i0", F.posexplode(C.split_money_cells(F.array(c))).alias("i1", "text"))
-    one = C.parsed_cells(t).groupBy(*_ROW, "bank").agg(F.sort_array(F.collect_list(F.struct("i0", "i1", "text", "lead", "date", "value", "sign"))).alias("f"))
-    facts = F.transform("f", lambda x, i: F.struct(i.alias("i"), x["text"].alias("text"), x["lead"].alias("lead"), x["date"].alias("date"), x["value"].alias("value"), x["sign"].alias("sign")))
-    return one.select(*_ROW, "bank", facts.alias("facts"))
+    one = C.parsed_cells(t).groupBy(*_ROW, "bank").agg(F.expr("sort_array(collect_list(struct(i0, i1, text, lead, date, value, sign))) AS f"))
+    return one.selectExpr(*_ROW, "bank", "transform(f, (x, i) -> struct(i, x.text AS text, x.lead AS lead, x.date AS date, x.value AS value, x.sign AS sign)) AS facts")
 
 
-def _rows(cells: DataFrame, banks: DataFrame, around: bool) -> DataFrame:
+def _rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
     """Rows with profile, sequence and flags; partitioned by statement_id."""
-    own = F.broadcast(profiles(cells.sparkSession).filter(F.col("narration_around") == around))
-    rows = row_facts(cells, banks, around).join(own, "bank").withColumn("own", F.transform("facts", lambda f: f["text"]))
-    rows = rows.withColumn("joined", C.strip(F.array_join("own", " "))).withColumn("low", F.lower("joined"))
-    rows = rows.withColumn("d", C.first_date(F.col("facts"))).withColumn("b", C.last_balance(F.col("facts")))
+    rows = row_facts(cells, banks).join(F.broadcast(profiles(cells.sparkSession)), "bank").withColumn("own", F.expr("transform(facts, f -> f.text)"))
+    rows = rows.withColumn("joined", C.strip(F.array_join("own", " "))).withColumns({"low": F.expr("lower(joined)"), "d": C.first_date(F.col("facts")), "b": C.last_balance(F.col("facts"))})
+    # what the windows carry along: flags and the facts, no texts of whole rows
     rows = rows.select(
-        *_ROW, *[f.name for f in PROFILE.fields], "own", "facts", "low",
-        F.col("d.i").alias("date_i"), F.col("d.lead").alias("date"), F.col("b.i").alias("bal_i"), C.signed(F.col("b")).alias("bal"),
-        F.col("joined").rlike(r"[\p{L}\p{N}]").alias("alnum"),
+        *_ROW, *[f.name for f in PROFILE.fields if f.name not in ("header_keywords", "bank", "serial_col")], "own", "facts",
+        F.expr("header_keywords IS NOT NULL AS headed"), F.expr("d.i AS date_i"), F.expr("d.lead AS date"), F.expr("b.i AS bal_i"), C.signed(F.col("b")).alias("bal"),
+        F.expr(r"joined RLIKE r'[\p{L}\p{N}]' AS alnum"),
         C.has_all(F.col("low"), F.col("header_keywords")).alias("is_head"),
-        (C.is_footer_start(F.col("low")) | F.coalesce(F.col("d.text").rlike(r"\d{1,2}:\d{2}:\d{2}"), F.lit(False))).alias("is_footer"),
+        (C.is_footer_start(F.col("low")) | F.expr(r"coalesce(d.text RLIKE r'\d{1,2}:\d{2}:\d{2}', false)")).alias("is_footer"),
         C.is_opening(F.col("low")).alias("is_opening"), C.is_noise(F.col("low")).alias("is_noise"),
+        F.when(F.col("narration_around"), C.words_of(F.col("low"))).alias("words"), F.expr(r"low RLIKE '[0-9]' AS digits"),
     )
-    seq = F.row_number().over(_by().orderBy("page", "table_no", "row_no"))
-    leading = F.coalesce(F.forall(F.slice("own", F.lit(1), F.coalesce("date_i", F.lit(0))), lambda c: c == "") & F.col("date_i").isNotNull(), F.lit(False))
-    dated = F.col("date").isNotNull() & F.col("bal").isNotNull() & F.coalesce(F.col("date_i") < F.col("bal_i"), F.lit(False))
-    rest = F.exists("facts", lambda f: (f["i"] != F.col("date_i")) & (f["value"].isNotNull() | f["text"].rlike("[A-Za-z]"))) | F.col("bal").isNotNull()
-    return rows.withColumn("seq", seq).withColumns(
+    rows = rows.withColumns(
+        {
+            "seq": F.row_number().over(_by().orderBy("page", "table_no", "row_no")),
+            "leading": F.expr("coalesce(forall(slice(own, 1, coalesce(date_i, 0)), c -> c = '') AND date_i IS NOT NULL, false)"),
+            "dated": F.expr("date IS NOT NULL AND bal IS NOT NULL AND coalesce(date_i < bal_i, false)"),
+            "rest": F.expr("CASE WHEN engine = 'linear' THEN bal IS NOT NULL OR exists(facts, f -> f.i <> date_i AND (f.value IS NOT NULL OR f.text RLIKE '[A-Za-z]')) END"),
+            "colmap0": F.when(F.expr("is_head AND NOT narration_around"), C.build_colmap(F.col("own"))),
+        }
+    )
+    rows = rows.drop("own")
+    return rows.withColumns(
         {
-            "leading": leading,
-            "looks_txn": F.when(F.col("engine") == "linear", F.col("date").isNotNull() & leading & rest).when(F.col("narration_around"), dated & leading).otherwise(dated),
-            "table_test": F.when(F.col("engine") == "linear", F.col("date").isNotNull() & leading).otherwise(dated),
+            "looks_txn": F.expr("CASE WHEN engine = 'linear' THEN date IS NOT NULL AND leading AND rest WHEN narration_around THEN dated AND leading ELSE dated END"),
+            "table_test": F.expr("CASE WHEN engine = 'linear' THEN date IS NOT NULL AND leading ELSE dated END"),
         }
     )
 
@@ -139,67 +144,6 @@ def _extend_reference(ref: Column, conts: Column, drop: Column) -> Column:
     return F.aggregate(conts, F.struct(ref.alias("ref"), F.lit("").alias("text")), row)
 
 
-def parse_rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
-    """Transactions of columnar and linear statements, before ``finalize``.
-
-    ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank.  A
-    statement that does not begin with a transaction has a row more, with bare true: it carries the
-    opening balance, so that one pass gives both.
-    """
-    rows = _rows(cells, banks, around=False)
-    start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("alnum") & F.col("is_head"), F.col("seq"))).over(_by()))
-    rows = rows.withColumn("start", start).withColumn("live", F.col("alnum") & F.coalesce(F.col("seq") > F.col("start"), F.lit(False)))
-    rows = rows.withColumn("foots", F.col("live") & F.col("is_footer")).withColumn("opens", F.col("live") & ~F.col("is_footer") & F.col("is_opening"))
-    rows = rows.withColumn("fit", F.col("live") & ~F.col("is_footer") & ~F.col("is_opening") & ~F.col("is_noise") & ~F.col("is_head")).withColumn("txn", F.col("fit") & F.col("looks_txn"))
-    rows = rows.withColumns(
-        {
-            "colmap": F.first(F.when(F.col("seq") == F.col("start"), C.build_colmap(F.col("own"))), ignorenulls=True).over(_by()),
-            "in_footer": F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_so_far()), F.lit(False)),
-            "txn_id": F.sum(F.col("txn").cast("int")).over(_so_far()),
-            "opening": _opening(),
-            "table_txn": F.max("table_test").over(Window.partitionBy(*_KEY, "page", "table_no")),
-            "ref0": F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.col("find_ref_tokens"))),
-        }
-    )
-    rows = rows.withColumn("ref", F.last(F.when(F.col("txn"), F.col("ref0")), ignorenulls=True).over(_so_far()))
-    cont = F.col("fit") & ~F.col("txn") & ~F.col("in_footer") & (F.col("txn_id") > 0) & ~F.col("leading") & F.col("table_txn")
-    rows = rows.withColumn("bare", ~F.col("txn") & ~F.coalesce(cont, F.lit(False)) & (F.col("seq") == 1))
-    used = rows.filter(F.col("txn") | cont | F.col("bare")).withColumn("mark", _mark(F.col("facts"), F.col("bal_i")))
-    amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.coalesce("debit_col", "colmap.debit"), F.coalesce("credit_col", "colmap.credit"))
-    text = C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.col("ref"), F.col("drop_code_cells"))
-    first = lambda c, when: F.min_by(c, F.when(when, F.col("seq")))
-    used = used.select(*_KEY, "txn_id", "bare", "opening", "seq", "txn", "date", "bal", "mark", "ref", "explode_newlines", "drop_code_cells", "bal_i", amount.alias("amount"), text.alias("text"), F.when(F.col("explode_newlines") & ~F.col("txn"), F.col("facts")).alias("facts"))
-    group = used.groupBy(*_KEY, "bare", "txn_id").agg(
-        F.min("seq").alias("seq"),
-        F.first("opening").alias("opening"),
-        first("date", F.col("txn")).alias("date"),
-        first("ref", F.col("txn")).alias("ref"),
-        first("amount", F.col("txn")).alias("amount"),
-        first("bal", F.col("bal").isNotNull()).alias("balance"),
-        first("mark", F.col("mark").isNotNull()).alias("mark"),
-        F.first("explode_newlines").alias("explode"),
-        F.first("drop_code_cells").alias("drop"),
-        F.sort_array(F.collect_list(F.struct("seq", "text", "facts", "bal_i"))).alias("parts"),
-    )
-    whole = F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != ""), " ")
-    wrapped = _extend_reference(F.col("ref"), F.slice("parts", F.lit(2), F.size("parts")), F.col("drop"))
-    group = group.withColumn("w", F.when(F.col("explode"), wrapped))
-    return group.select(
-        *_KEY,
-        "bare",
-        "opening",
-        "seq",
-        "date",
-        F.when(F.col("explode"), C.strip(F.concat_ws(" ", F.get("parts", F.lit(0))["text"], F.col("w.text")))).otherwise(C.strip(whole)).alias("description"),
-        F.coalesce(F.col("w.ref"), F.col("ref")).alias("reference"),
-        "balance",
-        F.col("mark.value").alias("amt_value"),
-        F.col("mark.sign").alias("amt_sign"),
-        F.col("amount.debit").alias("col_dr"),
-        F.col("amount.credit").alias("col_cr"),
-    )
-
-
 def join_fragments(parts: Column, glued: Column | None = None) -> Column:
     """Texts of an array<struct<text, glue>> joined; no space after a glued text or one that ends in "-".
 
@@ -214,60 +158,97 @@ def join_fragments(parts: Column, glued: Column | None = None) -> Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("glue")), step, lambda s: C.strip(s["out"]))
 
 
-def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
-    """Transactions, as ``parse_rows`` gives them, of statements whose narration stands above and below the amount row.
+def parsed(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """Transactions of statements of all layouts, before ``finalize``, each row parsed once.
 
-    ``glue`` (statement_id, text) has the narration lines that were broken inside a word.
+    ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank; ``glue``
+    (statement_id, text) has the narration lines that were broken inside a word.  In columnar and linear layouts rows
+    after a transaction continue it; in the layouts with narration around, text rows join the next or the last
+    amount row.  A statement that does not begin with a transaction has a row more, with bare true: it carries the
+    opening balance, so that one pass gives both.
     """
-    rows = _rows(cells, banks, around=True)
-    rows = rows.withColumn("foots", F.col("alnum") & F.col("is_footer")).withColumn("opens", F.col("alnum") & ~F.col("is_footer") & F.col("is_opening"))
-    rows = rows.withColumn("fit", F.col("alnum") & ~F.col("is_footer") & ~F.col("is_opening") & ~F.col("is_noise"))
-    start = F.when(F.col("header_keywords").isNull(), F.lit(0)).otherwise(F.min(F.when(F.col("fit") & F.col("is_head"), F.col("seq"))).over(_by()))
-    rows = rows.withColumn("start", start)
+    rows = _rows(cells, banks)
+    head_ok = F.expr("alnum AND is_head AND (NOT narration_around OR NOT (is_footer OR is_opening OR is_noise))")
+    rows = rows.withColumn("start", F.when(~F.col("headed"), 0).otherwise(F.min(F.when(head_ok, F.col("seq"))).over(_by())))
+    # layouts with narration around see footers, openings and noise before their header too
+    rows = rows.withColumn("base", F.expr("alnum AND (narration_around OR coalesce(seq > start, false))"))
+    rows = rows.withColumns({"foots": F.expr("base AND is_footer"), "opens": F.expr("base AND NOT is_footer AND is_opening"), "fit": F.expr("base AND NOT is_footer AND NOT is_opening AND NOT is_noise AND (narration_around OR NOT is_head)")})
     # the header row and the fitting rows that follow it, as many as the profile has header lines
-    after = F.col("fit") & F.coalesce(F.col("seq") >= F.col("start"), F.lit(False)) & F.col("header_keywords").isNotNull()
-    rows = rows.withColumn("head_no", F.when(after, F.sum(after.cast("int")).over(_so_far())))
-    heads = F.col("head_no") <= F.col("header_lines")
-    rows = rows.withColumn("header_words", F.flatten(F.collect_list(F.when(heads, C.words_of(F.col("low")))).over(_by())))
-    live = F.col("fit") & F.coalesce(F.col("seq") > F.col("start"), F.lit(False)) & ~F.coalesce(heads, F.lit(False)) & ~F.coalesce(C.is_header_echo(F.col("low"), F.col("header_words")), F.lit(False))
-    rows = rows.withColumn("live", live).withColumn("txn", F.col("live") & F.col("looks_txn"))
-    rows = rows.withColumn("in_footer", F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_so_far()), F.lit(False))).withColumn("seen", F.sum(F.col("txn").cast("int")).over(_so_far()))
-    rows = rows.withColumn("ref", F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.lit(False))))
-    rows = rows.withColumn("text", C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.when(F.col("txn"), F.col("ref")).otherwise(""), F.lit(False)))
-    rows = rows.withColumn("opening", _opening())
-    narration = F.col("live") & ~F.col("txn") & ~F.col("in_footer") & ((F.col("seen") > 0) | F.col("header_keywords").isNotNull()) & (F.col("text") != "")
-    amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.col("debit_col"), F.col("credit_col"))
-    rows = rows.withColumn("bare", ~F.col("txn") & ~F.coalesce(narration, F.lit(False)) & (F.col("seq") == 1))
-    items = rows.filter(F.col("txn") | narration | F.col("bare")).select(*_KEY, "bare", "opening", "seq", "txn", "date", "bal", "ref", "text", amount.alias("amount"), "no_reference", "glue_hard_wraps")
-    own = Window.partitionBy(*_KEY, "bare").orderBy("seq")
-    items = items.withColumn("n", F.row_number().over(own))
-    later = Window.partitionBy(*_KEY, "bare").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    items = items.withColumns(
+    after = F.expr("narration_around AND fit AND coalesce(seq >= start, false) AND headed")
+    rows = rows.withColumn("heads", F.coalesce(F.when(after, F.sum(after.cast("int")).over(_so_far()) <= F.col("header_lines")), F.lit(False)))
+    rows = rows.withColumns(
         {
-            "next": F.first(F.when(F.col("txn"), F.col("n")), ignorenulls=True).over(later),
-            "next_text": F.first(F.when(F.col("txn"), F.col("text")), ignorenulls=True).over(later),
-            "prev": F.last(F.when(F.col("txn"), F.col("n")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "header_words": F.flatten(F.collect_list(F.when(F.col("heads"), F.col("words"))).over(_by())),
+            "colmap": F.first(F.when(F.expr("seq = start"), F.col("colmap0")), ignorenulls=True).over(_by()),
+            "table_txn": F.max("table_test").over(Window.partitionBy(*_KEY, "page", "table_no")),
+            "opening": _opening(),
+            "ref0": F.when(F.col("no_reference"), "").otherwise(C.row_reference(F.col("facts"), F.col("bal_i"), F.col("find_ref_tokens"))),
         }
     )
-    target = F.when(F.col("txn"), F.col("n")).when((F.col("next") == F.col("n") + 1) & (F.col("next_text") == ""), F.col("next")).otherwise(F.coalesce("prev", "next"))
-    items = items.withColumn("target", F.when(F.col("bare"), F.col("n")).otherwise(target)).filter("target IS NOT NULL")
-    if glue is None:
-        items = items.withColumn("glue", F.lit(False))
-    else:
-        # one row of texts for each statement, so that the rows stay in their partitions
-        texts = glue.groupBy("statement_id").agg(F.collect_set("text").alias("glued_texts"))
-        items = items.join(texts, "statement_id", "left").withColumn("glue", F.coalesce(F.array_contains("glued_texts", F.col("text")), F.lit(False))).drop("glued_texts")
-    first = lambda c: F.first(F.when(F.col("txn"), F.col(c)), ignorenulls=True)
-    group = items.groupBy(*_KEY, "bare", "target").agg(
-        F.first("opening").alias("opening"), first("seq").alias("seq"), first("date").alias("date"), first("bal").alias("balance"), first("ref").alias("ref"), first("amount").alias("amount"),
-        F.first("no_reference").alias("no_reference"), F.first("glue_hard_wraps").alias("glued"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text", "glue")))).alias("parts"),
-    )
-    text = join_fragments(F.col("parts"), F.col("glued"))
-    return group.withColumn("description", text).select(
-        *_KEY, "bare", "opening", "seq", "date", "description",
-        F.when(F.col("no_reference"), "").otherwise(F.coalesce(F.nullif("ref", F.lit("")), C.guess_reference(F.col("description")))).alias("reference"),
-        "balance", F.lit(None).cast(C.MONEY).alias("amt_value"), F.lit(None).cast("string").alias("amt_sign"), F.col("amount.debit").alias("col_dr"), F.col("amount.credit").alias("col_cr"),
+    echo = F.expr("narration_around AND NOT digits AND coalesce(size(words) > 0 AND size(array_except(words, header_words)) = 0, false)")
+    rows = rows.withColumn("live", F.expr("fit AND (NOT narration_around OR coalesce(seq > start, false)) AND NOT heads") & ~echo).withColumn("txn", F.expr("live AND looks_txn"))
+    rows = rows.withColumns(
+        {
+            "in_footer": F.coalesce(F.last(F.when(F.col("foots"), True).when(F.col("txn"), False), ignorenulls=True).over(_so_far()), F.lit(False)),
+            "txn_id": F.sum(F.col("txn").cast("int")).over(_so_far()),
+            "ref": F.when(F.col("narration_around"), F.expr("CASE WHEN txn THEN ref0 ELSE '' END")).otherwise(F.last(F.when(F.col("txn"), F.col("ref0")), ignorenulls=True).over(_so_far())),
+        }
+    )
+    rows = rows.withColumn("text", C.row_description(F.col("facts"), F.when(F.col("txn"), F.col("date_i")), F.col("bal_i"), F.col("ref"), F.col("drop_code_cells")))
+    more = """CASE WHEN narration_around THEN live AND NOT txn AND NOT in_footer AND (txn_id > 0 OR headed) AND text <> ''
+              ELSE fit AND NOT txn AND NOT in_footer AND txn_id > 0 AND NOT leading AND table_txn END"""
+    rows = rows.withColumn("more", F.expr(f"coalesce({more}, false)")).withColumn("bare", F.expr("NOT txn AND NOT more AND seq = 1"))
+    amount = C.classify_amount(F.col("facts"), F.col("bal_i"), F.coalesce("debit_col", "colmap.debit"), F.coalesce("credit_col", "colmap.credit"))
+    items = rows.filter("txn OR more OR bare").select(
+        *_KEY, "bare", "opening", "seq", "txn", "txn_id", "date", "bal", "bal_i", "ref", "text", "narration_around", "explode_newlines", "drop_code_cells", "no_reference", "glue_hard_wraps",
+        amount.alias("amount"), F.when(~F.col("narration_around"), _mark(F.col("facts"), F.col("bal_i"))).alias("mark"), F.when(F.expr("explode_newlines AND NOT txn"), F.col("facts")).alias("facts"),
     )
+    group = _targeted(items, glue).groupBy(*_KEY, "bare", "target").agg(
+        F.expr("max(CASE WHEN txn OR bare THEN seq END) AS seq"),
+        *[F.expr(f"first({c}) AS {c}") for c in ("opening", "narration_around", "explode_newlines", "drop_code_cells", "no_reference", "glue_hard_wraps")],
+        *[F.expr(f"first(CASE WHEN txn THEN {c} END, true) AS {c}") for c in ("date", "ref", "amount")],
+        F.expr("min_by(bal, CASE WHEN bal IS NOT NULL AND (txn OR NOT narration_around) THEN seq END) AS balance"),
+        F.expr("min_by(mark, CASE WHEN mark IS NOT NULL THEN seq END) AS mark"),
+        F.expr("sort_array(collect_list(struct(seq, text, glue, facts, bal_i))) AS parts"),
+    )
+    filled = F.expr("filter(parts, p -> p.text <> '')")
+    wrapped = _extend_reference(F.col("ref"), F.expr("slice(parts, 2, size(parts))"), F.col("drop_code_cells"))
+    group = group.withColumn("w", F.when(F.col("explode_newlines"), wrapped))
+    text = F.when(F.col("explode_newlines"), C.strip(F.expr("concat_ws(' ', parts[0].text, w.text)"))).when(F.col("glue_hard_wraps"), join_fragments(filled, F.col("glue_hard_wraps")))
+    group = group.withColumn("description", text.otherwise(C.strip(F.array_join(F.transform(filled, lambda p: p["text"]), " "))))
+    around = F.when(F.col("no_reference"), "").otherwise(F.coalesce(F.expr("nullif(ref, '')"), C.guess_reference(F.col("description"))))
+    reference = F.when(F.col("narration_around"), around).otherwise(F.expr("coalesce(w.ref, ref)"))
+    return group.select(*_KEY, "bare", "opening", "seq", "date", "description", reference.alias("reference"), "balance", F.expr("mark.value AS amt_value"), F.expr("mark.sign AS amt_sign"), F.expr("amount.debit AS col_dr"), F.expr("amount.credit AS col_cr"))
+
+
+def _targeted(items: DataFrame, glue: DataFrame | None) -> DataFrame:
+    """Items with the transaction that each belongs to, and whether their text is glued to the next."""
+    own = Window.partitionBy(*_KEY, "bare").orderBy("seq")
+    ahead, behind = own.rowsBetween(Window.currentRow, Window.unboundedFollowing), own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    items = items.withColumn("n", F.row_number().over(own))
+    items = items.withColumn("_here", F.expr("CASE WHEN txn THEN struct(n, text) END"))
+    items = items.withColumns({"_next": F.first("_here", ignorenulls=True).over(ahead), "_prev": F.last("_here", ignorenulls=True).over(behind)})
+    target = "CASE WHEN bare OR (narration_around AND txn) THEN n WHEN NOT narration_around THEN txn_id WHEN _next.n = n + 1 AND _next.text = '' THEN _next.n ELSE coalesce(_prev.n, _next.n) END"
+    items = items.withColumn("target", F.expr(target)).filter("target IS NOT NULL").drop("_here", "_next", "_prev")
+    if glue is None:
+        return items.withColumn("glue", F.lit(False))
+    # one row of texts for each statement, so that the rows stay in their partitions
+    texts = glue.groupBy("statement_id").agg(F.collect_set("text").alias("glued_texts"))
+    return items.join(texts.hint("shuffle_hash"), "statement_id", "left").withColumn("glue", F.expr("coalesce(array_contains(glued_texts, text), false)")).drop("glued_texts")
+
+
+def parse_rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
+    """``parsed`` statements of columnar and linear layouts only."""
+    return parsed(cells, _banks_of(banks, around=False))
+
+
+def parse_around(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+    """``parsed`` statements of layouts with narration around the amount row only."""
+    return parsed(cells, _banks_of(banks, around=True), glue)
+
+
+def _banks_of(banks: DataFrame, around: bool) -> DataFrame:
+    return banks.filter(F.col("bank").isin([b for b, p in fixed.PROFILES.items() if p.get("narration_around", False) == around]))
 
 
 def _own(t: DataFrame) -> WindowSpec:
@@ -340,11 +321,6 @@ def validate(txns: DataFrame, openings: DataFrame, statements: DataFrame) -> Dat
     return _for_statements(_summary(rows), statements)
 
 
-def parsed(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
-    """Statements of all layouts, each row parsed once; see ``parse_rows``."""
-    return parse_rows(cells, banks).unionByName(parse_around(cells, banks, glue))
-
-
 def transactions(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(finished transactions, openings) of statements of all layouts."""
     rows = parsed(cells, banks, glue)
@@ -386,7 +362,7 @@ def best_extraction(cells: DataFrame, banks: DataFrame, expected: DataFrame, glu
     keyed = cells.withColumn("variant", (F.col("variant") == "wide").cast("int"))
     rows = readings(keyed, banks, glue).withColumns({f"_n{r}": _found(r) for r in range(4)})
     best = lambda own, generic: F.when(F.col(own) > 0, F.col(own)).otherwise(F.col(generic))
-    rows = rows.withColumns({"_plain": best("_n0", "_n1"), "_wide": best("_n2", "_n3")}).join(expected.select("statement_id", "expected"), "statement_id", "left")
+    rows = rows.withColumns({"_plain": best("_n0", "_n1"), "_wide": best("_n2", "_n3")}).join(expected.select("statement_id", "expected").hint("shuffle_hash"), "statement_id", "left")
     few = F.col("_plain") < 0.9 * F.coalesce("expected", F.lit(0))
     wide = (F.col("_wide") > 0) & ((F.col("_plain") == 0) | (few & (F.col("_wide") > F.col("_plain"))))
     won = F.when(wide, F.when(F.col("_n2") > 0, 2).otherwise(3)).otherwise(F.when((F.col("_n0") == 0) & (F.col("_n1") > 0), 1).otherwise(0))
