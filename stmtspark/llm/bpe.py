@@ -7,14 +7,13 @@ Decoding is another query over the ids that were put together for each document:
 join the vocabulary, and an ordered aggregation makes their bytes.
 
 A recursive query keeps the rows of all its steps, so pieces go to it in groups of QUERY_ROWS rows
-times steps.  A piece that is longer than LONG_PIECE bytes is contracted by a second recursive query
-of a bounded number of steps, run again until the piece is done.  A step of it contracts the
-occurrences of the minimum-rank pair from the left up to the first one whose merged token makes a pair
-of lesser rank with its neighbours; that is the same as one after the other.
+times steps.  A piece that is longer than LONG_PIECE bytes is contracted in spans of SPAN bytes by the same
+query, and mended where spans meet (``_contract_long``): a row of tokens is the contraction of its bytes if
+each two neighbours, taken alone, contract to themselves.
 
 Nulls and empty texts give no ids and empty bytes.  Rows are independent of each other, so ties and
-repeated rows need no rule; an empty table gives an empty table.  Very long texts are split and
-decoded in parts of a bounded size.  Other columns pass through, except that existing columns named
+repeated rows need no rule; an empty table gives an empty table.  Very long texts and pieces are split,
+contracted and decoded in parts of a bounded size.  Other columns pass through, except that existing columns named
 ``ids`` and ``decoded`` are replaced.  An id that is not in the vocabulary is an error.
 """
 
@@ -32,8 +31,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from stmtspark.llm.common import list_array, small_batches, text_chunks, tidied
 
-#: Bytes up to which pieces are contracted together, one pair of each in a step.
-LONG_PIECE = 64
+#: Bytes up to which pieces are contracted whole, one pair of each in a step, and bytes of a span of longer ones.
+LONG_PIECE, SPAN = 64, 48
 #: Position rows times steps that one recursive query may hold.
 QUERY_ROWS = 4_000_000
 #: Pieces in each of a worker's two generations of remembered pieces.
@@ -61,28 +60,6 @@ WITH RECURSIVE state AS (
 SELECT g, tok, done FROM state WHERE done ORDER BY g
 """
 
-CONTRACT_LONG = """
-WITH RECURSIVE state AS (
-  SELECT g, tok, false AS done, 0 AS step FROM start
-  UNION ALL
-  (WITH ranked AS MATERIALIZED (
-     SELECT g, tok, step, ng, rank, before, after FROM
-       (SELECT g, tok, step, lead(g) OVER win AS ng, lag(tok) OVER win AS before, lead(tok, 2) OVER win AS after, (tok::BIGINT << 20) | lead(tok) OVER win AS k
-        FROM state WHERE NOT done AND step < $steps WINDOW win AS (ORDER BY g))
-       LEFT JOIN merges USING (k)),
-   best AS MATERIALIZED (SELECT min(rank)::BIGINT AS b FROM ranked),
-   hits AS (SELECT g, ng, before, after, b, lag(ng) OVER (ORDER BY g) AS last FROM ranked JOIN best ON rank = b),
-   chains AS (SELECT *, sum(CASE WHEN last = g THEN 0 ELSE 1 END) OVER (ORDER BY g) AS chain FROM hits),
-   apart AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY g) AS nth FROM chains) WHERE nth % 2 = 1),
-   loud AS (SELECT min(g) AS g FROM apart LEFT JOIN merges x ON x.k = (before::BIGINT << 20) | b LEFT JOIN merges y ON y.k = (b << 20) | after
-            LEFT JOIN merges z ON z.k = (b << 20) | b WHERE x.rank < b OR y.rank < b OR z.rank < b),
-   chosen AS MATERIALIZED (SELECT apart.g AS at, ng AS gone FROM apart, loud WHERE apart.g <= coalesce(loud.g, apart.g))
-   SELECT g, CASE WHEN c.at IS NULL THEN tok ELSE rank END, (SELECT b IS NULL FROM best), step + 1
-   FROM ranked LEFT JOIN chosen c ON g = c.at ANTI JOIN chosen d ON g = d.gone)
-)
-SELECT g, tok, done FROM state WHERE done OR step = $steps ORDER BY g
-"""
-
 DECODE = f"""
 SELECT g >> {SHIFT} AS w, string_agg(hex, '' ORDER BY g) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY 1 ORDER BY 1
 """
@@ -136,6 +113,9 @@ class PieceCoder:
         self.known = np.zeros(1 + max(self.ranks.values(), default=0), dtype=bool)
         self.known[list(self.ranks.values())] = True
         self.whole = {p: np.int32(r).tobytes() for p, r in self.ranks.items()}
+        self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self.stays: dict[tuple[int, int], bool] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -157,14 +137,73 @@ class PieceCoder:
         out = self._query("start", _places(np.array([len(p) for p in pieces])), self.byte_rank[np.frombuffer(b"".join(pieces), dtype=np.uint8)], CONTRACT)
         return _unpacked(out["g"].to_numpy(), out["tok"].to_numpy(), len(pieces))
 
+    def _all(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of many short pieces, each unlike one contracted once, in groups of bounded rows."""
+        found, group, rows = {}, [], 0
+        unlike = sorted(set(pieces), key=len)
+        for i, p in enumerate(unlike):
+            group.append(p)
+            rows += len(p) ** 2
+            if rows > QUERY_ROWS or i + 1 == len(unlike):
+                found.update(zip(group, (np.frombuffer(x, np.int32).tolist() for x in self._contract(group)), strict=True))
+                group, rows = [], 0
+        return [found[p].copy() for p in pieces]
+
+    def _meet(self, pairs: set[tuple[int, int]]) -> None:
+        """Find out which pairs of tokens stay as they are when they stand side by side."""
+        new = [x for x in pairs if x not in self.stays]
+        if len(self.stays) > 4 * CACHE:
+            self.stays.clear()
+            new = list(pairs)
+        if new:
+            self.stays.update((x, own == list(x)) for x, own in zip(new, self._all([self.bytes_of[a] + self.bytes_of[b] for a, b in new]), strict=True))
+
+    def _stays(self, a: int, b: int) -> bool:
+        if (a, b) not in self.stays:
+            self._meet({(a, b)})
+        return self.stays[a, b]
+
     def _contract_long(self, piece: bytes) -> bytes:
-        """Packed ids of a piece of any length, in rounds of bounded rows."""
-        tok = self.byte_rank[np.frombuffer(piece, dtype=np.uint8)]
-        while True:
-            out = self._query("start", np.arange(len(tok)), tok, CONTRACT_LONG, steps=max(1, QUERY_ROWS // len(tok)))
-            tok = out["tok"].to_numpy()
-            if out["done"][0].as_py():
-                return tok.astype(np.int32).tobytes()
+        """Packed ids of a piece of any length.
+
+        A row of tokens is what the contraction gives if each two neighbours, taken alone, contract to themselves.  So
+        the piece is contracted in spans, all at once; where two spans' end tokens don't stay as they are, a few
+        tokens on either side are contracted anew, first for all such places together, then one after the other.
+        """
+        spans = self._all([piece[i : i + SPAN] for i in range(0, len(piece), SPAN)])
+        self._meet({(x[-1], y[0]) for x, y in zip(spans, spans[1:])})
+        text = lambda ids: b"".join([self.bytes_of[i] for i in ids])
+        for k in (2, 4, 6):
+            # both spans must keep tokens beyond the k that the places on either side may take
+            bad = [i for i in range(len(spans) - 1) if not self.stays[spans[i][-1], spans[i + 1][0]] and len(spans[i]) > 2 * k and len(spans[i + 1]) > 2 * k]
+            anew = self._all([text(spans[i][-k:] + spans[i + 1][:k]) for i in bad])
+            self._meet({x for i, r in zip(bad, anew, strict=True) for x in ((spans[i][-k - 1], r[0]), (r[-1], spans[i + 1][k]))})
+            for i, r in zip(bad, anew, strict=True):
+                if self.stays[spans[i][-k - 1], r[0]] and self.stays[r[-1], spans[i + 1][k]]:
+                    half = max(1, len(r) // 2)
+                    spans[i][-k:], spans[i + 1][:k] = r[:half], r[half:]
+            self._meet({(x[-1], y[0]) for x, y in zip(spans, spans[1:])})
+        out = spans[0]
+        for own in spans[1:]:
+            if not self._stays(out[-1], own[0]):
+                left = right = 1
+                while True:
+                    left, right = min(left, len(out)), min(right, len(own))
+                    part = text(out[-left:] + own[:right])
+                    if part not in self.parts:
+                        if len(self.parts) > CACHE:
+                            self.parts.clear()
+                        self.parts[part] = self._all([part])[0]
+                    r = self.parts[part]
+                    fits_left = left == len(out) or self._stays(out[-left - 1], r[0])
+                    fits_right = right == len(own) or self._stays(r[-1], own[right])
+                    if fits_left and fits_right:
+                        break
+                    left, right = left + (0 if fits_left else left + 1), right + (0 if fits_right else right + 1)
+                out[-left:] = r
+                own = own[right:]
+            out += own
+        return np.array(out, dtype=np.int32).tobytes()
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each piece; a piece that is in the vocabulary is that token."""
