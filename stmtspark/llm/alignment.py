@@ -314,7 +314,7 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 def _threshold(counts: DataFrame, hot: int) -> tuple[int, bool]:
     """The least power of two that at most ``hot`` pairs' counts reach, and whether any pair is under it."""
     sizes = counts.groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("bits")).agg(F.count("*").alias("pairs")).collect()  # 63 rows at most
-    total, bits = 0, 64
+    total, bits = 0, 62
     for row in sorted(sizes, reverse=True):
         if total + row["pairs"] > hot:
             return 1 << bits, True
