@@ -14,8 +14,11 @@
 
 A pair at cosine 0.95 agrees in one sign with probability 0.899, and meets in a pass over n rows if it
 agrees in about log2(n / WINDOW) signs.  ``passes_for`` takes as many passes as leave 1 of 1,000 such
-pairs unmet: 16 at 50,000 rows, 27 at a million, 85 at a billion.  Recall against brute force is tested;
-README has figures.  Groups are found through any chain of their pairs.
+pairs unmet among random vectors: 16 at 50,000 rows, 27 at a million, 85 at a billion.  Vectors that lean one
+way crowd the windows, so keys are made of what differs from the mean vector, and what the passes have found is
+measured: PROBES rows, spread by a hash, are compared with all rows exactly, and rounds of further passes
+follow until FOUND of their links are inside components, or for MOST_ROUNDS.  Recall against brute force is
+tested; README has figures.  Groups are found through any chain of their pairs.
 
 A null vec_id links with nothing: each such row has a row of its own, with 0 links, a null component_id
 and kept true.  Repeated rows of one vec_id count as one vector, the least of theirs; null ones are passed
@@ -37,6 +40,8 @@ from stmtspark.llm.common import cut
 from stmtspark.llm.components import connected_components
 
 LEAST_PASSES, BITS, WINDOW, PLACES, MEMBERS, UNMET = 16, 48, 64, 4096, 1024, 0.001
+#: Rows that are compared with all others, links of one that a task notes, share of them to be found, and rounds of passes at most.
+PROBES, NOTED, FOUND, MOST_ROUNDS = 2048, 64, 0.99, 16
 
 
 def passes_for(rows: int, least: float = 0.95) -> int:
@@ -51,20 +56,73 @@ def planes(dim: int, number: int) -> np.ndarray:
     return np.random.default_rng([977, dim, number]).standard_normal((dim, BITS))
 
 
-def _keys(batches: Iterator[pa.RecordBatch], passes: int, kind: type) -> Iterator[pa.RecordBatch]:
-    weights = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)[::-1]).astype(np.uint64)
-    made: dict[tuple[int, int], np.ndarray] = {}
+def _by_dim(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(dimension, unit vectors, reps) of each batch."""
     for batch in batches:
         vectors = [np.frombuffer(v, dtype=kind) for v in batch.column("vec").to_pylist()]
         for dim in sorted({len(v) for v in vectors}):
-            at = np.array([i for i, v in enumerate(vectors) if len(v) == dim])
-            x, reps = np.stack([vectors[i] for i in at]).astype(np.float64), batch.column("rep").take(pa.array(at))
+            at = [i for i, v in enumerate(vectors) if len(v) == dim]
+            x = np.stack([vectors[i] for i in at]).astype(np.float64)
             x /= np.abs(x).max(axis=1, keepdims=True)
-            for p in range(passes):
-                if (dim, p) not in made:
-                    made[dim, p] = planes(dim, p)
-                keys = ((x @ made[dim, p] > 0) * weights).sum(axis=1, dtype=np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(keys), reps], names=["pass", "dim", "key", "rep"])
+            yield dim, x / np.linalg.norm(x, axis=1, keepdims=True), batch.column("rep").take(pa.array(at))
+
+
+def _means(reps: DataFrame, kind: type) -> dict[int, np.ndarray]:
+    """The mean unit vector of each dimension: one sum a task and place, added up by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for dim, x, _ in _by_dim(batches, kind):
+            sums[dim] = sums.get(dim, 0) + np.append(x.sum(axis=0), len(x))
+        for dim, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), dim, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], names=["dim", "place", "sum"])
+
+    rows = reps.select("rep", "vec").mapInArrow(run, "dim int, place int, sum double").groupBy("dim", "place").agg(F.sum("sum").alias("sum")).orderBy("dim", "place").collect()
+    sums: dict[int, list[float]] = {}
+    for r in rows:
+        sums.setdefault(r["dim"], []).append(r["sum"])
+    return {dim: np.array(s[:-1]) / s[-1] for dim, s in sums.items()}
+
+
+def _noted(reps: DataFrame, n: int, least: float, kind: type) -> DataFrame:
+    """(probe, rep): links of some rows, found by comparing these with all; a sample, to measure by."""
+    probes = reps.filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(max(1, n // PROBES))) == 0).select("rep", "vec").limit(2 * PROBES).toArrow()
+    held = {dim: (x, own.to_numpy()) for dim, x, own in _by_dim(probes.combine_chunks().to_batches(), kind)} if len(probes) else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for dim, x, own in _by_dim(batches, kind):
+            if dim not in held:
+                continue
+            p, ids = held[dim]
+            own = own.to_numpy()
+            for at in range(0, len(x), 1024):
+                i, j = np.nonzero(x[at : at + 1024] @ p.T >= least)
+                u, v = ids[j], own[at : at + 1024][i]
+                fresh = [k for k, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)) if a != b and (seen.__setitem__(a, seen.get(a, 0) + 1) or seen[a] <= NOTED)]
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array(u[fresh]), pa.array(v[fresh])], names=["probe", "rep"])
+
+    return reps.select("rep", "vec").mapInArrow(run, "probe long, rep long")
+
+
+def _share_found(noted: DataFrame, comps: DataFrame) -> float:
+    """Share of the noted links whose ends are in one component."""
+    of = lambda name, to: comps.select(F.col("id").alias(name), F.col("component").alias(to))
+    r = noted.join(of("probe", "_p"), "probe", "left").join(of("rep", "_r"), "rep", "left").agg(F.count("*").alias("n"), F.count_if(F.col("_p") == F.col("_r")).alias("k")).first()
+    return r["k"] / r["n"] if r["n"] else 1.0
+
+
+def _keys(batches: Iterator[pa.RecordBatch], begin: int, passes: int, means: dict[int, np.ndarray], kind: type) -> Iterator[pa.RecordBatch]:
+    weights = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)[::-1]).astype(np.uint64)
+    made: dict[tuple[int, int], np.ndarray] = {}
+    for dim, x, reps in _by_dim(batches, kind):
+        x = x - means[dim]
+        for p in range(begin, begin + passes):
+            if (dim, p) not in made:
+                made[dim, p] = planes(dim, p)
+            keys = ((x @ made[dim, p] > 0) * weights).sum(axis=1, dtype=np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(np.full(len(x), dim, np.int32)), pa.array(keys), reps], names=["pass", "dim", "key", "rep"])
 
 
 def _unit(parts: pd.Series, kind: type) -> np.ndarray:
@@ -127,6 +185,27 @@ def _count(block: pd.DataFrame, least: float, kind: type) -> pd.DataFrame:
     return pd.DataFrame({"rep": left["rep"].to_numpy(), "n": near @ right["weight"].to_numpy()})
 
 
+def _pass_links(reps: DataFrame, begin: int, passes: int, means: dict[int, np.ndarray], least: float, kind: type) -> DataFrame:
+    """(u, v): links that join what some passes have found to components."""
+    spark = reps.sparkSession
+    keyed = reps.select("rep", "vec").mapInArrow(lambda it: _keys(it, begin, passes, means, kind), "pass int, dim int, key long, rep long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["pass", "dim", "key", "rep"]
+    ordered = cut(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    # one count for each sorted partition, a few numbers; places run on over the partitions
+    counts = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append((p, total))
+        total += counts.get(p, 0)
+    offsets = spark.createDataFrame(before, "part int, before long")
+    placed = ordered.join(F.broadcast(offsets), "part").withColumn("place", F.col("before") + F.col("nth"))
+    block = F.floor(F.col("place") / PLACES)
+    again = F.when((F.col("place") % PLACES) >= PLACES - WINDOW, F.array(block, block + 1)).otherwise(F.array(block))
+    blocks = placed.select("place", "rep", "dim", F.explode(again).alias("block")).join(reps.select("rep", "vec"), "rep")
+    return blocks.groupBy("block").applyInPandas(lambda b: _compare(b, least, kind), "u long, v long").distinct()
+
+
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector at cosine ``least`` or more."""
     spark = df.sparkSession
@@ -143,24 +222,16 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("weight"), pa.array([np.array(v, dtype=kind).tobytes() for v in b.column("v").to_pylist()], pa.binary())], names=["rep", "weight", "vec"])
 
     reps = cut(good.mapInArrow(packed, "rep long, weight long, vec binary"))
-    passes = passes_for(reps.count(), least)
-    keyed = reps.select("rep", "vec").mapInArrow(lambda it: _keys(it, passes, kind), "pass int, dim int, key long, rep long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "dim", "key", "rep"]
-    ordered = cut(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    # one count for each sorted partition, a few numbers; places run on over the partitions
-    counts = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append((p, total))
-        total += counts.get(p, 0)
-    offsets = spark.createDataFrame(before, "part int, before long")
-    placed = ordered.join(F.broadcast(offsets), "part").withColumn("place", F.col("before") + F.col("nth"))
-    block = F.floor(F.col("place") / PLACES)
-    again = F.when((F.col("place") % PLACES) >= PLACES - WINDOW, F.array(block, block + 1)).otherwise(F.array(block))
-    blocks = placed.select("place", "rep", "dim", F.explode(again).alias("block")).join(reps.select("rep", "vec"), "rep")
-    links = cut(blocks.groupBy("block").applyInPandas(lambda b: _compare(b, least, kind), "u long, v long").distinct())
-    comps = cut(connected_components(links))
+    n = reps.count()
+    passes, means = passes_for(n, least), _means(reps, kind)
+    noted = cut(_noted(reps, n, least, kind))
+    links = None
+    for k in range(MOST_ROUNDS):
+        more = cut(_pass_links(reps, k * passes, passes, means, least, kind))
+        links = more if links is None else cut(links.union(more).distinct())
+        comps = cut(connected_components(links))
+        if _share_found(noted, comps) >= FOUND:
+            break
 
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
     member = comps.withColumnRenamed("id", "rep").join(sizes, "component").join(reps, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("dim", F.length("vec"))
