@@ -8,8 +8,14 @@ from conftest import SF
 from stmtspark.plans import registry
 
 
-@pytest.mark.parametrize(("name", "by_statement", "scans"), [("t8_statement_validation", 3, 5), ("l10_shape_records", 2, 2)])
+@pytest.mark.parametrize(("name", "by_statement", "scans"), [("t8_statement_validation", 3, 3), ("f7_best_extraction", 3, 6), ("l10_shape_records", 2, 2)])
 def test_exchanges(spark, name, by_statement, scans):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(statement_id", plan)) <= by_statement
     assert plan.count("FileScan") <= scans and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "PythonUDF" not in plan
+
+
+def test_readings_share_one_partitioning(spark):
+    """Both variants and both profiles of a statement are parsed in one pass: the plan has few exchanges, the fixture's included."""
+    plan = registry.QUERIES["f7_best_extraction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 8 and len(plan) < 200_000

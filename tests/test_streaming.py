@@ -1,7 +1,12 @@
 """Streams give the rows of the batch operators."""
 
+import json
+import random
+
+from conftest import SF
 from pyspark.sql import functions as F
 
+from stmtspark.plans import accounts_queries as Q
 from stmtspark.streaming import events as E
 
 
@@ -72,3 +77,72 @@ def test_partitioning_does_not_matter(spark):
     a = sorted(map(tuple, E.lockouts(df).collect()))
     b = sorted(map(tuple, E.lockouts(df.repartition(7)).collect()))
     assert a == b
+
+
+def sign_ins(spark, n=600):
+    """Events of many numbers that come and go: each number's last event is long before the log's end."""
+    rng, rows = random.Random(12), []
+    for i in range(n):
+        mobile = i * 40 // n  # numbers follow one another
+        kind = rng.choice(["send", "send", "verify", "verify", "password", "register"])
+        purpose = "login" if kind == "password" else "register" if kind == "register" else rng.choice(["login", "register"])
+        rows.append((i, f"9{mobile:09d}", kind, purpose, (i + 60) * 60 * E.SECOND, rng.random() < 0.6))
+    known = spark.createDataFrame([(f"9{m:09d}",) for m in range(0, 40, 2)] + [(None,)], "mobile string")
+    return spark.createDataFrame(rows, "event_id long, mobile string, kind string, purpose string, t long, ok boolean"), known
+
+
+def test_sign_in_stream_equals_batch_and_state_is_bounded(spark, tmp_path):
+    own = spark.newSession()
+    for key, value in {**Q.STATE_STORE, "spark.sql.shuffle.partitions": "2"}.items():
+        own.conf.set(key, value)
+    df, known = sign_ins(own)
+    want = {r["event_id"]: r["result"] for r in E.sign_in(df, known).collect()}
+    assert set(want.values()) >= {"sent", "wait", "undelivered", "unregistered", "registered", "failed", "ok", "expired", "verified", "unverified", "created"}
+    arriving = E.with_accounts(in_batches(own, df, tmp_path, parts=4), known)
+    out = E.fold_expiring(arriving, ["mobile"], E.sign_in_step, E.SIGN_START, E.SIGN_ADDED, E.SIGN_STATE, E.sign_in_end)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = {r["event_id"]: r["result"] for r in own.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want
+    # numbers that ended long ago have no state but for accounts made and failures counted
+    kept = E.sign_in(df, known).groupBy("mobile").agg(F.max(F.col("result") == "created").alias("made"), F.max_by("failed", "event_id").alias("failed")).filter("made OR failed > 0").count()
+    rows = [json.loads(p.json)["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if json.loads(p.json)["stateOperators"]]
+    assert rows and rows[-1] < 3 * (kept + 12)  # a value and its timer for each number
+
+
+def test_verified_mark_has_its_own_clock():
+    step = lambda s, kind, purpose, minute, ok=True: E.sign_in_step(s, {"known": False, "kind": kind, "purpose": purpose, "t": minute * 60 * E.SECOND, "ok": ok})
+    s, got = step(E.SIGN_START, "send", "register", 0)
+    s, got = step(s, "verify", "register", 4)
+    assert got == {"result": "verified", "failed": 0, "marked": True}
+    assert step(s, "register", "register", 19)[1]["result"] == "created" and step(s, "register", "register", 20)[1]["result"] == "verification_expired"
+    again, got = step(s, "send", "register", 5)
+    assert got["result"] == "sent" and step(again, "register", "register", 6)[1]["result"] == "unverified"
+    lost, got = step(s, "send", "register", 5, ok=False)
+    assert got["result"] == "undelivered" and step(lost, "verify", "register", 6)[1]["result"] == "expired"
+
+
+def test_login_codes_outlive_wrong_guesses_but_lock_the_account():
+    known = lambda s, kind, minute, ok=True: E.sign_in_step(s, {"known": True, "kind": kind, "purpose": "login", "t": int(minute * 60 * E.SECOND), "ok": ok})
+    s, _ = known(E.SIGN_START, "send", 0)
+    results = []
+    for minute, kind, ok in [(1, "verify", False), (1.1, "password", False), (1.2, "verify", False), (1.3, "send", True), (1.4, "verify", True), (4.3, "verify", True), (4.4, "verify", True)]:
+        s, got = known(s, kind, minute, ok)
+        results.append(got["result"])
+    assert results == ["failed", "failed", "lock", "locked", "locked", "ok", "expired"]
+
+
+def test_settled_orders_survive_replays(spark, tmp_path):
+    orders = spark.createDataFrame([(f"P{i}", f"U{i % 3}", "starter" if i % 4 else "odd", 100, "created" if i % 5 else "amount_mismatch") for i in range(20)], "order_id string, user_id string, plan string, amount long, status string")
+    users, plans = spark.createDataFrame([("U0",), ("U1",)], "id string"), spark.createDataFrame([("starter",)], "plan string")
+    events = spark.range(120).select(
+        F.col("id").alias("event_id"), F.col("id").alias("t"), F.when(F.col("id") % 3 == 0, "payment.failed").when(F.col("id") % 3 == 1, "order.paid").otherwise("payment.captured").alias("kind"),
+        F.concat(F.lit("P"), (F.col("id") * 7 % 23).cast("string")).alias("order_id"), F.when(F.col("id") % 11 == 0, 1).otherwise(100).cast("long").alias("amount"), F.concat(F.lit("pay"), "id").alias("payment_id"), F.when(F.col("id") % 2 == 0, "declined").alias("failure"),
+    )
+    columns = ["order_id", "status", "payment_id", "paid_t", "last_failure", "last_failed_t"]
+    want = sorted(map(tuple, E.settle_payments(orders, events, users, plans).select(*columns).collect()))
+    stream = in_batches(spark, events, tmp_path, parts=4)
+    for run in range(2):  # the second run forgets what it has read and gets every event again
+        E.settle_stream(orders, stream, users, plans, str(tmp_path / "changes"), str(tmp_path / f"cp{run}")).trigger(availableNow=True).start().awaitTermination(240)
+        assert sorted(map(tuple, E.settled_orders(orders, str(tmp_path / "changes")).select(*columns).collect())) == want
+    assert {r[1] for r in want} >= {"fulfilled", "needs_review", "amount_mismatch"}
