@@ -299,6 +299,17 @@ def parsed_cells(t: DataFrame, text: str = "text") -> DataFrame:
     return t.selectExpr(*kept, "lead", "CASE WHEN _whole THEN lead END AS date", "value", f"{sign} AS sign")
 
 
+def dated_cells(t: DataFrame, text: str, into: str) -> DataFrame:
+    """``t`` with ``row_date`` of a text column, as plain columns."""
+    kept = [c for c in t.columns if c != into]
+    months = lambda names: "CASE _name " + " ".join(f"WHEN '{n}' THEN '{i + 1:02d}'" for i, n in enumerate(names)) + " END"
+    t = parsed_cells(t.withColumn("_text", strip(F.col(text))), "_text").drop("date", "value", "sign")
+    t = t.selectExpr("*", f"CASE WHEN _text RLIKE r'{_MONTH_FIRST}' THEN split(regexp_replace(_text, r'{_MONTH_FIRST}', '$1;$2;$3'), ';') END AS _parts").selectExpr("*", "lower(_parts[0]) AS _name")
+    first = f"try_cast(concat(_parts[2], '-', coalesce({months(_FULL)}, {months(_ABBREVIATED)}), '-', _parts[1]) AS date)"
+    day = f"CASE WHEN _text RLIKE r'^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN try_cast(_text AS date) END"
+    return t.selectExpr(*kept, f"coalesce({day}, lead, {first}) AS {into}")
+
+
 def cell_token(t: DataFrame, text: str = "text") -> DataFrame:
     """Parsed cells with token: what a cell says wherever it stands, or null."""
     own = strip(F.col(text))

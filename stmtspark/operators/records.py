@@ -194,13 +194,14 @@ def relocate_leading_date(records: DataFrame) -> DataFrame:
 
 def column_statistics(records: DataFrame) -> DataFrame:
     """(statement_id, header, i, dates, blank, filled, flagged) in one pass over the exploded records."""
-    cols = records.select("statement_id", "seq", F.posexplode("headers").alias("i", "header"), "rec").withColumn("v", _value(F.col("header")))
+    cols = records.select("statement_id", "seq", F.posexplode("headers").alias("i", "header"), "rec").withColumn("v", _value(F.col("header"))).drop("rec")
+    cols = C.dated_cells(cols, "v", "day").selectExpr("*", f"v RLIKE r'{fixed.AMOUNT_FLAG}' AS marked")
     return cols.groupBy("statement_id", "header").agg(
         F.min("i").alias("i"),
-        F.count_if(C.row_date(F.col("v")).isNotNull()).alias("dates"),
-        F.min(F.col("v") == "").alias("blank"),
-        F.count_if(F.col("v") != "").alias("filled"),
-        F.count_if(F.col("v").rlike(fixed.AMOUNT_FLAG)).alias("flagged"),
+        F.expr("count(day)").alias("dates"),
+        F.expr("min(v = '')").alias("blank"),
+        F.expr("count_if(v <> '')").alias("filled"),
+        F.expr("count_if(marked)").alias("flagged"),
         F.min("seq").alias("least"),
         F.max("seq").alias("most"),
     )
@@ -238,7 +239,7 @@ def to_chronological(records: DataFrame) -> DataFrame:
 
 
 def _chronological(t: DataFrame) -> DataFrame:
-    t = t.withColumn("day", F.when(F.col("hits") >= 2, C.row_date(F.element_at("rec", F.col("date_col")))))
+    t = C.dated_cells(t.withColumn("_dated", F.expr("CASE WHEN hits >= 2 THEN element_at(rec, date_col) END")), "_dated", "day").drop("_dated")
     before = F.last("day", ignorenulls=True).over(_by().orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("step", F.when(F.col("day") > before, 1).when(F.col("day") < before, -1).otherwise(0))
     t = t.withColumn("down", F.sum("step").over(_by()) < 0)
