@@ -2,9 +2,11 @@
 
 Dated list entries become validity intervals: an entry of a pattern holds until the next entry of the
 same pattern.  Every capture is joined as of its fetch time with the entries of its host, its parent
-domains and its host with first path segment.  The longest active pattern decides.
+domains and its host with first path segment: entries and captures of a pattern stand in the order of
+their times, and each capture takes the last entry before it, so the work is linear in both however many
+dates a pattern has.  The longest active pattern decides.
 
-A hot host is spread: captures carry a salt of their URL and the intervals, the small side, are
+A hot host is spread: captures carry a salt of their URL and time, and the intervals, the small side, are
 repeated for each salt.  Captures of one URL and time are judged once.
 
 Hosts are compared in lower case and without a final dot, path segments as they are written.
@@ -59,7 +61,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     one = captures.filter(timed).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct()
     asked = one.withColumn("_salt", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALTS))).select("_url", "_at", "_salt", F.explode(patterns_of(F.col("_url"))).alias("pattern"))
     listed = intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    active = asked.join(listed, ["pattern", "_salt"]).filter("since <= _at AND (until IS NULL OR _at < until)")
+    both = listed.select("pattern", "_salt", F.col("since").alias("_t"), F.lit(0).alias("_side"), F.struct("block", "since", "until").alias("_entry")).unionByName(asked.withColumns({"_t": F.col("_at"), "_side": F.lit(1)}), allowMissingColumns=True)
+    before = Window.partitionBy("pattern", "_salt").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = both.withColumn("_entry", F.last("_entry", ignorenulls=True).over(before)).filter("_side = 1 AND _entry IS NOT NULL AND (_entry.until IS NULL OR _at < _entry.until)")
+    active = latest.select("_url", "_at", "pattern", "_entry.block", "_entry.since")
     verdict = active.groupBy("_url", "_at").agg(F.max_by(F.struct("block", "pattern", "since"), F.struct(F.length("pattern"), "pattern")).alias("_v"))
     judged = captures.filter(timed).join(verdict, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at")), "left").select(*captures.columns, "_v")
     rest = captures.filter(~timed).withColumn("_v", F.lit(None).cast(verdict.schema["_v"].dataType))

@@ -229,6 +229,24 @@ def test_bounds_hold():
     assert hard_negatives.scores(big, big)[0, 0] == 2**63 - 1 and hard_negatives.scores(big, -big)[0, 0] == -(2**63)
 
 
+# --- 7: many dates of one host ----------------------------------------------------------------
+
+
+def test_url_lists_of_many_dates(spark):
+    from pyspark.sql import functions as F
+
+    from stmtspark.llm import url_filters
+
+    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    entries = spark.range(3000).select(F.lit("hot.org").alias("pattern"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("action"), at(F.col("id") * 100).alias("since"))
+    captures = spark.range(20_000).select(F.concat(F.lit("http://www.hot.org/"), F.col("id") % 7).alias("url"), at(F.col("id") * 15 - 50).alias("fetched"), F.col("id").alias("n"))
+    rows = url_filters.filter_urls(captures, entries).select("n", "blocked", F.unix_timestamp(F.col("listed_since").cast("timestamp")).alias("s")).collect()
+    assert len(rows) == 20_000
+    for r in rows:
+        t = r["n"] * 15 - 50
+        assert (r["blocked"], r["s"]) == ((t // 100 % 3 == 0, t // 100 * 100) if 0 <= t < 300_000 else (False, None) if t < 0 else (2999 % 3 == 0, 299_900))
+
+
 # --- tables of threads ------------------------------------------------------------------------
 
 
