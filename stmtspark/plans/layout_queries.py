@@ -67,6 +67,15 @@ def f4_banks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", routing.detect_bank(body).alias("by_text"), routing.detect_bank_by_labeled_ifsc(code).alias("by_code"))
 
 
+def f4_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """Two banks' names put into each whole text, at places of which some lie beyond the first 4000 characters."""
+    k = F.col("doc_id")
+    name = lambda i: F.get(F.array(*[F.lit(f" {n[0].title()} ") for _, n in fixed.SIGNATURES]), (i % 12).cast("int"))
+    put = lambda t, at, what: F.concat(F.substring(t, F.lit(1), at.cast("int")), what, F.substring(t, (at + 1).cast("int"), F.length(t)))
+    once = put(F.col("text"), k * 37 % 6000, name(k))
+    return table(spark, d, "documents").withColumn("t", once).select("doc_id", routing.detect_bank(put(F.col("t"), k * 91 % 6000, name(k + 5))).alias("bank"))
+
+
 def f6_banks(spark: SparkSession, d: str) -> DataFrame:
     cells = X.ledger_cells(spark, d)
     named = X.statement_banks(spark, d)
@@ -178,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "a14_row_tokens": a14_tokens,
     "f1_transaction_tables": f1_tables,
     "f4_detect_bank": f4_banks,
+    "f4_bank_in_text": f4_in_text,
     "f6_assign_bank": f6_banks,
     "f7_choose_extraction": f7_extraction,
     "f8_estimate_text_txns": lambda s, d: routing.estimate_text_txns(text_lines(s, d)),
@@ -241,3 +251,8 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN amount::DOUBLE END AS val
   + CASE WHEN place % 5 = 0 THEN CASE b WHEN 11 THEN 2 WHEN 7 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 0 WHEN 12 THEN 0 ELSE 1 END ELSE 0 END + (place = 0)::INT
   + CASE WHEN (place % 5 = 4 AND b NOT IN (6, 7, 11)) OR place = of_n - 1 THEN 2 ELSE 0 END)::BIGINT AS rows FROM p GROUP BY o_custkey""",
 }
+_NAMES = ", ".join(f"({i}, '{bank}', '{n}')" for i, (bank, names) in enumerate(fixed.SIGNATURES) for n in names)
+_PLANTED = "[" + ", ".join(f"' {n[0].title()} '" for _, n in fixed.SIGNATURES) + "]"
+ORACLES["f4_bank_in_text"] = f"""WITH a AS (SELECT doc_id, substr(text, 1, doc_id * 37 % 6000) || {_PLANTED}[doc_id % 12 + 1] || substr(text, doc_id * 37 % 6000 + 1) AS t FROM documents),
+ b AS (SELECT doc_id, lower(substr(substr(t, 1, doc_id * 91 % 6000) || {_PLANTED}[(doc_id + 5) % 12 + 1] || substr(t, doc_id * 91 % 6000 + 1), 1, 4000)) AS t FROM a)
+ SELECT doc_id, coalesce(min_by(bank, place * 100 + i) FILTER (place > 0), 'generic') AS bank FROM (SELECT doc_id, bank, i, instr(t, name) AS place FROM b, (VALUES {_NAMES}) v(i, bank, name)) GROUP BY doc_id"""
