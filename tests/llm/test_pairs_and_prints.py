@@ -229,6 +229,33 @@ def test_bounds_hold():
     assert hard_negatives.scores(big, big)[0, 0] == 2**63 - 1 and hard_negatives.scores(big, -big)[0, 0] == -(2**63)
 
 
+# --- 5: one dense topic -----------------------------------------------------------------------
+
+
+def test_embedding_recall_on_one_topic(spark, tmp_path):
+    """Vectors that all lean one way crowd the windows; further rounds must find what the first has missed."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from stmtspark.llm import embeddings
+
+    rng, n, d = np.random.default_rng(2), 6000, 48
+    centre = rng.standard_normal(d)
+    centre /= np.linalg.norm(centre)
+    off = rng.standard_normal((n, d))
+    off -= np.outer(off @ centre, centre)
+    x = np.sqrt(0.88) * centre + np.sqrt(0.12) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    turn = rng.standard_normal((200, d))
+    turn -= np.einsum("ij,ij->i", turn, x[:200])[:, None] * x[:200]
+    x = np.vstack([x, 0.952 * x[:200] + np.sqrt(1 - 0.952**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)]).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    component = embeddings.near_vectors(spark.read.parquet(str(tmp_path / "e.parquet"))).toPandas().set_index("vec_id")["component_id"].sort_index().to_numpy()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    i, j = np.nonzero(unit[::50] @ unit.T >= 0.95)
+    i, j = (i * 50)[i * 50 != j], j[i * 50 != j]
+    assert (component[i] == component[j]).mean() >= 0.95 and (component[:200] == component[n:]).mean() >= 0.95
+
+
 # --- 7: many dates of one host ----------------------------------------------------------------
 
 
