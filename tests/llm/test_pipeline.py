@@ -8,6 +8,7 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import pytest
 import public_tokenizers as P
 import tiktoken
 from conftest import SF
@@ -115,17 +116,19 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(tuple(r) for r in kept[4].values())
 
 
-def test_url_query_matches_sql(spark):
-    got = queries.QUERIES["op7_url_filters"](spark, SF).toPandas()
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    want = con.execute(queries.ORACLES["op7_url_filters"]).df()
+    for table in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(queries.ORACLES[name]).df()
     key = lambda df: sorted(tuple("" if str(v) in ("NaT", "None", "nan", "<NA>") else str(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert key(got) == key(want)
 
 
 def test_all_queries_run(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_bpe", "op2_toxicity", "op3_token_counts", "op9_lm_scores", "op10_minhash"):
+    for name in ("op1_bpe", "op2_toxicity", "op3_token_counts", "op9_lm_scores", "op10_minhash", "op11_fingerprints", "op12_alignment"):
         assert queries.QUERIES[name](spark, SF).count() == n
