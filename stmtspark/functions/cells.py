@@ -5,6 +5,9 @@ All are built-in Spark expressions.  ASCII digits and white space count; letters
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -382,9 +385,9 @@ def split_header_row(cells: Column) -> Column:
 
     A fold over (cell, line): the state is the row so far and the first place still free to look at.
     """
-    trimmed = F.transform(cells, lambda c: strip(c))
-    jobs = F.flatten(F.transform(trimmed, lambda c, i: F.transform(F.filter(F.transform(F.split(c, "\n"), lambda p: strip(p)), lambda p: p != ""), lambda p, k: F.struct(i.alias("i"), k.alias("k"), p.alias("part")))))
-    jobs = F.filter(jobs, lambda j: F.contains(F.get(trimmed, j["i"]), F.lit("\n")))
+    def jobs(trimmed: Column) -> Column:
+        parts = F.flatten(F.transform(trimmed, lambda c, i: F.transform(F.filter(F.transform(F.split(c, "\n"), lambda p: strip(p)), lambda p: p != ""), lambda p, k: F.struct(i.alias("i"), k.alias("k"), p.alias("part")))))
+        return F.filter(parts, lambda j: F.contains(F.get(trimmed, j["i"]), F.lit("\n")))
 
     def put(row: Column, at: Column, text: Column) -> Column:
         return F.transform(row, lambda c, i: F.when(i == at, text).otherwise(c))
@@ -398,39 +401,40 @@ def split_header_row(cells: Column) -> Column:
         kept = F.struct(put(row, job["i"], strip(F.concat_ws(" ", F.get(row, job["i"]), job["part"]))).alias("row"), F.size(row).alias("next"))
         return F.when(job["k"] == 0, first).when(spot.isNotNull(), moved).otherwise(kept)
 
-    return F.aggregate(jobs, F.struct(trimmed.alias("row"), F.lit(0).alias("next")), step, lambda s: s["row"])
+    return let(F.transform(cells, lambda c: strip(c)), lambda trimmed: F.aggregate(jobs(trimmed), F.struct(trimmed.alias("row"), F.lit(0).alias("next")), step, lambda s: s["row"]))
 
 
 def split_merged_headers(headers: Column) -> Column:
     """ "Withdrawals Deposits" before UNKNOWN becomes two names; so does UNKNOWN before "ChqNo Withdrawal"."""
 
     def is_pair(c: Column, pairs: list[tuple[str, str]]) -> Column:
-        own = F.split(strip(c), r"\s+")
-        words = F.array_sort(F.transform(own, norm_header_word))
         wanted = [F.array(*[F.lit(w) for w in sorted(p)]) for p in pairs]
-        out = words == wanted[0]
-        for w in wanted[1:]:
-            out = out | (words == w)
-        return (F.size(own) == 2) & out
+        fits = lambda words: reduce(or_, [words == w for w in wanted])
+        return let(F.split(strip(c), r"\s+"), lambda own: (F.size(own) == 2) & let(F.array_sort(F.transform(own, norm_header_word)), fits))
 
     unknown = lambda c: F.upper(strip(F.coalesce(c, F.lit("")))) == "UNKNOWN"
     word = lambda c, i: F.get(F.split(strip(c), r"\s+"), F.lit(i))
 
-    def after(c: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(headers, i - 1))
-        taken = unknown(c) & F.coalesce(is_pair(before, fixed.OPPOSITE_HEADERS), F.lit(False))
-        gives = F.coalesce(unknown(F.get(headers, i + 1)), F.lit(False)) & is_pair(c, fixed.OPPOSITE_HEADERS)
-        return F.when(gives, word(c, 0)).when(taken, word(before, 1)).otherwise(c)
+    # each round looks at its neighbours, so the row that it reads is worked out once and not once for each look
+    def opposite(row: Column) -> Column:
+        def after(c: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(row, i - 1))
+            taken = unknown(c) & F.coalesce(is_pair(before, fixed.OPPOSITE_HEADERS), F.lit(False))
+            gives = F.coalesce(unknown(F.get(row, i + 1)), F.lit(False)) & is_pair(c, fixed.OPPOSITE_HEADERS)
+            return F.when(gives, word(c, 0)).when(taken, word(before, 1)).otherwise(c)
+
+        return F.transform(row, after)
 
-    first = F.transform(headers, after)
+    def wrong(row: Column) -> Column:
+        def after(c: Column, i: Column) -> Column:
+            later = F.get(row, i + 1)
+            taken = unknown(c) & F.coalesce(is_pair(later, fixed.WRONG_HEADERS), F.lit(False))
+            gives = F.coalesce(unknown(F.when(i > 0, F.get(row, i - 1))) & (i > 0), F.lit(False)) & is_pair(c, fixed.WRONG_HEADERS)
+            return F.when(taken, word(later, 0)).when(gives, word(c, 1)).otherwise(c)
 
-    def second(c: Column, i: Column) -> Column:
-        later = F.get(first, i + 1)
-        taken = unknown(c) & F.coalesce(is_pair(later, fixed.WRONG_HEADERS), F.lit(False))
-        gives = F.coalesce(unknown(F.when(i > 0, F.get(first, i - 1))) & (i > 0), F.lit(False)) & is_pair(c, fixed.WRONG_HEADERS)
-        return F.when(taken, word(later, 0)).when(gives, word(c, 1)).otherwise(c)
+        return F.transform(row, after)
 
-    return F.transform(first, second)
+    return let(headers, lambda row: let(opposite(row), wrong))
 
 
 def clean_entry_row(cells: Column) -> Column:

@@ -75,7 +75,7 @@ def with_headers(rows: DataFrame, alternative: DataFrame | None = None) -> DataF
     own = F.when(F.col("label") == "header", C.split_header_row(F.col("cells"))).otherwise(C.clean_entry_row(F.col("cells")))
     named = F.transform(own, lambda c: C.let(C.strip(c), lambda t: F.when(t == "", "UNKNOWN").otherwise(t)))
     is_head = F.col("label").isin("header", "header-kw")
-    t = rows.withColumn("_own", F.when(is_head, C.split_merged_headers(named)))
+    t = rows.withColumn("_own", F.when(is_head, C.let(named, C.split_merged_headers)))
     t = t.withColumns({"_own": F.min_by("_own", F.when(is_head, F.col("seq"))).over(_by()), "_width": F.max(F.size("cells")).over(_by())})
     default = F.transform(F.sequence(F.lit(1), F.greatest("_width", F.lit(1))), lambda i: F.coalesce(F.get(F.array(*[F.lit(h) for h in DEFAULT_HEADERS]), i - 1), F.concat(F.lit("UNKNOWN_"), i.cast("string"))))
     if alternative is None:

@@ -19,3 +19,15 @@ def test_readings_share_one_partitioning(spark):
     """Both variants and both profiles of a statement are parsed in one pass: the plan has few exchanges, the fixture's included."""
     plan = registry.QUERIES["f7_best_extraction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 8 and len(plan) < 200_000
+
+
+def test_header_rows_are_worked_out_once(spark):
+    """The rounds of header repair read a row that is bound once; spelled out for each look they made up most of the plan."""
+    from pyspark.sql import functions as F
+
+    from stmtspark.functions import cells as C
+
+    heads = [["Withdrawals Deposits", "UNKNOWN", "Date\nValue", ""], ["UNKNOWN", "ChqNo Withdrawal", "x", "UNKNOWN"], ["Debit Credit", "UNKNOWN", "UNKNOWN", "Chq No Debit"], []]
+    t = spark.createDataFrame([(h,) for h in heads], "h array<string>").select(C.split_merged_headers(C.split_header_row(F.col("h"))).alias("h"))
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("split(") < 20
+    assert [r["h"] for r in t.collect()] == [["Withdrawals", "Deposits", "Date", "Value"], ["ChqNo", "Withdrawal", "x", "UNKNOWN"], ["Debit", "Credit", "UNKNOWN", "Chq No Debit"], []]
