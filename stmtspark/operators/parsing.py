@@ -45,7 +45,23 @@ _KEY = ["statement_id", "reading"]
 _ROW = [*_KEY, "page", "table_no", "row_no"]
 
 
-def row_facts(cells: DataFrame, banks: DataFrame) -> DataFrame:
+#: Transactions that one task takes.  A task sorts its rows some twenty times, 16 KB a transaction in all.
+TASK_TRANSACTIONS = 100_000
+
+
+def dealt(df: DataFrame, expected: int | None = None) -> DataFrame:
+    """Rows exchanged once by statement_id; ``expected`` is about how many transactions they hold.
+
+    Without it, or where a few tasks for each core hold them, the engine puts small partitions together by their bytes.  These
+    are compressed and say little of what the rows take in a task, so from there on the number of partitions grows with the input.
+    """
+    spark = df.sparkSession
+    if expected is None or expected <= TASK_TRANSACTIONS * spark.sparkContext.defaultParallelism:
+        return df.repartition("statement_id")
+    return df.repartition(-(-expected // TASK_TRANSACTIONS), "statement_id")
+
+
+def row_facts(cells: DataFrame, banks: DataFrame, expected: int | None = None) -> DataFrame:
     """(statement_id, reading, page, table_no, row_no, bank, facts): each row's cells as the parser sees them, and what they say.
 
     ``reading`` tells apart several readings of one statement: twice the cells' variant (0 if they have none) and
@@ -55,7 +71,7 @@ def row_facts(cells: DataFrame, banks: DataFrame) -> DataFrame:
     variant = "cast(variant AS int)" if "variant" in cells.columns else "0"
     rescue = "cast(rescue AS int)" if "rescue" in banks.columns else "0"
     own = F.broadcast(profiles(cells.sparkSession).select("bank", "engine", "narration_around", "explode_newlines", "serial_col"))
-    raw = cells.selectExpr("statement_id", f"{variant} AS variant", "page", "table_no", "row_no", "cells").repartition("statement_id")
+    raw = dealt(cells.selectExpr("statement_id", f"{variant} AS variant", "page", "table_no", "row_no", "cells"), expected)
     # the few columns of banks are hashed in each partition, so the cells stay where the exchange has put them
     own = banks.selectExpr("statement_id", f"{rescue} AS rescue", "bank").join(own, "bank").hint("shuffle_hash")
     rows = raw.join(own, "statement_id").withColumn("reading", F.expr("variant * 2 + rescue"))
@@ -67,9 +83,9 @@ def row_facts(cells: DataFrame, banks: DataFrame) -> DataFrame:
     return one.selectExpr(*_ROW, "bank", "transform(f, (x, i) -> struct(i, x.text AS text, x.lead AS lead, x.date AS date, x.value AS value, x.sign AS sign)) AS facts")
 
 
-def _rows(cells: DataFrame, banks: DataFrame) -> DataFrame:
+def _rows(cells: DataFrame, banks: DataFrame, expected: int | None = None) -> DataFrame:
     """Rows with profile, sequence and flags; partitioned by statement_id."""
-    rows = row_facts(cells, banks).join(F.broadcast(profiles(cells.sparkSession)), "bank").withColumn("own", F.expr("transform(facts, f -> f.text)"))
+    rows = row_facts(cells, banks, expected).join(F.broadcast(profiles(cells.sparkSession)), "bank").withColumn("own", F.expr("transform(facts, f -> f.text)"))
     rows = rows.withColumn("joined", C.strip(F.array_join("own", " "))).withColumns({"low": F.expr("lower(joined)"), "d": C.first_date(F.col("facts")), "b": C.last_balance(F.col("facts"))})
     # what the windows carry along: flags and the facts, no texts of whole rows
     rows = rows.select(
@@ -158,16 +174,16 @@ def join_fragments(parts: Column, glued: Column | None = None) -> Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("glue")), step, lambda s: C.strip(s["out"]))
 
 
-def parsed(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+def parsed(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None, expected: int | None = None) -> DataFrame:
     """Transactions of statements of all layouts, before ``finalize``, each row parsed once.
 
     ``cells`` has statement_id, page, table_no, row_no, cells; ``banks`` has statement_id and bank; ``glue``
     (statement_id, text) has the narration lines that were broken inside a word.  In columnar and linear layouts rows
     after a transaction continue it; in the layouts with narration around, text rows join the next or the last
     amount row.  A statement that does not begin with a transaction has a row more, with bare true: it carries the
-    opening balance, so that one pass gives both.
+    opening balance, so that one pass gives both.  ``expected`` is about how many transactions there are (see ``dealt``).
     """
-    rows = _rows(cells, banks)
+    rows = _rows(cells, banks, expected)
     head_ok = F.expr("alnum AND is_head AND (NOT narration_around OR NOT (is_footer OR is_opening OR is_noise))")
     rows = rows.withColumn("start", F.when(~F.col("headed"), 0).otherwise(F.min(F.when(head_ok, F.col("seq"))).over(_by())))
     # layouts with narration around see footers, openings and noise before their header too
@@ -321,15 +337,15 @@ def validate(txns: DataFrame, openings: DataFrame, statements: DataFrame) -> Dat
     return _for_statements(_summary(rows), statements)
 
 
-def transactions(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def transactions(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None, expected: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(finished transactions, openings) of statements of all layouts."""
-    rows = parsed(cells, banks, glue)
+    rows = parsed(cells, banks, glue, expected)
     return finalize(rows), openings_of(rows)
 
 
-def validated(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None) -> DataFrame:
+def validated(cells: DataFrame, banks: DataFrame, glue: DataFrame | None = None, expected: int | None = None) -> DataFrame:
     """One validation row for each statement of ``banks``, in one pass over its rows."""
-    done = _finalized(parsed(cells, banks, glue)).select("bare", "opening", *CANONICAL).filter("bare OR balance IS NOT NULL OR debit IS NOT NULL OR credit IS NOT NULL")
+    done = _finalized(parsed(cells, banks, glue, expected)).select("bare", "opening", *CANONICAL).filter("bare OR balance IS NOT NULL OR debit IS NOT NULL OR credit IS NOT NULL")
     return _for_statements(_summary(done), banks)
 
 

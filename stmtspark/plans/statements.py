@@ -15,7 +15,12 @@ def _transactions(spark: SparkSession, sf_dir: str, banks: list[str] | None = No
     own = X.statement_banks(spark, sf_dir)
     if banks is not None:
         own = own.filter(F.col("bank").isin(banks))
-    return parsing.transactions(X.ledger_cells(spark, sf_dir), own)
+    return parsing.transactions(X.ledger_cells(spark, sf_dir), own, expected=_expected(spark, sf_dir))
+
+
+def _expected(spark: SparkSession, sf_dir: str) -> int:
+    """How many transactions the ledger has, from the footers of the files."""
+    return X.table(spark, sf_dir, "orders").count()
 
 
 AROUND, LINEAR, EXPLODED = ["uco", "pnb", "bob"], ["jk", "idbi"], ["hdfc"]
@@ -48,16 +53,18 @@ def t6_balance_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t8_statement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: cells of all statements to one validation row each."""
-    return parsing.validated(X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir))
+    return parsing.validated(X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir), expected=_expected(spark, sf_dir))
 
 
 def e8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements that arrive in two batches, each parsed by the batch plan; a statement comes whole."""
     folder = sources.scratch_folder(spark)
     cells, banks = X.ledger_cells(spark, sf_dir), X.statement_banks(spark, sf_dir)
-    cells.repartition(2, "statement_id").write.parquet(f"{folder}/cells")
-    arriving = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/cells")
-    parse = lambda batch: parsing.finalize(parsing.parsed(batch, banks.join(batch.select("statement_id").distinct(), "statement_id", "left_semi")))
+    expected = _expected(spark, sf_dir)
+    files = max(1, expected // (2 * parsing.TASK_TRANSACTIONS))
+    cells.repartition(2 * files, "statement_id").write.parquet(f"{folder}/cells")
+    arriving = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/cells")
+    parse = lambda batch: parsing.finalize(parsing.parsed(batch, banks.join(batch.select("statement_id").distinct(), "statement_id", "left_semi"), expected=expected // 2))
     stream_statements(arriving, parse, f"{folder}/parsed", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/parsed").select("statement_id", "date", "debit", "credit", "balance", "type")
 
@@ -79,7 +86,7 @@ def marked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t8_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked amounts decide the type, whatever the balances say; balances that do not follow are breaks."""
     banks = X.statement_banks(spark, sf_dir).select("statement_id", F.lit("generic").alias("bank"))
-    return parsing.validated(marked_cells(spark, sf_dir), banks)
+    return parsing.validated(marked_cells(spark, sf_dir), banks, expected=_expected(spark, sf_dir))
 
 
 def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +105,7 @@ def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns decide the type where neither a mark nor the balance does; rows without either stay untyped."""
     banks = X.statement_banks(spark, sf_dir).select("statement_id", F.lit("kotak").alias("bank"))
-    return parsing.validated(column_cells(spark, sf_dir), banks)
+    return parsing.validated(column_cells(spark, sf_dir), banks, expected=_expected(spark, sf_dir))
 
 
 def t5_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +115,7 @@ def t5_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the printed lines: narrations of even parties reach the column's edge, others end before it
     text = F.concat(F.lit("TRANSFER PARTY X"), (F.col("o_orderkey") % 97).cast("string"), F.lit("Q"))
     lines = t.select(X.statement_id().alias("statement_id"), F.lit(1).alias("page"), F.col("n").cast("int").alias("line_no"), F.lit(40.0).alias("x0"), F.when(F.col("o_orderkey") % 97 % 2 == 0, 300.0).otherwise(120.0).alias("x1"), text.alias("text"))
-    txns, _ = parsing.transactions(cells, banks, routing.hard_wrapped_lines(lines))
+    txns, _ = parsing.transactions(cells, banks, routing.hard_wrapped_lines(lines), _expected(spark, sf_dir))
     return txns.select("statement_id", "description", "balance")
 
 

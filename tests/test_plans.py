@@ -31,3 +31,16 @@ def test_header_rows_are_worked_out_once(spark):
     t = spark.createDataFrame([(h,) for h in heads], "h array<string>").select(C.split_merged_headers(C.split_header_row(F.col("h"))).alias("h"))
     assert t._jdf.queryExecution().optimizedPlan().toString().count("split(") < 20
     assert [r["h"] for r in t.collect()] == [["Withdrawals", "Deposits", "Date", "Value"], ["ChqNo", "Withdrawal", "x", "UNKNOWN"], ["Debit", "Credit", "UNKNOWN", "Chq No Debit"], []]
+
+
+@pytest.mark.parametrize("expected", [6_000_000, 12_000_000])
+def test_partitions_grow_with_the_input(spark, expected):
+    """Statements are parsed in partitions of a bounded number of transactions, which are not put together by their bytes."""
+    from stmtspark.operators import parsing
+    from stmtspark.plans import fixtures as X
+
+    t = parsing.validated(X.ledger_cells(spark, SF), X.statement_banks(spark, SF), expected=expected)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    own = re.findall(r"Exchange hashpartitioning\(statement_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert own == [str(expected // parsing.TASK_TRANSACTIONS)]
+    assert parsing.dealt(t.select("statement_id"), 1_000).rdd.getNumPartitions() <= 4
