@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from stmtspark.functions import cells as C
 from stmtspark.operators import accounts, routing
@@ -209,13 +210,13 @@ def e3_guarded_sends(spark: SparkSession, d: str) -> DataFrame:
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def _arriving(spark: SparkSession, t: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """``t`` as a stream of ``parts`` micro-batches in the order of t, each a file."""
+def _arriving(spark: SparkSession, t: DataFrame, folder: str, start: Callable[[DataFrame], DataStreamWriter], parts: int = 3) -> None:
+    """``t`` as a stream of ``parts`` micro-batches in the order of t: the files of one part, written by all tasks, then the query of ``start`` on them."""
     low, high = t.agg(F.min("t"), F.max("t")).first()
     step = ((high or 0) - (low or 0)) // parts + 1
     for k in range(parts):
-        t.filter((F.col("t") - (low or 0)) >= k * step).filter((F.col("t") - (low or 0)) < (k + 1) * step).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        t.filter((F.col("t") - (low or 0)) >= k * step).filter((F.col("t") - (low or 0)) < (k + 1) * step).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(t.schema).parquet(f"{folder}/in")).trigger(availableNow=True).start().awaitTermination()
 
 
 def e4_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -227,9 +228,9 @@ def e4_stream(spark: SparkSession, d: str) -> DataFrame:
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     folder = sources.scratch_folder(spark)
     t, accounts_ = r_sign_ins(own, d)
-    out = E.fold_expiring(E.with_accounts(_arriving(own, t, folder), accounts_), ["mobile"], E.sign_in_step, E.SIGN_START, E.SIGN_ADDED, E.SIGN_STATE, E.sign_in_end)
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("event_id", "mobile", "kind", "purpose", "t", "ok", "known", "result", "failed", "marked")
+    fold = lambda arriving: E.fold_expiring(E.with_accounts(arriving, accounts_), ["mobile"], E.sign_in_step, E.SIGN_START, E.SIGN_ADDED, E.SIGN_STATE, E.sign_in_end)
+    _arriving(own, t, folder, lambda arriving: fold(arriving).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append"))
+    return spark.read.parquet(f"{folder}/out").select("event_id", "mobile", "kind", "purpose", "t", "ok", "known", "result", "failed", "marked")
 
 
 def e5_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -237,8 +238,7 @@ def e5_stream(spark: SparkSession, d: str) -> DataFrame:
     orders = payments(spark, d).withColumn("status", F.when(F.col("status") == "fulfilled", "created").otherwise(F.col("status"))).select("order_id", "user_id", "plan", "amount", "status")
     plans = spark.createDataFrame([("starter",)], "plan string")
     folder = sources.scratch_folder(spark)
-    arriving = _arriving(spark, _webhooks(spark, d).filter("NOT rejected"), folder)
-    E.settle_stream(orders, arriving, users(spark, d), plans, f"{folder}/changes", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    _arriving(spark, _webhooks(spark, d).filter("NOT rejected"), folder, lambda arriving: E.settle_stream(orders, arriving, users(spark, d), plans, f"{folder}/changes", f"{folder}/state"))
     return E.settled_orders(orders, f"{folder}/changes").select("order_id", "status", "payment_id", "paid_t", "last_failure", "last_failed_t")
 
 

@@ -146,3 +146,15 @@ def test_settled_orders_survive_replays(spark, tmp_path):
         E.settle_stream(orders, stream, users, plans, str(tmp_path / "changes"), str(tmp_path / f"cp{run}")).trigger(availableNow=True).start().awaitTermination(240)
         assert sorted(map(tuple, E.settled_orders(orders, str(tmp_path / "changes")).select(*columns).collect())) == want
     assert {r[1] for r in want} >= {"fulfilled", "needs_review", "amount_mismatch"}
+
+
+def test_arriving_parts_are_written_by_all_tasks(spark, tmp_path):
+    """Each part comes as one micro-batch in the order of t, from as many files as there are tasks, and an empty part shifts nothing."""
+    from stmtspark.plans import accounts_queries as Q
+
+    got: list[list[int]] = []
+    t = spark.createDataFrame([(i,) for i in (*range(10), *range(90, 100))], "t long").repartition(4)
+    see = lambda batch, _: got.append(sorted(r["t"] for r in batch.collect()))
+    Q._arriving(spark, t, str(tmp_path), lambda arriving: arriving.writeStream.foreachBatch(see).option("checkpointLocation", f"{tmp_path}/state"))
+    assert [g for g in got if g] == [list(range(10)), list(range(90, 100))]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 3
