@@ -401,7 +401,10 @@ def split_header_row(cells: Column) -> Column:
         kept = F.struct(put(row, job["i"], strip(F.concat_ws(" ", F.get(row, job["i"]), job["part"]))).alias("row"), F.size(row).alias("next"))
         return F.when(job["k"] == 0, first).when(spot.isNotNull(), moved).otherwise(kept)
 
-    return let(F.transform(cells, lambda c: strip(c)), lambda trimmed: F.aggregate(jobs(trimmed), F.struct(trimmed.alias("row"), F.lit(0).alias("next")), step, lambda s: s["row"]))
+    folded = lambda trimmed: F.aggregate(jobs(trimmed), F.struct(trimmed.alias("row"), F.lit(0).alias("next")), step, lambda s: s["row"])
+    # a row without line feeds has nothing to move; one with a null cell takes the fold as any other
+    single = lambda trimmed: F.forall(trimmed, lambda c: c.isNotNull() & ~F.contains(c, F.lit("\n")))
+    return let(F.transform(cells, lambda c: strip(c)), lambda trimmed: F.when(single(trimmed), trimmed).otherwise(folded(trimmed)))
 
 
 def split_merged_headers(headers: Column) -> Column:
@@ -434,21 +437,27 @@ def split_merged_headers(headers: Column) -> Column:
 
         return F.transform(row, after)
 
-    return let(headers, lambda row: let(opposite(row), wrong))
+    # both rounds change cells beside an unknown one only
+    return let(headers, lambda row: F.when(F.exists(row, unknown), let(opposite(row), wrong)).otherwise(row))
 
 
 def clean_entry_row(cells: Column) -> Column:
-    return F.transform(cells, lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    one = lambda c: F.when(c.rlike(r"\s\s|[^\S ]"), F.regexp_replace(c, r"\s+", " ")).otherwise(F.coalesce(c, F.lit("")))
+    return F.transform(cells, lambda c: strip(one(c)))
 
 
 def looks_like_header(cells: Column) -> Column:
     """Mostly words, a date word and one more header group, no leading date, no summary text."""
+    group = lambda low, words: low.rlike("|".join(rf"\b\Q{w}\E" + (r"\b" if len(w) <= 2 else "") for w in words)).cast("int")
+
+    def fits(low: Column) -> Column:
+        digits, letters = F.length(F.regexp_replace(low, r"\P{Nd}", "")), F.length(F.regexp_replace(low, r"\P{L}", ""))
+        groups = sum((group(low, g) for g in fixed.HEADER_GROUPS), F.lit(0))
+        return (letters > 0) & (digits <= letters) & (group(low, ("date",)) == 1) & (groups >= 2) & ~low.rlike(any_of(fixed.SUMMARY_MARKERS))
+
+    # most rows hold no "date" and take no further look
     low = F.lower(F.array_join(cells, " "))
-    digits, letters = F.length(F.regexp_replace(low, r"\P{Nd}", "")), F.length(F.regexp_replace(low, r"\P{L}", ""))
-    group = lambda words: low.rlike("|".join(rf"\b\Q{w}\E" + (r"\b" if len(w) <= 2 else "") for w in words)).cast("int")
-    groups = sum((group(g) for g in fixed.HEADER_GROUPS), F.lit(0))
-    fits = (letters > 0) & (digits <= letters) & (group(("date",)) == 1) & (groups >= 2)
-    return F.coalesce(fits & ~F.get(cells, F.lit(0)).rlike(fixed.LEADING_DATE) & ~low.rlike(any_of(fixed.SUMMARY_MARKERS)), F.lit(False))
+    return F.coalesce(F.when(F.contains(low, F.lit("date")), let(low, fits) & ~F.get(cells, F.lit(0)).rlike(fixed.LEADING_DATE)), F.lit(False))
 
 
 def row_tokens(cells: Column) -> Column:

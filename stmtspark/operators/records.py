@@ -22,6 +22,11 @@ def _by() -> WindowSpec:
     return Window.partitionBy("statement_id")
 
 
+def _whole() -> WindowSpec:
+    """All rows of a statement, sorted by seq as the running windows need them, so that rows are sorted once for all."""
+    return _by().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 DEFAULT_HEADERS = ["Date", "Particulars", "Cheque No", "Debit", "Credit", "Balance", "Remarks"]
 
 
@@ -57,8 +62,8 @@ def predict_labels(texts: DataFrame, load: Callable[[], Callable[[np.ndarray], n
 
 def rescue_header(rows: DataFrame) -> DataFrame:
     """In a statement without a header row, the first row that looks like one becomes header-kw."""
-    none = ~F.max(F.col("label") == "header").over(_by())
-    first = F.min(F.when(C.looks_like_header(F.col("cells")), F.col("seq"))).over(_by())
+    none = ~F.max(F.col("label") == "header").over(_whole())
+    first = F.min(F.when(C.looks_like_header(F.col("cells")), F.col("seq"))).over(_whole())
     return rows.withColumn("label", F.when(none & F.coalesce(F.col("seq") == first, F.lit(False)), "header-kw").otherwise(F.col("label")))
 
 
@@ -76,7 +81,7 @@ def with_headers(rows: DataFrame, alternative: DataFrame | None = None) -> DataF
     named = F.transform(own, lambda c: C.let(C.strip(c), lambda t: F.when(t == "", "UNKNOWN").otherwise(t)))
     is_head = F.col("label").isin("header", "header-kw")
     t = rows.withColumn("_own", F.when(is_head, C.let(named, C.split_merged_headers)))
-    t = t.withColumns({"_own": F.min_by("_own", F.when(is_head, F.col("seq"))).over(_by()), "_width": F.max(F.size("cells")).over(_by())})
+    t = t.withColumns({"_own": F.min_by("_own", F.when(is_head, F.col("seq"))).over(_whole()), "_width": F.max(F.size("cells")).over(_whole())})
     default = F.transform(F.sequence(F.lit(1), F.greatest("_width", F.lit(1))), lambda i: F.coalesce(F.get(F.array(*[F.lit(h) for h in DEFAULT_HEADERS]), i - 1), F.concat(F.lit("UNKNOWN_"), i.cast("string"))))
     if alternative is None:
         return t.withColumn("headers", F.coalesce("_own", default)).drop("_own", "_width")
@@ -100,18 +105,23 @@ def build_records(rows: DataFrame, headers: DataFrame | None = None) -> DataFram
     t = with_headers(rows) if headers is None else rows.join(headers, "statement_id")
     so_far = _by().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = t.filter(F.col("label").isin("entry", "c-entry")).withColumn("record", F.sum((F.col("label") == "entry").cast("int")).over(so_far)).filter("record > 0")
-    # null, blank and absent cells of a row are "" in an entry and nothing in a continuation
-    one = kept.groupBy("statement_id", "record").agg(F.first("headers").alias("headers"), F.sort_array(F.collect_list(F.struct("seq", C.clean_entry_row(F.col("cells")).alias("cells")))).alias("parts"))
+    # null, blank and absent cells of a row are "" in an entry and nothing in a continuation; an entry is a record's first row
+    kept = kept.withColumn("cells", C.clean_entry_row(F.col("cells")))
+    own = Window.partitionBy("statement_id", "record").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = kept.withColumn("more", F.collect_list(F.when(F.col("label") == "c-entry", F.col("cells"))).over(own)).filter("label = 'entry'")
+    heads = F.col("headers")
 
-    def text(h: Column, heads: Column, parts: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(heads) - 1), lambda i: F.get(heads, i) == h)
-        cell = lambda p, i: F.coalesce(F.get(p["cells"], i), F.lit(""))
-        more = F.flatten(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.filter(F.transform(places, lambda i: cell(p, i)), lambda c: c != "")))
-        return C.strip(F.array_join(F.concat(F.array(cell(F.get(parts, F.lit(0)), F.get(places, F.size(places) - 1))), more), " "))
+    def text(h: Column) -> Column:
+        # the place of the last column of this name
+        first = F.coalesce(F.get("cells", (F.size(heads) - F.array_position(F.reverse(heads), h)).cast("int")), F.lit(""))
+        more = F.flatten(F.transform("more", lambda p: F.filter(p, lambda c, i: (c != "") & F.coalesce(F.get(heads, i) == h, F.lit(False)))))
+        return F.when(F.size("more") == 0, first).otherwise(C.strip(F.array_join(F.concat(F.array(first), more), " ")))
 
-    names = F.array_distinct("headers")
-    rec = F.map_from_arrays(names, F.transform(names, lambda h: text(h, F.col("headers"), F.col("parts"))))
-    return one.select("statement_id", F.col("record").cast("int").alias("seq"), rec.alias("rec"), names.alias("headers"))
+    one = one.withColumn("_names", F.array_distinct(heads))
+    # most rows have no continuation and no columns of one name, and give their cells as they stand
+    plain = (F.size("more") == 0) & (F.size("_names") == F.size(heads))
+    rec = F.map_from_arrays("_names", F.when(plain, F.transform("_names", lambda _, i: F.coalesce(F.get("cells", i), F.lit("")))).otherwise(F.transform("_names", text)))
+    return one.select("statement_id", F.col("record").cast("int").alias("seq"), rec.alias("rec"), F.col("_names").alias("headers"))
 
 
 def _value(key: Column) -> Column:
@@ -153,43 +163,59 @@ def _peeled(cell: Column) -> Column:
     return F.aggregate(steps, F.struct(cell.alias("rest"), F.array().cast("array<string>").alias("found")), peel)
 
 
+def _date_columns(records: DataFrame) -> DataFrame:
+    """``records`` with _desc, the description column, and _dates, the date columns to its left."""
+    if "_desc" in records.columns:
+        return records
+    t = records.withColumn("_desc", _description_column(F.col("headers")))
+    return t.withColumn("_dates", F.filter(_before(F.col("headers"), F.col("_desc")), _is_date))
+
+
+def _is_date(h: Column) -> Column:
+    return F.contains(F.lower(h), F.lit("date"))
+
+
 def repair_collapsed_dates(records: DataFrame) -> DataFrame:
     """Several dates in one date cell, with the first date column empty, go to the date columns in order."""
-    rec = F.col("rec")
+    return _spread_dates(_date_columns(records)).drop("_desc", "_dates")
+
+
+def _spread_dates(t: DataFrame) -> DataFrame:
+    rec, desc, dates = F.col("rec"), F.col("_desc"), F.col("_dates")
 
-    def spread(desc: Column, dates: Column, p: Column) -> Column:
+    def spread(p: Column) -> Column:
         text = F.concat_ws(" ", F.nullif(p["rest"], F.lit("")), C.strip(F.element_at(rec, desc)))
         new = lambda k, v: F.when(F.array_contains(dates, k), F.coalesce(F.get(p["found"], F.array_position(dates, k).cast("int") - 1), F.lit(""))).when(k == desc, C.strip(text)).otherwise(v)
         return F.when(F.size(p["found"]) >= 2, F.transform_values(rec, new)).otherwise(rec)
 
-    def with_dates(desc: Column, dates: Column) -> Column:
-        source = F.get(F.filter(F.slice(dates, 2, 1000), lambda h: _value(h) != ""), F.lit(0))
-        empty = F.coalesce(_value(F.get(dates, F.lit(0))) == "", F.lit(False))
-        fixed_rec = C.let(source, lambda h: F.when(h.isNotNull(), C.let(_value(h), lambda cell: F.when(cell.rlike(fixed.COLLAPSED_DATE), C.let(_peeled(cell), lambda p: spread(desc, dates, p))))))
-        return F.when(empty, fixed_rec)
-
-    is_date = lambda h: F.contains(F.lower(h), F.lit("date"))
-    new = C.let(_description_column(F.col("headers")), lambda desc: C.let(F.filter(_before(F.col("headers"), desc), is_date), lambda dates: with_dates(desc, dates)))
-    return records.withColumn("rec", F.coalesce(new, rec))
+    source = F.get(F.filter(F.slice(dates, 2, 1000), lambda h: _value(h) != ""), F.lit(0))
+    empty = F.coalesce(_value(F.get(dates, F.lit(0))) == "", F.lit(False))
+    fixed_rec = C.let(source, lambda h: F.when(h.isNotNull(), C.let(_value(h), lambda cell: F.when(cell.rlike(fixed.COLLAPSED_DATE), C.let(_peeled(cell), spread)))))
+    return t.withColumn("rec", F.coalesce(F.when(empty, fixed_rec), rec))
 
 
 def relocate_leading_date(records: DataFrame) -> DataFrame:
     """A date that leads the description moves to its empty date column; text after a date moves back."""
-    rec, headers = F.col("rec"), F.col("headers")
-    is_date = lambda h: F.contains(F.lower(h), F.lit("date"))
+    return _relocated(_date_columns(records)).drop("_desc", "_dates")
+
+
+def _relocated(t: DataFrame) -> DataFrame:
+    rec, desc, left = F.col("rec"), F.col("_desc"), F.col("_dates")
 
-    def moved(desc: Column, date: Column, d: Column, x: Column) -> Column:
+    def moved(date: Column, d: Column, x: Column) -> Column:
         to_date = C.let(C.leading_date(x), lambda xl: F.when(xl["date"] != "", _with(rec, [(date, xl["date"]), (desc, xl["rest"])])))
         to_text = C.let(C.leading_date(d), lambda dl: F.when((dl["date"] != "") & dl["rest"].rlike("[A-Za-z]"), _with(rec, [(date, dl["date"]), (desc, C.strip(F.concat_ws(" ", dl["rest"], x)))])))
-        return F.when(d == "", to_date).otherwise(to_text)
+        # only a text with a digit leads with a date
+        return F.when(d == "", F.when(x.rlike("[0-9]"), to_date)).otherwise(F.when(d.rlike("[A-Za-z]"), to_text))
 
-    def with_names(desc: Column, left: Column) -> Column:
-        date = F.coalesce(F.get(left, F.size(left) - 1), F.get(F.filter(headers, is_date), F.lit(0)))
-        pair = lambda h: F.when(h.isNotNull() & (h != desc), C.let(F.struct(_value(h).alias("d"), _value(desc).alias("x")), lambda v: moved(desc, h, v["d"], v["x"])))
-        return F.when(desc.isNotNull(), C.let(date, pair))
+    date = F.coalesce(F.get(left, F.size(left) - 1), F.get(F.filter("headers", _is_date), F.lit(0)))
+    pair = lambda h: F.when(h.isNotNull() & (h != desc), C.let(F.struct(_value(h).alias("d"), _value(desc).alias("x")), lambda v: moved(h, v["d"], v["x"])))
+    return t.withColumn("rec", F.coalesce(F.when(desc.isNotNull(), C.let(date, pair)), rec))
 
-    new = C.let(_description_column(headers), lambda desc: C.let(F.filter(_before(headers, desc), is_date), lambda left: with_names(desc, left)))
-    return records.withColumn("rec", F.coalesce(new, rec))
+
+def repair_dates(records: DataFrame) -> DataFrame:
+    """Both repairs of dates in their order, with the description and date columns looked up once."""
+    return _relocated(_spread_dates(_date_columns(records))).drop("_desc", "_dates")
 
 
 def column_statistics(records: DataFrame) -> DataFrame:
@@ -225,12 +251,63 @@ def column_profile(records: DataFrame) -> DataFrame:
 _PROFILE = ("date_col", "hits", "blanks", "amount", "paired", "least", "most")
 
 
+def _marks(headers: Column) -> Column:
+    """One digit for each header: 0 for a blank cell, else 1, with 2 more for a date and 4 more for an amount with a mark."""
+    # how a text starts that ``row_date`` can read; amounts and narrations take no further look
+    may_date = r"^(?:\d{4}-|\d{1,2}[/.\-\s]|[A-Za-z]{3,9} ?\d{1,2}, \d{4}$)"
+    date = lambda v: F.when(v.rlike(may_date) & C.row_date(v).isNotNull(), 2).otherwise(0)
+    mark = lambda v: F.when(v.rlike(fixed.AMOUNT_FLAG), 4).otherwise(0)
+    return F.array_join(F.transform(headers, lambda h: C.let(_value(h), lambda v: F.when(v == "", "0").otherwise((F.lit(1) + date(v) + mark(v)).cast("string")))), "")
+
+
+def _profile_of(kinds: Column) -> Column:
+    """The profile of a statement from its kinds of rows: struct<headers, marks, n>, one for each that occurs."""
+
+    def statistics(cells: Column) -> Column:
+        def one(h: Column) -> Column:
+            zero = F.struct(F.lit(None).cast("int").alias("i"), F.lit(0).cast("long").alias("dates"), F.lit(0).cast("long").alias("filled"), F.lit(0).cast("long").alias("flagged"))
+            count = lambda c, bits: F.when(c["m"].isin(bits), c["n"]).otherwise(0)
+            add = lambda s, c: F.struct(F.least(s["i"], c["i"]).alias("i"), (s["dates"] + count(c, ["3", "7"])).alias("dates"), (s["filled"] + count(c, ["1", "3", "5", "7"])).alias("filled"), (s["flagged"] + count(c, ["5", "7"])).alias("flagged"))
+            return F.aggregate(F.filter(cells, lambda c: c["h"] == h), zero, add, lambda s: F.struct(h.alias("h"), F.replace(F.lower(h), F.lit(" "), F.lit("")).alias("norm"), s["i"].alias("i"), s["dates"].alias("dates"), s["filled"].alias("filled"), s["flagged"].alias("flagged")))
+
+        return F.transform(F.array_distinct(F.transform(cells, lambda c: c["h"])), one)
+
+    def profile(columns: Column) -> Column:
+        fits = lambda c: (c["filled"] > 0) & (c["flagged"] * 10 >= c["filled"] * 6) & ~c["norm"].rlike("balance|date")
+        amount = F.array_min(F.transform(F.filter(columns, fits), lambda c: F.struct(c["i"].alias("i"), c["h"].alias("h"))))["h"]
+        best = F.array_max(F.transform(columns, lambda c: F.struct(c["dates"].alias("dates"), (-c["i"]).alias("i"), c["h"].alias("h"))))
+        named = lambda words: F.exists(columns, lambda c: c["norm"].rlike(words))
+        blanks = F.transform(F.filter(columns, lambda c: c["filled"] == 0), lambda c: c["h"])
+        return C.let(best, lambda b: F.struct(b["h"].alias("date_col"), b["dates"].alias("hits"), blanks.alias("blanks"), amount.alias("amount"), (named("debit|withdrawal") & named("credit|deposit")).alias("paired")))
+
+    cells = F.flatten(F.transform(kinds, lambda k: F.transform(k["headers"], lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.substring(k["marks"], i + 1, F.lit(1)).alias("m"), k["n"].alias("n")))))
+    return C.let(cells, lambda x: C.let(statistics(x), profile))
+
+
 def _profiled(records: DataFrame) -> DataFrame:
+    """``records`` with the profile of their statement.
+
+    Rows of a statement have few kinds: which columns are blank, dates or marked amounts.  The kinds are counted by a window, and
+    the first row of a statement works the profile out for all, so records are neither exchanged again nor worked out twice.
+    """
     if "date_col" in records.columns:
         return records
-    # both sides read the same columns of one exchange, so it is made once
-    records = records.repartition("statement_id")
-    return records.join(column_profile(records), "statement_id", "left")
+    kind = Window.partitionBy("statement_id", "_marks", "headers").orderBy("seq")
+    full = (Window.unboundedPreceding, Window.unboundedFollowing)
+    t = records.withColumn("_marks", _marks(F.col("headers")))
+    t = t.withColumns({"_nth": F.row_number().over(kind), "_n": F.count("*").over(kind.rowsBetween(*full))})
+    by_kind = _by().orderBy("_marks", "headers", "seq")
+    t = t.withColumns(
+        {
+            "_kinds": F.collect_list(F.when(F.col("_nth") == 1, F.struct("headers", F.col("_marks").alias("marks"), F.col("_n").alias("n")))).over(by_kind.rowsBetween(*full)),
+            "_row": F.row_number().over(by_kind),
+            "least": F.min("seq").over(by_kind.rowsBetween(*full)),
+            "most": F.max("seq").over(by_kind.rowsBetween(*full)),
+        }
+    )
+    t = t.withColumn("_profile", F.when(F.col("_row") == 1, _profile_of(F.col("_kinds")))).drop("_kinds", "_nth", "_n", "_marks")
+    t = t.withColumn("_profile", F.first("_profile").over(_by().orderBy("_row").rowsBetween(*full)))
+    return t.select(*records.columns, *[F.col(f"_profile.{n}").alias(n) if n not in ("least", "most") else F.col(n) for n in _PROFILE])
 
 
 def to_chronological(records: DataFrame) -> DataFrame:
@@ -284,6 +361,5 @@ def shape_records(records: DataFrame) -> DataFrame:
 
     Dropping blank date and identifier columns changes no other column's statistics.
     """
-    t = relocate_leading_date(repair_collapsed_dates(records))
-    t = _chronological(_profiled(t))
+    t = _chronological(_profiled(repair_dates(records)))
     return _split_amount(_without_blank(t, "date|" + C.any_of(fixed.OPTIONAL_HEADERS))).drop(*_PROFILE)

@@ -55,3 +55,36 @@ def test_grid_tables_are_exchanged_once(spark):
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
     assert sorted(map(tuple, best.collect())) == [("a", 3, 3, 1), ("b", 1, 2, 0)]
+
+
+@pytest.mark.parametrize("name", ["l4_build_records", "l4_repeated_headers", "l7_to_chronological", "l10_shape_records"])
+def test_records_are_worked_out_once(spark, name):
+    """Orders are exchanged once by statement; records, their headers and profiles are made in those partitions."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_record_partitions_grow_with_the_input(spark, monkeypatch):
+    from stmtspark.operators import parsing
+    from stmtspark.plans import records_queries
+
+    monkeypatch.setattr(parsing, "TASK_TRANSACTIONS", 20)
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert records_queries.labelled_rows(spark, SF).rdd.getNumPartitions() == -(-n // 20)
+
+
+def test_profile_by_kinds_of_rows(spark):
+    """The profile that windows give is that of the exploded cells, with repeated kinds, odd dates and headers that differ."""
+    from pyspark.sql import functions as F
+
+    from stmtspark.operators import records
+
+    a, b = ["Date", "Value Date", "Text", "Amount"], ["Text", "Debit", "Credit", "Date"]
+    cells = [("s", 1, a, ["01-02-2024", "", "PARTY 1", "5.00 Dr"]), ("s", 2, a, ["31/02/2025", " ", "September30, 2025", "1,200.00(Cr)"]), ("s", 3, a, ["", "", "2024-01-05", "12.50 cr"]), ("s", 4, a, ["01-02-2024", "", "PARTY 2", "7 Dr."]),
+             ("t", 5, b, ["3 Jan 2024 x", "", "1", "x"]), ("t", 9, b, ["", "", "2", "Jan 3, 24"]), ("u", 1, ["A", "B"], ["", None]), ("v", 1, a, ["01-02-2024", "", "", ""]), ("v", 2, b, ["01-02-2024", "", "9 Cr", ""])]
+    t = spark.createDataFrame([(s, q, dict(zip(h, v)), h) for s, q, h, v in cells], "statement_id string, seq int, rec map<string,string>, headers array<string>")
+    names = [n for n in records._PROFILE if n != "blanks"]
+    pick = lambda x: sorted(x.select("statement_id", *names, F.sort_array("blanks").alias("blanks")).distinct().collect(), key=lambda r: r["statement_id"])
+    got = records._profiled(t)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == len(cells)
+    assert pick(got) == pick(records.column_profile(t))
