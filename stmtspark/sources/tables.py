@@ -28,6 +28,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a new shared folder and read from there, for rows that several jobs read."""
+    path = f"{scratch_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_cell_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, cells) of row CSV files: all columns text, missing cells ""."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

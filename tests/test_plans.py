@@ -88,3 +88,9 @@ def test_profile_by_kinds_of_rows(spark):
     got = records._profiled(t)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == len(cells)
     assert pick(got) == pick(records.column_profile(t))
+
+
+def test_classifier_rows_are_stored_once(spark):
+    """The metrics read stored rows, not the ledger anew for each job."""
+    plan = registry.QUERIES["m5_row_classifier"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and "Window" not in plan and "orders.parquet" not in plan
