@@ -35,8 +35,10 @@ from stmtspark.llm.common import list_array, small_batches, text_chunks, tidied
 LONG_PIECE, SPAN = 64, 48
 #: Position rows times steps that one recursive query may hold.
 QUERY_ROWS = 4_000_000
-#: Pieces in each of a worker's two generations of remembered pieces.
-CACHE = 80_000
+#: Pieces in each of a worker's two generations of remembered pieces, about 200 bytes each; contracting one anew takes most of its time.
+CACHE = 250_000
+#: Parts of long pieces, and a quarter of the pairs of tokens, that a worker remembers.
+PARTS = 80_000
 #: Characters that are split into pieces at once, and ids that one row of the decoding query holds.
 SPLIT_CHARS, DECODE_IDS = 1_000_000, 65_536
 #: A position row's place is w << SHIFT | pos.
@@ -152,7 +154,7 @@ class PieceCoder:
     def _meet(self, pairs: set[tuple[int, int]]) -> None:
         """Find out which pairs of tokens stay as they are when they stand side by side."""
         new = [x for x in pairs if x not in self.stays]
-        if len(self.stays) > 4 * CACHE:
+        if len(self.stays) > 4 * PARTS:
             self.stays.clear()
             new = list(pairs)
         if new:
@@ -191,7 +193,7 @@ class PieceCoder:
                     left, right = min(left, len(out)), min(right, len(own))
                     part = text(out[-left:] + own[:right])
                     if part not in self.parts:
-                        if len(self.parts) > CACHE:
+                        if len(self.parts) > PARTS:
                             self.parts.clear()
                         self.parts[part] = self._all([part])[0]
                     r = self.parts[part]

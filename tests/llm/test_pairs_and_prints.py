@@ -291,3 +291,13 @@ def test_threads_keep_their_own_tables(spark):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert not failed and found[0] == found[1] == found[2] == sorted((i, i - i % 10) for i in range(60))
+
+
+def test_bpe_remembers_pieces_of_many_batches():
+    """Words of an earlier batch are not contracted anew after two batches of 90,000 other words."""
+    coder, asked = bpe.PieceCoder.__new__(bpe.PieceCoder), []
+    coder.young, coder.old = {}, {}
+    coder.encode = lambda pieces: [asked.append(p) or b"" for p in pieces]
+    for batch in (0, 1, 2, 0):
+        coder.learn({f" w{i}" for i in range(90_000 * batch, 90_000 * (batch + 1))})
+    assert len(asked) == 270_000 and len(coder.young) + len(coder.old) <= 2 * (bpe.CACHE + 90_000)
